@@ -1,0 +1,80 @@
+"""Session settings and shared-storage helpers."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+SESSION_CONF = {
+    # all instants are UTC; adaptive execution re-plans joins and splits skewed partitions
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # of a repeated JSON key the last value counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
+
+_LOCAL: dict[str, str] = {}
+
+
+def local_session(cores: int | str = 8, app: str = "faultmill", **conf: str) -> SparkSession:
+    """A local session for tests and the bench; clusters bring their own."""
+    builder = (
+        SparkSession.builder.master(f"local[{cores}]").appName(app)
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "16g")
+        .config("spark.sql.shuffle.partitions", "8")
+    )
+    for key, value in {**SESSION_CONF, **conf}.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings results depend on (time zone) to a session made elsewhere."""
+    for key, value in SESSION_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared scratch folder: ``spark.checkpoint.dir`` as the session names it.
+
+    Only where it is unset and the master is local (tests) a fresh temporary folder is taken.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="faultmill-", dir="/tmp")
+    return _LOCAL["dir"]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/faultmill/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write once to shared storage and read back.
+
+    Used where a costly per-log stage feeds several branches: the text work runs once, its lineage
+    ends at files that outlive any executor, and every reader prunes columns.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for the CPU-bound text work that follows.
+
+    A table with fewer splits than the cluster has cores is small; its rows are dealt out.  Large
+    tables have more splits than cores and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
