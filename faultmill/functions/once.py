@@ -1,5 +1,7 @@
 """Evaluate costly columns exactly once per row."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +16,8 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     made = F.struct(*[column.alias(name) for name, column in columns.items()])
     kept = [F.col(name) for name in df.columns if name not in columns]
     return df.select(*kept, F.inline(F.array(made)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import short_id
 from ..rules import fixed_values as fv
 from ..session import spread, tune
-from ..sources import airflow, dbt, generic
+from ..sources.feeds import NORMALIZERS
 from .texts import AIRFLOW_PAYLOADS, DBT_PAYLOADS, GENERIC_PAYLOADS, TASK_LOGS, spark_choice
 
 LINE_COLUMNS = (
@@ -149,10 +149,14 @@ def status_events(failed: DataFrame) -> DataFrame:
 
 
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle_from(table(spark, sf_dir, "events"))
+
+
+def lifecycle_from(events: DataFrame) -> DataFrame:
     """The events table as a timeline of failures and status changes of 50 signatures."""
     kind = F.col("event_type")
     failure = kind.isin("error", "click")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("ws_"), text(F.col("user_id") % 2)).alias("workspace_id"),
         F.concat(F.lit("fp_"), text(F.col("user_id") % 50)).alias("fingerprint"),
         F.col("ts").cast("timestamp").alias("at"),
@@ -197,12 +201,9 @@ def generic_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
                  "g-")
 
 
-def normalized(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        "airflow": airflow.normalize(airflow_feed(spark, sf_dir)),
-        "dbt": dbt.normalize(dbt_feed(spark, sf_dir)),
-        "generic": generic.normalize(generic_feed(spark, sf_dir)),
-    }
+def normalized(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    raw = {"airflow": airflow_feed, "dbt": dbt_feed, "generic": generic_feed}[name]
+    return NORMALIZERS[name](raw(spark, sf_dir))
 
 
 # --- feedback and model answers ------------------------------------------------------------------

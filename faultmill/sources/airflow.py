@@ -3,10 +3,10 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.moments import parse_iso
-from ..functions.once import once
+from ..functions.moments import parse_all
+from ..functions.once import let, once
 from ..rules import fixed_values as fv
-from .payload import Checks, Doc, Field, document, kind, pair_items, paired, parsed
+from .payload import Checks, Doc, Field, as_events, document, kind, pair_items, paired, parsed
 
 _TASK_FIELDS = ("task_id", "operator", "state", "try_number", "start_date", "end_date",
                 "upstream_task_ids", "log")
@@ -32,10 +32,6 @@ def map_state(state: Column) -> Column:
     return lookup(fv.AIRFLOW_STATES, F.lower(state), "failed")
 
 
-def moment(value: Field) -> Column:
-    return parse_iso(value.string())
-
-
 def bad_moment(value: Field) -> Column:
     """Only text can be parsed; other non-empty values are malformed."""
     return value.truthy() & ~value.of("STRING")
@@ -58,17 +54,20 @@ def not_text_list(value: Field) -> Column:
 
 def _task(ti: Doc) -> Column:
     task_id = text_or(ti["task_id"], "unknown")
-    return F.struct(
-        task_id.alias("task_id"), task_id.alias("name"),
-        text_or(ti["operator"], "").alias("node_type"),
-        map_state(ti["state"].shown()).alias("status"),
-        F.when(ti["try_number"].missing(), 1).otherwise(ti["try_number"].integer())
-        .alias("try_number"),
-        moment(ti["start_date"]).alias("started_at"),
-        moment(ti["end_date"]).alias("ended_at"),
-        F.coalesce(ti["upstream_task_ids"].text, no_texts()).alias("upstream_task_ids"),
-        text_or(ti["log"], "").alias("log"),
-    )
+
+    def made(moments: Column) -> Column:
+        return F.struct(
+            task_id.alias("task_id"), task_id.alias("name"),
+            text_or(ti["operator"], "").alias("node_type"),
+            map_state(ti["state"].shown()).alias("status"),
+            F.when(ti["try_number"].missing(), 1).otherwise(ti["try_number"].integer())
+            .alias("try_number"),
+            moments[0].alias("started_at"), moments[1].alias("ended_at"),
+            F.coalesce(ti["upstream_task_ids"].text, no_texts()).alias("upstream_task_ids"),
+            text_or(ti["log"], "").alias("log"),
+        )
+
+    return let(parse_all(ti["start_date"].string(), ti["end_date"].string()), made)
 
 
 def normalize(feed: DataFrame) -> DataFrame:
@@ -77,8 +76,9 @@ def normalize(feed: DataFrame) -> DataFrame:
     tasks = run["task_instances"]
     events = once(parsed(feed, _TEXTS, _RUN_FIELDS), {
         "__tis": pair_items(tasks.text, tasks.value, _TASK_FIELDS)})
-    events = once(events, {"__tasks": F.coalesce(
-        F.transform("__tis", lambda t: _task(paired(t))), F.array())})
+    events = once(events, {
+        "__tasks": F.coalesce(F.transform("__tis", lambda t: _task(paired(t))), F.array()),
+        "__moments": parse_all(run["start_date"].string(), run["end_date"].string())})
 
     def any_task(test) -> Column:
         return F.exists("__tis", lambda t: test(paired(t)))
@@ -113,8 +113,7 @@ def normalize(feed: DataFrame) -> DataFrame:
         F.exists("__tasks", lambda t: F.length(t["log"]) > fv.MAX_LOG_CHARS), "log too long")
 
     dag = run["dag_id"].string()
-    return events.select(
-        "event_id", "received_at", "workspace_id",
+    made = F.struct(
         F.lit("airflow").alias("platform"),
         dag.alias("pipeline_external_id"),
         F.when(run["dag_display_name"].truthy(), run["dag_display_name"].string()).otherwise(dag)
@@ -123,10 +122,11 @@ def normalize(feed: DataFrame) -> DataFrame:
         .otherwise(text_or(run["run_id"], "unknown")).alias("run_external_id"),
         map_state(run["state"].shown()).alias("status"),
         text_or(run["run_type"], "scheduled").alias("trigger"),
-        moment(run["start_date"]).alias("started_at"),
-        moment(run["end_date"]).alias("ended_at"),
+        F.col("__moments")[0].alias("started_at"),
+        F.col("__moments")[1].alias("ended_at"),
         F.when(run["conf"].truthy(), F.to_json(run["conf"].value)).otherwise("{}")
         .alias("config_snapshot"),
         F.col("__tasks").alias("tasks"),
         checks.reason().alias("reject_reason"),
     )
+    return as_events(events, made)

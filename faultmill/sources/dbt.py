@@ -3,11 +3,12 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.once import once
+from ..functions.moments import parse_all, parse_iso
+from ..functions.once import let, once
 from ..rules import fixed_values as fv
-from .airflow import bad_moment, lookup, moment, no_texts, text_or
+from .airflow import bad_moment, lookup, no_texts, text_or
 from .payload import (
-    Checks, Doc, Field, document, kinds, pair_items, paired, parsed, variants,
+    Checks, Doc, Field, as_events, document, kinds, pair_items, paired, parsed, variants,
 )
 
 _WRAP_FIELDS = ("project_name", "job_id", "run_id", "run_results", "metadata", "results")
@@ -73,15 +74,18 @@ def _task(result: Doc) -> Column:
     message, code, sql = result["message"], result["compiled_code"], result["compiled_sql"]
     log = failure_log(
         _given(message, message.shown()), _given(code, code.string()), _given(sql, sql.string()))
-    return F.struct(
-        unique_id.alias("task_id"), node_name(unique_id).alias("name"),
-        node_type(unique_id).alias("node_type"), status.alias("status"),
-        F.lit(1).alias("try_number"),
-        moment(execute["started_at"]).alias("started_at"),
-        moment(execute["completed_at"]).alias("ended_at"),
-        no_texts().alias("upstream_task_ids"),
-        F.when(status == "failed", log).otherwise("").alias("log"),
-    )
+
+    def made(moments: Column) -> Column:
+        return F.struct(
+            unique_id.alias("task_id"), node_name(unique_id).alias("name"),
+            node_type(unique_id).alias("node_type"), status.alias("status"),
+            F.lit(1).alias("try_number"),
+            moments[0].alias("started_at"), moments[1].alias("ended_at"),
+            no_texts().alias("upstream_task_ids"),
+            F.when(status == "failed", log).otherwise("").alias("log"),
+        )
+
+    return let(parse_all(execute["started_at"].string(), execute["completed_at"].string()), made)
 
 
 def run_status(tasks: Column) -> Column:
@@ -119,8 +123,9 @@ def normalize(feed: DataFrame) -> DataFrame:
         "__results": pair_items(texts["results"], body["results"], _RESULT_FIELDS)})
     events = once(events, {"__meta_kinds": kinds(F.col("__meta"), _META_FIELDS)})
     meta = Doc(texts["metadata"], F.col("__meta_kinds"), F.col("__meta"))
-    events = once(events, {"__tasks": F.coalesce(
-        F.transform("__results", lambda r: _task(paired(r))), F.array())})
+    events = once(events, {
+        "__tasks": F.coalesce(F.transform("__results", lambda r: _task(paired(r))), F.array()),
+        "__moment": parse_iso(meta["generated_at"].string())})
 
     outer, inner = wrap["project_name"], meta["project_name"]
     project = F.when(outer.truthy(), outer.string()).when(
@@ -146,8 +151,7 @@ def normalize(feed: DataFrame) -> DataFrame:
 
     version = F.coalesce(F.to_json(meta["dbt_version"].value), F.lit('""'))
     job, run_id, invocation = wrap["job_id"], wrap["run_id"], meta["invocation_id"]
-    return events.select(
-        "event_id", "received_at", "workspace_id",
+    made = F.struct(
         F.lit("dbt").alias("platform"),
         F.coalesce(_given(job, job.shown()), project).alias("pipeline_external_id"),
         project.alias("pipeline_name"),
@@ -155,9 +159,10 @@ def normalize(feed: DataFrame) -> DataFrame:
                    F.lit("unknown")).alias("run_external_id"),
         run_status(F.col("__tasks")).alias("status"),
         F.lit("scheduled").alias("trigger"),
-        moment(meta["generated_at"]).alias("started_at"),
-        moment(meta["generated_at"]).alias("ended_at"),
+        F.col("__moment").alias("started_at"),
+        F.col("__moment").alias("ended_at"),
         F.concat(F.lit('{"dbt_version":'), version, F.lit("}")).alias("config_snapshot"),
         F.col("__tasks").alias("tasks"),
         checks.reason().alias("reject_reason"),
     )
+    return as_events(events, made)

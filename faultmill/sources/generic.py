@@ -3,11 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.moments import parse_iso
-from ..functions.once import once
+from ..functions.moments import parse_all
+from ..functions.once import let, once
 from ..rules import fixed_values as fv
 from .airflow import no_texts, not_text_list, text_or
-from .payload import NUMBERS, Checks, Doc, Field, document, pair_items, paired, parsed
+from .payload import NUMBERS, Checks, Doc, Field, as_events, document, pair_items, paired, parsed
 
 _TASK_FIELDS = ("task_id", "name", "node_type", "status", "try_number", "started_at", "ended_at",
                 "upstream_task_ids", "log")
@@ -24,19 +24,24 @@ _TEXTS = (
 _SECONDS_LIMIT = 20_000_000_000
 
 
-def _moment(value: Field) -> Column:
-    """An instant given as ISO text or as a number, which may be written as text."""
-    number = F.when(
-        value.of(*NUMBERS, "STRING") & F.rlike(value.text, F.lit(r"^-?\d+(\.\d+)?$")),
-        value.text.try_cast("double"))
-    seconds = F.when(F.abs(number) > _SECONDS_LIMIT, number / 1000).otherwise(number)
-    return F.coalesce(
-        F.timestamp_micros(F.round(seconds * 1_000_000).try_cast("long")),
-        parse_iso(value.string()))
+def _moments(*values: Field) -> Column:
+    """Instants given as ISO text or as numbers, which may be written as text."""
+    def number(value: Field) -> Column:
+        return F.when(
+            value.of(*NUMBERS, "STRING") & F.rlike(value.text, F.lit(r"^-?\d+(\.\d+)?$")),
+            value.text.try_cast("double"))
 
+    def instant(iso: Column, number: Column) -> Column:
+        seconds = F.when(F.abs(number) > _SECONDS_LIMIT, number / 1000).otherwise(number)
+        return F.coalesce(
+            iso, F.timestamp_micros(F.round(seconds * 1_000_000).try_cast("long")))
 
-def _bad_moment(value: Field) -> Column:
-    return ~value.missing() & ~value.null() & _moment(value).isNull()
+    return F.zip_with(
+        parse_all(*[v.string() for v in values]), F.array(*[number(v) for v in values]), instant)
+
+
+def _bad_moment(value: Field, moment: Column) -> Column:
+    return ~value.missing() & ~value.null() & moment.isNull()
 
 
 def _whole_number(value: Field) -> Column:
@@ -46,18 +51,20 @@ def _whole_number(value: Field) -> Column:
 
 
 def _task(task: Doc) -> Column:
-    return F.struct(
-        task["task_id"].string().alias("task_id"),
-        text_or(task["name"], "").alias("name"),
-        text_or(task["node_type"], "").alias("node_type"),
-        task["status"].string().alias("status"),
-        F.when(task["try_number"].missing(), 1).otherwise(_whole_number(task["try_number"]))
-        .alias("try_number"),
-        _moment(task["started_at"]).alias("started_at"),
-        _moment(task["ended_at"]).alias("ended_at"),
-        F.coalesce(task["upstream_task_ids"].text, no_texts()).alias("upstream_task_ids"),
-        text_or(task["log"], "").alias("log"),
-    )
+    def made(moments: Column) -> Column:
+        return F.struct(
+            task["task_id"].string().alias("task_id"),
+            text_or(task["name"], "").alias("name"),
+            text_or(task["node_type"], "").alias("node_type"),
+            task["status"].string().alias("status"),
+            F.when(task["try_number"].missing(), 1).otherwise(_whole_number(task["try_number"]))
+            .alias("try_number"),
+            moments[0].alias("started_at"), moments[1].alias("ended_at"),
+            F.coalesce(task["upstream_task_ids"].text, no_texts()).alias("upstream_task_ids"),
+            text_or(task["log"], "").alias("log"),
+        )
+
+    return let(_moments(task["started_at"], task["ended_at"]), made)
 
 
 def _not_in(value: Field, names: tuple[str, ...]) -> Column:
@@ -70,8 +77,10 @@ def normalize(feed: DataFrame) -> DataFrame:
     tasks = run["tasks"]
     events = once(parsed(feed, _TEXTS, _RUN_FIELDS), {
         "__raw": pair_items(tasks.text, tasks.value, _TASK_FIELDS)})
-    events = once(events, {"__tasks": F.coalesce(
-        F.transform("__raw", lambda t: _task(paired(t))), F.array())})
+    events = once(events, {
+        "__tasks": F.coalesce(F.transform("__raw", lambda t: _task(paired(t))), F.array()),
+        "__moments": _moments(run["started_at"], run["ended_at"])})
+    started, ended = F.col("__moments")[0], F.col("__moments")[1]
 
     def any_task(test) -> Column:
         return F.exists("__raw", lambda t: test(paired(t)))
@@ -84,8 +93,9 @@ def normalize(feed: DataFrame) -> DataFrame:
     checks.refuse_when(~run["run_external_id"].of("STRING"), "invalid run_external_id")
     checks.refuse_when(_not_in(run["status"], fv.RUN_STATUSES), "invalid status")
     checks.refuse_when(run["trigger"].not_string(), "invalid trigger")
-    checks.refuse_when(_bad_moment(run["started_at"]) | _bad_moment(run["ended_at"]),
-                       "invalid date")
+    checks.refuse_when(
+        _bad_moment(run["started_at"], started) | _bad_moment(run["ended_at"], ended),
+        "invalid date")
     checks.refuse_when(run["config_snapshot"].present_but_not("OBJECT"),
                        "invalid config_snapshot")
     checks.refuse_when(~tasks.missing() & F.col("__raw").isNull(), "invalid tasks")
@@ -99,7 +109,9 @@ def normalize(feed: DataFrame) -> DataFrame:
         any_task(lambda t: ~t["try_number"].missing() & _whole_number(t["try_number"]).isNull()),
         "invalid try_number")
     checks.refuse_when(
-        any_task(lambda t: _bad_moment(t["started_at"]) | _bad_moment(t["ended_at"])),
+        F.exists(F.zip_with("__raw", "__tasks", lambda raw, task: (
+            _bad_moment(paired(raw)["started_at"], task["started_at"])
+            | _bad_moment(paired(raw)["ended_at"], task["ended_at"]))), lambda bad: bad),
         "invalid date")
     checks.refuse_when(any_task(lambda t: not_text_list(t["upstream_task_ids"])),
                        "invalid upstream_task_ids")
@@ -107,17 +119,17 @@ def normalize(feed: DataFrame) -> DataFrame:
     checks.refuse_when(
         F.exists("__tasks", lambda t: F.length(t["log"]) > fv.MAX_LOG_CHARS), "log too long")
 
-    return events.select(
-        "event_id", "received_at", "workspace_id",
+    made = F.struct(
         run["platform"].string().alias("platform"),
         run["pipeline_external_id"].string().alias("pipeline_external_id"),
         text_or(run["pipeline_name"], "").alias("pipeline_name"),
         run["run_external_id"].string().alias("run_external_id"),
         run["status"].string().alias("status"),
         text_or(run["trigger"], "scheduled").alias("trigger"),
-        _moment(run["started_at"]).alias("started_at"),
-        _moment(run["ended_at"]).alias("ended_at"),
+        started.alias("started_at"),
+        ended.alias("ended_at"),
         F.coalesce(F.to_json(run["config_snapshot"].value), F.lit("{}")).alias("config_snapshot"),
         F.col("__tasks").alias("tasks"),
         checks.reason().alias("reject_reason"),
     )
+    return as_events(events, made)

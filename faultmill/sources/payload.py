@@ -124,6 +124,12 @@ def document() -> Doc:
     return Doc(F.col("__texts"), F.col("__kinds"), F.col("__values"))
 
 
+def as_events(rows: DataFrame, made: Column) -> DataFrame:
+    """The columns of a struct next to the feed's own, evaluated once."""
+    found = once(rows, {"__event": made})
+    return found.select("event_id", "received_at", "workspace_id", "__event.*")
+
+
 @dataclass
 class Checks:
     """Collects (condition, reason) pairs; the first that holds refuses the whole event."""
