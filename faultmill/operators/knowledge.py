@@ -127,7 +127,8 @@ def _occurrences(piece: Column, anchor: Column, offset: Column, size: Column) ->
         F.lit("(?<![a-z0-9_])"), anchor, F.lit("(?![a-z0-9_])")), -1)
     by_anchor = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i), anchor, "")) - offset)
+        lambda i: F.length(F.call_function(
+            "array_join", F.slice(parts, F.lit(1), i), anchor)) - offset)
     # without an anchor every position is tried
     anywhere = F.sequence(F.lit(0), F.length(piece) - size)
     starts = F.when(anchor != "", F.when(F.size(parts) > 1, by_anchor)).otherwise(

@@ -809,8 +809,10 @@ def category_label(spark, sf_dir):
 
 def _stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = feeds.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(
-        f"{sf_dir}/{name}.parquet")
+    return (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 100)
+        .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    )
 
 
 @query

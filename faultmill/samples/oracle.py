@@ -584,8 +584,9 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
             {q(fv.SYNTHETIC_LOG[1])} || pipeline_external_id || {q(fv.SYNTHETIC_LOG[2])} AS log
             FROM chosen WHERE raw_log IS NULL""",
         "root_cause_task": "SELECT run_external_id, name, node_type, status, log FROM root",
-        "error_lines": f"""SELECT log_id, pos, line FROM job_lines
-            WHERE pos < {fv.ERROR_LINES_LISTED}""",
+        "error_lines": f"""SELECT log_id, pos, line FROM (SELECT *, row_number() OVER
+            (PARTITION BY log_id ORDER BY pos) AS k FROM job_lines)
+            WHERE k <= {fv.ERROR_LINES_LISTED}""",
         "normalize_text": f"SELECT log_id, {normal('log')} AS normal FROM job_logs",
         "fingerprint": f"""SELECT j.log_id, left(sha256('pipe_' || (j.log_id % 7)::VARCHAR || '|'
             || CASE WHEN j.log_id % 3 > 0 THEN 'SqlOperator' ELSE '' END || '|' ||
@@ -761,6 +762,20 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
         f"""SELECT log_id, length({_truncated(fv.LOG_BUDGET)}) AS chars,
         md5({_truncated(fv.LOG_BUDGET)}) AS digest, md5({_truncated(400)}) AS tight_digest
         FROM starts""", _error_starts("doc_logs", "log_id"))
+    out["stream_ingest"] = (
+        f"""SELECT s.event_id, workspace_id, left(sha256(pipeline_external_id || '|' || node_type
+        || '|' || {normal("coalesce(t.ten, '')")}), 32) AS fingerprint, task_name, node_type,
+        {rule_id('log')}::BIGINT AS rule_id
+        FROM started s LEFT JOIN started_lines_top t ON t.event_id = s.event_id""",
+        [("first_task", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id
+          ORDER BY (task_status <> 'failed')::INT, pos) AS rk FROM airflow_tasks
+          WHERE task_status IN ('failed', 'upstream_failed') AND log <> '') WHERE rk = 1"""),
+         ("started", f"""SELECT e.event_id, workspace_id, pipeline_external_id, task_name,
+          coalesce(node_type, '') AS node_type, coalesce(f.log, {q(fv.SYNTHETIC_LOG[0])} ||
+          run_external_id || {q(fv.SYNTHETIC_LOG[1])} || pipeline_external_id ||
+          {q(fv.SYNTHETIC_LOG[2])}) AS log FROM airflow_events e LEFT JOIN first_task f
+          ON f.event_id = e.event_id WHERE status = 'failed'"""),
+         *line_ctes("started_lines", "started", "event_id", "log")])
     out["prompt_table"] = (
         f"""SELECT s.incident_id, 'Platform: ' || platform || chr(10) || 'Pipeline: ' ||
         pipeline_name || chr(10) || 'Failing task: ' || coalesce(task_name, 'unknown') ||
