@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..rules import dialect
 from ..rules import fixed_values as fv
-from .once import once
+from .once import let, once
 
 _STRIP = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _ERROR_LINE = dialect.jvm(
     r"^.*?\b(?:" + "|".join(fv.ERROR_WORDS) + r")\b.*$", ignore_case=True, multiline=True)
+_ERROR_WORD = dialect.jvm(r"\b(?:" + "|".join(fv.ERROR_WORDS) + r")\b", ignore_case=True)
 _BLANK_RUN = dialect.jvm(r"\s+")
 
 
@@ -25,6 +26,13 @@ def collapse_blanks(text: Column) -> Column:
     return strip(F.regexp_replace(text, F.lit(_BLANK_RUN), F.lit(" ")))
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that a case-blind pattern takes for i and s replaced."""
+    wide = F.octet_length(text) != F.length(text)
+    return F.when(wide, F.lower(F.translate(text, "\u0130\u0131\u017f", "iis"))).otherwise(
+        F.lower(text))
+
+
 # --- redaction -----------------------------------------------------------------------------------
 
 def _any_of(text: Column, needles: tuple[str, ...]) -> Column:
@@ -42,6 +50,12 @@ _NEEDED = {
     "url_credentials": ("://",),
     "email": ("@",),
 }
+# The same for folded text.  Earlier rules only cut text and put markers in, none of which holds
+# such a word right before a separator, so the words of the raw text decide.
+_NEEDED_FOLDED = {
+    "bearer_token": ("bearer", "token", "authorization"),
+    "kv_secret": ("pass", "pwd", "secret", "key", "token"),
+}
 
 
 def _entropy_bits(token: Column) -> Column:
@@ -62,19 +76,21 @@ def is_secret_token(token: Column) -> Column:
 
 
 def apply_redaction_rule(df: DataFrame, rule: tuple, source: str, target: str,
-                         hits: str) -> DataFrame:
-    """One rule of the table: adds ``target`` (text) and ``hits`` (number of matches)."""
+                         hits: str, fold: str | None = None) -> DataFrame:
+    """One rule of the table: adds ``target`` (text) and ``hits`` (number of matches).
+
+    ``fold`` names a column with the folded text, which spares texts without the rule's words.
+    """
     name, pattern, replacement, ignore_case, dot_all = rule
     regex = F.lit(dialect.jvm(pattern, ignore_case, dot_all))
-    text = F.col(source)
-    hit = F.rlike(text, regex)
+    text, found = F.col(source), F.regexp_count(F.col(source), regex)
     if name in _NEEDED:
-        hit = _any_of(text, _NEEDED[name]) & hit
-    return df.withColumns({
-        target: F.when(hit, F.regexp_replace(
-            text, regex, F.lit(dialect.jvm_replacement(replacement)))).otherwise(text),
-        hits: F.when(hit, F.regexp_count(text, regex)).otherwise(F.lit(0)),
-    })
+        found = F.when(_any_of(text, _NEEDED[name]), found).otherwise(F.lit(0))
+    elif fold is not None:
+        found = F.when(_any_of(F.col(fold), _NEEDED_FOLDED[name]), found).otherwise(F.lit(0))
+    return df.withColumn(hits, found).withColumn(
+        target, F.when(F.col(hits) > 0, F.regexp_replace(
+            text, regex, F.lit(dialect.jvm_replacement(replacement)))).otherwise(text))
 
 
 def apply_entropy_rule(df: DataFrame, source: str, target: str, hits: str) -> DataFrame:
@@ -106,10 +122,12 @@ def with_redaction(df: DataFrame, source: str, target: str, count: str) -> DataF
 
     A chain of projections, so that no intermediate text is evaluated twice.
     """
-    current, total, made = source, F.lit(0), []
+    fold = f"__{target}_folded"
+    current, total, made = source, F.lit(0), [fold]
+    df = df.withColumn(fold, folded(F.col(source)))
     for position, rule in enumerate(fv.REDACTION_RULES):
         text, hits = f"__{target}_t{position}", f"__{target}_n{position}"
-        df = apply_redaction_rule(df, rule, current, text, hits)
+        df = apply_redaction_rule(df, rule, current, text, hits, fold)
         total, current = total + F.col(hits), text
         made += [text, hits]
     text, hits = f"__{target}_t_last", f"__{target}_n_last"
@@ -124,21 +142,27 @@ def with_redaction(df: DataFrame, source: str, target: str, count: str) -> DataF
 
 # --- error lines and signature -------------------------------------------------------------------
 
+def _is_error_line(line: Column) -> Column:
+    # the byte scan decides most lines; the pattern adds the word borders
+    return let(folded(line), lambda low: _any_of(low, fv.ERROR_WORDS)) & F.rlike(
+        line, F.lit(_ERROR_WORD))
+
+
 def error_lines(log: Column, limit: int = fv.ERROR_LINES_LISTED) -> Column:
     """Stripped lines holding an error word, first of each 200-character key, in log order."""
-    lines = F.transform(F.regexp_extract_all(log, F.lit(_ERROR_LINE), F.lit(0)), strip)
-
     def key(line: Column) -> Column:
         return F.substring(line, 1, fv.ERROR_LINE_KEY_CHARS)
 
-    keys = F.slice(F.array_distinct(F.transform(lines, key)), 1, limit)
-    # lines no longer than the key are their own key; only longer ones are looked up again
-    long_lines = F.filter(lines, lambda ln: F.length(ln) > fv.ERROR_LINE_KEY_CHARS)
-    whole = F.transform(
-        keys,
-        lambda k: F.coalesce(
-            F.try_element_at(F.filter(lines, lambda ln: key(ln) == k), F.lit(1)), k))
-    return F.when(F.size(long_lines) > 0, whole).otherwise(keys)
+    def pick(lines: Column) -> Column:
+        keys = F.slice(F.array_distinct(F.transform(lines, key)), 1, limit)
+        # lines no longer than the key are their own key; only with longer ones are they looked up
+        whole = F.transform(keys, lambda k: F.element_at(
+            F.filter(lines, lambda line: key(line) == k), 1))
+        longer = F.exists(lines, lambda line: F.length(line) > fv.ERROR_LINE_KEY_CHARS)
+        return F.when(longer, whole).otherwise(keys)
+
+    found = F.transform(F.filter(F.split(log, "\n", -1), _is_error_line), strip)
+    return let(found, pick)
 
 
 def normalize_text(text: Column) -> Column:
@@ -223,19 +247,13 @@ _CURATED_NEEDS = {
 }
 
 
-def folded(text: Column) -> Column:
-    """Lower case, with the letters that a case-blind pattern takes for i and s replaced."""
-    wide = F.octet_length(text) != F.length(text)
-    return F.when(wide, F.lower(F.translate(text, "\u0130\u0131\u017f", "iis"))).otherwise(
-        F.lower(text))
-
-
 def triage_rule(log: Column, fold: Column | None = None) -> Column:
     """Id of the first rule matching anywhere in the log, null when none does.
 
     ``fold`` is ``folded(log)`` where the caller keeps it as a column.
     """
-    fold = folded(log) if fold is None else fold
+    if fold is None:
+        return let(folded(log), lambda low: triage_rule(log, low))
     chosen = None
     for rule_id, _, _, _, pattern in fv.TRIAGE_RULES:
         hit = _any_of(fold, _TRIAGE_NEEDS[rule_id]) & F.rlike(
@@ -257,7 +275,8 @@ def triage_quote(log: Column, rule_id: Column) -> Column:
 
 def curated_hits(log: Column, fold: Column | None = None) -> Column:
     """Ids of the curated knowledge rows whose pattern occurs in the log, ascending."""
-    fold = folded(log) if fold is None else fold
+    if fold is None:
+        return let(folded(log), lambda low: curated_hits(log, low))
     hits = [
         F.when(_any_of(fold, _CURATED_NEEDS[number]) & F.rlike(
             log, F.lit(dialect.jvm(pattern, ignore_case=True, dot_all=True))), F.lit(number))
