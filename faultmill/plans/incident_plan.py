@@ -89,7 +89,9 @@ class IncidentPlan:
 
     @cached_property
     def first_diagnoses(self) -> DataFrame:
-        return materialize(self._diagnoses(self.first_findings), "first-diagnoses")
+        found = self._diagnoses(self.first_findings)
+        # rule findings alone are a projection of the stored incidents
+        return found if self.answers is None else materialize(found, "first-diagnoses")
 
     @cached_property
     def judged(self) -> DataFrame:

@@ -144,13 +144,15 @@ def dim_connections(spark, sf_dir):
 
 @query
 def sink_roundtrip(spark, sf_dir):
-    """Write the entity tables of the accepted events by day and read one back."""
+    """Write the entity tables of the accepted events by month and read them back."""
     events = materialize(sources.accepted(feeds.normalized(spark, sf_dir, "airflow")), "events")
     base = scratch_path(spark, "tables")
     task_runs = entities.task_runs(events)
-    sources.write_by_day(entities.runs(events), f"{base}/runs", "received_at")
-    sources.write_by_day(task_runs.drop("log"), f"{base}/task_runs", "received_at")
-    sources.write_by_day(entities.log_bundles(task_runs), f"{base}/log_bundles", "received_at")
+    sources.write_by_period(entities.runs(events), f"{base}/runs", "received_at", "month")
+    sources.write_by_period(
+        task_runs.drop("log"), f"{base}/task_runs", "received_at", "month")
+    sources.write_by_period(
+        entities.log_bundles(task_runs), f"{base}/log_bundles", "received_at", "month")
     runs, tasks, logs = (spark.read.parquet(f"{base}/{t}") for t in
                          ("runs", "task_runs", "log_bundles"))
     counted = tasks.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_tasks"))

@@ -67,15 +67,12 @@ def adhoc_logs(pasted: DataFrame) -> DataFrame:
         F.col("log"), F.col("context"), F.col("platform")))
 
 
-def write_by_day(df: DataFrame, path: str, moment: str, mode: str = "append") -> None:
-    """Store a table partitioned by UTC day; one shuffle so that a day is not thousands of files.
+def write_by_period(df: DataFrame, path: str, moment: str, unit: str = "day",
+                    mode: str = "append") -> None:
+    """Store a table partitioned by UTC day, month, quarter or year.
 
-    Days are spread by a hash of the whole row: a day holding most of the rows is still written
-    by many tasks.
+    The rebalance gives a small period one file and splits one that holds many rows over several
+    tasks by size, so neither many small files nor one overlong task arise.
     """
-    spread = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dated = df.withColumn("dt", F.to_date(moment))
-    (
-        dated.repartition(int(spread), "dt", F.pmod(F.xxhash64(moment, dated.columns[0]), F.lit(8)))
-        .write.mode(mode).partitionBy("dt").parquet(path)
-    )
+    dated = df.withColumn("dt", F.to_date(F.date_trunc(unit, moment)))
+    dated.hint("rebalance", "dt").write.mode(mode).partitionBy("dt").parquet(path)

@@ -135,7 +135,7 @@ def test_union_drops_refused_and_keeps_redelivered(spark):
 def test_tables_written_by_day_come_back(spark, tmp_path):
     events = feeds.accepted(airflow.normalize(feed(spark, [AIRFLOW])))
     logs = entities.log_bundles(entities.task_runs(events))
-    feeds.write_by_day(logs, str(tmp_path / "logs"), "received_at")
+    feeds.write_by_period(logs, str(tmp_path / "logs"), "received_at")
     back = spark.read.parquet(str(tmp_path / "logs")).collect()
     assert len(back) == 1 and "s3cretpass" not in back[0].content
     assert back[0].redaction_count == 1 and str(back[0].dt) == "2026-01-01"
