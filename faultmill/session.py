@@ -1,6 +1,5 @@
 """Session settings and shared-storage helpers."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +14,6 @@ SESSION_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-_LOCAL: dict[str, str] = {}
-
 
 def local_session(cores: int | str = 8, app: str = "faultmill", **conf: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -43,16 +40,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder: ``spark.checkpoint.dir`` as the session names it.
 
-    Only where it is unset and the master is local (tests) a fresh temporary folder is taken.
+    Where it is unset the session gets one beside its tables, in the warehouse, which all executors
+    share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="faultmill-", dir="/tmp")
-    return _LOCAL["dir"]
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -63,11 +58,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to shared storage and read back.
 
     Used where a costly per-log stage feeds several branches: the text work runs once, its lineage
-    ends at files that outlive any executor, and every reader prunes columns.
+    ends at files that outlive any executor, and every reader prunes columns.  The files go when
+    the application ends.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    expire(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def expire(spark: SparkSession, path: str) -> None:
+    """Have the file system drop ``path`` at the end of the application."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
 def spread(df: DataFrame) -> DataFrame:
