@@ -25,22 +25,29 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def token_bytes(content: str) -> list[bytes]:
+    """What each id of a vocabulary file stands for."""
+    model = json.loads(content)
+    to_byte = {letter: b for b, letter in enumerate(byte_letters())}
+    ids = model["model"]["vocab"]
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
+    found = [b""] * (1 + max([*ids.values(), *special.values()]))
+    for token, i in ids.items():
+        found[i] = bytes(map(to_byte.__getitem__, token))
+    for token, i in special.items():
+        found[i] = token.encode()
+    return found
+
+
 class Vocabulary:
-    """A byte-level BPE vocabulary file: tokens as bytes, merges by rank, special tokens."""
+    """A byte-level BPE vocabulary file: merges by rank, special tokens."""
 
     def __init__(self, content: str):
         model = json.loads(content)
-        letters = byte_letters()
-        to_byte = {letter: b for b, letter in enumerate(letters)}
         ids = model["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.size = 1 + max([*ids.values(), *self.special.values()])
-        self.token_bytes = [b""] * self.size
-        for token, i in ids.items():
-            self.token_bytes[i] = bytes(to_byte[letter] for letter in token)
-        for token, i in self.special.items():
-            self.token_bytes[i] = token.encode()
-        self.byte_ids = np.array([ids[letter] for letter in letters], np.int64)
+        self.byte_ids = np.array([ids[letter] for letter in byte_letters()], np.int64)
         pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["model"]["merges"]]
         self.left = np.array([ids[a] for a, _ in pairs], np.int64)
         self.right = np.array([ids[b] for _, b in pairs], np.int64)
@@ -232,7 +239,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     content = read_vocabulary(path)
 
     def run(batches: Batches) -> Batches:
-        parts = [*shared(Encoder, content).vocabulary.token_bytes, b""]
+        parts = [*shared(token_bytes, content), b""]
         for batch in batches:
             lists = column(batch, ids)
             flat, cuts = lists.flatten().to_numpy(zero_copy_only=False), _cuts(lists)

@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Whole texts travel to Python in batches of bounded bytes; one row may exceed the bound."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def in_batches(df: DataFrame, make: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import Encoder, read_vocabulary
+from .bpe import Encoder, read_vocabulary, token_bytes
 from .common import Batches, add_columns, column, in_batches, widened
 from .words import shared
 
@@ -58,7 +58,7 @@ def attribute(df: DataFrame, path: str, text: str = "text", spans: str | None =
 
     def run(batches: Batches) -> Batches:
         encoder = shared(Encoder, content)
-        lengths = np.fromiter(map(len, encoder.vocabulary.token_bytes), np.int64)
+        lengths = np.fromiter(map(len, shared(token_bytes, content)), np.int64)
         for batch in batches:
             texts = [t or "" for t in column(batch, text).to_pylist()]
             given = column(batch, spans).to_pylist() if spans else None

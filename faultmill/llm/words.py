@@ -1,22 +1,22 @@
 """Ids of whole texts put together from those of their distinct words."""
 
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 
 #: Words kept per Python worker; beyond that the store starts anew.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 300_000
 
-_SHARED: dict[tuple[type, int], "WordStore"] = {}
+_SHARED: dict[Callable, tuple[int, object]] = {}
 
 
-def shared(kind: type, content: str) -> "WordStore":
-    """The worker's store of this kind and vocabulary: tasks that a worker runs later find it warm."""
-    key = (kind, hash(content))
-    if key not in _SHARED:
-        _SHARED.clear()
-        _SHARED[key] = kind(content)
-    return _SHARED[key]
+def shared(make: Callable, content: str):
+    """``make(content)``, kept by the Python worker: tasks that it runs later find it warm."""
+    mark = hash(content)
+    if _SHARED.get(make, (None,))[0] != mark:
+        _SHARED[make] = (mark, make(content))
+    return _SHARED[make][1]
 
 
 def gather(values: np.ndarray, bounds: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
