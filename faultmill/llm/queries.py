@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash, tokencounts, tokenfiles, toxicity
+from . import bpe, htmltext, langid, sharding, simhash, tokencounts, tokenfiles, toxicity
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -12,6 +12,14 @@ WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, all shards with the same mixture of sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return sharding.shards(docs, 8).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     path = public_tokenizers.path(BYTE_BPE)
@@ -61,12 +69,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "section", "s.start", "s.stop", "s.n_tokens", "s.n_shared")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
+    "op2_shards": op2_shards,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
     "op9_token_counts": op9_token_counts,
+    "op10_html": op10_html,
 }
 ORACLE_SQL: dict[str, str] = {}
