@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, langid, sharding, simhash, tokencounts, tokenfiles, toxicity
+from . import bpe, embeddings, htmltext, langid, sharding, simhash, tokencounts, tokenfiles, toxicity
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -12,6 +12,11 @@ WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, all shards with the same mixture of sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -75,6 +80,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embeddings": op1_embeddings,
     "op2_shards": op2_shards,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
@@ -84,4 +90,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_html": op10_html,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_embeddings": embeddings.ORACLE_SQL}
