@@ -201,8 +201,8 @@ WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), good AS (
   SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
-    AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
     ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
