@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, htmltext, langid, sharding, simhash, tokencounts, tokenfiles, toxicity
+from . import bpe, decontaminate, embeddings, htmltext, langid, sharding, simhash, tokencounts, tokenfiles, toxicity
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -66,6 +66,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that every document holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"),
+                        F.col("leaks.item").alias("items"), F.array_max("leaks.share").alias("share"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,6 +95,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
+    "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_html": op10_html,
 }
