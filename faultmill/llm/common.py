@@ -75,13 +75,20 @@ def numbered(df: DataFrame, order: list[Column], name: str, stage: str) -> DataF
         *[F.col(c) for c in df.columns], (F.col("__before") + F.col("__place")).alias(name))
 
 
-def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the trees of ``a[i]`` and ``b[i]`` in ``parent``, roots are the smallest members."""
-    while a.size:
-        a, b = roots(parent, a), roots(parent, b)
-        apart = a != b
-        a, b = a[apart], b[apart]
-        parent[np.maximum(a, b)] = np.minimum(a, b)
+def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Join the trees of ``a[i]`` and ``b[i]`` in ``parent``; roots are the smallest members.
+
+    Returns the positions of the pairs that joined two trees: a spanning forest of the pairs.
+    """
+    left, used = np.arange(a.size), []
+    while left.size:
+        x, y = roots(parent, a[left]), roots(parent, b[left])
+        apart = x != y
+        left, low, high = left[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        high, first = np.unique(high, return_index=True)  # a tree is hung once a turn
+        parent[high] = low[first]
+        used.append(left[first])
+    return np.concatenate(used) if used else left
 
 
 def roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:

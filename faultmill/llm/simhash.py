@@ -5,7 +5,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -27,12 +27,16 @@ def fingerprint(text: bytes, words: int, seed: int) -> int:
     else:
         shingles = map(b" ".join, zip(*[tokens[k:] for k in range(words)], strict=False))
     total = max(1, len(tokens) - words + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, total)
+    return _majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, total))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Each bit that is set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for lo in range(0, total, 1 << 14):
+    for lo in range(0, hashes.size, 1 << 14):
         rows = hashes[lo:lo + (1 << 14)].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > hashes.size, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(df: DataFrame, text: str = "text", made: str = "fingerprint", words: int = 3,
@@ -52,8 +56,8 @@ def fingerprints(df: DataFrame, text: str = "text", made: str = "fingerprint", w
     return in_batches(df, run, widened(df, f"`{made}` long"))
 
 
-def trie_links(values: np.ndarray, groups: np.ndarray, depth: int, budget: int) -> np.ndarray:
-    """For each value the position of the smallest one its links lead to, within its group.
+def trie_links(values: np.ndarray, groups: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions i, j) that join all values of a group which are linked somehow.
 
     ``values`` are sorted by (group, value); ``depth`` leading bits are equal inside a group.  The
     values of a group form a binary trie, a node being a stretch of the array.  Pairs of nodes go
@@ -61,7 +65,7 @@ def trie_links(values: np.ndarray, groups: np.ndarray, depth: int, budget: int)
     values already hang together are left out, so dense groups cost no square of work.
     """
     n = values.size
-    parent = np.arange(n)
+    parent, left, right = np.arange(n), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     ones: dict[int, np.ndarray] = {}
 
     def split(lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -78,7 +82,9 @@ def trie_links(values: np.ndarray, groups: np.ndarray, depth: int, budget: int)
     while stack:
         bit, alo, ahi, blo, bhi, cost = stack.pop()
         if bit == 64:
-            unite(parent, alo.astype(np.int64), blo.astype(np.int64))
+            used = unite(parent, alo.astype(np.int64), blo.astype(np.int64))
+            left.append(alo[used].astype(np.int64))
+            right.append(blo[used].astype(np.int64))
             continue
         if bit > 40 and alo.size:
             top = roots(parent, np.arange(n))
@@ -91,19 +97,19 @@ def trie_links(values: np.ndarray, groups: np.ndarray, depth: int, budget: int)
         amid, bmid = split(alo, ahi, bit), split(blo, bhi, bit)
         same = alo == blo
         parts = []
-        for left, right, price in ((0, 0, 0), (1, 1, 0), (0, 1, 1), (1, 0, 1)):
-            x0, x1 = (alo, amid) if left == 0 else (amid, ahi)
-            y0, y1 = (blo, bmid) if right == 0 else (bmid, bhi)
+        for x, y, price in ((0, 0, 0), (1, 1, 0), (0, 1, 1), (1, 0, 1)):
+            x0, x1 = (alo, amid) if x == 0 else (amid, ahi)
+            y0, y1 = (blo, bmid) if y == 0 else (bmid, bhi)
             keep = (x1 > x0) & (y1 > y0) & (cost + price <= budget)
-            if left == right:
+            if x == y:
                 keep &= ~(same & (x1 - x0 == 1))
-            elif left == 1:
+            elif x == 1:
                 keep &= ~same
             parts.append((x0[keep], x1[keep], y0[keep], y1[keep], (cost + price)[keep].astype(np.int8)))
         joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
         for k in range(0, joined[0].size, WAVE):
             stack.append((bit + 1, *(x[k:k + WAVE] for x in joined)))
-    return roots(parent, np.arange(n))
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -112,8 +118,8 @@ def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _turned(word, fixed: int, offset: int, width: int):
-    """``word`` with ``width`` bits from ``offset`` beyond the first ``fixed`` ones moved up behind them."""
+def _turned(word: Column, fixed: int, offset: int) -> Column:
+    """``word`` with its bits behind the first ``fixed`` ones rotated left by ``offset``."""
     free = 64 - fixed
     tail = F.lit((1 << free) - 1 if free < 64 else -1)
     low = word.bitwiseAND(tail)
@@ -124,23 +130,25 @@ def _turned(word, fixed: int, offset: int, width: int):
 
 
 def linked(distinct: DataFrame, budget: int = 3, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Links (a, b) that join all fingerprints (column ``fp``, distinct) at ``budget`` or fewer bits.
+    """Links (space, a, b) that join all fingerprints of a space at ``budget`` or fewer bits.
+
+    ``distinct`` holds different (space int, fp long); spaces are separate kinds of fingerprints.
 
     Of ``budget + 1`` blocks of bits two such fingerprints have one equal.  So each fingerprint is
     keyed once per block, the block turned to the front: there the trie pairs equal nodes only, and
     the join of the remaining levels runs per key.  Keys that hold more than ``limit`` fingerprints
     are keyed again by blocks of their remaining bits, until they are small or no bits are left to
-    divide: all links stay.  A task returns for each fingerprint the smallest it leads to, not all
-    pairs.
+    divide: all components stay.  A task returns a spanning forest of its links, not all pairs.
     """
-    rows = distinct.select("fp", F.lit(0).cast("long").alias("path"), F.col("fp").alias("word"))
+    rows = distinct.select("space", "fp", F.col("space").cast("long").alias("path"), F.col("fp").alias("word"))
+    turns = budget + 1
     ready, level, depth = [], 0, 0
     while True:
-        spread = F.array(*[F.struct((F.col("path") * (budget + 2) + k + 1).alias("path"),
-                                    _turned(F.col("word"), depth, offset, size).alias("word"))
-                           for k, (offset, size) in enumerate(_blocks(64 - depth, budget + 1))])
-        rows = rows.select("fp", F.explode(spread).alias("t")).select("fp", "t.path", "t.word")
-        depth += (64 - depth) // (budget + 1)  # a block has as many equal bits, or one more
+        spread = F.array(*[F.struct((F.col("path") * turns + k).alias("path"),
+                                    _turned(F.col("word"), depth, offset).alias("word"))
+                           for k, (offset, _) in enumerate(_blocks(64 - depth, turns))])
+        rows = rows.select("space", "fp", F.explode(spread).alias("t")).select("space", "fp", "t.path", "t.word")
+        depth += (64 - depth) // turns  # a block has as many equal bits, or one more
         rows = rows.withColumn("head", F.shiftrightunsigned("word", 64 - depth))
         level += 1
         if 64 - depth <= 4 * budget:
@@ -153,26 +161,26 @@ def linked(distinct: DataFrame, budget: int = 3, limit: int = GROUP_LIMIT) -> Da
             ready.append((depth, rows))
             break
         ready.append((depth, rows.join(hot, ["path", "head"], "left_anti")))
-        rows = rows.join(hot, ["path", "head"], "left_semi").select("fp", "path", "word")
+        rows = rows.join(hot, ["path", "head"], "left_semi").select("space", "fp", "path", "word")
     made = None
     for depth, keyed in ready:
-        links = in_batches(keyed.select("fp", "path", "head", "word").repartition("path", "head"),
-                           _joiner(depth, budget), "a long, b long")
+        links = in_batches(keyed.select("space", "fp", "path", "head", "word").repartition("path", "head"),
+                           _joiner(depth, budget), "space int, a long, b long")
         made = links if made is None else made.union(links)
     return made
 
 
 def _joiner(depth: int, budget: int):
     def run(batches: Batches) -> Batches:
-        got = [[column(batch, c).to_numpy(zero_copy_only=False) for c in ("fp", "path", "head", "word")]
+        got = [[column(batch, c).to_numpy(zero_copy_only=False) for c in ("space", "fp", "path", "head", "word")]
                for batch in batches]
         if not got:
             return
-        fp, path, head, word = (np.concatenate(x) for x in zip(*got, strict=True))
+        space, fp, path, head, word = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
         word = word.view(np.uint64)
         order = np.lexsort((word, head, path))
-        fp, path, head, word = fp[order], path[order], head[order], word[order]
+        space, fp, path, head, word = (x[order] for x in (space, fp, path, head, word))
         fresh = np.r_[True, (path[1:] != path[:-1]) | (head[1:] != head[:-1])]
         group = np.cumsum(fresh)
         starts = np.flatnonzero(fresh)
@@ -180,10 +188,9 @@ def _joiner(depth: int, budget: int):
         while lo < fp.size:  # some groups at a time
             k = np.searchsorted(starts, lo + 50 * GROUP_LIMIT)
             hi = int(starts[k]) if k < starts.size else fp.size
-            top = trie_links(word[lo:hi], group[lo:hi], depth, budget)
-            moved = np.flatnonzero(top != np.arange(hi - lo))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fp[lo:hi][moved]), pa.array(fp[lo:hi][top[moved]])], ["a", "b"])
+            i, j = trie_links(word[lo:hi], group[lo:hi], depth, budget)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(space[lo:hi][i]), pa.array(fp[lo:hi][i]), pa.array(fp[lo:hi][j])], ["space", "a", "b"])
             lo = hi
 
     return run
@@ -196,7 +203,7 @@ def classes(prints: DataFrame, budget: int = 3) -> DataFrame:
     those documents have null ids.
     """
     lows = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "lows")
-    parts = components(linked(lows.select("fp"), budget))
+    parts = components(linked(lows.select(F.lit(0).alias("space"), "fp"), budget))
     named = lows.join(parts, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("root"))
     named = materialize(named, "named")
@@ -216,3 +223,120 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = fingerprints(rows, "__text", "fp", words, seed).select("doc_id", "fp")
     prints = materialize(prints, "fingerprints")
     return prints.join(classes(prints, budget), "fp").select("doc_id", "fp", "component_id")
+
+
+#: Seeds of the fingerprints over single words, shingle length and sketch size of ``near_copies``.
+WORD_SEEDS = (42, 43)
+SHINGLE, SKETCH = 5, 128
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    """The smallest ``SKETCH`` different hashes of shingles of ``SHINGLE`` words."""
+    n = max(1, hashes.size - SHINGLE + 1)
+    mixed = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, hashes.size)):
+        mixed = (mixed + hashes[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    small = (mixed >> np.uint64(32)).astype(np.uint32)
+    if small.size > 4 * SKETCH:
+        # repeats only shrink the set: enlarge the cut until it holds enough different ones
+        cut = 2 * SKETCH
+        while True:
+            least = np.unique(np.partition(small, min(cut, small.size - 1))[:cut])
+            if least.size >= SKETCH or cut >= small.size:
+                return least[:SKETCH].astype("<u4").tobytes()
+            cut *= 4
+    return np.unique(small)[:SKETCH].astype("<u4").tobytes()
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common shingles, from two sketches; exact for texts of at most ``SKETCH`` shingles."""
+    both, counts = np.unique(np.concatenate([a, b]), return_counts=True)
+    counts = counts[:SKETCH] if max(a.size, b.size) >= SKETCH else counts
+    return float((counts == 2).mean()) if both.size else 1.0
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, key, f0, f1, ..., sketch) per row; ``key`` hashes the text."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn(
+        "key", F.xxhash64("t"))
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            spaces: list[list[int]] = [[] for _ in range(1 + len(WORD_SEEDS))]
+            sketches = []
+            for raw in column(batch, "t").cast(pa.binary()).to_pylist():
+                words = raw.lower().split()
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                spaces[0].append(fingerprint(raw, 3, 42))
+                for k, seed in enumerate(WORD_SEEDS):
+                    mixed = (hashes ^ np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93 + 2 * seed)
+                    mixed ^= mixed >> np.uint64(32)
+                    spaces[1 + k].append(_majority(mixed * np.uint64(0xD6E8FEB86659FD93)))
+                sketches.append(_sketch(hashes) if words else b"")
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), column(batch, "key"),
+                 *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in spaces], pa.array(sketches, pa.binary())],
+                ["doc_id", "key", *[f"f{k}" for k in range(len(spaces))], "sketch"])
+
+    made = ", ".join(f"f{k} long" for k in range(1 + len(WORD_SEEDS)))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return in_batches(rows, run, f"doc_id {kind}, key long, {made}, sketch binary")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, budget: int = 3, doc_id: str = "doc_id",
+                text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one of the smallest id.
+
+    Texts are near copies if they share ``similarity`` of their shingles of five words.  Candidates
+    are texts whose fingerprints link at ``budget`` bits: over three words, and over single words
+    with two seeds, which few edits leave close.  Beside the links themselves each text is compared
+    with the text of the smallest id that its links lead to.  A candidate counts if the sketches
+    say so; groups are the components of what counts.
+
+    Equal texts are one node, whatever their number.  Null texts equal empty ones.  Null ids come
+    last; rows equal in id and text are one.  The result has the columns of ``docs``.
+    """
+    prints = materialize(_texts(docs, doc_id, text), "prints")
+    spaces = [f"f{k}" for k in range(1 + len(WORD_SEEDS))]
+    texts = materialize(prints.groupBy("key").agg(
+        F.min("doc_id").alias("low"), *[F.any_value(f).alias(f) for f in (*spaces, "sketch")]), "texts")
+    order = F.struct(F.col("low").isNull(), "low", "key")
+    laid = texts.select("key", "low", F.posexplode(F.array(*spaces)).alias("space", "fp"))
+    fps = materialize(laid.groupBy("space", "fp").agg(F.min_by("key", order).alias("rep")), "reps")
+    links = materialize(linked(fps.select("space", "fp"), budget), "print_links")
+
+    def rep(fp: str, name: str) -> DataFrame:
+        return fps.select("space", F.col("fp").alias(fp), F.col("rep").alias(name))
+
+    apart = links.join(rep("a", "x"), ["space", "a"]).join(rep("b", "y"), ["space", "b"]).select("x", "y")
+    equal = laid.join(fps, ["space", "fp"]).select(F.col("key").alias("x"), F.col("rep").alias("y"))
+    pairs = apart.union(equal).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = materialize(pairs.distinct(), "candidates")
+    led = materialize(components(pairs, "x", "y"), "candidate_groups")
+    led = materialize(led.join(texts.select("key", "low"), F.col("node") == F.col("key"))
+                      .select("key", "low", "component"), "candidate_nodes")
+    leaders = materialize(led.groupBy("component").agg(F.min_by("key", order).alias("leader")), "leaders")
+    stars = led.join(leaders, "component").where("key <> leader").select(
+        F.least("key", "leader").alias("x"), F.greatest("key", "leader").alias("y"))
+    pairs = materialize(pairs.union(stars).distinct(), "compared")
+    sketches = texts.select("key", "sketch")
+    pairs = pairs.join(sketches.toDF("x", "p"), "x").join(sketches.toDF("y", "q"), "y").select("x", "y", "p", "q")
+
+    def hold(batches: Batches) -> Batches:
+        for batch in batches:
+            p, q = (column(batch, c).to_pylist() for c in ("p", "q"))
+            good = [resemblance(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) >= similarity
+                    for a, b in zip(p, q, strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+    groups = components(materialize(in_batches(pairs, hold, "x long, y long"), "near"), "x", "y")
+    named = materialize(texts.select("key", "low").join(groups, F.col("key") == F.col("node"), "left").select(
+        "key", "low", F.coalesce("component", "key").alias("group")), "grouped")
+    kept = materialize(named.groupBy("group").agg(F.min_by(F.struct("key", "low"), order).alias("k")).select(
+        F.col("k.key").alias("__key"), F.col("k.low").alias("__low")), "kept")
+    rows = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    # the hash side holds two numbers a row; texts are shuffled once
+    found = rows.join(kept.hint("shuffle_hash"), (rows["__key"] == kept["__key"]) & rows[doc_id].eqNullSafe(
+        kept["__low"]), "left_semi")
+    return found.dropDuplicates([doc_id, "__key"]).drop("__key")
