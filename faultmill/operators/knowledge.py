@@ -7,8 +7,10 @@ fix, category, source, created_at.  ``(created_at, kb_id)`` is the insertion ord
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import short_id
@@ -41,6 +43,13 @@ def seed(existing: DataFrame) -> DataFrame:
         present, "source", "left_anti")
 
 
+def _compiled(pattern: str | None) -> re.Pattern | None:
+    try:
+        return re.compile(pattern or "", re.I | re.S)
+    except re.error:
+        return None
+
+
 def with_pattern_check(kb: DataFrame) -> DataFrame:
     """Adds ``is_valid``: whether a pattern compiles.  Literal rows always are.
 
@@ -49,15 +58,8 @@ def with_pattern_check(kb: DataFrame) -> DataFrame:
     """
     @F.pandas_udf("boolean")
     def compiles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def ok(pattern: str) -> bool:
-            try:
-                re.compile(pattern or "", re.I | re.S)
-            except re.error:
-                return False
-            return True
-
         for batch in batches:
-            known = {p: ok(p) for p in batch.unique()}
+            known = {p: _compiled(p) is not None for p in batch.unique()}
             yield batch.map(known)
 
     return kb.withColumn("is_valid", F.col("is_literal") | compiles(F.col("pattern")))
@@ -99,99 +101,116 @@ def learn(judged: DataFrame, incidents: DataFrame, pipelines: DataFrame) -> Data
 
 # --- matching ------------------------------------------------------------------------------------
 
-_TOKENS = r"[a-z0-9_]+"
-_BOUNDED_TOKENS = r"(?<=[^a-z0-9_])[a-z0-9_]+(?=[^a-z0-9_])"
-PIECE_CHARS = 2_000
-# a literal has at most 300 characters; lowering can lengthen a character
-OVERLAP_CHARS = 2 * fv.LEARNED_PATTERN_CHARS
-SALTS = 16
+#: Distinct literals searched in one pass over the logs: the bound of what a pass carries.
+LITERALS_AT_ONCE = 20_000
 
+_HIT = "log_id string, workspace_id string, platform string, at timestamp, literal_key long"
 
-def _longest(tokens: Column) -> Column:
-    return F.aggregate(
-        tokens, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
 
+def _occurring(logs: DataFrame, wanted: list[tuple[str, str, int]]) -> DataFrame:
+    """One row per log and wanted literal (workspace, text, key) of its workspace that it contains.
 
-def _pieces(text: Column) -> Column:
-    """Cut a text so that every run of at most 600 characters lies whole in some piece."""
-    chunks = F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % PIECE_CHARS), F.lit(0))
-    following = F.concat(F.slice(chunks, F.lit(2), F.greatest(F.size(chunks), F.lit(1))),
-                         F.array(F.lit("")))
-    return F.zip_with(chunks, following, lambda here, after: F.concat(
-        here, F.substring(F.coalesce(after, F.lit("")), 1, OVERLAP_CHARS)))
-
-
-def _occurrences(piece: Column, anchor: Column, offset: Column, size: Column) -> Column:
-    """The texts of the wanted size around every place of the anchor token in the piece."""
-    parts = F.split(piece, F.concat(
-        F.lit("(?<![a-z0-9_])"), anchor, F.lit("(?![a-z0-9_])")), -1)
-    by_anchor = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: F.length(F.call_function(
-            "array_join", F.slice(parts, F.lit(1), i), anchor)) - offset)
-    # without an anchor every position is tried
-    anywhere = F.sequence(F.lit(0), F.length(piece) - size)
-    starts = F.when(anchor != "", F.when(F.size(parts) > 1, by_anchor)).otherwise(
-        F.when(F.length(piece) >= size, anywhere))
-    inside = F.filter(starts, lambda s: (s >= 0) & (s + size <= F.length(piece)))
-    return F.array_distinct(F.transform(inside, lambda s: F.substring(piece, s + 1, size)))
+    One automaton finds all literals in one pass over a text, however many there are and however
+    short, so no text leaves the task that read it.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for workspace, literal, key in wanted:
+            automaton.get(literal, None) or automaton.add_word(literal, {})
+            automaton.get(literal)[workspace] = key
+        automaton.make_automaton()
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            workspaces = batch.column("workspace_id").to_pylist()
+            rows, keys = [], []
+            for row, (workspace, text) in enumerate(zip(
+                    workspaces, batch.column("folded").to_pylist(), strict=True)):
+                found = {by[workspace] for _, by in automaton.iter(text or "") if workspace in by}
+                rows.extend([row] * len(found))
+                keys.extend(sorted(found))
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(name).take(taken) for name in names] + [pa.array(keys, pa.int64())],
+                [*names, "literal_key"])
+
+    folded = logs.select("log_id", "workspace_id", "platform", "at", F.lower("log").alias("folded"))
+    return folded.mapInArrow(run, _HIT)
 
 
 def match_learned(logs: DataFrame, kb: DataFrame) -> DataFrame:
     """Learned literals of the log's workspace that occur in the log, ignoring case.
 
-    ``logs``: log_id, workspace_id, platform, at, log.  Gives log_id, kb_id, score.  Exact for any
-    number of logs and rows, with equality joins only: every literal is looked up by its longest
-    inner token (the anchor), which a log containing the literal holds as a token too.  What a log
-    shows around that token, cut to the few (offset, length) shapes the anchor's literals have, is
-    then joined with the literals themselves.  Both joins are salted, since one token or literal
-    may occur in most logs.
+    ``logs``: log_id, workspace_id, platform, at, log.  Gives log_id, kb_id, score, created_at for
+    every row of the table that matches.  Distinct literals are searched in blocks, each in one
+    pass over the logs; only ids of hits are shuffled, and rows with equal literals are looked up
+    from them.  ``kb`` is read several times: pass a stored table.
     """
     usable = kb.filter(
         F.col("is_literal") & F.col("workspace_id").isNotNull()
         & (F.coalesce(F.col("pattern"), F.lit("")) != "")
-    ).withColumn("literal", F.lower("pattern"))
-    # only the five oldest of equal rows can ever be among a log's five hits: they share score and
-    # visibility order
-    same = Window.partitionBy("workspace_id", "literal", "platform").orderBy("created_at", "kb_id")
-    rows = (
-        usable.withColumn("__rank", F.row_number().over(same))
-        .filter(F.col("__rank") <= fv.KB_HITS)
-        .select("workspace_id", "literal", F.col("platform").alias("kb_platform"), "kb_id",
-                "created_at")
-    )
-    literals = rows.select("workspace_id", "literal").distinct().withColumn(
-        "anchor", _longest(F.regexp_extract_all("literal", F.lit(_BOUNDED_TOKENS), F.lit(0))))
-    bounded = F.concat(F.lit("(?<=[^a-z0-9_])"), F.col("anchor"), F.lit("(?=[^a-z0-9_])"))
-    literals = literals.withColumns({
-        "offset": F.when(F.col("anchor") == "", 0).otherwise(
-            F.length(F.element_at(F.split("literal", bounded, 2), 1))),
-        "size": F.length("literal")})
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    shapes = literals.select("workspace_id", "anchor", "offset", "size").distinct().select(
-        "*", salts)
-
-    salt = F.pmod(F.xxhash64("log_id", "piece_no"), F.lit(SALTS)).cast("int").alias("salt")
-    pieces = logs.select(
-        "log_id", "workspace_id", F.posexplode(_pieces(F.lower("log"))).alias("piece_no", "piece"))
-    tokens = pieces.select("log_id", "workspace_id", "piece_no", salt, F.explode(F.array_append(
-        F.array_distinct(F.regexp_extract_all("piece", F.lit(_TOKENS), F.lit(0))), F.lit("")
-    )).alias("anchor"))
-    placed = tokens.join(shapes, ["workspace_id", "anchor", "salt"]).join(
-        pieces, ["log_id", "workspace_id", "piece_no"])
-    shown = placed.select("log_id", "workspace_id", "salt", F.explode(_occurrences(
-        F.col("piece"), F.col("anchor"), F.col("offset"), F.col("size"))).alias("literal")
-    ).distinct()
-    hits = shown.join(rows.select("*", salts), ["workspace_id", "literal", "salt"])
+    ).withColumn("literal", F.lower("pattern")).withColumn(
+        "literal_key", F.xxhash64("workspace_id", "literal"))
+    literals = usable.select("workspace_id", "literal", "literal_key").distinct()
+    blocks = -(-literals.count() // LITERALS_AT_ONCE)
+    hits = logs.sparkSession.createDataFrame([], _HIT)
+    for number in range(blocks):
+        block = literals.filter(F.pmod("literal_key", F.lit(blocks)) == number).collect()
+        found = _occurring(logs, [tuple(row) for row in block])
+        hits = found if number == 0 else hits.unionByName(found)
     score = F.lit(2) + F.when(F.col("kb_platform") == F.col("platform"), 1).otherwise(0)
     return (
-        hits.select("log_id", "kb_id", "kb_platform", "created_at").distinct()
-        .join(logs.select("log_id", "platform", "at"), "log_id")
+        hits.join(usable.select("workspace_id", "literal_key", "kb_id", "created_at",
+                                F.col("platform").alias("kb_platform")),
+                  ["workspace_id", "literal_key"])
         .filter(F.col("created_at") <= F.col("at"))
         .select("log_id", "kb_id", score.alias("score"), "created_at")
     )
 
 
+def match_patterns(logs: DataFrame, kb: DataFrame) -> DataFrame:
+    """Pattern rows of the table (global, or of the log's workspace) found in the log.
+
+    Patterns are data: they are compiled once per task, ones that do not compile match nothing.
+    A pattern table is written by people and searched in blocks like literals.
+    """
+    usable = kb.filter(~F.col("is_literal") & (F.coalesce(F.col("pattern"), F.lit("")) != "")).select(
+        "kb_id", "workspace_id", "platform", "pattern", "created_at", F.xxhash64("kb_id").alias("literal_key"))
+    blocks = -(-usable.count() // LITERALS_AT_ONCE)
+    hits = logs.sparkSession.createDataFrame([], _HIT)
+    for number in range(blocks):
+        rows = usable.filter(F.pmod("literal_key", F.lit(blocks)) == number).select(
+            "workspace_id", "pattern", "literal_key").collect()
+        found = _searched(logs, [tuple(row) for row in rows])
+        hits = found if number == 0 else hits.unionByName(found)
+    score = F.when(F.col("workspace_id").isNotNull(), 2).otherwise(0) + F.when(
+        F.col("kb_platform") == F.col("platform"), 1).otherwise(0)
+    return (
+        hits.drop("workspace_id").join(usable.select("literal_key", "workspace_id", "kb_id", "created_at",
+                                                     F.col("platform").alias("kb_platform")), "literal_key")
+        .filter(F.col("created_at") <= F.col("at"))
+        .select("log_id", "kb_id", score.alias("score"), "created_at")
+    )
+
+
+def _searched(logs: DataFrame, wanted: list[tuple[str | None, str, int]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(w, p, key) for w, pattern, key in wanted if (p := _compiled(pattern))]
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            rows, keys = [], []
+            for row, (workspace, text) in enumerate(zip(
+                    batch.column("workspace_id").to_pylist(), batch.column("log").to_pylist(), strict=True)):
+                found = [key for w, p, key in compiled if (w is None or w == workspace) and p.search(text or "")]
+                rows.extend([row] * len(found))
+                keys.extend(found)
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(name).take(taken) for name in names] + [pa.array(keys, pa.int64())],
+                [*names, "literal_key"])
+
+    return logs.select("log_id", "workspace_id", "platform", "at", "log").mapInArrow(run, _HIT)
+
+
 def match_curated(logs: DataFrame, hits: str = "curated") -> DataFrame:
     """Curated rows from the hit ids found next to the log: platform scores, never filters."""
     table = F.broadcast(curated_rows(logs.sparkSession).select(  # 13 rows by construction
@@ -228,10 +247,11 @@ def search(logs: DataFrame, kb: DataFrame) -> DataFrame:
 
 def hit_texts(hits: DataFrame, kb: DataFrame) -> DataFrame:
     """Per log its hits with their texts, in rank order (at most five)."""
-    spark = hits.sparkSession
-    texts = curated_rows(spark).drop("curated_id").unionByName(
-        kb.filter(F.col("source") == "learned").select(*[c.split()[0] for c in
-                                                         KB_SCHEMA.split(", ")]))
-    detailed = hits.join(texts.select("kb_id", "platform", "title", "cause", "fix"), "kb_id")
+    columns = ["kb_id", "platform", "title", "cause", "fix"]
+    curated = F.broadcast(curated_rows(hits.sparkSession).select(*columns))  # 13 rows
+    learned = kb.filter(F.col("source") == "learned").select(*columns)
+    # the 13 rows that most logs hit never meet in one task; learned rows are joined by their id
+    detailed = hits.join(curated, "kb_id").unionByName(
+        hits.filter(~F.col("kb_id").startswith("curated-")).join(learned, "kb_id"))
     return detailed.groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct(
         "hit_rank", "platform", "title", "cause", "fix"))).alias("kb_hits"))

@@ -50,27 +50,27 @@ def test_learned_literals_equal_brute_force(spark):
     want = brute_force(logs, rows)
     got = {(r.log_id, r.kb_id, r.score) for r in knowledge.match_learned(
         spark.createDataFrame(logs, LOGS), kb_rows(spark, rows)).collect()}
-    assert got <= want and want
-    # rows beyond the five oldest of equal ones are left out, the five best are not
-    days = {r[0]: r[4] for r in rows}
-
-    def best(pairs):
-        ranked = {}
-        for log_id, kb, score in pairs:
-            ranked.setdefault(log_id, []).append((-score, days[kb], kb))
-        return {k: sorted(v)[:5] for k, v in ranked.items()}
-
-    assert best(got) == best(want)
-
-
-def test_literal_across_a_piece_border(spark):
-    size = knowledge.PIECE_CHARS
-    literal = "needle in the hay " + "stack " * 45
-    logs = [(f"l{i}", "w", "dbt", T0, "y" * (size - i) + literal + "z" * 5000)
-            for i in (0, 1, 7, 150, len(literal) - 1, len(literal))]
-    kb = kb_rows(spark, [("k", "w", "dbt", literal, 0)])
-    got = knowledge.match_learned(spark.createDataFrame(logs, LOGS), kb)
-    assert got.count() == len(logs)
+    assert got == want and want
+
+
+def test_literals_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knowledge, "LITERALS_AT_ONCE", 3)
+    logs = [("a", "w", "dbt", T0 + timedelta(days=5), "one two three FOUR five"), ("b", "w", "dbt", T0, None)]
+    rows = [(f"k{i}", "w", "dbt", word, 0) for i, word in enumerate(
+        ["one", "Two", "four", "f", "seven", "e f", "one", "three four five six", "E"])]
+    got = knowledge.match_learned(spark.createDataFrame(logs, LOGS), kb_rows(spark, rows))
+    assert sorted(r.kb_id for r in got.collect()) == ["k0", "k1", "k2", "k3", "k5", "k6", "k8"]
+
+
+def test_pattern_rows_of_the_table(spark):
+    logs = spark.createDataFrame([("a", "w1", "dbt", T0, "Disk 12 is full"), ("b", "w2", "dbt", T0, "disk x"),
+                                  ("c", None, "dbt", T0, "DISK 7")], LOGS)
+    rows = [("any", None, "dbt", r"disk \d+", False), ("own", "w1", "spark", "full$", False),
+            ("bad", None, "dbt", "(disk", False), ("other", "w2", "dbt", "full", False)]
+    kb = spark.createDataFrame([(i, w, p, pat, lit, "t", "c", "f", "transient", "team", T0)
+                                for i, w, p, pat, lit in rows], knowledge.KB_SCHEMA)
+    got = {(r.log_id, r.kb_id, r.score) for r in knowledge.match_patterns(logs, kb).collect()}
+    assert got == {("a", "any", 1), ("a", "own", 2), ("c", "any", 1)}
 
 
 def test_scope_and_visibility(spark):
