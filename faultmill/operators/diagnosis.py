@@ -209,11 +209,11 @@ def as_table(diagnoses: DataFrame) -> DataFrame:
         "incident_id", "created_at", *FIELDS, F.lit(None).cast("long").alias("latency_ms"))
 
 
-def latest(diagnoses: DataFrame) -> DataFrame:
-    """The newest diagnosis of every incident."""
+def latest(diagnoses: DataFrame, *fields: str) -> DataFrame:
+    """The newest diagnosis of every incident, with the named fields of it only (default: all)."""
     order = F.struct("created_at", "diagnosis_id")
-    return diagnoses.groupBy("incident_id").agg(
-        F.max_by(F.struct("diagnosis_id", "created_at", *FIELDS), order).alias("diagnosis"))
+    return diagnoses.groupBy("incident_id").agg(F.max_by(
+        F.struct(*(fields or ("diagnosis_id", "created_at", *FIELDS))), order).alias("diagnosis"))
 
 
 def title(pipeline_name: Column, task_name: Column, summary: Column) -> Column:

@@ -32,15 +32,23 @@ def evidence(log: Column, rule_id: Column) -> Column:
 SIGNALS = ("template", "rule_id", "curated", "evidence")
 
 
-def with_signals(df: DataFrame, log: str) -> DataFrame:
+def with_signals(df: DataFrame, log: str, wanted: tuple[str, ...] = SIGNALS) -> DataFrame:
     """Adds what later steps need to know of the redacted ``log``: its signature template, the
-    triage rule, curated knowledge hits and evidence quotes."""
+    triage rule, curated knowledge hits and evidence quotes (which need the rule).
+
+    Only the ``wanted`` ones are computed: none can be pruned later, see ``once``.
+    """
     text, fold = F.col(log), F.col("__folded")
-    found = once(once(df, {"__folded": tx.folded(text)}), {
-        "template": tx.error_template(text),
-        "rule_id": tx.triage_rule(text, fold),
-        "curated": tx.curated_hits(text, fold)})
-    return once(found.drop("__folded"), {"evidence": evidence(text, F.col("rule_id"))})
+    made = {
+        "template": lambda: tx.error_template(text),
+        "rule_id": lambda: tx.triage_rule(text, fold),
+        "curated": lambda: tx.curated_hits(text, fold)}
+    if set(wanted) - {"template"}:
+        df = once(df, {"__folded": tx.folded(text)})
+    found = once(df, {name: make() for name, make in made.items() if name in wanted}).drop("__folded")
+    if "evidence" in wanted:
+        found = once(found, {"evidence": evidence(text, F.col("rule_id"))})
+    return found
 
 
 def failing_logs(tasks: DataFrame) -> DataFrame:
@@ -97,15 +105,16 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def from_tasks(runs: DataFrame, tasks: DataFrame, run_key: str, position: Column,
-               keep_log: bool = False) -> DataFrame:
+               keep_log: bool = False, wanted: tuple[str, ...] = SIGNALS) -> DataFrame:
     """Failure records from run and task tables.
 
-    The logs are reduced to their signals before tasks meet runs.  With ``keep_log`` the redacted
-    log of the chosen task goes along, for readers that search or quote it.
+    The logs are reduced to the ``wanted`` signals (the template is always one) before tasks meet
+    runs.  With ``keep_log`` the redacted log of the chosen task goes along, for readers that
+    search or quote it.
     """
     redacted = tx.with_redaction(failing_logs(tasks), "log", "__clean", "redaction_count")
-    signed = with_signals(redacted.drop("log").withColumnRenamed("__clean", "log"), "log")
-    carried = ["name", "node_type", *SIGNALS]
+    signed = with_signals(redacted.drop("log").withColumnRenamed("__clean", "log"), "log", wanted)
+    carried = ["name", "node_type", *wanted]
     chosen = root_task(signed, run_key, position, *carried, *(["log"] if keep_log else []))
 
     root = F.col("root")
@@ -113,10 +122,10 @@ def from_tasks(runs: DataFrame, tasks: DataFrame, run_key: str, position: Column
     # null for every run that has a log, so that the text work below falls on the others only
     joined = runs.filter(F.col("status") == "failed").join(chosen, run_key, "left").withColumn(
         "__stand_in", F.when(root.isNull(), stand_in))
-    joined = with_signals(joined, "__stand_in").withColumns({
+    joined = with_signals(joined, "__stand_in", wanted).withColumns({
         "task_name": root["name"],
         "node_type": F.coalesce(root["node_type"], F.lit("")),
-        **{c: F.when(root.isNull(), F.col(c)).otherwise(root[c]) for c in SIGNALS}})
+        **{c: F.when(root.isNull(), F.col(c)).otherwise(root[c]) for c in wanted}})
     if keep_log:
         joined = joined.withColumn("log", F.coalesce(root["log"], "__stand_in"))
     return _finish(joined.drop("root", "__stand_in"))

@@ -31,7 +31,8 @@ def timeline(failures: DataFrame, status_events: DataFrame) -> DataFrame:
 
 
 def islands(events: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
-    """Adds ``incident_seq``: which incident of its signature a row belongs to, from 1.
+    """Adds ``incident_seq``, which incident of its signature a row belongs to, from 1, and
+    ``opening``, whether the row opened it.
 
     A failure opens an incident when it is the first of its signature or when the row before it
     closed the incident; every other row belongs to the newest one.  Status rows before the first
@@ -79,6 +80,8 @@ def islands(events: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
         .withColumn("incident_seq", (
             F.col("__base") + F.col("__inner")
             + F.when(F.col("__failures") > 0, F.col("__opens")).otherwise(0)).cast("long"))
+        .withColumn("opening", failure & (
+            (F.col("__reopens") == 1) | ((F.col("__failures") == 1) & (F.col("__opens") == 1))))
         .drop("__bucket", "__before", "__reopens", "__failures", "__inner", "__opens", "__base")
     )
 
@@ -112,19 +115,12 @@ def rollup(members: DataFrame) -> DataFrame:
     )
 
 
-def acknowledgements(members: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
+def acknowledgements(members: DataFrame) -> DataFrame:
     """Per failure: its incident and whether it folded into an existing one."""
-    opening = (
-        members.filter(F.col("kind") == "failure").groupBy(*KEYS, "incident_seq")
-        .agg(F.min(F.struct(*ORDER)).alias("opening"))
-    )
-    return (
-        members.filter(F.col("kind") == "failure")
-        .join(opening, [*KEYS, "incident_seq"])
-        .select(*KEYS, "event_id", "run_id", "at",
-                incident_id(F.col("incident_seq")).alias("incident_id"), "incident_seq",
-                (F.struct(*ORDER) != F.col("opening")).alias("deduplicated"))
-    )
+    return members.filter(F.col("kind") == "failure").select(
+        *KEYS, "event_id", "run_id", "at",
+        incident_id(F.col("incident_seq")).alias("incident_id"), "incident_seq",
+        (~F.col("opening")).alias("deduplicated"))
 
 
 def with_recurrence(incidents: DataFrame) -> DataFrame:

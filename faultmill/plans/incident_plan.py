@@ -43,13 +43,18 @@ class IncidentPlan:
     def members(self) -> DataFrame:
         return incidents.islands(self.timeline)
 
+    @cached_property
+    def counted(self) -> DataFrame:
+        """Incidents without title and note: the template is the only signal they need."""
+        return incidents.rollup(self.members)
+
     @cached_property
     def incidents(self) -> DataFrame:
         """Incidents with recurrence note and what their first failure showed, without the log.
 
         Stored: the feed, the diagnoses and the knowledge rows all start from it.
         """
-        found = incidents.with_recurrence(incidents.rollup(self.members))
+        found = incidents.with_recurrence(self.counted)
         first = self.stored.select(
             F.col("event_id").alias("opening_event_id"), "platform", "pipeline_external_id",
             "task_name", "node_type", "rule_id", "evidence", "curated",
@@ -73,7 +78,11 @@ class IncidentPlan:
 
     @cached_property
     def first_findings(self) -> DataFrame:
-        """Rule diagnoses before knowledge hits are added."""
+        """Rule diagnoses before knowledge hits are added: what feedback is given on.
+
+        Rows are learned from these, and learned rows only add fixes behind a rule's own, so the
+        stored ``diagnoses`` differ in nothing that learning reads.
+        """
         return diagnosis.by_rules(self.incidents.withColumn(
             "kb_hits", F.lit(None).cast("array<struct<title string, fix string>>")))
 
@@ -113,19 +122,20 @@ class IncidentPlan:
     @cached_property
     def findings(self) -> DataFrame:
         """Rule diagnoses with the fixes of knowledge hits."""
-        if self.asked is None:
-            spark = self.incidents.sparkSession
-            kb = spark.createDataFrame([], knowledge.KB_SCHEMA)
-        else:
-            kb = self.learned
-        texts = knowledge.hit_texts(self.hits, kb).withColumnRenamed("log_id", "incident_id")
+        if self.asked is None:  # curated rows only: found next to the log, no join
+            return diagnosis.by_rules(self.incidents.withColumn("kb_hits", knowledge.curated_texts(
+                F.col("curated"), F.col("platform"))))
+        texts = knowledge.hit_texts(self.hits, self.learned).withColumnRenamed("log_id", "incident_id")
         return diagnosis.by_rules(self.incidents.join(texts, "incident_id", "left"))
 
     @cached_property
     def diagnoses(self) -> DataFrame:
-        return self._diagnoses(self.findings)
+        """The stored and listed diagnoses: rule findings and fallbacks carry knowledge fixes."""
+        found = self._diagnoses(self.findings)
+        # rule findings alone are a projection of the stored incidents
+        return found if self.answers is None and self.asked is None else materialize(found, "diagnoses")
 
     @cached_property
     def listed(self) -> DataFrame:
         return marts.summaries(
-            self.incidents.drop("platform", "pipeline_name"), self.pipelines, self.first_diagnoses)
+            self.incidents.drop("platform", "pipeline_name"), self.pipelines, self.diagnoses)

@@ -1,11 +1,9 @@
 """Feeds and dashboards over incidents, pipelines and diagnoses."""
 
-from datetime import datetime
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import labels, moments
+from ..functions import labels
 from ..operators.diagnosis import latest
 from ..rules import fixed_values as fv
 
@@ -28,7 +26,7 @@ def summaries(incidents: DataFrame, pipelines: DataFrame, diagnoses: DataFrame)
     diagnosis = F.col("diagnosis")
     return (
         incidents_with_pipeline(incidents, pipelines)
-        .join(latest(diagnoses), "incident_id", "left")
+        .join(latest(diagnoses, "category", "summary", "confidence"), "incident_id", "left")
         .withColumns({
             "category": diagnosis["category"],
             "summary": F.coalesce(diagnosis["summary"], F.lit("")),
@@ -108,7 +106,7 @@ def totals(incidents: DataFrame) -> DataFrame:
 
 def by_category(incidents: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """Incidents per newest category; undiagnosed ones are left out."""
-    newest = latest(diagnoses).select("incident_id", F.col("diagnosis.category").alias("category"))
+    newest = latest(diagnoses, "category").select("incident_id", F.col("diagnosis.category").alias("category"))
     return (
         incidents.select("incident_id").join(newest, "incident_id")
         .groupBy("category").agg(F.count(F.lit(1)).alias("incidents"))
@@ -125,7 +123,7 @@ def by_platform(incidents: DataFrame, pipelines: DataFrame) -> DataFrame:
 
 def average_confidence(diagnoses: DataFrame) -> DataFrame:
     """Mean confidence of the newest diagnoses, three decimals, halves to even; 0 when none."""
-    return latest(diagnoses).agg(F.coalesce(
+    return latest(diagnoses, "confidence").agg(F.coalesce(
         F.bround(F.avg("diagnosis.confidence"), 3), F.lit(0.0)).alias("avg_confidence"))
 
 
@@ -155,13 +153,3 @@ def pipeline_health(pipelines: DataFrame, runs: DataFrame) -> DataFrame:
         .withColumn("failure_rate", labels.failure_rate(F.col("failed_count"), F.col("run_count")))
         .withColumn("failure_band", labels.failure_band(F.col("failure_rate")))
     )
-
-
-def with_display(listed: DataFrame, as_of: datetime | Column) -> DataFrame:
-    """Age, confidence band and percent, and category label of listed incidents."""
-    moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    return listed.withColumns({
-        "age": moments.age_bucket(F.col("last_seen_at"), moment),
-        "confidence_band": labels.confidence_band(F.col("confidence")),
-        "confidence_percent": labels.confidence_percent(F.col("confidence")),
-        "category_label": labels.category_label(F.col("category"))})

@@ -12,14 +12,13 @@ from ..operators import diagnosis, entities, failures, feedback, incidents, know
 from ..plans import marts
 from ..plans.incident_plan import IncidentPlan
 from ..rules import fixed_values as fv
-from ..session import materialize, scratch_path, spread
+from ..session import materialize, scratch_path
 from ..sources import airflow, dbt
 from ..sources import feeds as sources
 from ..streaming import jobs
 from ..streaming.incidents import track
 from . import feeds
 
-AS_OF = "1998-08-02 12:00:00"
 CATEGORY = "schema_drift"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,10 +39,10 @@ def joined(texts: Column, separator: str = "\n") -> Column:
 
 
 def plan(spark: SparkSession, sf_dir: str, answers: bool = False, asked: bool = False,
-         logs: bool = False) -> IncidentPlan:
+         **options) -> IncidentPlan:
     return IncidentPlan(
         events=feeds.runs(spark, sf_dir),
-        failures=feeds.failures(spark, sf_dir, keep_log=answers or asked or logs),
+        failures=feeds.failures(spark, sf_dir, keep_log=answers or asked, **options),
         status_events=feeds.status_events,
         answers=feeds.model_answers if answers else None,
         asked=feeds.feedback if asked else None)
@@ -329,7 +328,7 @@ def _secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("mail ops"), number, F.lit("@example.com now")),
         F.concat(F.lit("blob "), opaque, F.lit(" and "), F.md5(number)),
     ]
-    return spread(feeds.table(spark, sf_dir, "documents")).select(
+    return feeds.dealt(feeds.table(spark, sf_dir, "documents")).select(
         "doc_id", F.concat_ws("\n", "text", *lines).alias("text"))
 
 
@@ -491,7 +490,7 @@ def bulk_status(spark, sf_dir):
 @query
 def incident_dedup(spark, sf_dir):
     """Failed runs with their incident: root task, signature, active incident lookup."""
-    found = plan(spark, sf_dir)
+    found = plan(spark, sf_dir, wanted=("template",))
     acks = incidents.acknowledgements(found.members)
     return acks.select("event_id", "workspace_id", "fingerprint", "incident_id", "deduplicated")
 
@@ -530,7 +529,7 @@ def _diagnosis_rows(rows: DataFrame) -> DataFrame:
 
 @query
 def diagnose_rules(spark, sf_dir):
-    return _diagnosis_rows(plan(spark, sf_dir).first_findings)
+    return _diagnosis_rows(plan(spark, sf_dir, answers=True, asked=True).findings)
 
 
 @query
@@ -543,8 +542,8 @@ def diagnosis_fixes(spark, sf_dir):
 
 @query
 def parse_responses(spark, sf_dir):
-    found = plan(spark, sf_dir, answers=True)
-    return _diagnosis_rows(found.first_diagnoses.filter(F.col("engine") != "rules"))
+    found = plan(spark, sf_dir, answers=True, asked=True)
+    return _diagnosis_rows(found.diagnoses.filter(F.col("engine") != "rules"))
 
 
 @query
@@ -580,7 +579,7 @@ def prompt_table(spark, sf_dir):
 
 @query
 def latest_diagnosis(spark, sf_dir):
-    newest = diagnosis.latest(plan(spark, sf_dir, answers=True).first_diagnoses)
+    newest = diagnosis.latest(plan(spark, sf_dir, answers=True).diagnoses, "diagnosis_id", "engine", "category")
     return newest.select("incident_id", "diagnosis.diagnosis_id", "diagnosis.engine",
                          "diagnosis.category")
 
@@ -589,8 +588,8 @@ def latest_diagnosis(spark, sf_dir):
 def incident_latest_diag(spark, sf_dir):
     """Incidents with their newest diagnosis, also when they have none."""
     found = plan(spark, sf_dir, answers=True)
-    some = found.first_diagnoses.filter(F.col("category") != "permissions")
-    return found.incidents.join(diagnosis.latest(some), "incident_id", "left").select(
+    some = found.diagnoses.filter(F.col("category") != "permissions")
+    return found.incidents.join(diagnosis.latest(some, "category", "summary", "confidence"), "incident_id", "left").select(
         "incident_id", F.col("diagnosis.category").alias("category"),
         F.coalesce(F.col("diagnosis.summary"), F.lit("")).alias("summary"),
         F.round(F.col("diagnosis.confidence"), 9).alias("confidence"))
@@ -598,7 +597,7 @@ def incident_latest_diag(spark, sf_dir):
 
 @query
 def incident_diagnoses(spark, sf_dir):
-    history = marts.diagnosis_history(plan(spark, sf_dir, answers=True).first_diagnoses)
+    history = marts.diagnosis_history(plan(spark, sf_dir, answers=True).diagnoses)
     return history.select("incident_id", F.col("position").cast("long").alias("position"),
                           "diagnosis_id", "engine", day_time(F.col("created_at")).alias("created"))
 
@@ -606,13 +605,12 @@ def incident_diagnoses(spark, sf_dir):
 @query
 def incident_logs(spark, sf_dir):
     """All stored logs of each incident's latest run."""
-    found = plan(spark, sf_dir)
-    lines = tx.with_redaction(feeds.logs(spark, sf_dir), "log", "content", "redactions")
+    found = plan(spark, sf_dir, wanted=("template",))
     runs = feeds.runs(spark, sf_dir).select(
         "run_external_id", entities.short_id(F.col("workspace_id"), F.col("event_id"))
         .alias("run_id"))
-    bundles = lines.join(runs, "run_external_id")
-    return marts.incident_logs(found.incidents, bundles).select(
+    wanted = marts.incident_logs(found.counted, runs.join(feeds.logs(spark, sf_dir), "run_external_id"))
+    return tx.with_redaction(wanted, "log", "content", "redactions").select(
         "incident_id", F.col("name").alias("task"), "content", "redactions")
 
 
@@ -694,7 +692,7 @@ def feed_by_status(spark, sf_dir):
 @query
 def feed_by_category(spark, sf_dir):
     found = plan(spark, sf_dir, answers=True)
-    return marts.with_any_category(found.listed, found.first_diagnoses, CATEGORY).select(
+    return marts.with_any_category(found.listed, found.diagnoses, CATEGORY).select(
         "incident_id", "category", "title")
 
 
@@ -732,13 +730,13 @@ def recent_incidents(spark, sf_dir):
 
 @query
 def dashboard_totals(spark, sf_dir):
-    return marts.totals(plan(spark, sf_dir).incidents)
+    return marts.totals(plan(spark, sf_dir, wanted=("template",)).counted)
 
 
 @query
 def dashboard_by_category(spark, sf_dir):
     found = plan(spark, sf_dir, answers=True)
-    return marts.by_category(found.incidents, found.first_diagnoses)
+    return marts.by_category(found.incidents, found.diagnoses)
 
 
 @query
@@ -749,13 +747,13 @@ def dashboard_by_platform(spark, sf_dir):
 
 @query
 def dashboard_avg_confidence(spark, sf_dir):
-    return marts.average_confidence(plan(spark, sf_dir, answers=True).first_diagnoses)
+    return marts.average_confidence(plan(spark, sf_dir, answers=True).diagnoses)
 
 
 @query
 def dashboard_distribution(spark, sf_dir):
     found = plan(spark, sf_dir, answers=True)
-    counts = marts.by_category(found.incidents, found.first_diagnoses)
+    counts = marts.by_category(found.incidents, found.diagnoses)
     return marts.distribution(counts, "category").select("category", "label", "incidents", "share")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import short_id
 from ..rules import fixed_values as fv
-from ..session import spread, tune
+from ..session import tune
 from ..sources.feeds import NORMALIZERS
 from .texts import AIRFLOW_PAYLOADS, DBT_PAYLOADS, GENERIC_PAYLOADS, TASK_LOGS, spark_choice
 
@@ -18,6 +18,11 @@ LINE_COLUMNS = (
 )
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The driver's tables are one row group each: deal their rows out before texts are derived."""
+    return rows.hint("rebalance")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,7 +74,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spread(table(spark, sf_dir, "lineitem"))
+    lines = dealt(table(spark, sf_dir, "lineitem"))
     log = spark_choice(
         list(TASK_LOGS), F.col("l_partkey") % 24, marks(F.col("l_orderkey"), F.col("l_partkey")))
     status = F.when(F.col("l_returnflag") == "R", "failed").when(
@@ -115,7 +120,7 @@ def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("o_custkey") % 60
     lines = F.when(size > 0, F.transform(F.sequence(F.lit(1).cast("long"), size), line)).otherwise(
         F.array().cast("array<string>"))
-    return spread(table(spark, sf_dir, "orders")).select(
+    return dealt(table(spark, sf_dir, "orders")).select(
         number.alias("log_id"), F.array_join(lines, "\n").alias("log"))
 
 
@@ -123,15 +128,15 @@ def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents around one task log line each."""
     number = F.col("doc_id")
     line = spark_choice(list(TASK_LOGS), number % 24, marks(number, number))
-    return spread(table(spark, sf_dir, "documents")).select(
+    return dealt(table(spark, sf_dir, "documents")).select(
         number.alias("log_id"),
         F.concat(F.col("text"), F.lit("\n"), line, F.lit("\n"), F.col("text")).alias("log"))
 
 
-def failures(spark: SparkSession, sf_dir: str, keep_log: bool = False) -> DataFrame:
+def failures(spark: SparkSession, sf_dir: str, keep_log: bool = False, **options) -> DataFrame:
     from ..operators.failures import from_tasks
     return from_tasks(runs(spark, sf_dir), tasks(spark, sf_dir), "run_external_id", position(),
-                      keep_log)
+                      keep_log, **options)
 
 
 def status_events(failed: DataFrame) -> DataFrame:
@@ -189,15 +194,15 @@ def airflow_feed_from(orders: DataFrame) -> DataFrame:
 
 
 def airflow_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return airflow_feed_from(spread(table(spark, sf_dir, "orders")))
+    return airflow_feed_from(dealt(table(spark, sf_dir, "orders")))
 
 
 def dbt_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _feed(spread(table(spark, sf_dir, "events")), "event_id", "user_id", "ts", DBT_PAYLOADS, "d-")
+    return _feed(dealt(table(spark, sf_dir, "events")), "event_id", "user_id", "ts", DBT_PAYLOADS, "d-")
 
 
 def generic_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _feed(spread(table(spark, sf_dir, "events")), "event_id", "user_id", "ts", GENERIC_PAYLOADS,
+    return _feed(dealt(table(spark, sf_dir, "events")), "event_id", "user_id", "ts", GENERIC_PAYLOADS,
                  "g-")
 
 

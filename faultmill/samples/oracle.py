@@ -345,6 +345,13 @@ def _tables() -> list[tuple[str, str]]:
         ("hits", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY
             score DESC, created_at, kb_id) AS hit_rank FROM all_hits)
             WHERE hit_rank <= {fv.KB_HITS}"""),
+        ("kb_titles", f"""SELECT log_id, list({q(KB_FIX_TITLE_PREFIX)} || title ORDER BY hit_rank)
+            AS titles FROM hits GROUP BY log_id"""),
+        # what is stored: rule findings and fallbacks with the fixes of knowledge hits
+        ("stored_diagnoses", """SELECT d.* REPLACE (CASE WHEN i.rule_id IS NOT NULL AND
+            d.engine <> 'llm' THEN list_concat(d.fix_titles, coalesce(k.titles, [])) ELSE
+            d.fix_titles END AS fix_titles) FROM diagnoses d JOIN incidents i
+            ON i.incident_id = d.incident_id LEFT JOIN kb_titles k ON k.log_id = d.incident_id"""),
         ("listed", """SELECT i.incident_id, i.pipeline_id, i.pipeline_name, i.platform, i.title,
             i.status, i.fingerprint, i.occurrence_count, i.first_seen_at, i.last_seen_at,
             n.category, n.summary, n.confidence FROM incidents i JOIN newest n
@@ -626,8 +633,8 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
         "join_incident_pipeline": """SELECT incident_id, pipeline_id,
             CASE WHEN left(pipeline_id, 1) < 'c' THEN pipeline_name ELSE '' END AS pipeline_name,
             CASE WHEN left(pipeline_id, 1) < 'c' THEN platform END AS platform FROM incidents""",
-        "diagnose_rules": _DIAGNOSIS + "rule_diagnoses",
-        "parse_responses": _DIAGNOSIS + "model_diagnoses",
+        "diagnose_rules": _DIAGNOSIS + "stored_diagnoses WHERE engine = 'rules'",
+        "parse_responses": _DIAGNOSIS + "stored_diagnoses WHERE engine <> 'rules'",
         "diagnosis_fixes": f"""SELECT incident_id, pos::BIGINT AS pos, rule_fixes.title, kind, steps
             FROM incidents JOIN rule_fixes ON rule = coalesce(rule_id, 0)
             UNION ALL SELECT log_id, len(fix_titles) + hit_rank - 1,

@@ -72,13 +72,3 @@ def expire(spark: SparkSession, path: str) -> None:
     """Have the file system drop ``path`` at the end of the application."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for the CPU-bound text work that follows.
-
-    A table with fewer splits than the cluster has cores is small; its rows are dealt out.  Large
-    tables have more splits than cores and pass unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
