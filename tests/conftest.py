@@ -11,8 +11,10 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4)
+def spark(tmp_path_factory):
+    base = tmp_path_factory.mktemp("shared")
+    session = local_session(4, **{"spark.checkpoint.dir": f"file://{base}/scratch",
+                                  "spark.sql.warehouse.dir": f"{base}/warehouse"})
     yield session
     session.stop()
 
