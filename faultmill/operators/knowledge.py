@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import short_id
 from ..rules import fixed_values as fv
 from ..rules.wording import KB_TEXTS, LEARNED_DEFAULT_FIX
+from ..session import ship
 
 KB_SCHEMA = (
     "kb_id string, workspace_id string, platform string, pattern string, is_literal boolean, "
@@ -62,6 +63,7 @@ def with_pattern_check(kb: DataFrame) -> DataFrame:
             known = {p: _compiled(p) is not None for p in batch.unique()}
             yield batch.map(known)
 
+    ship(kb.sparkSession)
     return kb.withColumn("is_valid", F.col("is_literal") | compiles(F.col("pattern")))
 
 
@@ -133,6 +135,7 @@ def _occurring(logs: DataFrame, wanted: list[tuple[str, str, int]]) -> DataFrame
                 [batch.column(name).take(taken) for name in names] + [pa.array(keys, pa.int64())],
                 [*names, "literal_key"])
 
+    ship(logs.sparkSession)
     folded = logs.select("log_id", "workspace_id", "platform", "at", F.lower("log").alias("folded"))
     return folded.mapInArrow(run, _HIT)
 
@@ -208,6 +211,7 @@ def _searched(logs: DataFrame, wanted: list[tuple[str | None, str, int]]) -> Dat
                 [batch.column(name).take(taken) for name in names] + [pa.array(keys, pa.int64())],
                 [*names, "literal_key"])
 
+    ship(logs.sparkSession)
     return logs.select("log_id", "workspace_id", "platform", "at", "log").mapInArrow(run, _HIT)
 
 

@@ -1,6 +1,9 @@
 """Session settings and shared-storage helpers."""
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +71,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to Python workers, wherever the driver imported it from; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_faultmill_shipped", False):
+        return
+    root = Path(__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for module in sorted(root.rglob("*.py")):
+            archive.write(module, module.relative_to(root.parent))
+    folder = scratch_path(spark, "package")
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/faultmill.zip")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    expire(spark, folder)
+    context.addPyFile(str(target.toString()))
+    context._faultmill_shipped = True
+
+
 def expire(spark: SparkSession, path: str) -> None:
     """Have the file system drop ``path`` at the end of the application."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

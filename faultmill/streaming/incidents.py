@@ -12,6 +12,7 @@ from ..functions.text import short_id
 from ..operators.incidents import KEYS
 from ..rules import fixed_values as fv
 from ..rules.wording import recurrence_text
+from ..session import ship
 
 _STATE = (
     "seq long, status string, count long, first_seen long, last_seen long, resolved_at long, "
@@ -90,6 +91,7 @@ def track(timeline: DataFrame) -> DataFrame:
     slim = timeline.select(
         *KEYS, "event_id", F.unix_micros("at").alias("at_micros"), "kind", "status",
         F.coalesce("notes", F.lit("")).alias("notes"), "run_id", "target_seq")
+    ship(timeline.sparkSession)
     tracked = slim.groupBy(*KEYS).applyInPandasWithState(
         _advance, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
     before, resolved, end, notes = (F.lit(piece) for piece in recurrence_text())
