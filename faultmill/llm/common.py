@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import materialize
+from ..session import materialize, ship
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -24,6 +24,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def in_batches(df: DataFrame, make: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
+    ship(df.sparkSession)
     bounded_batches(df.sparkSession)
     return df.mapInArrow(make, schema)
 

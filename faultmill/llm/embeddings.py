@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, ship
 from .common import Batches, column, components, in_batches, roots, unite
 
 #: Different vectors per tile.
@@ -144,6 +144,7 @@ def _joined(pairs: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names[some]), pa.array(names[top[some]]), pa.array(links[some])], ["a", "b", "links"])
 
+    ship(pairs.sparkSession)
     pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a pair is some MB
     return pairs.mapInArrow(run, "a long, b long, links long")
 

@@ -226,8 +226,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 #: Seeds of the fingerprints over single words, shingle length and sketch size of ``near_copies``.
-WORD_SEEDS = (42, 43)
-SHINGLE, SKETCH = 5, 128
+WORD_SEEDS = (42, 43, 44, 45)
+SHINGLE, SKETCH = 5, 256
 
 
 def _sketch(hashes: np.ndarray) -> bytes:
@@ -290,7 +290,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, budget: int = 3, doc_i
 
     Texts are near copies if they share ``similarity`` of their shingles of five words.  Candidates
     are texts whose fingerprints link at ``budget`` bits: over three words, and over single words
-    with two seeds, which few edits leave close.  Beside the links themselves each text is compared
+    with several seeds, which few edits leave close.  Beside the links themselves each text is compared
     with the text of the smallest id that its links lead to.  A candidate counts if the sketches
     say so; groups are the components of what counts.
 

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import expire, scratch_path
+from ..session import expire, materialize, scratch_path, ship
 from .bpe import read_vocabulary
 from .common import Batches, column, in_batches, texts_of
 from .words import WordStore, gather, shared, summed
@@ -249,6 +249,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int, doc_id: str
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(part, block, place, doc_id, ids): the documents of block files."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
     def run(batches: Batches) -> Batches:
@@ -273,6 +274,7 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
     As ``read``, but the ids stay in the task: (part, block, place, local long, doc_id, n_tokens,
     ids_crc32), ``local`` being the ids before it in its block.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
     def run(batches: Batches) -> Batches:
@@ -299,8 +301,6 @@ def digests(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     ``start`` counts the ids of all documents before it: sums per block, added up over blocks (a
     row per 65,536 ids; first inside the parts, then over the parts), plus the place in the block.
     """
-    from ..session import materialize
-
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
     write(docs, vocabulary, path, end_id)
