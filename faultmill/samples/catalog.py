@@ -9,7 +9,7 @@ from ..functions import labels, moments
 from ..functions import text as tx
 from ..functions.once import once
 from ..operators import diagnosis, entities, failures, feedback, incidents, knowledge
-from ..plans import marts
+from ..plans import adhoc, marts
 from ..plans.incident_plan import IncidentPlan
 from ..rules import fixed_values as fv
 from ..session import materialize, scratch_path
@@ -573,10 +573,27 @@ def prompt_table(spark, sf_dir):
     rows = found.incidents.join(texts, "incident_id", "left").join(
         found.opening_logs.select(F.col("log_id").alias("incident_id"), "log"), "incident_id")
     context = F.when(F.col("incident_seq") % 2 == 0, "second look")
-    return diagnosis.prompts(rows.withColumn("context", context), 60).select(
+    return diagnosis.prompts(rows.withColumn("context", context)).select(
         "incident_id", "prompt")
 
 
+@query
+def adhoc_diagnose(spark, sf_dir):
+    """Pasted logs, many of them long and with secrets, diagnosed without any history."""
+    number = F.col("doc_id")
+    line = feeds.spark_choice(list(feeds.TASK_LOGS), number % 24, feeds.marks(number, number))
+    pasted = _secret_lines(spark, sf_dir).select(
+        number.alias("log_id"), F.concat(F.col("text"), F.lit("\n"), line).alias("log"),
+        F.when(number % 2 == 0, "spark").otherwise("snowflake").alias("platform"),
+        F.when(number % 3 == 0, "nightly load").otherwise("").alias("context"))
+    return adhoc.diagnose(pasted).select(
+        "log_id", "category", "summary",
+        joined(F.transform("evidence", lambda e: e["quote"])).alias("quotes"),
+        joined(F.transform("fixes", lambda f: f["title"])).alias("fix_titles"),
+        F.round("confidence", 9).alias("confidence"), F.col("redaction_count").alias("redactions"),
+        F.length("log").cast("long").alias("log_chars"), F.md5("prompt").alias("prompt"))
+
+
 @query
 def latest_diagnosis(spark, sf_dir):
     newest = diagnosis.latest(plan(spark, sf_dir, answers=True).diagnoses, "diagnosis_id", "engine", "category")
