@@ -133,6 +133,8 @@ class LibraryEncoder(WordStore):
     words.  A word is normalised and cut by the file's own pattern; the library merges the pieces.
     """
 
+    kept = 700_000
+
     def __init__(self, content: str):
         from tokenizers import Tokenizer
 

@@ -1,11 +1,11 @@
 """Ids of whole texts put together from those of their distinct words."""
 
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
-#: Words kept per Python worker; beyond that the store starts anew.
+#: Words kept per Python worker; beyond that a store starts anew.
 KEPT_WORDS = 300_000
 
 _SHARED: dict[Callable, tuple[int, object]] = {}
@@ -37,6 +37,8 @@ def summed(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class WordStore:
     """Looks up the ids of texts word by word; unknown words of a batch are learned together."""
 
+    kept = KEPT_WORDS
+
     def __init__(self):
         self._forget()
 
@@ -59,13 +61,15 @@ class WordStore:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > self.kept:
             self._forget()
         cut = [self.words(text) for text in texts]
         words = list(chain.from_iterable(cut))
-        new = list(set(words).difference(self.known))
-        if new:
-            self.learn(new)
-        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            unknown = [words[i] for i in missing]
+            self.learn(list(set(unknown)))
+            found[missing] = [self.known[word] for word in unknown]
         ids, sizes = gather(self.ids, self.bounds, found)
         return ids, summed(sizes, np.fromiter(map(len, cut), np.int64, len(cut)))
