@@ -855,7 +855,6 @@ def stream_incidents(spark, sf_dir):
 def stream_dashboard(spark, sf_dir):
     timeline = feeds.lifecycle_from(_stream_of(spark, sf_dir, "events"))
     out = scratch_path(spark, "stream-dashboard")
-    jobs.live_totals(timeline, f"{out}/snapshots", f"{out}/totals",
-                     f"{out}/checkpoint").awaitTermination()
+    jobs.live_totals(timeline, f"{out}/totals", f"{out}/checkpoint").awaitTermination()
     totals = spark.read.parquet(f"{out}/totals/batch=*")
     return totals.orderBy(F.desc("batch_id")).limit(1).drop("batch_id")

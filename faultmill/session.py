@@ -13,6 +13,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # incident state never expires: it lives on local disk with changes in the checkpoint, not in the heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # of a repeated JSON key the last value counts
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

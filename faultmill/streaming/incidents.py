@@ -21,14 +21,13 @@ _STATE = (
 _EMPTY = (0, "", 0, 0, 0, None, "", 0, 0, None, "")
 _OUT = (
     "workspace_id string, fingerprint string, event_id string, at_micros long, kind string, "
-    "run_id string, incident_seq long, deduplicated boolean, stale boolean, "
+    "run_id string, incident_seq long, deduplicated boolean, stale boolean, was_status string, "
     "occurrence_count long, first_seen_micros long, last_seen_micros long, status string, "
     "resolved_micros long, notes string, prior_seq long, prior_count long, "
     "prior_resolved_micros long, prior_notes string"
 )
-_STATE_COLUMNS = ("status", "occurrence_count", "first_seen_micros", "last_seen_micros",
-                  "resolved_micros", "notes", "prior_seq", "prior_count",
-                  "prior_resolved_micros", "prior_notes")
+_SLICE = ("incident_seq", "status", "first_seen_micros", "resolved_micros", "notes", "prior_seq",
+          "prior_count", "prior_resolved_micros", "prior_notes")
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame],
@@ -45,36 +44,49 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame],
     at = rows["at_micros"].to_numpy()
     is_status = (rows["kind"] == "status").to_numpy()
     folded, stale = np.ones(size, dtype=bool), np.zeros(size, dtype=bool)
-    filled = []
+    # state after each slice of rows, its length, and the status before its first row
+    after, lengths, before, counts, seen = [], [], [], np.zeros(size, np.int64), np.zeros(size, np.int64)
     start = 0
     for stop in [*np.flatnonzero(is_status), size]:
         if stop > start:
+            was = status if seq else None
             if seq == 0 or status in fv.CLOSING_STATUSES:
                 if status == "resolved":
                     prior = [seq, count, resolved, notes]
                 seq, status, count, first = seq + 1, "open", 0, int(at[start])
                 resolved, notes = None, ""
                 folded[start] = False
+                was = None
             last = int(at[stop - 1])
-            for position in range(start, stop):
-                filled.append((seq, status, count + position - start + 1, first,
-                               int(at[position]), resolved, notes, *prior))
+            counts[start:stop] = np.arange(count + 1, count + stop - start + 1)
+            seen[start:stop] = at[start:stop]
             count += stop - start
+            before.append(was)
+            lengths.append(stop - start)
+            after.append((seq, status, first, resolved, notes, *prior))
         if stop < size:
             change = rows.iloc[stop]
             aimed = change["target_seq"]
             stale[stop] = seq == 0 or (not pd.isna(aimed) and int(aimed) != seq)
+            before.append(status if seq else None)
             if not stale[stop]:
                 status = change["status"]
                 notes = change["notes"] or notes
                 resolved = int(at[stop]) if status == "resolved" else resolved
-            filled.append((seq, status, count, first, last, resolved, notes, *prior))
+            counts[stop], seen[stop] = count, last
+            lengths.append(1)
+            after.append((seq, status, first, resolved, notes, *prior))
         start = stop + 1
     state.update((seq, status, count, first, last, resolved, notes, *prior))
-    out = pd.DataFrame(filled, columns=["incident_seq", *_STATE_COLUMNS])
+    of_row = np.repeat(np.arange(len(after)), lengths)
+    out = pd.DataFrame(after, columns=list(_SLICE), dtype=object).iloc[of_row].reset_index(drop=True)
+    # inside a slice of failures the status before a row is the one after the row ahead of it
+    heads = np.append(True, of_row[1:] != of_row[:-1]) if size else np.empty(0, bool)
+    out["was_status"] = np.where(heads, np.array(before, object)[of_row], out["status"])
     out["workspace_id"], out["fingerprint"] = key
     out = out.assign(
         event_id=rows["event_id"], at_micros=at, kind=rows["kind"], run_id=rows["run_id"],
+        occurrence_count=counts, last_seen_micros=seen,
         deduplicated=np.where(is_status, False, folded), stale=stale)
     yield out[[column.split()[0] for column in _OUT.split(", ")]]
 
@@ -105,7 +117,7 @@ def track(timeline: DataFrame) -> DataFrame:
         "incident_seq",
         short_id(*[F.col(k) for k in KEYS], F.col("incident_seq").cast("string"))
         .alias("incident_id"),
-        "deduplicated", "stale", "occurrence_count",
+        "deduplicated", "stale", "was_status", "occurrence_count",
         F.timestamp_micros("first_seen_micros").alias("first_seen_at"),
         F.timestamp_micros("last_seen_micros").alias("last_seen_at"), "status",
         F.timestamp_micros("resolved_micros").alias("resolved_at"),

@@ -2,12 +2,11 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import failures
-from ..plans import marts
 from ..sources import feeds
 from .incidents import track
 
@@ -26,26 +25,31 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def live_totals(timeline: DataFrame, snapshots: str, totals: str,
-                checkpoint: str) -> StreamingQuery:
+def live_totals(timeline: DataFrame, totals: str, checkpoint: str) -> StreamingQuery:
     """After every micro-batch, write the dashboard totals over all incidents so far.
 
-    The incidents a batch touched are stored under its batch id, so a repeated batch overwrites
-    its own files; an incident's newest snapshot counts.
+    Each row of a batch changes the totals by a known amount, since the state tells what an
+    incident was before it; a batch adds its sum to the totals of the batch before and reads no
+    history.  A repeated batch overwrites its own file.
     """
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        fields = ("status", "occurrence_count", "first_seen_at", "last_seen_at", "resolved_at")
-        order = F.struct("at", "event_id")
-        touched = batch.filter(~F.col("stale")).groupBy("incident_id").agg(
-            F.max_by(F.struct(*fields), order).alias("now"))
-        touched.select("incident_id", "now.*").withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(f"{snapshots}/batch={batch_id}")
         spark = batch.sparkSession
-        newest = spark.read.parquet(f"{snapshots}/batch=*").groupBy("incident_id").agg(
-            F.max_by(F.struct("status", "occurrence_count"), "batch_id").alias("now"))
-        marts.totals(newest.select("incident_id", "now.*")) \
+        failure = F.col("kind") == "failure"
+
+        def entered(status: str) -> Column:
+            now, was = F.col("status") == status, F.coalesce(F.col("was_status") == status, F.lit(False))
+            return F.sum(now.cast("long") - was.cast("long"))
+
+        made = batch.filter(~F.col("stale")).agg(
+            F.count_if(failure & ~F.col("deduplicated")).alias("total_incidents"),
+            entered("open").alias("open_incidents"), entered("resolved").alias("resolved_incidents"),
+            F.count_if(failure & (F.col("occurrence_count") == 2)).alias("recurring_incidents"))
+        names = made.columns
+        if batch_id > 0:
+            made = made.unionByName(spark.read.parquet(f"{totals}/batch={batch_id - 1}").select(*names))
+        made.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names]) \
             .withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(f"{totals}/batch={batch_id}")
+            .coalesce(1).write.mode("overwrite").parquet(f"{totals}/batch={batch_id}")
 
     return (
         track(timeline).writeStream.outputMode("append").foreachBatch(on_batch)

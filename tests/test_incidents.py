@@ -1,13 +1,16 @@
 """Incident life cycle against a plain simulation, in batch and as a stream."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultmill.operators import incidents
 from faultmill.operators.ordered import with_previous
+from faultmill.plans import marts
 from faultmill.samples import feeds
 from faultmill.streaming import jobs
 from faultmill.streaming.incidents import track
@@ -150,18 +153,28 @@ def test_previous_value_both_ways(spark):
         assert r.p == (following if following <= 1980 else None)
 
 
+def written_in_order(frame, source, files):
+    """One file after another, each later in time than the one before."""
+    cut = frame.withColumn("part", F.ntile(files).over(Window.orderBy("at", "event_id"))).persist()
+    for part in range(1, files + 1):
+        cut.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.05)
+    cut.unpersist()
+
+
 def stream_rows(spark, tmp_path, frame, files):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    frame.repartitionByRange(files, "at").sortWithinPartitions("at").write.parquet(source)
+    written_in_order(frame, source, files)
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1) \
         .option("latestFirst", "false").parquet(source)
     jobs.run_to_files(track(stream), out, str(tmp_path / "cp")).awaitTermination()
     return spark.read.parquet(out)
 
 
-def test_stream_gives_the_batch_rows(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("files", [1, 6])
+def test_stream_gives_the_batch_rows(spark, sf_dir, tmp_path, files):
     life = feeds.lifecycle(spark, sf_dir)
-    got = stream_rows(spark, tmp_path, life, 1)
+    got = stream_rows(spark, tmp_path, life, files)
     batch = incidents.islands(life)
     columns = ["fingerprint", "event_id", "kind", "incident_seq"]
     assert got.select(columns).exceptAll(batch.select(columns)).count() == 0
@@ -177,3 +190,17 @@ def test_stream_with_targets_equals_simulation(spark, tmp_path):
     got = stream_rows(spark, tmp_path, spark.createDataFrame(rows, SCHEMA), 1).collect()
     want = simulate(rows)
     assert {r.event_id: (r.incident_seq, r.deduplicated) for r in got if not r.stale} == want
+
+
+def test_live_totals_after_every_micro_batch(spark, sf_dir, tmp_path):
+    life = feeds.lifecycle(spark, sf_dir)
+    written_in_order(life, str(tmp_path / "in"), 5)
+    stream = spark.readStream.schema(life.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.live_totals(stream, str(tmp_path / "totals"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.batch_id: r for r in spark.read.parquet(f"{tmp_path}/totals/batch=*").collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    cut = life.withColumn("part", F.ntile(5).over(Window.orderBy("at", "event_id")))
+    for batch, row in got.items():
+        known = cut.filter(F.col("part") <= batch + 1).drop("part")
+        want = marts.totals(incidents.rollup(incidents.islands(known))).first()
+        assert all(row[name] == want[name] for name in want.asDict())
