@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnosis, entities, feedback, incidents, knowledge
 from ..session import materialize
+from ..sources.feeds import write_by_period
 from . import marts
 
 
@@ -135,6 +136,17 @@ class IncidentPlan:
         # rule findings alone are a projection of the stored incidents
         return found if self.answers is None and self.asked is None else materialize(found, "diagnoses")
 
+    def store(self, path: str, unit: str = "month") -> None:
+        """Write incidents, diagnoses and the listing under ``path``: what readers then query.
+
+        Partitioned by the period an incident began in; sorted by id inside files, so that a look
+        at one id skips row groups.
+        """
+        for name, table, moment in (("incidents", self.incidents, "first_seen_at"),
+                                    ("diagnoses", self.diagnoses, "created_at"),
+                                    ("listed", self.listed, "first_seen_at")):
+            write_by_period(table, f"{path}/{name}", moment, unit, "overwrite", "incident_id")
+
     @cached_property
     def listed(self) -> DataFrame:
         return marts.summaries(

@@ -197,7 +197,7 @@ KB_TEXTS = {
     6: ("Snowflake 904: unknown identifier",
         "A column does not resolve: quoting with lower case or schema drift.",
         "Check quoted identifiers and compare with the columns the table has."),
-    7: ("Snowflake internal error",
+    7: ("Fault inside Snowflake",
         "The fault lies on the side of the service.",
         "Run again; if it stays, check the service status and report the query id."),
     8: ("Snowflake warehouse out of credits",
@@ -212,7 +212,7 @@ KB_TEXTS = {
     11: ("ADF 2200: source not found",
          "The source path of the activity does not exist for this window.",
          "Check the path parameters and whether the upstream drop is late."),
-    12: ("ADF integration runtime offline",
+    12: ("Self-hosted runtime out of reach",
          "The self-hosted runtime node cannot be reached.",
          "Check the node and its network; add a second one."),
     13: ("Process crashed natively",

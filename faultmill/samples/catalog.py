@@ -166,6 +166,18 @@ def sink_roundtrip(spark, sf_dir):
         F.coalesce(F.sum("redactions"), F.lit(0)).alias("redactions"))
 
 
+@query
+def sink_incidents(spark, sf_dir):
+    """Write incidents and diagnoses by month and read them back."""
+    base = scratch_path(spark, "incident-tables")
+    plan(spark, sf_dir, answers=True).store(base)
+    stored, given = (spark.read.parquet(f"{base}/{t}") for t in ("incidents", "diagnoses"))
+    return stored.select("incident_id", "status", "occurrence_count").join(
+        given.select("incident_id", "engine"), "incident_id").groupBy("status", "engine").agg(
+        F.count(F.lit(1)).alias("diagnoses"), F.countDistinct("incident_id").alias("incidents"),
+        F.sum("occurrence_count").alias("failures"))
+
+
 # --- projections ---------------------------------------------------------------------------------
 
 _STATES = ("Success", "FAILED", "running", "Upstream_Failed", "skipped", "removed", "shutdown",
@@ -721,11 +733,12 @@ def feed_search(spark, sf_dir):
 
 @query
 def incident_by_id(spark, sf_dir):
-    """The incident opened by the very first failure, looked up by its id."""
-    found = plan(spark, sf_dir)
-    first = found.stored.orderBy("received_at", "event_id").limit(1).select(
-        incidents.incident_id(F.lit(1)).alias("incident_id"))
-    return _summary_rows(found.listed.join(first, "incident_id", "left_semi"))
+    """The incident opened by the very first failure, looked up by its id in the stored listing."""
+    found, base = plan(spark, sf_dir), scratch_path(spark, "listing")
+    found.store(base)
+    wanted = found.stored.orderBy("received_at", "event_id").limit(1).select(
+        incidents.incident_id(F.lit(1))).first()[0]
+    return _summary_rows(spark.read.parquet(f"{base}/listed").filter(F.col("incident_id") == wanted))
 
 
 @query

@@ -541,11 +541,6 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
             {short_id('workspace_id', 'platform')} AS connection_id,
             platform || ' (auto-created)' AS name, {day_time('min(received_at)')} AS created
             FROM runs GROUP BY workspace_id, platform""",
-        "sink_roundtrip": """SELECT e.status, count(*) AS runs, sum(n_tasks)::BIGINT AS n_tasks,
-            coalesce(sum(l.n_logs), 0)::BIGINT AS n_logs, 0::BIGINT AS redactions
-            FROM airflow_events e LEFT JOIN (SELECT event_id, count(*) AS n_logs FROM
-            airflow_tasks WHERE log <> '' GROUP BY event_id) l ON l.event_id = e.event_id
-            GROUP BY e.status""",
         "map_airflow_state": """SELECT state, CASE lower(state) WHEN 'success' THEN 'success'
             WHEN 'running' THEN 'running' WHEN 'upstream_failed' THEN 'upstream_failed'
             WHEN 'skipped' THEN 'skipped' WHEN 'removed' THEN 'skipped' WHEN 'shutdown' THEN
@@ -799,6 +794,18 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
          ("hit_lines", """SELECT log_id, string_agg('* ' || title || ' (' || platform ||
          ') because ' || cause || '; remedy: ' || fix, chr(10) ORDER BY hit_rank) AS texts FROM hits
          GROUP BY log_id""")])
+    out["sink_roundtrip"] = (
+        """SELECT e.status, count(*) AS runs, sum(n_tasks)::BIGINT AS n_tasks,
+        coalesce(sum(l.n_logs), 0)::BIGINT AS n_logs, coalesce(sum(l.redactions), 0)::BIGINT AS
+        redactions FROM airflow_events e LEFT JOIN (SELECT event_id, count(*) AS n_logs,
+        sum(n) AS redactions FROM sunk GROUP BY event_id) l ON l.event_id = e.event_id
+        GROUP BY e.status""",
+        [("airflow_logs", "SELECT event_id, log FROM airflow_tasks WHERE log <> ''"),
+         *redaction_ctes("sunk", "airflow_logs", "log")])
+    out["sink_incidents"] = (
+        """SELECT i.status, d.engine, count(*) AS diagnoses, count(DISTINCT i.incident_id) AS
+        incidents, sum(i.occurrence_count)::BIGINT AS failures FROM incidents i
+        JOIN diagnoses d ON d.incident_id = i.incident_id GROUP BY ALL""", [])
     out["adhoc_diagnose"] = (
         f"""SELECT s.doc_id AS log_id, r.category, r.summary, array_to_string(s.quotes, {NL}) AS quotes,
         array_to_string(CASE WHEN s.rule_id IS NOT NULL THEN list_concat(r.fix_titles,

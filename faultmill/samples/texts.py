@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 _MARK = re.compile(r"(\$[ndsco])")
 
 TASK_LOGS = (
-    "2024-03-0$d 10:00:$s ERROR java.lang.OutOfMemoryError: Java heap space after $n rows",
+    "2024-03-0$d 10:00:$s ERROR sorter met OutOfMemoryError after $n rows",
     "java.lang.OutOfMemoryError: GC overhead",
     "write failed: No space left on device /tmp/spill_$n",
     "ERROR: permission denied for schema mart_$n",
     "login failed for user svc_$n",
     'ERROR: column "c_$n" does not exist',
     "Table or view not found: raw.t_$n",
-    "Numeric value 'N/A' is not recognized at row $n",
+    "Numeric value 'seven' is not recognized at row $n",
     "ERROR deadlock detected while locking tuple $n",
     "statement timeout after $n ms",
     "could not connect to server 10.0.0.$d:5432",
@@ -79,10 +79,10 @@ AIRFLOW_PAYLOADS = (
     ('{"dag_id":null,"state":"failed"}', "invalid dag_id", (), ()),
     ('{"dag_id":"pipe_$c","dag_run_id":"run-$n","state":null,"conf":null,"task_instances":['
      '{"task_id":"a","state":"upstream_failed","log":"upstream task x_$n failed"},'
-     '{"task_id":"b","state":"skipped","log":"skipped"}]}',
+     '{"task_id":"b","state":"skipped","log":"skipped, told ops$n@example.com and ops@example.org"}]}',
      None, ("pipe_$c", "pipe_$c", "run-$n", "failed", "scheduled", None, None, "{}"),
      (("a", "", "upstream_failed", 1, "", "upstream task x_$n failed"),
-      ("b", "", "skipped", 1, "", "skipped"))),
+      ("b", "", "skipped", 1, "", "skipped, told ops$n@example.com and ops@example.org"))),
     ('{"dag_id":"pipe_$c', "malformed payload", (), ()),
     ('{"dag_id":"pipe_$c","run_id":null}', "invalid run id", (), ()),
     ('{"dag_id":"pipe_$c","dag_run_id":"run-$n","state":"running",'

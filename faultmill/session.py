@@ -57,7 +57,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/faultmill/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; what is written there goes when the application ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/faultmill/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return f"{folder}/data"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -70,7 +76,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    expire(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,12 +94,5 @@ def ship(spark: SparkSession) -> None:
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
     out.write(bytearray(packed.getvalue()))
     out.close()
-    expire(spark, folder)
     context.addPyFile(str(target.toString()))
     context._faultmill_shipped = True
-
-
-def expire(spark: SparkSession, path: str) -> None:
-    """Have the file system drop ``path`` at the end of the application."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
