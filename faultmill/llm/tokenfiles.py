@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import expire, materialize, scratch_path, ship
+from ..session import materialize, scratch_path, ship
 from .bpe import read_vocabulary
 from .common import Batches, column, in_batches, texts_of
 from .words import WordStore, gather, shared, summed
@@ -306,7 +306,6 @@ def digests(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
     write(docs, vocabulary, path, end_id)
-    expire(spark, path)
     read_back = materialize(summaries(spark, path), "token_rows")
     blocks = read_back.groupBy("part", "block").agg(F.sum("n_tokens").alias("n"))
     before = ("coalesce(sum(n) OVER ({} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
