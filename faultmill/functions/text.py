@@ -79,14 +79,16 @@ def apply_redaction_rule(df: DataFrame, rule: tuple, source: str, target: str,
                          hits: str, fold: str | None = None) -> DataFrame:
     """One rule of the table: adds ``target`` (text) and ``hits`` (number of matches).
 
-    ``fold`` names a column with the folded text, which spares texts without the rule's words.
+    ``fold`` names a column with the folded text, which spares texts without the rule's words;
+    only the built-in rules have such words, others always run their pattern.
     """
     name, pattern, replacement, ignore_case, dot_all = rule
     regex = F.lit(dialect.jvm(pattern, ignore_case, dot_all))
     text, found = F.col(source), F.regexp_count(F.col(source), regex)
-    if name in _NEEDED:
+    known = rule in fv.REDACTION_RULES
+    if known and name in _NEEDED:
         found = F.when(_any_of(text, _NEEDED[name]), found).otherwise(F.lit(0))
-    elif fold is not None:
+    elif known and fold is not None:
         found = F.when(_any_of(F.col(fold), _NEEDED_FOLDED[name]), found).otherwise(F.lit(0))
     return df.withColumn(hits, found).withColumn(
         target, F.when(F.col(hits) > 0, F.regexp_replace(
@@ -117,15 +119,17 @@ def apply_entropy_rule(df: DataFrame, source: str, target: str, hits: str) -> Da
     )
 
 
-def with_redaction(df: DataFrame, source: str, target: str, count: str) -> DataFrame:
-    """All rules in order, each over the output of the one before, and the number of matches.
+def with_redaction(df: DataFrame, source: str, target: str, count: str,
+                   rules: tuple[tuple, ...] = fv.REDACTION_RULES) -> DataFrame:
+    """All ``rules`` in order, each over the output of the one before, then the token rule, and
+    the number of matches.
 
     A chain of projections, so that no intermediate text is evaluated twice.
     """
     fold = f"__{target}_folded"
     current, total, made = source, F.lit(0), [fold]
     df = df.withColumn(fold, folded(F.col(source)))
-    for position, rule in enumerate(fv.REDACTION_RULES):
+    for position, rule in enumerate(rules):
         text, hits = f"__{target}_t{position}", f"__{target}_n{position}"
         df = apply_redaction_rule(df, rule, current, text, hits, fold)
         total, current = total + F.col(hits), text
@@ -165,9 +169,9 @@ def error_lines(log: Column, limit: int = fv.ERROR_LINES_LISTED) -> Column:
     return let(found, pick)
 
 
-def normalize_text(text: Column) -> Column:
+def normalize_text(text: Column, rules: tuple[tuple, ...] = fv.VOLATILE_RULES) -> Column:
     """Replace volatile tokens, collapse white space, lower the case."""
-    for _, pattern, replacement, ignore_case in fv.VOLATILE_RULES:
+    for _, pattern, replacement, ignore_case in rules:
         text = F.regexp_replace(
             text, F.lit(dialect.jvm(pattern, ignore_case)), F.lit(replacement))
     return F.lower(collapse_blanks(text))
@@ -247,25 +251,30 @@ _CURATED_NEEDS = {
 }
 
 
-def triage_rule(log: Column, fold: Column | None = None) -> Column:
-    """Id of the first rule matching anywhere in the log, null when none does.
+def triage_rule(log: Column, fold: Column | None = None,
+                rules: tuple[tuple, ...] = fv.TRIAGE_RULES) -> Column:
+    """Id of the first of ``rules`` matching anywhere in the log, null when none does.
 
-    ``fold`` is ``folded(log)`` where the caller keeps it as a column.
+    ``fold`` is ``folded(log)`` where the caller keeps it as a column.  Rules other than the
+    built-in ones have no needed words and always run their pattern.
     """
     if fold is None:
-        return let(folded(log), lambda low: triage_rule(log, low))
+        return let(folded(log), lambda low: triage_rule(log, low, rules))
     chosen = None
-    for rule_id, _, _, _, pattern in fv.TRIAGE_RULES:
-        hit = _any_of(fold, _TRIAGE_NEEDS[rule_id]) & F.rlike(
-            log, F.lit(dialect.jvm(pattern, ignore_case=True)))
+    for rule in rules:
+        rule_id, pattern = rule[0], rule[4]
+        hit = F.rlike(log, F.lit(dialect.jvm(pattern, ignore_case=True)))
+        if rule in fv.TRIAGE_RULES:
+            hit = _any_of(fold, _TRIAGE_NEEDS[rule_id]) & hit
         chosen = F.when(hit, rule_id) if chosen is None else chosen.when(hit, rule_id)
     return chosen
 
 
-def triage_quote(log: Column, rule_id: Column) -> Column:
+def triage_quote(log: Column, rule_id: Column,
+                 rules: tuple[tuple, ...] = fv.TRIAGE_RULES) -> Column:
     """The first line the rule matches, stripped, at most 500 characters."""
     quote = None
-    for number, _, _, _, pattern in fv.TRIAGE_RULES:
+    for number, _, _, _, pattern in rules:
         line = F.regexp_extract(
             log, dialect.jvm(f"^.*?{pattern}.*$", ignore_case=True, multiline=True), 0)
         cond = rule_id == F.lit(number)
