@@ -227,7 +227,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         for batch in batches:
             yield add_columns(batch, {ids: lists_of(*encoder.encode(texts_of(batch, text)))})
 
-    return in_batches(df, run, widened(df, f"`{ids}` array<int>"))
+    return in_batches(df, run, widened(df, f"`{ids}` array<int>"), keep=True)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -249,7 +249,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             rest = batch.drop_columns([ids])
             yield add_columns(rest, {text: pa.array(texts, pa.string())})
 
-    return in_batches(df, run, widened(df, f"`{text}` string", (ids,)))
+    return in_batches(df, run, widened(df, f"`{text}` string", (ids,)), keep=True)
 
 
 def _cuts(lists: pa.Array) -> list[int]:

@@ -4,11 +4,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import materialize, ship
+from .words import forget_shared
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -23,10 +25,33 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def in_batches(df: DataFrame, make: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
+def in_batches(df: DataFrame, make: Callable[[Batches], Batches], schema: str | StructType,
+               keep: bool = False) -> DataFrame:
+    """``make`` over the Arrow batches of each partition.
+
+    What earlier operators keep in a Python worker (``words.shared``) goes, unless ``keep``.  Models
+    that ``make`` refers to travel with the task and go with it.
+    """
+    def run(batches: Batches) -> Batches:
+        if not keep:
+            forget_shared()
+        yield from make(batches)
+
     ship(df.sparkSession)
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(make, schema)
+    return df.mapInArrow(run, schema)
+
+
+def sliced(batches: Batches, text: str, limit: int = 1 << 20) -> Batches:
+    """The same rows in batches of at most ``limit`` bytes of text, or one row: bounds array work."""
+    for batch in batches:
+        sizes = np.array(pc.fill_null(pc.binary_length(column(batch, text)), 0), np.int64)
+        ends = np.cumsum(sizes)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + limit, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, add_columns, column, in_batches, texts_of, widened
+from .common import Batches, add_columns, column, in_batches, sliced, texts_of, widened
 from .words import KEPT_WORDS
 
 #: Sample a language's automaton is built of: about so many documents, cut to so many characters
@@ -199,11 +199,9 @@ def predict(docs: DataFrame, models: Models, text: str = "text", lang: str = "la
     length, per letter.  Null texts and texts without a letter are ``und`` with score 0; equal
     costs go to the language first in the alphabet.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            names, scores = sent.value.predict(texts_of(batch, text))
+        for batch in sliced(batches, text, 2 << 20):
+            names, scores = models.predict(texts_of(batch, text))
             yield add_columns(batch, {lang: pa.array(names, pa.string()), score: pa.array(scores, pa.float64())})
 
     return in_batches(docs, run, widened(docs, f"`{lang}` string, `{score}` double"))

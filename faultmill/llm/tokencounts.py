@@ -89,4 +89,4 @@ def attribute(df: DataFrame, path: str, text: str = "text", spans: str | None =
             cuts = np.concatenate([[0], np.cumsum([len(b) for b in bounds])]).astype(np.int32)
             yield add_columns(batch, {made: pa.ListArray.from_arrays(pa.array(cuts), flat)})
 
-    return in_batches(df, run, widened(df, f"`{made}` {SECTIONS}"))
+    return in_batches(df, run, widened(df, f"`{made}` {SECTIONS}"), keep=True)

@@ -244,7 +244,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int, doc_id: str
         if held:
             yield out()
 
-    blocks = in_batches(rows, run, "block binary")
+    blocks = in_batches(rows, run, "block binary", keep=True)
     (blocks.select(F.col("block").cast("string").alias("value")).write.mode("overwrite")
      .option("lineSep", MARK).option("maxRecordsPerFile", FILE_BLOCKS).text(path))
 

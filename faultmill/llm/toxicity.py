@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import Batches, add_columns, column, in_batches, texts_of, widened
+from .common import Batches, add_columns, column, in_batches, sliced, texts_of, widened
 
 ORDER = 6  #: bytes of an expression: five of context and the one they predict
 DISCOUNT = 0.75
@@ -50,7 +50,7 @@ def gram_counts(rows: DataFrame, text: str = "text", toxic: str = "toxic") -> Da
 
     def run(batches: Batches) -> Batches:
         keys, counts = np.empty(0, np.uint64), np.empty((0, 2), np.int64)
-        for batch in batches:
+        for batch in sliced(batches, text):
             labels = np.array(column(batch, toxic), np.int64)
             raw, starts, sizes = lay_out(texts_of(batch, text))
             all_keys = grams(raw)
@@ -234,11 +234,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str
                   np.zeros(5), np.ones(5), np.zeros(6))
     many = rows.where(held).count()
     share = min(1.0, CALIBRATION_DOCS / max(many, 1))
-    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            x = sent.value.features(texts_of(batch, text)) if batch.num_rows else np.zeros((0, 5))
+        for batch in sliced(batches, text):
+            x = model.features(texts_of(batch, text)) if batch.num_rows else np.zeros((0, 5))
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(x[:, k]) for k in range(5)], column(batch, toxic).cast(pa.int32())],
                 [*[f"x{k}" for k in range(5)], "y"])
@@ -252,11 +251,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str
 
 def score(docs: DataFrame, model: Model, text: str = "text", made: str = "score") -> DataFrame:
     """Add ``made`` (0 to 1) from the whole text; null counts as empty, a column of that name goes."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            yield add_columns(batch, {made: pa.array(sent.value.scores(texts_of(batch, text)))})
+        for batch in sliced(batches, text):
+            yield add_columns(batch, {made: pa.array(model.scores(texts_of(batch, text)))})
 
     return in_batches(docs, run, widened(docs, f"`{made}` double"))
 

@@ -6,7 +6,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Words kept per Python worker; beyond that a store starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 _SHARED: dict[Callable, tuple[int, object]] = {}
 
@@ -19,6 +19,10 @@ def shared(make: Callable, content: str):
     return _SHARED[make][1]
 
 
+def forget_shared() -> None:
+    _SHARED.clear()
+
+
 def gather(values: np.ndarray, bounds: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The concatenated stretches ``wanted`` of ``values``, and how long each is."""
     begin, sizes = bounds[wanted], bounds[wanted + 1] - bounds[wanted]
