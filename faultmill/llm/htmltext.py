@@ -34,6 +34,8 @@ CLOSES = {
 
 #: Width of the smoothing in lines, and the share of the mean ratio that a content line exceeds.
 SIGMA, SHARE = 1.0, 0.5
+#: How much more a line weighs inside an element that declares content.
+DECLARED = 4.0
 
 
 class Lines(HTMLParser):
@@ -41,11 +43,12 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # name, silent, furniture, content element
+        self.open: list[tuple[str, bool, bool, int]] = []  # name, silent, furniture, outermost content element
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.links: list[int] = []
-        self.places: list[tuple[bool, bool]] = []  # furniture, inside a content element
+        self.places: list[tuple[bool, int]] = []  # furniture, number of the content element or 0
+        self._contents = 0
         self._held: list[str] = []
         self._tags = self._linked = 0
 
@@ -58,7 +61,7 @@ class Lines(HTMLParser):
             self.texts.append(text)
             self.tags.append(self._tags)
             self.links.append(min(self._linked, len(text)))
-            self.places.append((self._flag(2), self._flag(3)))
+            self.places.append((self._flag(2), self.open[-1][3] if self.open else 0))
         if text or self._held:
             self._tags = self._linked = 0
         self._held = []
@@ -72,13 +75,16 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         given = {k: (v or "").lower() for k, v in attrs}
-        inside = self._flag(3)
+        inside = self.open[-1][3] if self.open else 0
+        if not inside and (tag in CONTENT or given.get("role") == "main"):
+            self._contents += 1
+            inside = self._contents
         named = " ".join((given.get("class", ""), given.get("id", "")))
         # a header or footer inside an article is still no part of its text
         furniture = (tag in FURNITURE or given.get("role", "") in LANDMARKS or "hidden" in given
                      or given.get("aria-hidden") == "true" or (tag not in CONTENT | {"body", "html"}
                                                                and bool(ROLES.search(named))))
-        self.open.append((tag, tag in SILENT, furniture, tag in CONTENT or given.get("role") == "main" or inside))
+        self.open.append((tag, tag in SILENT, furniture, inside))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -119,11 +125,11 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str) -> str:
     """The blocks of the article, one to a line.
 
-    Lines are what stands between block tags.  Those of menus, forms, notices and the like are set
-    apart by element, role or class.  Of the others a line's ratio is its letters outside links per
-    tag; ratios are smoothed, lines above a share of the mean form clusters.  In pages that mark
-    their article all its lines belong to the cluster they stand in; elsewhere the lines of the
-    clusters do, with short ones between them.
+    Lines are what stands between block tags.  A line's ratio is its letters outside links per tag;
+    lines of menus, forms, notices and the like, by element, role or class, have none, and lines in
+    an element that declares content weigh more.  Ratios are smoothed, and lines above a share of
+    the mean form clusters.  A cluster in a declared element selects all its lines but furniture; a
+    cluster elsewhere selects its lines, and clusters that are not far apart what lies between.
     """
     page = Lines()
     try:
@@ -135,24 +141,27 @@ def main_text(html: str) -> str:
     if not n:
         return ""
     furniture = np.array([f for f, _ in page.places])
-    article = np.array([a for _, a in page.places]) & ~furniture
-    if article.any():
-        chosen = article
+    content = np.array([c for _, c in page.places])
+    whole = np.array([len(t) for t in page.texts])
+    sizes = np.where(content > 0, whole, whole - np.array(page.links))
+    usable = ~furniture & (sizes > 0)
+    if not usable.any():
+        return ""
+    weights = np.where(content > 0, DECLARED, 1.0)
+    ratios = np.where(usable, weights * sizes / np.maximum(np.array(page.tags), 1), 0.0)
+    level = smoothed(ratios)
+    high = usable & (level >= SHARE * level[usable].mean())
+    declared = np.unique(content[high])
+    declared = declared[declared > 0]
+    if declared.size:
+        chosen = usable & np.isin(content, declared)
     else:
-        sizes = np.array([len(t) for t in page.texts]) - np.array(page.links)
-        ratios = np.where(furniture, 0.0, sizes / np.maximum(np.array(page.tags), 1))
-        open_ = ~furniture & (sizes > 0)
-        if not open_.any():
-            return ""
-        level = smoothed(ratios)
-        high = open_ & (level >= SHARE * level[open_].mean())
         places = np.flatnonzero(high)
         chosen = np.zeros(n, bool)
-        chosen[places[0]:places[-1] + 1] = True  # clusters with nothing but short lines between them
-        gaps = np.diff(places)
-        for at in np.flatnonzero(gaps > 6):  # far apart: what lies between is no content
+        chosen[places[0]:places[-1] + 1] = True
+        for at in np.flatnonzero(np.diff(places) > 6):  # far apart: what lies between is no content
             chosen[places[at] + 1:places[at + 1]] = False
-        chosen &= open_
+        chosen &= usable
     return "\n".join(page.texts[i] for i in np.flatnonzero(chosen).tolist())
 
 
