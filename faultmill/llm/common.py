@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import materialize, ship
+from ..session import discard, materialize, ship
 from .words import forget_shared
 
 Batches = Iterator[pa.RecordBatch]
@@ -163,7 +163,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = materialize(in_batches(pairs, _forest, _FOREST), "forest")
     seen = None
     while True:
-        pairs = _stars(_stars(pairs, True), False)
+        large = _stars(pairs, True)
+        discard(pairs)
+        pairs = _stars(large, False)
+        discard(large)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if state == seen or state[0] == 0:
             break
@@ -185,4 +188,6 @@ def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     else:
         made = hung.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(
             low.select("a", F.col("low").alias("b")))
-    return materialize(made.distinct(), "stars")
+    made = materialize(made.distinct(), "stars")
+    discard(low)
+    return made

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .common import Batches, add_columns, column, components, in_batches, roots, unite, widened
 
 #: Distinct fingerprints that share a key and are joined by one task, at most.
@@ -301,6 +301,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, budget: int = 3, doc_i
     spaces = [f"f{k}" for k in range(1 + len(WORD_SEEDS))]
     texts = materialize(prints.groupBy("key").agg(
         F.min("doc_id").alias("low"), *[F.any_value(f).alias(f) for f in (*spaces, "sketch")]), "texts")
+    discard(prints)
     order = F.struct(F.col("low").isNull(), "low", "key")
     laid = texts.select("key", "low", F.posexplode(F.array(*spaces)).alias("space", "fp"))
     fps = materialize(laid.groupBy("space", "fp").agg(F.min_by("key", order).alias("rep")), "reps")
