@@ -228,16 +228,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 #: Seeds of the fingerprints over single words, shingle length and sketch size of ``near_copies``.
 WORD_SEEDS = (42, 43, 44, 45)
 SHINGLE, SKETCH = 5, 256
+#: Sketches this far from the wanted share (five deviations) settle a pair; others go by all shingles.
+MARGIN = 0.125
 
 
-def _sketch(hashes: np.ndarray) -> bytes:
-    """The smallest ``SKETCH`` different hashes of shingles of ``SHINGLE`` words."""
+def _word_hashes(text: bytes) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _shingles(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of ``SHINGLE`` words, in order; a text of fewer words is one."""
     n = max(1, hashes.size - SHINGLE + 1)
     mixed = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE, hashes.size)):
         mixed = (mixed + hashes[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    small = (mixed >> np.uint64(32)).astype(np.uint32)
+    return mixed
+
+
+def _sketch(shingles: np.ndarray) -> bytes:
+    """The smallest ``SKETCH`` different hashes of shingles."""
+    small = (shingles >> np.uint64(32)).astype(np.uint32)
     if small.size > 4 * SKETCH:
         # repeats only shrink the set: enlarge the cut until it holds enough different ones
         cut = 2 * SKETCH
@@ -266,14 +278,13 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             spaces: list[list[int]] = [[] for _ in range(1 + len(WORD_SEEDS))]
             sketches = []
             for raw in column(batch, "t").cast(pa.binary()).to_pylist():
-                words = raw.lower().split()
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                hashes = _word_hashes(raw)
                 spaces[0].append(fingerprint(raw, 3, 42))
                 for k, seed in enumerate(WORD_SEEDS):
                     mixed = (hashes ^ np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93 + 2 * seed)
                     mixed ^= mixed >> np.uint64(32)
                     spaces[1 + k].append(_majority(mixed * np.uint64(0xD6E8FEB86659FD93)))
-                sketches.append(_sketch(hashes) if words else b"")
+                sketches.append(_sketch(_shingles(hashes)) if hashes.size else b"")
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), column(batch, "key"),
                  *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in spaces], pa.array(sketches, pa.binary())],
@@ -284,6 +295,72 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return in_batches(rows, run, f"doc_id {kind}, key long, {made}, sketch binary")
 
 
+def _first_rows(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that stand for the texts ``wanted`` (key, low), with ``__key``."""
+    rows = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    named = wanted.select(F.col("key").alias("__k"), F.col("low").alias("__low"))
+    # the hash side holds two numbers a row; texts are shuffled once
+    return rows.join(named.hint("shuffle_hash"), (rows["__key"] == named["__k"]) & rows[doc_id].eqNullSafe(
+        named["__low"]), "left_semi")
+
+
+def _held(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float, doc_id: str,
+          text: str) -> DataFrame:
+    """The ``pairs`` (x, y) whose texts share ``similarity`` of their shingles.
+
+    Sketches settle what is clear; the other pairs are decided by all shingles of both texts.
+    """
+    sketches = texts.select("key", "sketch")
+    both = pairs.join(sketches.toDF("x", "p"), "x").join(sketches.toDF("y", "q"), "y").select("x", "y", "p", "q")
+
+    def sort_out(batches: Batches) -> Batches:
+        for batch in batches:
+            sure, open_ = [], []
+            for p, q in zip(column(batch, "p").to_pylist(), column(batch, "q").to_pylist(), strict=True):
+                a, b = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
+                share, exact = resemblance(a, b), max(a.size, b.size) < SKETCH
+                open_.append(not exact and abs(share - similarity) < MARGIN)
+                sure.append(share >= similarity)
+            open_, sure = np.array(open_, bool), np.array(sure, bool)
+            kept = pa.array(open_ | sure)
+            yield add_columns(batch.select(["x", "y"]), {"open": pa.array(open_)}).filter(kept)
+
+    sorted_out = materialize(in_batches(both, sort_out, "x long, y long, open boolean"), "sorted_out")
+    unclear = sorted_out.where("open").select("x", "y")
+    clear = sorted_out.where("NOT open").select("x", "y")
+    if unclear.isEmpty():
+        return clear
+    ends = unclear.select(F.col("x").alias("key")).union(unclear.select("y")).distinct()
+    wanted = texts.join(ends, "key", "left_semi").select("key", "low")
+    rows = _first_rows(docs, wanted, doc_id, text).select(F.col("__key").alias("key"), F.col(text).alias("t"))
+
+    def all_shingles(batches: Batches) -> Batches:
+        for batch in batches:
+            sets = [np.unique(_shingles(_word_hashes(t or b""))).tobytes()
+                    for t in column(batch, "t").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(sets, pa.binary())], ["key", "shingles"])
+
+    sets = materialize(in_batches(rows, all_shingles, "key long, shingles binary").dropDuplicates(["key"]), "sets")
+    both = unclear.join(sets.toDF("x", "p"), "x").join(sets.toDF("y", "q"), "y").select("x", "y", "p", "q")
+
+    def decide(batches: Batches) -> Batches:
+        for batch in batches:
+            good = [share_of(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similarity
+                    for a, b in zip(column(batch, "p").to_pylist(), column(batch, "q").to_pylist(), strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+    made = materialize(in_batches(both, decide, "x long, y long").union(clear), "near")
+    discard(sets)
+    discard(sorted_out)
+    return made
+
+
+def share_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common shingles of two sets, each without repeats."""
+    common = np.intersect1d(a, b, assume_unique=True).size
+    return common / (a.size + b.size - common)
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, budget: int = 3, doc_id: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies: the one of the smallest id.
@@ -291,8 +368,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, budget: int = 3, doc_i
     Texts are near copies if they share ``similarity`` of their shingles of five words.  Candidates
     are texts whose fingerprints link at ``budget`` bits: over three words, and over single words
     with several seeds, which few edits leave close.  Beside the links themselves each text is compared
-    with the text of the smallest id that its links lead to.  A candidate counts if the sketches
-    say so; groups are the components of what counts.
+    with the text of the smallest id that its links lead to.  A candidate counts if the shingles
+    of both texts say so; groups are the components of what counts.
 
     Equal texts are one node, whatever their number.  Null texts equal empty ones.  Null ids come
     last; rows equal in id and text are one.  The result has the columns of ``docs``.
@@ -321,23 +398,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, budget: int = 3, doc_i
     stars = led.join(leaders, "component").where("key <> leader").select(
         F.least("key", "leader").alias("x"), F.greatest("key", "leader").alias("y"))
     pairs = materialize(pairs.union(stars).distinct(), "compared")
-    sketches = texts.select("key", "sketch")
-    pairs = pairs.join(sketches.toDF("x", "p"), "x").join(sketches.toDF("y", "q"), "y").select("x", "y", "p", "q")
-
-    def hold(batches: Batches) -> Batches:
-        for batch in batches:
-            p, q = (column(batch, c).to_pylist() for c in ("p", "q"))
-            good = [resemblance(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) >= similarity
-                    for a, b in zip(p, q, strict=True)]
-            yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
-
-    groups = components(materialize(in_batches(pairs, hold, "x long, y long"), "near"), "x", "y")
+    near = _held(pairs, texts, docs, similarity, doc_id, text)
+    groups = components(near, "x", "y")
     named = materialize(texts.select("key", "low").join(groups, F.col("key") == F.col("node"), "left").select(
         "key", "low", F.coalesce("component", "key").alias("group")), "grouped")
     kept = materialize(named.groupBy("group").agg(F.min_by(F.struct("key", "low"), order).alias("k")).select(
-        F.col("k.key").alias("__key"), F.col("k.low").alias("__low")), "kept")
-    rows = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    # the hash side holds two numbers a row; texts are shuffled once
-    found = rows.join(kept.hint("shuffle_hash"), (rows["__key"] == kept["__key"]) & rows[doc_id].eqNullSafe(
-        kept["__low"]), "left_semi")
-    return found.dropDuplicates([doc_id, "__key"]).drop("__key")
+        "k.key", "k.low"), "kept")
+    return _first_rows(docs, kept, doc_id, text).dropDuplicates([doc_id, "__key"]).drop("__key")

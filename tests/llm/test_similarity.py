@@ -114,6 +114,31 @@ def test_near_copies_keep_one_of_each(spark):
     assert kept <= set(left) and len(left) == len(set(left)) <= len(kept) + 2
 
 
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_long_texts_are_decided_by_all_shingles(spark):
+    """Pairs of 1000 words just above and just below 0.8: sketches of 256 hashes cannot tell them apart."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(30):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(1000)]
+        edits = 21 if g % 2 else 23  # each takes five shingles: 0.81 and 0.79
+        other = list(words)
+        for k in range(edits):
+            other[30 + k * 40] = f"new{g}x{k}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        assert (jaccard(rows[-2][1], rows[-1][1]) >= .8) == bool(g % 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = simhash._texts(docs, "doc_id", "text").withColumnRenamed("doc_id", "low")
+    keys = {r.low: r.key for r in texts.collect()}
+    pairs = spark.createDataFrame([(keys[2 * g], keys[2 * g + 1]) for g in range(30)], "x long, y long")
+    near = {r.x for r in simhash._held(pairs, texts, docs, .8, "doc_id", "text").collect()}
+    assert near == {keys[2 * g] for g in range(1, 30, 2)}
+
+
 def test_tile_products_keep_their_bound():
     rng = np.random.default_rng(5)
     base = rng.standard_normal((40, 48))
