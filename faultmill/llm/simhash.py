@@ -230,6 +230,8 @@ WORD_SEEDS = (42, 43, 44, 45)
 SHINGLE, SKETCH = 5, 256
 #: Sketches this far from the wanted share (five deviations) settle a pair; others go by all shingles.
 MARGIN = 0.125
+#: Texts that share a shingle of their prefixes and are paired in one task, at most.
+SHARED = 100
 
 
 def _word_hashes(text: bytes) -> np.ndarray:
@@ -268,15 +270,18 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return float((counts == 2).mean()) if both.size else 1.0
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, f0, f1, ..., sketch) per row; ``key`` hashes the text."""
+def _texts(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, key, f0, f1, ..., sketch, n, prefix) per row; ``key`` hashes the text.
+
+    ``n`` counts the different shingles, ``prefix`` holds the smallest ones (see ``prefix_of``).
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn(
         "key", F.xxhash64("t"))
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             spaces: list[list[int]] = [[] for _ in range(1 + len(WORD_SEEDS))]
-            sketches = []
+            sketches, sizes, prefixes = [], [], []
             for raw in column(batch, "t").cast(pa.binary()).to_pylist():
                 hashes = _word_hashes(raw)
                 spaces[0].append(fingerprint(raw, 3, 42))
@@ -284,15 +289,20 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     mixed = (hashes ^ np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93 + 2 * seed)
                     mixed ^= mixed >> np.uint64(32)
                     spaces[1 + k].append(_majority(mixed * np.uint64(0xD6E8FEB86659FD93)))
-                sketches.append(_sketch(_shingles(hashes)) if hashes.size else b"")
+                shingles = _shingles(hashes) if hashes.size else hashes
+                sketches.append(_sketch(shingles) if hashes.size else b"")
+                shingles = np.unique(shingles)
+                sizes.append(shingles.size)
+                prefixes.append(prefix_of(shingles, similarity).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), column(batch, "key"),
-                 *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in spaces], pa.array(sketches, pa.binary())],
-                ["doc_id", "key", *[f"f{k}" for k in range(len(spaces))], "sketch"])
+                 *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in spaces], pa.array(sketches, pa.binary()),
+                 pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())],
+                ["doc_id", "key", *[f"f{k}" for k in range(len(spaces))], "sketch", "n", "prefix"])
 
     made = ", ".join(f"f{k} long" for k in range(1 + len(WORD_SEEDS)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return in_batches(rows, run, f"doc_id {kind}, key long, {made}, sketch binary")
+    return in_batches(rows, run, f"doc_id {kind}, key long, {made}, sketch binary, n int, prefix binary")
 
 
 def _first_rows(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -355,6 +365,164 @@ def _held(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float
     return made
 
 
+def prefix_of(shingles: np.ndarray, similarity: float, hot: np.ndarray | None = None) -> np.ndarray:
+    """The first of a text's different, sorted shingles: two texts at ``similarity`` share one of them.
+
+    The order is that of the hashes, with ``hot`` ones (sorted) behind all others.  What two such
+    texts share is at least ``similarity`` of the larger; so much cannot lie behind both prefixes.
+    """
+    if hot is not None and hot.size and shingles.size:
+        at = np.minimum(np.searchsorted(hot, shingles), hot.size - 1)
+        late = hot[at] == shingles
+        shingles = np.concatenate([shingles[~late], shingles[late]])
+    return shingles[:shingles.size - int(np.ceil(similarity * shingles.size - 1e-9)) + 1]
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """(h, key, n, place, part) per shingle of the prefixes in ``rows`` (key, n, prefix, part)."""
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                few = batch.slice(lo, 200)
+                found = [np.frombuffer(p, np.int64) for p in column(few, "prefix").to_pylist()]
+                counts = [x.size for x in found]
+
+                def spread(name: str) -> pa.Array:
+                    return pa.array(np.repeat(column(few, name).to_numpy(zero_copy_only=False), counts))
+
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(found)), spread("key"), spread("n"),
+                     pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts])), spread("part")],
+                    ["h", "key", "n", "place", "part"])
+
+    return in_batches(rows, run, "h long, key long, n int, place int, part long")
+
+
+def _sharing(entries: DataFrame, similarity: float, limit: int | None = SHARED) -> DataFrame:
+    """(x, y) that share an ``h`` and can reach ``similarity``, of different parts; (h, null) if hot.
+
+    A pair ends if the sizes rule it out, or what is left of both behind the common shingle.  A
+    shingle is hot if more than ``limit`` texts of several parts have it; the texts of one part
+    hang together already, so a shingle they share alone makes no pairs.
+    """
+    def run(batches: Batches) -> Batches:
+        names = ("h", "key", "n", "place", "part")
+        held = [np.empty(0, np.int64)] * 5
+        for batch in batches:
+            new = [column(batch, c).to_numpy(zero_copy_only=False) for c in names]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if held[0].size < 1 << 16:
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+            if last:
+                yield from pairs(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+        if held[0].size:
+            yield from pairs(*held)
+
+    def pairs(h, key, n, place, part) -> Batches:
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        sizes = np.diff(np.append(starts, h.size))
+        mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+        hot = mixed & (sizes > limit) if limit else np.zeros(sizes.size, bool)
+        if hot.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[starts[hot]]), pa.nulls(int(hot.sum()), pa.int64())], ["x", "y"])
+        ends = np.repeat(starts + sizes, sizes)
+        left = np.flatnonzero(np.repeat(mixed & ~hot, sizes))
+        room = np.maximum(n - place, 0)
+        step, found, many = 0, [], 0
+        while left.size:
+            step += 1
+            left = left[left + step < ends[left]]
+            other = left + step
+            whole = n[left].astype(np.int64) + n[other]
+            good = (part[left] != part[other]) & (
+                np.minimum(room[left], room[other]) * (1 + similarity) >= similarity * whole - 1e-6)
+            good &= np.minimum(n[left], n[other]) >= similarity * np.maximum(n[left], n[other]) - 1e-6
+            if good.any():
+                a, b = key[left[good]], key[other[good]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                many += a.size
+            if many > 1 << 20 or not left.size:
+                if found:
+                    two = np.unique(np.concatenate(found, axis=1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(two[0]), pa.array(two[1])], ["x", "y"])
+                found, many = [], 0
+
+    dealt = entries.repartition("h").sortWithinPartitions("h")
+    return in_batches(dealt, run, "x long, y long")
+
+
+def _parted(texts: DataFrame, near: DataFrame) -> DataFrame:
+    """``texts`` (key, low, n, prefix) with ``part``: the component of the links so far."""
+    parts = components(near, "x", "y")
+    return texts.select("key", "low", "n", "prefix").join(parts, F.col("key") == F.col("node"), "left").select(
+        "key", "low", "n", "prefix", F.coalesce("component", "key").alias("part"))
+
+
+def _all_at(texts: DataFrame, near: DataFrame, docs: DataFrame, similarity: float, doc_id: str,
+            text: str) -> DataFrame:
+    """``near`` and what it lacks: links (x, y) so that all texts at ``similarity`` hang together.
+
+    An exact join over prefixes of shingles in the order of their hashes.  Pairs are compared unless
+    they hang together by ``near``.  Texts that share a hot shingle are joined again among themselves
+    with the hot shingles last in order; shingles that are hot again are dealt in blocks of texts.
+    """
+    rows = materialize(_parted(texts, near), "parted")
+    found = materialize(_sharing(_entries(rows), similarity), "sharing")
+    pairs = materialize(found.where("y IS NOT NULL").distinct(), "prefix_pairs")
+    hot = found.where("y IS NULL").select("x").distinct()
+    # one number per shingle that over SHARED texts of several components have in their prefixes
+    hot = np.sort(hot.toArrow()["x"].to_numpy().view(np.uint64))
+    discard(found)
+    if not pairs.isEmpty():
+        near = near.union(_held(pairs, texts, docs, similarity, doc_id, text))
+    if not hot.size:
+        return near
+
+    def has_hot(batches: Batches) -> Batches:
+        for batch in batches:
+            keep = [bool(np.isin(np.frombuffer(p, np.uint64), hot).any()) for p in column(batch, "prefix").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    some = in_batches(rows.select("key", "low", "n", "prefix"), has_hot, "key long, low {}, n int, prefix binary".format(
+        rows.schema["low"].dataType.simpleString()))
+    some = materialize(some, "hot_texts")
+    raw = _first_rows(docs, some, doc_id, text).select(F.col("__key").alias("key"), F.col(text).alias("t"))
+
+    def again(batches: Batches) -> Batches:
+        for batch in batches:
+            made = []
+            for t in column(batch, "t").cast(pa.binary()).to_pylist():
+                hashes = _word_hashes(t or b"")
+                shingles = np.unique(_shingles(hashes)) if hashes.size else hashes
+                made.append(prefix_of(shingles, similarity, hot).tobytes())
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(made, pa.binary())], ["key", "prefix"])
+
+    anew = in_batches(raw, again, "key long, prefix binary").dropDuplicates(["key"])
+    rows = materialize(_parted(some.drop("prefix").join(anew, "key"), near), "parted")
+    entries = _entries(rows)
+    found = materialize(_sharing(entries, similarity), "sharing")
+    pairs = found.where("y IS NOT NULL").distinct()
+    still = found.where("y IS NULL").select(F.col("x").alias("h")).distinct()
+    if not still.isEmpty():
+        pairs = pairs.union(_sharing(_cells(entries, materialize(still, "hot")), similarity, None)).distinct()
+    pairs = materialize(pairs, "prefix_pairs")
+    discard(found)
+    return near if pairs.isEmpty() else near.union(_held(pairs, texts, docs, similarity, doc_id, text))
+
+
+def _cells(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """The ``entries`` of ``hot`` shingles (h), each pair of blocks of texts under an ``h`` of its own."""
+    mine = materialize(entries.join(hot, "h", "left_semi"), "hot_entries")
+    blocks = mine.groupBy("h").agg(F.ceil(F.count("*") / (5 * SHARED)).cast("long").alias("blocks"))
+    dealt = mine.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("h"),
+                        "key", "n", "place", "part")
+
+
 def share_of(a: np.ndarray, b: np.ndarray) -> float:
     """Share of common shingles of two sets, each without repeats."""
     common = np.intersect1d(a, b, assume_unique=True).size
@@ -365,19 +533,20 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, budget: int = 3, doc_i
                 text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies: the one of the smallest id.
 
-    Texts are near copies if they share ``similarity`` of their shingles of five words.  Candidates
+    Texts are near copies if they share ``similarity`` of their shingles of five words.  First candidates
     are texts whose fingerprints link at ``budget`` bits: over three words, and over single words
     with several seeds, which few edits leave close.  Beside the links themselves each text is compared
     with the text of the smallest id that its links lead to.  A candidate counts if the shingles
-    of both texts say so; groups are the components of what counts.
+    of both texts say so.  Then an exact join over prefixes of shingles compares all pairs that may
+    count and do not hang together yet; groups are the components of what counts.
 
     Equal texts are one node, whatever their number.  Null texts equal empty ones.  Null ids come
     last; rows equal in id and text are one.  The result has the columns of ``docs``.
     """
-    prints = materialize(_texts(docs, doc_id, text), "prints")
+    prints = materialize(_texts(docs, doc_id, text, similarity), "prints")
     spaces = [f"f{k}" for k in range(1 + len(WORD_SEEDS))]
     texts = materialize(prints.groupBy("key").agg(
-        F.min("doc_id").alias("low"), *[F.any_value(f).alias(f) for f in (*spaces, "sketch")]), "texts")
+        F.min("doc_id").alias("low"), *[F.any_value(f).alias(f) for f in (*spaces, "sketch", "n", "prefix")]), "texts")
     discard(prints)
     order = F.struct(F.col("low").isNull(), "low", "key")
     laid = texts.select("key", "low", F.posexplode(F.array(*spaces)).alias("space", "fp"))
@@ -399,6 +568,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, budget: int = 3, doc_i
         F.least("key", "leader").alias("x"), F.greatest("key", "leader").alias("y"))
     pairs = materialize(pairs.union(stars).distinct(), "compared")
     near = _held(pairs, texts, docs, similarity, doc_id, text)
+    near = materialize(_all_at(texts, near, docs, similarity, doc_id, text), "near")
     groups = components(near, "x", "y")
     named = materialize(texts.select("key", "low").join(groups, F.col("key") == F.col("node"), "left").select(
         "key", "low", F.coalesce("component", "key").alias("group")), "grouped")

@@ -139,6 +139,22 @@ def test_near_copies_of_long_texts_are_decided_by_all_shingles(spark):
     assert near == {keys[2 * g] for g in range(1, 30, 2)}
 
 
+def test_near_copies_that_differ_by_a_block(spark):
+    """Text appended, trimmed or put in front: all at 0.8 or more go, what is below stays."""
+    rng = random.Random(13)
+    rows, kept = [], set()
+    for g in range(60):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.choice((60, 250, 700)))]
+        more = [f"m{rng.randrange(10 ** 6)}" for _ in range(len(words) // 5)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words + more)), (10 * g + 2, " ".join(more + words)),
+                 (10 * g + 3, " ".join(words[:-len(words) // 6])), (10 * g + 4, " ".join(words + [f"{k}{m}" for m in more for k in "abc"]))]
+        assert all(jaccard(rows[-5][1], t) >= .8 for _, t in rows[-4:-1])
+        assert all(jaccard(rows[-1][1], t) < .8 for _, t in rows[-5:-1])
+        kept |= {10 * g, 10 * g + 4}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in simhash.near_copies(docs).collect()} == kept
+
+
 def test_tile_products_keep_their_bound():
     rng = np.random.default_rng(5)
     base = rng.standard_normal((40, 48))
