@@ -155,6 +155,27 @@ def test_near_copies_that_differ_by_a_block(spark):
     assert {r.doc_id for r in simhash.near_copies(docs).collect()} == kept
 
 
+def test_near_copies_in_a_hot_family(spark, monkeypatch):
+    """Variants below 0.8 of each other that share most shingles, each with a twin."""
+    monkeypatch.setattr(simhash, "SHARED", 10)
+    monkeypatch.setattr(simhash._sharing, "__defaults__", (10,))
+    rng = random.Random(14)
+    base, rows = [f"w{k}" for k in range(220)], []
+    for g in range(150):
+        words = list(base)
+        for k in rng.sample(range(5, 215, 6), 8):
+            words[k] = f"v{g}x{k}"
+        twin = list(words)
+        twin[110 + g % 90] = "other"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(twin))]
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(216)} for _, t in rows]
+    links = [(i, j) for i in range(300) for j in range(i) if len(sets[i] & sets[j]) >= .8 * len(sets[i] | sets[j])]
+    top = groups(300, links)
+    assert 100 < len({*top}) <= 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in simhash.near_copies(docs).collect()} == {*top}
+
+
 def test_tile_products_keep_their_bound():
     rng = np.random.default_rng(5)
     base = rng.standard_normal((40, 48))
