@@ -12,8 +12,6 @@ from .common import Batches, add_columns, column, in_batches, sliced, texts_of,
 
 ORDER = 6  #: bytes of an expression: five of context and the one they predict
 DISCOUNT = 0.75
-#: The scoring tables have 2**GRAM_BITS and 2**CONTEXT_BITS slots, whatever the corpus holds.
-GRAM_BITS, CONTEXT_BITS = 22, 20
 #: Documents the decision is fitted on, about; drawn by hash from rows the counts leave out.
 CALIBRATION_DOCS = 20_000
 #: A word's log ratio above this counts as excess.
@@ -114,7 +112,7 @@ def _backoff(counts: DataFrame) -> DataFrame:
 
 
 def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Log ratios toxic to ordinary: (gram, ratio, weight) seen, (context, ratio, weight) for the rest.
+    """Log ratios toxic to ordinary: (gram, ratio) seen, (context, ratio) for the rest.
 
     A gram that neither class has seen takes both classes' backoff weight times the same shared
     probability, so its ratio depends on the context alone.
@@ -134,53 +132,79 @@ def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     below = _backoff(counts).select(F.col("gram").alias("tail"), "p")
     known = counts.join(context, "context").join(below, "tail")
-    weight = (F.col("toxic_docs") + F.col("other_docs")).alias("weight")
-    return (known.select("gram", F.log(chance("toxic") / chance("other")).alias("ratio"), weight),
-            context.select("context", F.log(spare("toxic") / spare("other")).alias("ratio"),
-                           (F.col("toxic_total") + F.col("other_total")).alias("weight")))
+    return (known.select("gram", F.log(chance("toxic") / chance("other")).alias("ratio")),
+            context.select("context", F.log(spare("toxic") / spare("other")).alias("ratio")))
 
 
-def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys * _MIX) >> np.uint64(64 - bits)
+class Table:
+    """The ratio of every key it was made of; others have none.
 
+    Keys are kept whole, in the order of their product with an odd number, which no two share.  The
+    leading bits of the product tell where a key's few neighbours begin; bits grow with the keys.
+    """
 
-def _slotted(table: DataFrame, key: str, bits: int) -> np.ndarray:
-    """A table of ``2**bits`` ratios; expressions that share a slot are averaged by weight.
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        mixed = keys * _MIX
+        order = np.argsort(mixed)
+        self.mixed, self.ratios = mixed[order], ratios[order].astype(np.float32)
+        self.shift = np.uint64(64 - max(8, int(keys.size).bit_length()))
+        self._lay_starts()
+
+    def _lay_starts(self) -> None:
+        counts = np.bincount((self.mixed >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32 if self.mixed.size < 1 << 31 else np.int64)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "starts"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._lay_starts()
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The ratio of each key, nan if it has none."""
+        made = np.full(keys.size, np.nan, np.float32)
+        mixed = keys * _MIX
+        slot = (mixed >> self.shift).astype(np.int64)
+        at, end = self.starts[slot], self.starts[slot + 1]
+        left = np.flatnonzero(at < end)
+        at, end, mixed = at[left], end[left], mixed[left]
+        while left.size:
+            hit = self.mixed[at] == mixed
+            made[left[hit]] = self.ratios[at[hit]]
+            at = at + 1
+            more = ~hit & (at < end)
+            left, at, end, mixed = left[more], at[more], end[more], mixed[more]
+        return made
 
-    Shrunk to slots by Spark; at most ``2**bits`` pairs reach the driver.
-    """
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            keys = column(batch, key).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(_slots(keys, bits).astype(np.int32)), column(batch, "ratio"), column(batch, "weight")],
-                ["slot", "ratio", "weight"])
 
-    rows = in_batches(table.select(key, "ratio", "weight"), run, "slot int, ratio double, weight long")
-    rows = rows.groupBy("slot").agg((F.sum(F.col("ratio") * F.col("weight")) / F.sum("weight"))
-                                    .cast("float").alias("ratio")).toArrow()
-    made = np.full(1 << bits, np.nan, np.float32)
-    made[rows["slot"].to_numpy()] = rows["ratio"].to_numpy()
-    return made
+def _collected(table: DataFrame, key: str) -> Table:
+    """All rows of ``table`` as a ``Table``: twelve bytes a row, it grows with what the corpus holds."""
+    rows = table.select(F.col(key).alias("key"), F.col("ratio").cast("float").alias("ratio")).toArrow()
+    return Table(rows["key"].to_numpy().view(np.uint64), rows["ratio"].to_numpy())
 
 
 @dataclass
 class Model:
-    """Scoring tables of fixed size and the decision fitted on them."""
+    """Scoring tables and the decision fitted on them."""
 
-    grams: np.ndarray
-    contexts: np.ndarray
+    grams: Table
+    contexts: Table
     centre: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
 
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        """Log ratio of each gram: its own if the training rows hold it, else that of its context, or 0."""
+        ratio = self.grams.find(keys)
+        rest = np.flatnonzero(np.isnan(ratio))
+        ratio[rest] = np.nan_to_num(self.contexts.find(keys[rest] >> np.uint64(8)))
+        return ratio
+
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: mean log ratio per byte, the three highest of a word, mean excess per word."""
         raw, starts, sizes = lay_out(texts)
-        keys = grams(raw)
-        ratio = self.grams[_slots(keys, GRAM_BITS)]
-        rest = np.flatnonzero(np.isnan(ratio))
-        ratio[rest] = np.nan_to_num(self.contexts[_slots(keys[rest] >> np.uint64(8), CONTEXT_BITS)])
+        ratio = self.ratios(grams(raw))
         upto = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
         blank = np.flatnonzero((raw <= 32) & (raw > 0))
         made = np.zeros((len(texts), 5))
@@ -230,8 +254,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str
     held = F.pmod("draw", F.lit(8)) == 0
     counts = materialize(gram_counts(rows.where(~held), text, toxic), "grams")
     seen, rest = ratios(counts)
-    model = Model(_slotted(seen, "gram", GRAM_BITS), _slotted(rest, "context", CONTEXT_BITS),
-                  np.zeros(5), np.ones(5), np.zeros(6))
+    model = Model(_collected(seen, "gram"), _collected(rest, "context"), np.zeros(5), np.ones(5), np.zeros(6))
     many = rows.where(held).count()
     share = min(1.0, CALIBRATION_DOCS / max(many, 1))
 

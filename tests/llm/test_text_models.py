@@ -85,6 +85,23 @@ def test_toxicity_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in made.collect())
 
 
+def test_toxic_ratios_are_kept_apart(spark):
+    """Expressions that shared a slot of the old tables of 2**22: each has its own ratio, or its context's."""
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(0, 1 << 48, 40_000, dtype=np.uint64))
+    slots = keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)
+    order = np.argsort(slots, kind="stable")
+    same = np.flatnonzero(np.diff(slots[order]) == 0)
+    seen, strangers = keys[order[same]], np.setdiff1d(keys[order[same + 1]], keys[order[same]])
+    assert strangers.size > 100
+    rows = spark.createDataFrame([(k, float(n)) for n, k in enumerate(seen.astype(np.int64).tolist())], "gram long, ratio double")
+    context = int(strangers[0]) >> 8
+    rest = spark.createDataFrame([(context, -3.0)], "context long, ratio double")
+    model = toxicity.Model(toxicity._collected(rows, "gram"), toxicity._collected(rest, "context"), *[np.zeros(5)] * 3)
+    assert model.ratios(seen).tolist() == list(range(seen.size))
+    assert model.ratios(strangers).tolist() == [-3.0 if int(k) >> 8 == context else 0.0 for k in strangers]
+
+
 def test_toxicity_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string, toxic int")
     model = toxicity.fit(none)
