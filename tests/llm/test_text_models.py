@@ -154,6 +154,36 @@ def test_leaks_and_recall(spark, sf_dir):
     assert got[60_000] == got[60_001] == got[60_002] == [] and got[None] == [items[0][0]]
 
 
+def test_leaks_of_a_dominant_item_and_of_short_ones(spark):
+    """Over the fitting sample; a third of the rows are short texts with variants of one item."""
+    rng = random.Random(10)
+    names = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"]
+    item, other = rng.sample(names, 24), rng.sample(names, 20)
+    short, answered = ["quo", "vadis", "domine"], ["cui", "bono"]
+    rows, want = [], {}
+    for n in range(4_500):
+        words = rng.choices(names, k=rng.randrange(8, 30))
+        if n % 3 == 0:
+            words = words[:3] + [w for w in item if rng.random() > .1]
+        if n % 100 == 1:
+            words += other
+        if n % 100 == 2:
+            words += short
+        if n % 100 == 4:
+            words += ["quo", "domine", "vadis", *answered]
+        if n % 100 == 5:
+            words += [*answered, "lucro"]
+        rows.append((n, " ".join(words)))
+        want[n] = ({1} if n % 3 == 0 and decontaminate.common_subsequence(item, words) >= 20 else set()) | (
+            {2} if n % 100 == 1 else set()) | ({3} if n % 100 == 2 else set()) | ({4} if n % 100 == 5 else set())
+    bench = spark.createDataFrame([(1, " ".join(item), None), (2, " ".join(other), None), (3, "Quo vadis, domine?", None),
+                                   (4, "Cui bono", "lucro"), (5, "?!", None)], "item_id long, text string, answer string")
+    made = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, answer="answer")
+    got = {r.doc_id: {x.item for x in r.leaks} for r in made.collect()}
+    assert {n: want[n] - got[n] for n in want if want[n] - got[n]} == {}
+    assert all(got[n] <= {1} | want[n] and (n % 3 == 0 or 1 not in got[n]) for n in want)
+
+
 def test_answer_column(spark):
     item = "which small river crosses the old stone town before it meets the northern sea"
     docs = spark.createDataFrame([(1, item + " the answer is Wharfe"), (2, item), (3, "unrelated words only here")],
