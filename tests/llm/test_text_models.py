@@ -154,6 +154,18 @@ def test_leaks_and_recall(spark, sf_dir):
     assert got[60_000] == got[60_001] == got[60_002] == [] and got[None] == [items[0][0]]
 
 
+def test_items_in_several_blocks_are_numbered_without_one_task(spark, monkeypatch):
+    from faultmill.llm import common
+    placed = []
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 3)
+    monkeypatch.setattr(decontaminate, "numbered", lambda *a: placed.append(a[2]) or common.numbered(*a))
+    items = [(n, f"alpha{n} beta{n} gamma{n}") for n in range(8)]
+    docs = spark.createDataFrame([(n, f"before {t} behind") for n, t in items], "doc_id long, text string")
+    made = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string").repartition(4))
+    assert {r.doc_id: [x.item for x in r.leaks] for r in made.collect()} == {n: [n] for n, _ in items}
+    assert placed == ["at"]
+
+
 def test_leaks_of_a_dominant_item_and_of_short_ones(spark):
     """Over the fitting sample; a third of the rows are short texts with variants of one item."""
     rng = random.Random(10)
