@@ -48,6 +48,9 @@ class Lines(HTMLParser):
         self.tags: list[int] = []
         self.links: list[int] = []
         self.places: list[tuple[bool, int]] = []  # furniture, number of the content element or 0
+        self.paths: list[tuple[int, ...]] = []  # numbers of the open blocks, outermost first
+        self._numbers: list[int] = []  # as ``open``
+        self._elements = 0
         self._contents = 0
         self._held: list[str] = []
         self._tags = self._linked = 0
@@ -62,6 +65,7 @@ class Lines(HTMLParser):
             self.tags.append(self._tags)
             self.links.append(min(self._linked, len(text)))
             self.places.append((self._flag(2), self.open[-1][3] if self.open else 0))
+            self.paths.append(tuple(n for n, e in zip(self._numbers, self.open, strict=True) if e[0] in BLOCKS))
         if text or self._held:
             self._tags = self._linked = 0
         self._held = []
@@ -71,7 +75,7 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
         while self.open and tag in CLOSES.get(self.open[-1][0], ()):
-            self.open.pop()
+            self._pop()
         if tag in VOID:
             return
         given = {k: (v or "").lower() for k, v in attrs}
@@ -85,13 +89,19 @@ class Lines(HTMLParser):
                      or given.get("aria-hidden") == "true" or (tag not in CONTENT | {"body", "html"}
                                                                and bool(ROLES.search(named))))
         self.open.append((tag, tag in SILENT, furniture, inside))
+        self._elements += 1
+        self._numbers.append(self._elements)
+
+    def _pop(self) -> None:
+        self.open.pop()
+        self._numbers.pop()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag in VOID:
             return
         if tag in ("svg", "math", "path") and self.open and self.open[-1][0] == tag:
-            self.open.pop()
+            self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
@@ -99,9 +109,15 @@ class Lines(HTMLParser):
             self._end_line()
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
+                del self.open[k:], self._numbers[k:]
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # an unknown section is a comment, up to its >
+            return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data: str) -> None:
         if self._flag(1):
             return
@@ -129,7 +145,8 @@ def main_text(html: str) -> str:
     lines of menus, forms, notices and the like, by element, role or class, have none, and lines in
     an element that declares content weigh more.  Ratios are smoothed, and lines above a share of
     the mean form clusters.  A cluster in a declared element selects all its lines but furniture; a
-    cluster elsewhere selects its lines, and clusters that are not far apart what lies between.
+    cluster elsewhere selects its lines, and clusters that are not far apart or have lines in one
+    parent element what lies between.
     """
     page = Lines()
     try:
@@ -161,6 +178,13 @@ def main_text(html: str) -> str:
         chosen[places[0]:places[-1] + 1] = True
         for at in np.flatnonzero(np.diff(places) > 6):  # far apart: what lies between is no content
             chosen[places[at] + 1:places[at + 1]] = False
+        ends: dict[tuple[int, ...], list[int]] = {}
+        for at in places.tolist():  # unless one element holds both
+            path = page.paths[at]
+            for parent in {path, path[:-1]}:
+                ends.setdefault(parent, [at, at])[1] = at
+        for first, last in ends.values():
+            chosen[first:last + 1] = True
         chosen &= usable
     return "\n".join(page.texts[i] for i in np.flatnonzero(chosen).tolist())
 

@@ -224,6 +224,27 @@ def test_main_text(html, want):
     assert htmltext.main_text(html or "") == want
 
 
+def test_main_text_of_div_pages_loses_no_middle():
+    long = ["Long story here and on. " * 20, "And it ends like this. " * 20]
+    long = [t.strip() for t in long]
+    short = [f"item {k}" for k in range(12)]
+    for middle in ("<ul>" + "".join(f"<li>{t}</li>" for t in short) + "</ul>",
+                   "<table>" + "".join(f"<tr><td>{t}</td></tr>" for t in short) + "</table>",
+                   "".join(f"<p><b><i>{t}</i></b></p>" for t in short)):
+        page = f"<body><div class=text><p>{long[0]}</p>{middle}<p>{long[1]}</p></div></body>"
+        assert htmltext.main_text(page) == "\n".join([long[0], *short, long[1]])
+    apart = "".join(f"<div><p>{t}</p></div>" for t in short)
+    page = f"<body><div><p>{long[0]}</p></div><div>{apart}</div><div><p>{long[1]}</p></div></body>"
+    assert short[5] not in htmltext.main_text(page).split("\n")
+
+
+@pytest.mark.parametrize("odd", ["<![foo[x]]>", "<![ x]>", "<![>", "<![1[>", "<!foo>"])
+def test_text_behind_unknown_sections_stays(odd):
+    page = f"<body><div><p>{'Before it. ' * 20}</p>{odd}<p>{'Behind it. ' * 20}</p></div></body>"
+    text = htmltext.main_text(page)
+    assert text.startswith("Before it.") and text.endswith("Behind it.")
+
+
 def test_extract_columns(spark):
     rows = [(i, html, "old", 1) for i, (html, _) in enumerate(PAGES)] + [(None, PAGES[0][0], None, None)]
     pages = spark.createDataFrame(rows, "page_id long, html string, text string, url long")
