@@ -4,11 +4,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, htmltext, langid, sharding, simhash, tokencounts, tokenfiles, toxicity
+from . import (
+    bpe,
+    decontaminate,
+    embeddings,
+    htmltext,
+    langid,
+    sentencepieces,
+    sharding,
+    simhash,
+    tokencounts,
+    tokenfiles,
+    toxicity,
+)
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 END_ID = 2
 
 
@@ -87,6 +100,16 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids and decoded text of every document, as digests."""
+    path = public_tokenizers.path(PIECE_BPE)
+    coded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    listed = coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
+    return sentencepieces.decode(listed, path).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_shards": op2_shards,
@@ -98,5 +121,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_html": op10_html,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 ORACLE_SQL = {"op1_embeddings": embeddings.ORACLE_SQL}
