@@ -8,6 +8,7 @@ from . import (
     bpe,
     decontaminate,
     embeddings,
+    hardnegatives,
     htmltext,
     langid,
     sentencepieces,
@@ -110,6 +111,13 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh one has its label moved on."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_shards": op2_shards,
@@ -122,5 +130,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_html": op10_html,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_hard_negatives": op12_hard_negatives,
 }
-ORACLE_SQL = {"op1_embeddings": embeddings.ORACLE_SQL}
+ORACLE_SQL = {"op1_embeddings": embeddings.ORACLE_SQL, "op12_hard_negatives": hardnegatives.ORACLE_SQL}
