@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    conversations,
     decontaminate,
     embeddings,
     hardnegatives,
@@ -118,6 +119,20 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text, as a digest, of every damaged conversation."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    mended = conversations.repair(conversations.damaged(given))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    named = mended.summary.withColumnRenamed("conv_id", "c").join(
+        conversations.digests(mended.texts), F.col("c").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    every = given.select("conv_id").distinct().join(named, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    return every.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_shards": op2_shards,
@@ -131,5 +146,6 @@ QUERIES = {
     "op10_html": op10_html,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL = {"op1_embeddings": embeddings.ORACLE_SQL, "op12_hard_negatives": hardnegatives.ORACLE_SQL}

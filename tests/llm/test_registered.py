@@ -25,6 +25,10 @@ CONTRACT = {
     "op8_decontamination": ["doc_id", "contaminated", "items"],
     "op9_token_counts": ["doc_id", "section", "start", "stop", "n_tokens", "n_shared"],
     "op10_html": ["page_id", "url", "text", "n_chars"],
+    "op11_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op13_conversation_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                                 "repaired_sha256"],
 }
 
 
@@ -41,7 +45,9 @@ def documents(spark, sf_dir):
 def test_columns_and_rows(results, documents, spark, sf_dir):
     rows = {"op1_embeddings": table(spark, sf_dir, "embeddings").count(),
             "op10_html": table(spark, sf_dir, "pages").count(),
-            "op9_token_counts": sum(t.count("\n") + 1 for t in documents.values())}
+            "op9_token_counts": sum(t.count("\n") + 1 for t in documents.values()),
+            "op12_hard_negatives": len(results["op12_hard_negatives"]),  # compared with its SQL below
+            "op13_conversation_repair": table(spark, sf_dir, "conversations").select("conv_id").distinct().count()}
     for name, columns in CONTRACT.items():
         assert list(results[name].columns)[:len(columns)] == columns
         assert len(results[name]) == rows.get(name, len(documents))
