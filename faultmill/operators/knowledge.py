@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import short_id
 from ..rules import fixed_values as fv
+from ..rules import needed
 from ..rules.wording import KB_TEXTS, LEARNED_DEFAULT_FIX
-from ..session import ship
+from ..session import materialize, scratch_path, ship
 
 KB_SCHEMA = (
     "kb_id string, workspace_id string, platform string, pattern string, is_literal boolean, "
@@ -47,7 +48,7 @@ def seed(existing: DataFrame) -> DataFrame:
 def _compiled(pattern: str | None) -> re.Pattern | None:
     try:
         return re.compile(pattern or "", re.I | re.S)
-    except re.error:
+    except (re.error, OverflowError, RecursionError):
         return None
 
 
@@ -103,129 +104,157 @@ def learn(judged: DataFrame, incidents: DataFrame, pipelines: DataFrame) -> Data
 
 # --- matching ------------------------------------------------------------------------------------
 
-#: Distinct literals searched in one pass over the logs: the bound of what a pass carries.
+#: Distinct literals and patterns searched in one pass over the logs: the bound of what a pass carries.
 LITERALS_AT_ONCE = 20_000
 
-_HIT = "log_id string, workspace_id string, platform string, at timestamp, literal_key long"
+_HIT = "log_id string, kb_id string, score int, created_at timestamp"
 
 
-def _occurring(logs: DataFrame, wanted: list[tuple[str, str, int]]) -> DataFrame:
-    """One row per log and wanted literal (workspace, text, key) of its workspace that it contains.
+class Finder:
+    """Looks for rows of a knowledge table in texts, all of them in one pass over a text.
 
-    One automaton finds all literals in one pass over a text, however many there are and however
-    short, so no text leaves the task that read it.
+    One automaton holds the literals of literal rows and, for pattern rows, the literals that each of
+    their matches needs.  A pattern runs only on a text that holds one of its literals, so patterns
+    that cannot match cost nothing; those without any run on every text in their scope.
     """
+
+    def __init__(self, rows: list[tuple]):
+        """``rows``: (workspace, platform, literal, text, id, created)."""
+        self.automaton = ahocorasick.Automaton()
+        self.always: list[int] = []
+        self.scopes: list[dict[str | None, list[tuple]]] = []
+        self.patterns: list[re.Pattern | None] = []
+        places: dict[tuple, int] = {}
+        words: dict[str, list[int]] = {}
+        for workspace, platform, literal, text, kb_id, created in rows:
+            key = literal, needed.fold(text) if literal else text
+            if key not in places:
+                pattern = None if literal else _compiled(text)
+                if not literal and pattern is None:
+                    continue  # a pattern that does not compile matches nothing
+                places[key] = len(self.scopes)
+                self.scopes.append({})
+                self.patterns.append(pattern)
+                needs = [key[1]] if literal else needed.required(text)
+                if needs is None:
+                    self.always.append(places[key])
+                for word in needs or ():
+                    words.setdefault(word, []).append(places[key])
+            self.scopes[places[key]].setdefault(workspace, []).append((created, kb_id, platform))
+        for word, entries in words.items():
+            self.automaton.add_word(word, entries)
+        if words:
+            self.automaton.make_automaton()
+
+    def matches(self, workspace: str | None, platform: str | None, at, text: str | None,
+                best: int | None) -> list[tuple[str, int, object]]:
+        """(id, score, created) of the rows found, the ``best`` ones of them, best first."""
+        text = text or ""
+        entries = set(self.always)
+        if len(self.automaton):
+            for _, found in self.automaton.iter(needed.fold(text)):
+                entries.update(found)
+        hits = []
+        for entry in entries:
+            rows = [(0, r) for r in self.scopes[entry].get(None, ())]
+            if workspace is not None:
+                rows += [(2, r) for r in self.scopes[entry].get(workspace, ())]
+            rows = [(own, r) for own, r in rows if at is not None and r[0] <= at]
+            pattern = self.patterns[entry]
+            if rows and (pattern is None or pattern.search(text)):
+                hits += [(-own - (platform is not None and of == platform), created, kb_id)
+                         for own, (created, kb_id, of) in rows]
+        hits.sort()
+        return [(kb_id, -score, created) for score, created, kb_id in hits[:best]]
+
+
+def _found(logs: DataFrame, rows: list[tuple], best: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for workspace, literal, key in wanted:
-            automaton.get(literal, None) or automaton.add_word(literal, {})
-            automaton.get(literal)[workspace] = key
-        automaton.make_automaton()
+        finder = Finder(rows)
         for batch in batches:
-            names = batch.schema.names[:-1]
-            workspaces = batch.column("workspace_id").to_pylist()
-            rows, keys = [], []
-            for row, (workspace, text) in enumerate(zip(
-                    workspaces, batch.column("folded").to_pylist(), strict=True)):
-                found = {by[workspace] for _, by in automaton.iter(text or "") if workspace in by}
-                rows.extend([row] * len(found))
-                keys.extend(sorted(found))
-            taken = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(name).take(taken) for name in names] + [pa.array(keys, pa.int64())],
-                [*names, "literal_key"])
+            made = [(log_id, *hit) for log_id, workspace, platform, at, log in zip(
+                *[batch.column(c).to_pylist() for c in ("log_id", "workspace_id", "platform", "micros", "log")],
+                strict=True) for hit in finder.matches(workspace, platform, at, log, best)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string()),
+                pa.array([m[2] for m in made], pa.int32()),
+                pa.array([m[3] for m in made], pa.timestamp("us", tz="UTC"))],
+                ["log_id", "kb_id", "score", "created_at"])
 
     ship(logs.sparkSession)
-    folded = logs.select("log_id", "workspace_id", "platform", "at", F.lower("log").alias("folded"))
-    return folded.mapInArrow(run, _HIT)
+    return logs.select("log_id", "workspace_id", "platform", F.unix_micros("at").alias("micros"), "log").mapInArrow(run, _HIT)
 
 
-def match_learned(logs: DataFrame, kb: DataFrame) -> DataFrame:
-    """Learned literals of the log's workspace that occur in the log, ignoring case.
+def match_table(logs: DataFrame, kb: DataFrame, best: int | None = fv.KB_HITS) -> DataFrame:
+    """Rows of the table, global or of the log's workspace, that the log holds and that were known
+    when it came in: log_id, kb_id, score, created_at.
+
+    ``logs``: log_id, workspace_id, platform, at, log.  Literal rows are looked for ignoring case,
+    pattern rows run case-blind with dots that match line ends.  With ``best`` only rows that can be
+    among so many best of a log are given: of equal rows of one workspace and platform the first ones
+    precede the others in every log, so no more of them are carried, however often a row is learned.
 
-    ``logs``: log_id, workspace_id, platform, at, log.  Gives log_id, kb_id, score, created_at for
-    every row of the table that matches.  Distinct literals are searched in blocks, each in one
-    pass over the logs; only ids of hits are shuffled, and rows with equal literals are looked up
-    from them.  ``kb`` is read several times: pass a stored table.
+    Distinct texts are searched in blocks.  A block is all that the driver or a task holds of the
+    table, and its hits are stored before the next one: no log text is shuffled or copied.
     """
-    usable = kb.filter(
-        F.col("is_literal") & F.col("workspace_id").isNotNull()
-        & (F.coalesce(F.col("pattern"), F.lit("")) != "")
-    ).withColumn("literal", F.lower("pattern")).withColumn(
-        "literal_key", F.xxhash64("workspace_id", "literal"))
-    literals = usable.select("workspace_id", "literal", "literal_key").distinct()
-    blocks = -(-literals.count() // LITERALS_AT_ONCE)
-    hits = logs.sparkSession.createDataFrame([], _HIT)
+    usable = kb.filter((F.coalesce(F.col("pattern"), F.lit("")) != "") & F.col("created_at").isNotNull()).select(
+        "workspace_id", "platform", F.coalesce("is_literal", F.lit(False)).alias("is_literal"), "pattern", "kb_id",
+        F.unix_micros("created_at").alias("created"),
+        F.xxhash64(F.when(F.col("is_literal"), F.lower("pattern")).otherwise(F.col("pattern")), "is_literal").alias("part"))
+    if best is not None:
+        alike = Window.partitionBy("workspace_id", "platform", "is_literal", "part").orderBy("created", "kb_id")
+        usable = usable.withColumn("place", F.row_number().over(alike)).filter(F.col("place") <= best).drop("place")
+    usable = materialize(usable, "knowledge")
+    spark, found = logs.sparkSession, None
+    blocks = -(-usable.count() // LITERALS_AT_ONCE)
+    if not blocks:
+        return spark.createDataFrame([], _HIT)
+    path = scratch_path(spark, "knowledge-hits")
     for number in range(blocks):
-        block = literals.filter(F.pmod("literal_key", F.lit(blocks)) == number).collect()
-        found = _occurring(logs, [tuple(row) for row in block])
-        hits = found if number == 0 else hits.unionByName(found)
-    score = F.lit(2) + F.when(F.col("kb_platform") == F.col("platform"), 1).otherwise(0)
-    return (
-        hits.join(usable.select("workspace_id", "literal_key", "kb_id", "created_at",
-                                F.col("platform").alias("kb_platform")),
-                  ["workspace_id", "literal_key"])
-        .filter(F.col("created_at") <= F.col("at"))
-        .select("log_id", "kb_id", score.alias("score"), "created_at")
-    )
+        rows = usable.filter(F.pmod("part", F.lit(blocks)) == number).drop("part").collect()
+        found = _found(logs, [tuple(row) for row in rows], best)
+        if blocks > 1:
+            found.write.mode("append").parquet(path)
+    return found if blocks == 1 else spark.read.schema(_HIT).parquet(path)
+
+
+def match_learned(logs: DataFrame, kb: DataFrame) -> DataFrame:
+    """Every literal row of the log's workspace that occurs in the log."""
+    return match_table(logs, kb.filter(F.col("is_literal") & F.col("workspace_id").isNotNull()), None)
 
 
 def match_patterns(logs: DataFrame, kb: DataFrame) -> DataFrame:
-    """Pattern rows of the table (global, or of the log's workspace) found in the log.
+    """Every pattern row of the table, global or of the log's workspace, found in the log."""
+    return match_table(logs, kb.filter(~F.col("is_literal")), None)
 
-    Patterns are data: they are compiled once per task, ones that do not compile match nothing.
-    A pattern table is written by people and searched in blocks like literals.
-    """
-    usable = kb.filter(~F.col("is_literal") & (F.coalesce(F.col("pattern"), F.lit("")) != "")).select(
-        "kb_id", "workspace_id", "platform", "pattern", "created_at", F.xxhash64("kb_id").alias("literal_key"))
-    blocks = -(-usable.count() // LITERALS_AT_ONCE)
-    hits = logs.sparkSession.createDataFrame([], _HIT)
-    for number in range(blocks):
-        rows = usable.filter(F.pmod("literal_key", F.lit(blocks)) == number).select(
-            "workspace_id", "pattern", "literal_key").collect()
-        found = _searched(logs, [tuple(row) for row in rows])
-        hits = found if number == 0 else hits.unionByName(found)
-    score = F.when(F.col("workspace_id").isNotNull(), 2).otherwise(0) + F.when(
-        F.col("kb_platform") == F.col("platform"), 1).otherwise(0)
-    return (
-        hits.drop("workspace_id").join(usable.select("literal_key", "workspace_id", "kb_id", "created_at",
-                                                     F.col("platform").alias("kb_platform")), "literal_key")
-        .filter(F.col("created_at") <= F.col("at"))
-        .select("log_id", "kb_id", score.alias("score"), "created_at")
-    )
 
+def _built_in(kb: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose pattern is a built-in one, with ``curated_id``, and the others."""
+    number = F.create_map(*[F.lit(x) for n, _, pattern, _ in fv.CURATED_KB for x in (pattern, n)])
+    marked = kb.withColumn("curated_id", F.when(
+        ~F.coalesce(F.col("is_literal"), F.lit(False)), F.try_element_at(number, F.coalesce("pattern", F.lit("")))))
+    return marked.filter(F.col("curated_id").isNotNull()), marked.filter(F.col("curated_id").isNull()).drop("curated_id")
 
-def _searched(logs: DataFrame, wanted: list[tuple[str | None, str, int]]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(w, p, key) for w, pattern, key in wanted if (p := _compiled(pattern))]
-        for batch in batches:
-            names = batch.schema.names[:-1]
-            rows, keys = [], []
-            for row, (workspace, text) in enumerate(zip(
-                    batch.column("workspace_id").to_pylist(), batch.column("log").to_pylist(), strict=True)):
-                found = [key for w, p, key in compiled if (w is None or w == workspace) and p.search(text or "")]
-                rows.extend([row] * len(found))
-                keys.extend(found)
-            taken = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(name).take(taken) for name in names] + [pa.array(keys, pa.int64())],
-                [*names, "literal_key"])
 
-    ship(logs.sparkSession)
-    return logs.select("log_id", "workspace_id", "platform", "at", "log").mapInArrow(run, _HIT)
+def match_curated(logs: DataFrame, kb: DataFrame, hits: str = "curated") -> DataFrame:
+    """Rows of the table with a built-in pattern, from the pattern ids found next to the log.
 
+    Platform and workspace score; a row matches only where the table holds it and it was known.
+    """
+    rows = _built_in(kb)[0].select("curated_id", F.col("workspace_id").alias("owner"), "kb_id",
+                                   F.col("platform").alias("kb_platform"), "created_at")
+    found = logs.select("log_id", "workspace_id", "platform", "at", F.explode(hits).alias("curated_id"))
+    score = F.when(F.col("owner").isNotNull(), 2).otherwise(0) + F.when(
+        F.col("kb_platform") == F.col("platform"), 1).otherwise(0)
 
-def match_curated(logs: DataFrame, hits: str = "curated") -> DataFrame:
-    """Curated rows from the hit ids found next to the log: platform scores, never filters."""
-    table = F.broadcast(curated_rows(logs.sparkSession).select(  # 13 rows by construction
-        "curated_id", "kb_id", F.col("platform").alias("kb_platform"), "created_at"))
-    return (
-        logs.select("log_id", "platform", F.explode(hits).alias("curated_id"))
-        .join(table, "curated_id")
-        .select("log_id", "kb_id",
-                F.when(F.col("kb_platform") == F.col("platform"), 1).otherwise(0).alias("score"),
-                "created_at")
-    )
+    def of(joined: DataFrame) -> DataFrame:
+        return joined.filter(F.col("created_at") <= F.col("at")).select(
+            "log_id", "kb_id", score.alias("score"), "created_at")
+
+    everywhere = found.join(rows.filter("owner IS NULL"), "curated_id")
+    owned = rows.filter("owner IS NOT NULL").withColumnRenamed("curated_id", "own_id")
+    return of(everywhere).unionByName(of(found.join(
+        owned, (F.col("curated_id") == F.col("own_id")) & (F.col("workspace_id") == F.col("owner")))))
 
 
 def curated_texts(hits: Column, platform: Column) -> Column:
@@ -257,20 +286,24 @@ def best_hits(*matches: DataFrame) -> DataFrame:
 
 
 def search(logs: DataFrame, kb: DataFrame) -> DataFrame:
-    """Global curated rows and the workspace's own learned rows known when the log came in.
+    """The five best rows of the table in each log: global ones and the workspace's own, known when
+    the log came in.
 
-    ``logs``: log_id, workspace_id (null for pasted logs), platform, at, log, curated.
+    ``logs``: log_id, workspace_id (null for pasted logs), platform, at, log, curated.  What the table
+    holds decides: built-in patterns count where their rows are there, found next to the log already;
+    all other rows, added, learned or owned, are looked for in one pass.  ``kb`` is read several times:
+    pass a stored table.
     """
-    return best_hits(match_curated(logs), match_learned(logs, kb))
+    return best_hits(match_curated(logs, kb), match_table(logs, _built_in(kb)[1]))
 
 
 def hit_texts(hits: DataFrame, kb: DataFrame) -> DataFrame:
     """Per log its hits with their texts, in rank order (at most five)."""
     columns = ["kb_id", "platform", "title", "cause", "fix"]
-    curated = F.broadcast(curated_rows(hits.sparkSession).select(*columns))  # 13 rows
-    learned = kb.filter(F.col("source") == "learned").select(*columns)
-    # the 13 rows that most logs hit never meet in one task; learned rows are joined by their id
-    detailed = hits.join(curated, "kb_id").unionByName(
-        hits.filter(~F.col("kb_id").startswith("curated-")).join(learned, "kb_id"))
+    seeded = F.col("kb_id").isin([f"curated-{n:02d}" for n, *_ in fv.CURATED_KB])
+    # the 13 rows that most logs hit never meet in one task; the others are joined by their id
+    few = F.broadcast(kb.filter(seeded).select(*columns))
+    detailed = hits.join(few, "kb_id").unionByName(
+        hits.filter(~seeded).join(kb.filter(~seeded).select(*columns), "kb_id"))
     return detailed.groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct(
         "hit_rank", "platform", "title", "cause", "fix"))).alias("kb_hits"))

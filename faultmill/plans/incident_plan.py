@@ -18,8 +18,9 @@ class IncidentPlan:
 
     ``failures``: failure records (with ``log`` where logs are searched or quoted);
     ``status_events``: status changes; ``events``: canonical runs.  ``answers`` and ``asked`` turn
-    incident openings into model answers and feedback when there are such feeds.  The failure
-    records are stored once, since every later table reads their short columns again.
+    incident openings into model answers and feedback when there are such feeds.  ``kb``: the stored
+    knowledge table, by default the curated rows; rows learned from feedback are added to it.  The
+    failure records are stored once, since every later table reads their short columns again.
     """
 
     events: DataFrame
@@ -27,6 +28,7 @@ class IncidentPlan:
     status_events: object
     answers: object = None
     asked: object = None
+    kb: DataFrame | None = None
 
     @cached_property
     def stored(self) -> DataFrame:
@@ -114,19 +116,25 @@ class IncidentPlan:
         return materialize(knowledge.learn(
             self.judged, self.incidents.drop("platform"), self.pipelines), "learned")
 
+    @cached_property
+    def known(self) -> DataFrame:
+        """The knowledge table that logs are searched for: what is stored and what was learned."""
+        given = self.kb
+        if given is None:
+            given = knowledge.curated_rows(self.events.sparkSession).drop("curated_id")
+        return given if self.asked is None else given.unionByName(self.learned)
+
     @cached_property
     def hits(self) -> DataFrame:
-        if self.asked is None:
-            return knowledge.best_hits(knowledge.match_curated(self.opening_logs.drop("log")))
-        return knowledge.search(self.opening_logs, self.learned)
+        return knowledge.search(self.opening_logs, self.known)
 
     @cached_property
     def findings(self) -> DataFrame:
         """Rule diagnoses with the fixes of knowledge hits."""
-        if self.asked is None:  # curated rows only: found next to the log, no join
+        if self.asked is None and self.kb is None:  # curated rows only: found next to the log, no join
             return diagnosis.by_rules(self.incidents.withColumn("kb_hits", knowledge.curated_texts(
                 F.col("curated"), F.col("platform"))))
-        texts = knowledge.hit_texts(self.hits, self.learned).withColumnRenamed("log_id", "incident_id")
+        texts = knowledge.hit_texts(self.hits, self.known).withColumnRenamed("log_id", "incident_id")
         return diagnosis.by_rules(self.incidents.join(texts, "incident_id", "left"))
 
     @cached_property
@@ -134,7 +142,7 @@ class IncidentPlan:
         """The stored and listed diagnoses: rule findings and fallbacks carry knowledge fixes."""
         found = self._diagnoses(self.findings)
         # rule findings alone are a projection of the stored incidents
-        return found if self.answers is None and self.asked is None else materialize(found, "diagnoses")
+        return found if self.answers is self.asked is self.kb is None else materialize(found, "diagnoses")
 
     def store(self, path: str, unit: str = "month") -> None:
         """Write incidents, diagnoses and the listing under ``path``: what readers then query.

@@ -39,8 +39,9 @@ def joined(texts: Column, separator: str = "\n") -> Column:
 
 
 def plan(spark: SparkSession, sf_dir: str, answers: bool = False, asked: bool = False,
-         **options) -> IncidentPlan:
+         kb: DataFrame | None = None, **options) -> IncidentPlan:
     return IncidentPlan(
+        kb=kb,
         events=feeds.runs(spark, sf_dir),
         failures=feeds.failures(spark, sf_dir, keep_log=answers or asked, **options),
         status_events=feeds.status_events,
@@ -580,7 +581,7 @@ def verify_evidence(spark, sf_dir):
 @query
 def prompt_table(spark, sf_dir):
     found = plan(spark, sf_dir, answers=True, asked=True)
-    texts = knowledge.hit_texts(found.hits, found.learned).withColumnRenamed(
+    texts = knowledge.hit_texts(found.hits, found.known).withColumnRenamed(
         "log_id", "incident_id")
     rows = found.incidents.join(texts, "incident_id", "left").join(
         found.opening_logs.select(F.col("log_id").alias("incident_id"), "log"), "incident_id")
@@ -589,16 +590,28 @@ def prompt_table(spark, sf_dir):
         "incident_id", "prompt")
 
 
-@query
-def adhoc_diagnose(spark, sf_dir):
-    """Pasted logs, many of them long and with secrets, diagnosed without any history."""
+def _pasted(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("doc_id")
     line = feeds.spark_choice(list(feeds.TASK_LOGS), number % 24, feeds.marks(number, number))
-    pasted = _secret_lines(spark, sf_dir).select(
+    return _secret_lines(spark, sf_dir).select(
         number.alias("log_id"), F.concat(F.col("text"), F.lit("\n"), line).alias("log"),
         F.when(number % 2 == 0, "spark").otherwise("snowflake").alias("platform"),
         F.when(number % 3 == 0, "nightly load").otherwise("").alias("context"))
-    return adhoc.diagnose(pasted).select(
+
+
+@query
+def adhoc_knowledge(spark, sf_dir):
+    """Pasted logs against the global rows of the stored knowledge table."""
+    pasted = _pasted(spark, sf_dir).withColumn("log_id", feeds.text(F.col("log_id")))
+    return adhoc.diagnose(pasted, feeds.stored_knowledge(spark, sf_dir)).select(
+        "log_id", "category", joined(F.transform("fixes", lambda f: f["title"])).alias("fix_titles"),
+        joined(F.transform(F.coalesce("kb_hits", F.array()), lambda h: h["title"])).alias("known"))
+
+
+@query
+def adhoc_diagnose(spark, sf_dir):
+    """Pasted logs, many of them long and with secrets, diagnosed without any history."""
+    return adhoc.diagnose(_pasted(spark, sf_dir)).select(
         "log_id", "category", "summary",
         joined(F.transform("evidence", lambda e: e["quote"])).alias("quotes"),
         joined(F.transform("fixes", lambda f: f["title"])).alias("fix_titles"),
@@ -652,6 +665,15 @@ def kb_match(spark, sf_dir):
                        F.col("score").cast("long").alias("score"))
 
 
+@query
+def kb_patterns(spark, sf_dir):
+    """A table with rows of teams, patterns of any kind, and without one of the curated rows."""
+    stored = feeds.stored_knowledge(spark, sf_dir)
+    hits = plan(spark, sf_dir, answers=True, asked=True, kb=stored).hits
+    return hits.select("log_id", F.col("hit_rank").cast("long").alias("hit_rank"), "kb_id",
+                       F.col("score").cast("long").alias("score"))
+
+
 @query
 def kb_learn(spark, sf_dir):
     return plan(spark, sf_dir, answers=True, asked=True).learned.select(

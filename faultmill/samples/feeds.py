@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import short_id
+from ..operators.knowledge import curated_rows
 from ..rules import fixed_values as fv
 from ..session import tune
 from ..sources.feeds import NORMALIZERS
@@ -263,5 +264,32 @@ def model_answers(openings: DataFrame) -> DataFrame:
     )
 
 
+def team_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knowledge rows that teams wrote, one per supplier: global and owned ones, some broken, some
+    without a literal that each match needs, some with a curated pattern."""
+    number = F.col("s_suppkey")
+    pattern = (
+        F.when(number % 6 == 0, F.concat(F.lit("mart_"), text(number % 100), F.lit(r"\d+")))
+        .when(number % 6 == 1, F.concat(F.lit("(svc|spill)_"), text(number % 50), F.lit(r"\d")))
+        .when(number % 6 == 2, F.concat(F.lit("ROW "), text(number % 10), F.lit(r"\d*")))
+        .when(number % 6 == 3, F.concat(F.lit("(open "), text(number)))
+        .when(number % 6 == 4, F.concat(F.lit(r"\d{"), text(4 + number % 3), F.lit(r"}\D")))
+        .otherwise(fv.CURATED_KB[7][2]))
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("team-"), padded(number)).alias("kb_id"),
+        F.when(number % 7 == 1, "ws_0").when(number % 7 == 2, "ws_1").alias("workspace_id"),
+        choose(number % 8, fv.PLATFORMS).alias("platform"), pattern.alias("pattern"),
+        F.lit(False).alias("is_literal"), F.concat(F.lit("Team note "), text(number)).alias("title"),
+        F.lit("seen by a team").alias("cause"), F.concat(F.lit("see page "), text(number)).alias("fix"),
+        F.lit("configuration").alias("category"), F.lit("team").alias("source"),
+        (F.lit("1992-01-01").cast("timestamp") + F.make_dt_interval(number % 1500)).alias("created_at"))
+
+
+def stored_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A knowledge table with rows of teams, from which one curated row was deleted."""
+    curated = curated_rows(spark).drop("curated_id").filter(F.col("kb_id") != "curated-07")
+    return curated.unionByName(team_rows(spark, sf_dir))
+
+
 def incident_key(seq: Column) -> Column:
     return short_id(F.col("workspace_id"), F.col("fingerprint"), seq.cast("string"))

@@ -334,6 +334,20 @@ def _tables() -> list[tuple[str, str]]:
             JOIN diagnoses d ON d.diagnosis_id = g.diagnosis_id
             JOIN incidents i ON i.incident_id = f.incident_id
             WHERE f.verdict = 'fixed_it' AND coalesce(d.quotes[1], '') <> ''"""),
+        # rows that teams wrote; broken patterns match nothing
+        ("team", rf"""SELECT 'team-' || lpad(s_suppkey::VARCHAR, 12, '0') AS kb_id,
+            CASE s_suppkey % 7 WHEN 1 THEN 'ws_0' WHEN 2 THEN 'ws_1' END AS owner,
+            {case('s_suppkey % 8', fv.PLATFORMS)} AS platform, CASE s_suppkey % 6
+            WHEN 0 THEN 'mart_' || (s_suppkey % 100)::VARCHAR || '\d+'
+            WHEN 1 THEN '(svc|spill)_' || (s_suppkey % 50)::VARCHAR || '\d'
+            WHEN 2 THEN 'ROW ' || (s_suppkey % 10)::VARCHAR || '\d*'
+            WHEN 4 THEN '\d{{' || (4 + s_suppkey % 3)::VARCHAR || '}}\D'
+            ELSE {q(fv.CURATED_KB[7][2])} END AS pattern,
+            TIMESTAMP '1992-01-01' + to_days((s_suppkey % 1500)::INTEGER) AS created_at,
+            'Team note ' || s_suppkey::VARCHAR AS title FROM supplier WHERE s_suppkey % 6 <> 3"""),
+        ("stored_kb", """SELECT kb_id, owner, platform, '(?is)' || pattern AS pattern, created_at, title FROM team
+            UNION ALL SELECT kb_id, NULL, platform, pattern, TIMESTAMP '1970-01-01', title
+            FROM curated WHERE kb_id <> 'curated-07'"""),
         ("all_hits", """SELECT i.incident_id AS log_id, c.kb_id,
             CASE WHEN c.platform = i.platform THEN 1 ELSE 0 END AS score,
             TIMESTAMP '1970-01-01' AS created_at, c.title, c.cause, c.fix, c.platform
@@ -342,6 +356,14 @@ def _tables() -> list[tuple[str, str]]:
             ELSE 0 END, l.created_at, l.title, l.cause, l.fix, l.platform
             FROM incidents i JOIN learned l ON l.workspace_id = i.workspace_id
             AND l.created_at <= i.first_seen_at AND contains(lower(i.log), lower(l.pattern))"""),
+        ("table_hits", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY
+            score DESC, created_at, kb_id) AS hit_rank FROM (SELECT i.incident_id AS log_id, c.kb_id,
+            CASE WHEN c.owner IS NULL THEN 0 ELSE 2 END + CASE WHEN c.platform = i.platform THEN 1
+            ELSE 0 END AS score, c.created_at FROM incidents i JOIN stored_kb c
+            ON coalesce(c.owner, i.workspace_id) = i.workspace_id AND c.created_at <= i.first_seen_at
+            AND regexp_matches(i.log, c.pattern)
+            UNION ALL SELECT log_id, kb_id, score, created_at FROM all_hits
+            WHERE kb_id NOT LIKE 'curated-%')) WHERE hit_rank <= {fv.KB_HITS}"""),
         ("hits", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY
             score DESC, created_at, kb_id) AS hit_rank FROM all_hits)
             WHERE hit_rank <= {fv.KB_HITS}"""),
@@ -656,6 +678,7 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
             ORDER BY created_at DESC, diagnosis_id DESC) AS position, diagnosis_id, engine,
             {day_time('created_at')} AS created FROM diagnoses""",
         "kb_match": """SELECT log_id, hit_rank, kb_id, score::BIGINT AS score FROM hits""",
+        "kb_patterns": "SELECT log_id, hit_rank, kb_id, score::BIGINT AS score FROM table_hits",
         "kb_learn": f"""SELECT kb_id, workspace_id, platform, pattern, title, cause, fix,
             category, {day_time('created_at')} AS created FROM learned""",
         "kb_validate": """SELECT is_literal, is_literal OR form = 0 AS is_valid, count(*) AS n,
@@ -806,6 +829,24 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
         """SELECT i.status, d.engine, count(*) AS diagnoses, count(DISTINCT i.incident_id) AS
         incidents, sum(i.occurrence_count)::BIGINT AS failures FROM incidents i
         JOIN diagnoses d ON d.incident_id = i.incident_id GROUP BY ALL""", [])
+    pasted = [
+        ("pasted", f"""SELECT doc_id, text || {NL} || {sql_choice(list(TASK_LOGS), 'doc_id % 24',
+          marks('doc_id', 'doc_id'))} AS raw FROM secrets"""),
+        *redaction_ctes("pasted_done", "pasted", "raw"),
+        ("adhoc_ruled", f"""SELECT doc_id, out AS log, n, {rule_id('out')} AS rule_id, CASE WHEN
+          doc_id % 2 = 0 THEN 'spark' ELSE 'snowflake' END AS platform FROM pasted_done""")]
+    out["adhoc_knowledge"] = (
+        f"""SELECT a.doc_id::VARCHAR AS log_id, r.category, array_to_string(CASE WHEN a.rule_id IS NOT
+        NULL THEN list_concat(r.fix_titles, coalesce(list_transform(h.titles, lambda t:
+        {q(KB_FIX_TITLE_PREFIX)} || t), [])) ELSE r.fix_titles END, {NL}) AS fix_titles,
+        coalesce(array_to_string(h.titles, {NL}), '') AS known
+        FROM adhoc_ruled a JOIN rules r ON r.rule = coalesce(a.rule_id, 0)
+        LEFT JOIN adhoc_known h ON h.doc_id = a.doc_id""",
+        [*pasted, ("adhoc_known", f"""SELECT doc_id, list(title ORDER BY hit_rank) AS titles FROM
+          (SELECT a.doc_id, c.title, row_number() OVER (PARTITION BY a.doc_id ORDER BY
+          (c.platform = a.platform)::INT DESC, c.created_at, c.kb_id) AS hit_rank
+          FROM adhoc_ruled a JOIN stored_kb c ON c.owner IS NULL AND regexp_matches(a.log, c.pattern))
+          WHERE hit_rank <= {fv.KB_HITS} GROUP BY doc_id""")])
     out["adhoc_diagnose"] = (
         f"""SELECT s.doc_id AS log_id, r.category, r.summary, array_to_string(s.quotes, {NL}) AS quotes,
         array_to_string(CASE WHEN s.rule_id IS NOT NULL THEN list_concat(r.fix_titles,
@@ -820,11 +861,7 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
           {_truncated(fv.LOG_BUDGET)} || chr(10) || '<<<log ends>>>' || chr(10)) AS prompt
         FROM starts s JOIN rules r ON r.rule = coalesce(s.rule_id, 0)
         LEFT JOIN adhoc_texts h ON h.doc_id = s.doc_id""",
-        [("pasted", f"""SELECT doc_id, text || {NL} || {sql_choice(list(TASK_LOGS), 'doc_id % 24',
-          marks('doc_id', 'doc_id'))} AS raw FROM secrets"""),
-         *redaction_ctes("pasted_done", "pasted", "raw"),
-         ("adhoc_ruled", f"""SELECT doc_id, out AS log, n, {rule_id('out')} AS rule_id, CASE WHEN
-          doc_id % 2 = 0 THEN 'spark' ELSE 'snowflake' END AS platform FROM pasted_done"""),
+        [*pasted,
          *line_ctes("adhoc_lines", "adhoc_ruled", "doc_id", "log"),
          ("adhoc", f"""SELECT a.*, CASE WHEN rule_id IS NULL THEN coalesce(t.five, []) ELSE
           [{rule_line('log', 'rule_id')}] END AS quotes FROM adhoc_ruled a

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultmill.functions import text as tx
 from faultmill.operators import diagnosis, feedback, knowledge
 from faultmill.plans import marts
+from faultmill.rules import fixed_values as fv
 
 T0 = datetime(2026, 1, 1)
 LOGS = "log_id string, workspace_id string, platform string, at timestamp, log string"
@@ -73,15 +74,74 @@ def test_pattern_rows_of_the_table(spark):
     assert got == {("a", "any", 1), ("a", "own", 2), ("c", "any", 1)}
 
 
+def test_table_of_all_kinds_equals_brute_force(spark, monkeypatch):
+    """Literal, pattern, broken, global and owned rows, many of them alike, in one block and in several."""
+    import re
+
+    rng = random.Random(12)
+    words = ["disk", "Disk 12", "full", "İndex", "credit", "incident", "err-77", "zombie task", "\n", "x" * 30]
+    patterns = [r"disk \d+", "(full|empty)x?", "(open", r"\d{2}", "ındex", "credit", "d.sk", "c[a-z]+t$", r"(?!x)err-\d+", "*",
+                "Zombie  ?task", "", fv.CURATED_KB[7][2], fv.CURATED_KB[2][2]]
+    logs = [(f"l{i}", rng.choice(["w0", "w1", None]), rng.choice(["dbt", "spark", None]), T0 + timedelta(days=rng.randrange(9)),
+             " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for i in range(80)]
+    rows = [(f"k{i:03d}", rng.choice(["w0", "w1", None]), rng.choice(["dbt", "spark", None]), rng.choice(patterns),
+             rng.random() < 0.3, rng.randrange(9)) for i in range(300)]
+    want = {}
+    for log_id, ws, platform, at, log in logs:
+        found = []
+        for kb, owner, p, pattern, literal, day in rows:
+            if owner not in (None, ws) or T0 + timedelta(days=day) > at or not pattern:
+                continue
+            try:
+                hit = re.search(re.escape(pattern) if literal else pattern, log, re.I | re.S)
+            except re.error:
+                continue
+            if hit:
+                found.append((-(2 * (owner is not None) + (p is not None and p == platform)), day, kb))
+        want[log_id] = [(kb, -score) for score, _, kb in sorted(found)[:5]]
+    frame = spark.createDataFrame(logs, LOGS).withColumn("curated", tx.curated_hits(F.col("log")))
+    kb = spark.createDataFrame([(i, w, p, pattern, literal, "t", "c", "f", "transient", "team", T0 + timedelta(days=d))
+                                for i, w, p, pattern, literal, d in rows], knowledge.KB_SCHEMA)
+    for at_once in (20_000, 4):
+        monkeypatch.setattr(knowledge, "LITERALS_AT_ONCE", at_once)
+        got = {}
+        for r in knowledge.search(frame, kb).orderBy("log_id", "hit_rank").collect():
+            got.setdefault(r.log_id, []).append((r.kb_id, r.score))
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def test_patterns_that_cannot_match_never_run(monkeypatch):
+    ran = []
+
+    class Counting:
+        def __init__(self, text):
+            self.text = text
+
+        def search(self, text):
+            ran.append(self.text)
+
+    monkeypatch.setattr(knowledge, "_compiled", Counting)
+    rows = [(None, "dbt", False, rf"pattern{i}[a-z]+\d", f"k{i}", 0) for i in range(5000)]
+    finder = knowledge.Finder([*rows, (None, "dbt", False, r"\d\d", "any", 0)])
+    for i in range(20):
+        finder.matches("w", "dbt", 1, f"a long log with pattern{i * 7}x in it", 5)
+    assert sorted(ran) == sorted([r"\d\d"] * 20 + [r[3] for i in range(20) for r in rows
+                                                  if r[3].split("[")[0] in f"pattern{i * 7}x"])
+
+
 def test_scope_and_visibility(spark):
     logs = [("a", "w1", "dbt", T0 + timedelta(days=5), "see Credit note OOM"),
             ("b", None, "snowflake", T0 + timedelta(days=5), "see credit note OOM")]
     frame = spark.createDataFrame(logs, LOGS).withColumn("curated", tx.curated_hits(F.col("log")))
     kb = kb_rows(spark, [("own", "w1", "spark", "oom", 1), ("late", "w1", "dbt", "oom", 6),
                          ("other", "w2", "dbt", "oom", 1)])
-    got = [(r.log_id, r.kb_id, r.score) for r in knowledge.search(frame, kb).orderBy(
+    table = kb.unionByName(knowledge.seed(kb))
+    got = [(r.log_id, r.kb_id, r.score) for r in knowledge.search(frame, table).orderBy(
         "log_id", "hit_rank").collect()]
     assert got == [("a", "own", 2), ("a", "curated-08", 0), ("b", "curated-08", 1)]
+    # what the table does not hold does not match
+    fewer = knowledge.search(frame, table.filter("kb_id <> 'curated-08'")).collect()
+    assert [(r.log_id, r.kb_id) for r in fewer] == [("a", "own")]
 
 
 def test_top_five_in_insertion_order(spark):
