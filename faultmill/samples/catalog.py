@@ -341,7 +341,7 @@ def _secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("mail ops"), number, F.lit("@example.com now")),
         F.concat(F.lit("blob "), opaque, F.lit(" and "), F.md5(number)),
     ]
-    return feeds.dealt(feeds.table(spark, sf_dir, "documents")).select(
+    return feeds.dealt(feeds.table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", F.concat_ws("\n", "text", *lines).alias("text"))
 
 

@@ -19,9 +19,14 @@ LINE_COLUMNS = (
 )
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """The driver's tables are one row group each: deal their rows out before texts are derived."""
-    return rows.hint("rebalance")
+#: Partitions that rows are dealt to before texts are derived from them, whatever their number.
+DEALT = 32
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The driver's tables are one row group each, so a scan of them is one task: deal the rows out by
+    their key.  A rebalance would not: narrow rows are below its advisory size and stay together."""
+    return rows.repartition(DEALT, key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +80,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = dealt(table(spark, sf_dir, "lineitem"))
+    lines = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey")
     log = spark_choice(
         list(TASK_LOGS), F.col("l_partkey") % 24, marks(F.col("l_orderkey"), F.col("l_partkey")))
     status = F.when(F.col("l_returnflag") == "R", "failed").when(
@@ -121,7 +126,7 @@ def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("o_custkey") % 60
     lines = F.when(size > 0, F.transform(F.sequence(F.lit(1).cast("long"), size), line)).otherwise(
         F.array().cast("array<string>"))
-    return dealt(table(spark, sf_dir, "orders")).select(
+    return dealt(table(spark, sf_dir, "orders"), "o_orderkey").select(
         number.alias("log_id"), F.array_join(lines, "\n").alias("log"))
 
 
@@ -129,7 +134,7 @@ def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents around one task log line each."""
     number = F.col("doc_id")
     line = spark_choice(list(TASK_LOGS), number % 24, marks(number, number))
-    return dealt(table(spark, sf_dir, "documents")).select(
+    return dealt(table(spark, sf_dir, "documents"), "doc_id").select(
         number.alias("log_id"),
         F.concat(F.col("text"), F.lit("\n"), line, F.lit("\n"), F.col("text")).alias("log"))
 
@@ -195,15 +200,15 @@ def airflow_feed_from(orders: DataFrame) -> DataFrame:
 
 
 def airflow_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return airflow_feed_from(dealt(table(spark, sf_dir, "orders")))
+    return airflow_feed_from(dealt(table(spark, sf_dir, "orders"), "o_orderkey"))
 
 
 def dbt_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _feed(dealt(table(spark, sf_dir, "events")), "event_id", "user_id", "ts", DBT_PAYLOADS, "d-")
+    return _feed(dealt(table(spark, sf_dir, "events"), "event_id"), "event_id", "user_id", "ts", DBT_PAYLOADS, "d-")
 
 
 def generic_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _feed(dealt(table(spark, sf_dir, "events")), "event_id", "user_id", "ts", GENERIC_PAYLOADS,
+    return _feed(dealt(table(spark, sf_dir, "events"), "event_id"), "event_id", "user_id", "ts", GENERIC_PAYLOADS,
                  "g-")
 
 
