@@ -1,17 +1,21 @@
 """Incident life cycle: from a timeline of failures and status changes to incidents.
 
 Timeline columns: workspace_id, fingerprint, at, event_id, kind (``failure`` or ``status``),
-status, notes, run_id.  ``(at, event_id)`` is the total order of a signature.  Inputs are read by
-two branches, so pass a stored table when they are costly.
+status, notes, run_id, and optionally target_seq, the incident that a status row is aimed at.
+``(at, event_id)`` is the total order of a signature.
 """
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import short_id
 from ..rules import fixed_values as fv
 from ..rules.wording import recurrence_text
-from .ordered import DAY, time_bucket, with_previous
+from ..session import ship
+from .ordered import RANGE, in_ranges, time_bucket, with_previous
 
 KEYS = ["workspace_id", "fingerprint"]
 ORDER = ["at", "event_id"]
@@ -21,23 +25,39 @@ INCIDENTS_PER_BUCKET = 4096
 
 def timeline(failures: DataFrame, status_events: DataFrame) -> DataFrame:
     """Failures and status changes as one ordered history."""
+    aimed = ["target_seq"] if "target_seq" in status_events.columns else []
     return failures.select(
         *KEYS, F.col("received_at").alias("at"), "event_id",
         F.lit("failure").alias("kind"), F.lit(None).cast("string").alias("status"),
         F.lit(None).cast("string").alias("notes"), "run_id",
+        *[F.lit(None).cast("long").alias(c) for c in aimed],
     ).unionByName(status_events.select(
         *KEYS, "at", "event_id", F.lit("status").alias("kind"), "status", "notes",
-        F.lit(None).cast("string").alias("run_id")))
+        F.lit(None).cast("string").alias("run_id"), *aimed))
+
 
+def _cut(events: DataFrame, bucket_seconds: int | None) -> DataFrame:
+    """Events with ``__bucket``: ranges of rows, drawn here unless they are, or stretches of time."""
+    if bucket_seconds is not None:
+        return events.withColumn("__bucket", time_bucket(F.col("at"), bucket_seconds))
+    if RANGE not in events.columns:
+        events = in_ranges(events, KEYS, ORDER)
+    return events.withColumnRenamed(RANGE, "__bucket")
 
-def islands(events: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
+
+def islands(events: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """Adds ``incident_seq``, which incident of its signature a row belongs to, from 1, and
     ``opening``, whether the row opened it.
 
     A failure opens an incident when it is the first of its signature or when the row before it
     closed the incident; every other row belongs to the newest one.  Status rows before the first
-    failure have nothing to act on and get 0.  One signature may hold any share of the rows: it is
-    cut into time buckets, see ``ordered``.
+    failure have nothing to act on and get 0.
+
+    One signature may hold any share of the rows, also of one moment's rows: the history is cut into
+    ranges of like numbers of rows, and a scan over one summary per range (closed or not, openings,
+    how its first failure is entered) tells what a range begins with.  ``bucket_seconds`` cuts by time
+    instead, which stores nothing, for histories without crowded stretches; events that
+    ``ordered.in_ranges`` has cut already are used as they are.
     """
     failure = F.col("kind") == "failure"
     closing = ~failure & F.col("status").isin(*fv.CLOSING_STATUSES)
@@ -45,7 +65,7 @@ def islands(events: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     rows = (
-        events.withColumn("__bucket", time_bucket(F.col("at"), bucket_seconds))
+        _cut(events, bucket_seconds)
         .withColumn("__before", F.lag(closing).over(inside))
         .withColumns({
             "__reopens": (failure & F.coalesce(F.col("__before"), F.lit(False))).cast("long"),
@@ -149,38 +169,95 @@ def with_recurrence(incidents: DataFrame) -> DataFrame:
     )
 
 
-def split_stale_status(events: DataFrame, bucket_seconds: int = DAY) -> tuple[DataFrame, DataFrame]:
-    """Set apart status rows aimed (``target_seq``) at an incident that is no longer the newest.
+#: Why a status row is set apart.
+SUPERSEDED = "incident superseded"
+NOT_OPEN = "incident not open yet"
 
-    Returns (timeline to go on with, quarantined rows).  Every status row carries its target.
 
-    Incident s+1 opens at the first failure met while the last status row aimed at s is a closing
-    one.  That moment depends only on rows aimed at s and on failures, so it needs no iteration:
-    for every closing row take the next failure of the signature, provided that no later row aimed
-    at s comes before it; the earliest of these opens s+1, and later rows aimed at s are stale.
+def _openings(status_rows: DataFrame, failures: DataFrame) -> DataFrame:
+    """(keys, target_seq, opened): the moment each incident of a signature opens, from status rows with
+    ``__opens``, the failure that would open the next one.
+
+    Incident 1 opens at the first failure.  Incident s+1 opens where the first row aimed at s, after s
+    opened, has an ``__opens``.  That is a scan along the numbers of a signature, done on one sorted
+    stream of the closing rows alone, one row in hand.
+    """
+    first = failures.groupBy(*KEYS).agg(F.min(F.struct(*ORDER)).alias("__to")).select(
+        *KEYS, F.lit(0).cast("long").alias("seq"), F.lit(None).cast("timestamp").alias("from_at"),
+        F.lit(None).cast("string").alias("from_event"), F.col("__to.at").alias("to_at"),
+        F.col("__to.event_id").alias("to_event"))
+    closing = status_rows.filter(F.col("__opens").isNotNull()).select(
+        *KEYS, F.col("target_seq").alias("seq"), F.col("at").alias("from_at"), F.col("event_id").alias("from_event"),
+        F.col("__opens.at").alias("to_at"), F.col("__opens.event_id").alias("to_event"))
+    steps = first.unionByName(closing)
+    names = ["workspace_id", "fingerprint", "seq", "from_at", "from_event", "to_at", "to_event"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at, opened = None, None, None
+        for batch in batches:
+            made = []
+            for workspace, fingerprint, seq, *moments in zip(
+                    *[batch.column(c).to_pylist() for c in names], strict=True):
+                before, after = (moments[0], moments[1]), (moments[2], moments[3])
+                if (workspace, fingerprint) != key:
+                    key, at, opened = (workspace, fingerprint), None, None
+                if seq == 0:
+                    at, opened = 1, after
+                elif seq == at and before > opened:
+                    at, opened = at + 1, after
+                else:
+                    continue
+                made.append((workspace, fingerprint, at, *opened))
+            columns = list(zip(*made, strict=True)) if made else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()),
+                                                strict=True)],
+                ["workspace_id", "fingerprint", "target_seq", "micros", "event_id"])
+
+    ship(steps.sparkSession)
+    stream = steps.repartition(*KEYS).select(
+        *KEYS, "seq", F.unix_micros("from_at").alias("from_at"), "from_event", F.unix_micros("to_at").alias("to_at"),
+        "to_event").sortWithinPartitions(*KEYS, "seq", "from_at", "from_event")
+    found = stream.mapInArrow(run, "workspace_id string, fingerprint string, target_seq long, micros long, event_id string")
+    return found.select(*KEYS, "target_seq", F.struct(F.timestamp_micros("micros").alias("at"), "event_id").alias("opened"))
+
+
+def split_stale_status(events: DataFrame, bucket_seconds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Set apart status rows aimed (``target_seq``) at an incident that is not the newest one.
+
+    Returns (timeline to go on with, quarantined rows with ``reason``).  Every status row carries its
+    target.  A row is superseded when a newer incident opened before it, and early when its own had not
+    opened yet.
+
+    Incident s+1 opens at the first failure met while the last status row aimed at s is a closing one.
+    For every closing row that is the next failure of the signature, provided that no later row aimed at
+    s comes before it.
     """
     moment = F.struct(*ORDER)
-    bucket = time_bucket(F.col("at"), bucket_seconds)
+    columns = events.columns if RANGE in events.columns or bucket_seconds is not None else [*events.columns, RANGE]
+    cut = _cut(events, bucket_seconds).withColumn(RANGE, F.col("__bucket")).withColumnRenamed("__bucket", "__cut")
+    bucket = F.col("__cut")
     failure = F.col("kind") == "failure"
     status_rows = with_previous(
-        events, KEYS, ORDER, bucket, F.when(failure, moment), "__failure", reverse=True,
+        cut, KEYS, ORDER, bucket, F.when(failure, moment), "__failure", reverse=True,
     ).filter(~failure)
     aimed = [*KEYS, "target_seq"]
     status_rows = with_previous(
         status_rows, aimed, ORDER, bucket, moment, "__same", reverse=True)
-    opens = F.when(
+    status_rows = status_rows.withColumn("__opens", F.when(
         F.col("status").isin(*fv.CLOSING_STATUSES)
         & (F.col("__same").isNull() | (F.col("__failure") < F.col("__same"))),
-        F.col("__failure"))
-    superseded = (
-        status_rows.groupBy(*aimed).agg(F.min(opens).alias("__superseded"))
-        .filter(F.col("__superseded").isNotNull())
-    )
-    judged = status_rows.join(superseded, aimed, "left").withColumn(
-        "__stale", F.coalesce(moment > F.col("__superseded"), F.lit(False)))
-    kept = judged.filter(~F.col("__stale")).select(*events.columns)
-    stale = judged.filter("__stale").select(*events.columns)
-    return events.filter(failure).unionByName(kept), stale
+        F.col("__failure")))
+    opened = _openings(status_rows, cut.filter(failure))
+    # both moments of an incident in one row: its own opening and the next one's
+    turns = opened.select(*aimed, F.col("opened").alias("__own")).join(
+        opened.select(*KEYS, (F.col("target_seq") - 1).alias("target_seq"), F.col("opened").alias("__next")), aimed, "full")
+    judged = status_rows.join(turns, aimed, "left").withColumn(
+        "reason", F.when(moment > F.col("__next"), SUPERSEDED).when(
+            F.col("__own").isNull() | (moment < F.col("__own")), NOT_OPEN))
+    kept = judged.filter(F.col("reason").isNull()).select(*columns)
+    stale = judged.filter(F.col("reason").isNotNull()).select(*[c for c in columns if c != RANGE], "reason")
+    return cut.filter(failure).select(*columns).unionByName(kept), stale
 
 
 def status_changes(incidents: DataFrame, selected: DataFrame, event_prefix: str) -> DataFrame:

@@ -18,6 +18,7 @@ from ..rules import fixed_values as fv
 from ..rules import needed
 from ..rules.wording import KB_TEXTS, LEARNED_DEFAULT_FIX
 from ..session import materialize, scratch_path, ship
+from .diagnosis import title
 
 KB_SCHEMA = (
     "kb_id string, workspace_id string, platform string, pattern string, is_literal boolean, "
@@ -78,13 +79,14 @@ def learn(judged: DataFrame, incidents: DataFrame, pipelines: DataFrame) -> Data
     """Rows learned from confirmed fixes.
 
     ``judged`` is feedback with the diagnosis it refers to (``diagnosis`` struct).  The first
-    evidence quote becomes a literal pattern of the workspace; repeats are kept.
+    evidence quote becomes a literal pattern of the workspace; repeats are kept.  The row is titled as
+    the incident was when the feedback came in: by the diagnosis, where it has a summary.
     """
     confirmed = judged.filter(
         (F.col("verdict") == "fixed_it") & F.col("diagnosis").isNotNull())
     quote = F.try_element_at(F.col("diagnosis.evidence"), F.lit(1))["quote"]
     first_fix = F.try_element_at(F.col("diagnosis.fixes"), F.lit(1))["title"]
-    named = incidents.select("incident_id", "workspace_id", "pipeline_id", "title").join(
+    named = incidents.select("incident_id", "workspace_id", "pipeline_id", "pipeline_name", F.col("title").alias("__title")).join(
         pipelines.select("pipeline_id", "platform"), "pipeline_id", "left")
     return (
         confirmed.withColumn("pattern", F.substring(quote, 1, fv.LEARNED_PATTERN_CHARS))
@@ -93,7 +95,9 @@ def learn(judged: DataFrame, incidents: DataFrame, pipelines: DataFrame) -> Data
         .select(
             short_id(F.lit("learned"), F.col("event_id")).alias("kb_id"), "workspace_id",
             F.coalesce("platform", F.lit("generic")).alias("platform"), "pattern",
-            F.lit(True).alias("is_literal"), "title",
+            F.lit(True).alias("is_literal"),
+            F.when(F.col("diagnosis.summary") == "", F.col("__title")).otherwise(
+                title(F.col("pipeline_name"), F.lit(""), F.col("diagnosis.summary"))).alias("title"),
             F.col("diagnosis.summary").alias("cause"),
             F.coalesce(F.nullif(F.col("comment"), F.lit("")), first_fix,
                        F.lit(LEARNED_DEFAULT_FIX)).alias("fix"),

@@ -2,14 +2,32 @@
 
 A window over a key puts all rows of that key into one task.  Here the rows of a key are cut into
 ordered buckets, the window runs inside a bucket, one summary row per bucket is scanned along the
-key, and what a bucket inherits from the earlier ones is joined back to its rows.
+key, and what a bucket inherits from the earlier ones is joined back to its rows.  Buckets are cut by
+rows (``in_ranges``), or by time where a caller knows that no stretch of time is crowded.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DAY = 86_400
 
+#: Column that ``in_ranges`` adds.
+RANGE = "__range"
+
+
+def in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds ``RANGE``: the number of the row's range partition in the order of keys and ``order``.
+
+    Partitions hold like numbers of rows, so a key with any share of the rows, or of one moment's
+    rows, spreads over as many of them; along a key the number never decreases.  The rows are stored
+    once: borders are drawn from a sample and must be the same for every reader.  A key has at most
+    one summary row per partition.
+    """
+    laid = df.repartitionByRange(*keys, *order).select("*", F.spark_partition_id().alias(RANGE))
+    return materialize(laid, "ranges")
+
 
 def time_bucket(moment: Column, seconds: int = DAY) -> Column:
     return F.floor(F.unix_micros(moment) / F.lit(seconds * 1_000_000)).cast("long")

@@ -39,8 +39,23 @@ class IncidentPlan:
         return entities.pipelines(self.events)
 
     @cached_property
+    def _judged_timeline(self) -> tuple[DataFrame, DataFrame | None]:
+        events = incidents.timeline(self.stored, self.status_events(self.stored))
+        if "target_seq" not in events.columns:
+            return events, None
+        kept, refused = incidents.split_stale_status(events)
+        return materialize(kept, "timeline"), refused
+
+    @property
     def timeline(self) -> DataFrame:
-        return incidents.timeline(self.stored, self.status_events(self.stored))
+        """Failures and the status changes that count."""
+        return self._judged_timeline[0]
+
+    @property
+    def quarantine(self) -> DataFrame | None:
+        """Status changes aimed at an incident that was not the newest one, with the reason; None where
+        status changes name no incident and act on the newest."""
+        return self._judged_timeline[1]
 
     @cached_property
     def members(self) -> DataFrame:
@@ -145,7 +160,8 @@ class IncidentPlan:
         return found if self.answers is self.asked is self.kb is None else materialize(found, "diagnoses")
 
     def store(self, path: str, unit: str = "month") -> None:
-        """Write incidents, diagnoses and the listing under ``path``: what readers then query.
+        """Write incidents, diagnoses, the listing and refused status changes under ``path``: what
+        readers then query.
 
         Partitioned by the period an incident began in; sorted by id inside files, so that a look
         at one id skips row groups.
@@ -154,6 +170,8 @@ class IncidentPlan:
                                     ("diagnoses", self.diagnoses, "created_at"),
                                     ("listed", self.listed, "first_seen_at")):
             write_by_period(table, f"{path}/{name}", moment, unit, "overwrite", "incident_id")
+        if self.quarantine is not None:
+            write_by_period(self.quarantine, f"{path}/quarantine", "at", unit, "overwrite", "event_id")
 
     @cached_property
     def listed(self) -> DataFrame:

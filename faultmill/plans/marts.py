@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators.diagnosis import latest
+from ..operators.diagnosis import latest, title
 from ..rules import fixed_values as fv
 
 SUMMARY = (
@@ -22,12 +22,21 @@ def incidents_with_pipeline(incidents: DataFrame, pipelines: DataFrame) -> DataF
 
 
 def summaries(incidents: DataFrame, pipelines: DataFrame, diagnoses: DataFrame) -> DataFrame:
-    """The 13 fields an incident is listed with; its diagnosis is the newest one."""
-    diagnosis = F.col("diagnosis")
+    """The 13 fields an incident is listed with; its diagnosis is the newest one.
+
+    The title names the cause that the newest diagnosis with a summary found, so a later answer of
+    a model renames the incident.
+    """
+    diagnosis, order = F.col("diagnosis"), F.struct("created_at", "diagnosis_id")
+    newest = diagnoses.groupBy("incident_id").agg(
+        F.max_by(F.struct("category", "summary", "confidence"), order).alias("diagnosis"),
+        F.max_by("summary", F.when(F.col("summary") != "", order)).alias("cause"))
     return (
         incidents_with_pipeline(incidents, pipelines)
-        .join(latest(diagnoses, "category", "summary", "confidence"), "incident_id", "left")
+        .join(newest, "incident_id", "left")
         .withColumns({
+            "title": F.when(F.col("cause").isNull(), F.col("title")).otherwise(
+                title(F.col("pipeline_name"), F.lit(""), F.col("cause"))),
             "category": diagnosis["category"],
             "summary": F.coalesce(diagnosis["summary"], F.lit("")),
             "confidence": diagnosis["confidence"]})

@@ -39,12 +39,12 @@ def joined(texts: Column, separator: str = "\n") -> Column:
 
 
 def plan(spark: SparkSession, sf_dir: str, answers: bool = False, asked: bool = False,
-         kb: DataFrame | None = None, **options) -> IncidentPlan:
+         kb: DataFrame | None = None, aimed: bool = False, **options) -> IncidentPlan:
     return IncidentPlan(
         kb=kb,
         events=feeds.runs(spark, sf_dir),
         failures=feeds.failures(spark, sf_dir, keep_log=answers or asked, **options),
-        status_events=feeds.status_events,
+        status_events=feeds.aimed_status_events if aimed else feeds.status_events,
         answers=feeds.model_answers if answers else None,
         asked=feeds.feedback if asked else None)
 
@@ -448,6 +448,33 @@ def incident_islands(spark, sf_dir):
         "workspace_id", "fingerprint", "event_id", "kind", "incident_seq")
 
 
+@query
+def incident_islands_one_day(spark, sf_dir):
+    """All rows in one signature and one day: cut by rows, whatever the clock says."""
+    return incidents.islands(feeds.one_day_lifecycle(spark, sf_dir)).select(
+        "event_id", "kind", "incident_seq", F.coalesce("opening", F.lit(False)).alias("opening"))
+
+
+@query
+def incident_stale_status(spark, sf_dir):
+    """Status changes aimed at incidents that are closed already or not open yet are set apart."""
+    kept, stale = incidents.split_stale_status(feeds.aimed_lifecycle(spark, sf_dir))
+    columns = ["workspace_id", "fingerprint", "event_id", "kind"]
+    return incidents.islands(kept).select(
+        *columns, "incident_seq", F.lit("").alias("reason")).unionByName(
+        stale.select(*columns, F.lit(None).cast("long").alias("incident_seq"), "reason"))
+
+
+@query
+def status_quarantine(spark, sf_dir):
+    """What the plan sets apart and what the other changes make of the incidents."""
+    found = plan(spark, sf_dir, aimed=True, wanted=("template",))
+    counted = found.counted.groupBy(F.lit("").alias("reason"), "status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("occurrence_count").alias("failures"))
+    return counted.unionByName(found.quarantine.groupBy("reason", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("failures")))
+
+
 @query
 def incident_rollup(spark, sf_dir):
     return incidents.rollup(incidents.islands(feeds.lifecycle(spark, sf_dir))).select(
@@ -513,6 +540,14 @@ def incident_title(spark, sf_dir):
     return plan(spark, sf_dir).incidents.select("incident_id", "title")
 
 
+@query
+def incident_renamed(spark, sf_dir):
+    """Titles after the answers of a model came in, hypothesis or not."""
+    found = plan(spark, sf_dir, answers=True)
+    return found.listed.select("incident_id", F.col("title").alias("now")).join(
+        found.incidents.select("incident_id", F.col("title").alias("first")), "incident_id")
+
+
 @query
 def join_run_pipeline(spark, sf_dir):
     runs = feeds.runs(spark, sf_dir)
@@ -522,11 +557,10 @@ def join_run_pipeline(spark, sf_dir):
 
 @query
 def join_incident_pipeline(spark, sf_dir):
-    """Against a dimension that lacks some pipelines."""
+    """Every incident with its pipeline, the whole dimension."""
     found = plan(spark, sf_dir)
-    some = found.pipelines.filter(F.substring("pipeline_id", 1, 1) < "c")
     return marts.incidents_with_pipeline(
-        found.incidents.drop("platform", "pipeline_name"), some).select(
+        found.incidents.drop("platform", "pipeline_name"), found.pipelines).select(
         "incident_id", "pipeline_id", "pipeline_name", "platform")
 
 
@@ -628,10 +662,10 @@ def latest_diagnosis(spark, sf_dir):
 
 @query
 def incident_latest_diag(spark, sf_dir):
-    """Incidents with their newest diagnosis, also when they have none."""
+    """Every incident with its newest diagnosis."""
     found = plan(spark, sf_dir, answers=True)
-    some = found.diagnoses.filter(F.col("category") != "permissions")
-    return found.incidents.join(diagnosis.latest(some, "category", "summary", "confidence"), "incident_id", "left").select(
+    newest = diagnosis.latest(found.diagnoses, "category", "summary", "confidence")
+    return found.incidents.join(newest, "incident_id", "left").select(
         "incident_id", F.col("diagnosis.category").alias("category"),
         F.coalesce(F.col("diagnosis.summary"), F.lit("")).alias("summary"),
         F.round(F.col("diagnosis.confidence"), 9).alias("confidence"))
@@ -810,14 +844,13 @@ def dashboard_distribution(spark, sf_dir):
 
 
 def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pipelines of all runs against the runs of every second one: some have none."""
+    """All pipelines against all runs."""
     events = feeds.runs(spark, sf_dir)
     pipelines = entities.pipelines(events)
     runs = entities.runs(events.withColumns({
         "trigger": F.lit("scheduled"), "config_snapshot": F.lit("{}"),
         "started_at": F.col("received_at"), "ended_at": F.col("received_at")}))
-    kept = runs.filter(F.substring("pipeline_id", 1, 1) < "c")
-    return marts.pipeline_health(pipelines, kept)
+    return marts.pipeline_health(pipelines, runs)
 
 
 @query

@@ -159,6 +159,26 @@ def status_events(failed: DataFrame) -> DataFrame:
         F.when(even, F.concat(F.lit("seen in "), F.col("event_id"))).otherwise("").alias("notes"))
 
 
+def aimed_status_events(failed: DataFrame) -> DataFrame:
+    """The same changes, each aimed at one of the first three incidents of its signature."""
+    number = F.substring("event_id", 3, 12).cast("long")
+    return status_events(failed).withColumn("target_seq", 1 + number % 3)
+
+
+def aimed_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline with status changes aimed at one of the first nine incidents, open yet or not."""
+    return lifecycle(spark, sf_dir).withColumn("target_seq", F.when(
+        F.col("kind") == "status", 1 + F.col("event_id").cast("long") % 9))
+
+
+def one_day_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole timeline as the history of one signature on one day."""
+    day = 86_400_000_000
+    return lifecycle(spark, sf_dir).withColumns({
+        "workspace_id": F.lit("ws"), "fingerprint": F.lit("fp"),
+        "at": F.timestamp_micros(F.unix_micros("at") % day)})
+
+
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle_from(table(spark, sf_dir, "events"))
 

@@ -180,6 +180,29 @@ _NOTE = recurrence_text()
 _CLOSING = ", ".join(q(s) for s in fv.CLOSING_STATUSES)
 
 
+def _titled(pipeline: str, summary: str) -> str:
+    plain = rf"regexp_replace({summary}, '^\[Hypothesis\] ', '')"
+    return f"{pipeline} || ': ' || left({plain}, {fv.TITLE_SUMMARY_CHARS})"
+
+
+def _walk(source: str) -> str:
+    """Rows of ``source`` (a timeline with target_seq), one signature's after the other: incident_seq of
+    each, ``ok`` whether a status row counts."""
+    return f"""(WITH RECURSIVE steps AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, fingerprint
+        ORDER BY moment, event_id) AS rn FROM {source}),
+        walk AS (SELECT DISTINCT workspace_id, fingerprint, 0::BIGINT AS rn, 0::BIGINT AS seq, false AS active,
+          '' AS event_id, true AS ok, '' AS kind, NULL::VARCHAR AS status, NULL::BIGINT AS target_seq FROM steps
+        UNION ALL SELECT s.workspace_id, s.fingerprint, s.rn,
+          CASE WHEN s.kind = 'failure' AND NOT w.active THEN w.seq + 1 ELSE w.seq END,
+          CASE WHEN s.kind = 'failure' THEN true WHEN w.seq = s.target_seq THEN s.status IN ('open', 'acknowledged')
+            ELSE w.active END,
+          s.event_id, s.kind = 'failure' OR w.seq = s.target_seq, s.kind, s.status, s.target_seq
+        FROM walk w JOIN steps s ON s.workspace_id = w.workspace_id AND s.fingerprint = w.fingerprint
+          AND s.rn = w.rn + 1)
+        SELECT *, CASE WHEN ok THEN '' WHEN target_seq < seq THEN 'incident superseded' ELSE 'incident not open yet'
+          END AS reason FROM walk WHERE rn > 0)"""
+
+
 def _life(prefix: str, source: str) -> list[tuple[str, str]]:
     """Incidents of a timeline (workspace_id, fingerprint, moment, event_id, kind, status, notes,
     run_id) by plain windows over each signature."""
@@ -327,7 +350,8 @@ def _tables() -> list[tuple[str, str]]:
             AS diagnosis_id FROM feedback f JOIN diagnoses d ON d.incident_id = f.incident_id AND
             d.created_at <= f.moment GROUP BY f.event_id"""),
         ("learned", f"""SELECT {short_id("'learned'", 'f.event_id')} AS kb_id, i.workspace_id,
-            i.platform, left(d.quotes[1], {fv.LEARNED_PATTERN_CHARS}) AS pattern, i.title,
+            i.platform, left(d.quotes[1], {fv.LEARNED_PATTERN_CHARS}) AS pattern,
+            CASE d.summary WHEN '' THEN i.title ELSE {_titled('i.pipeline_name', 'd.summary')} END AS title,
             d.summary AS cause, coalesce(nullif(f.comment, ''), d.fix_titles[1],
               {q(LEARNED_DEFAULT_FIX)}) AS fix, d.category, f.moment AS created_at
             FROM feedback f JOIN given g ON g.event_id = f.event_id
@@ -374,10 +398,12 @@ def _tables() -> list[tuple[str, str]]:
             d.engine <> 'llm' THEN list_concat(d.fix_titles, coalesce(k.titles, [])) ELSE
             d.fix_titles END AS fix_titles) FROM diagnoses d JOIN incidents i
             ON i.incident_id = d.incident_id LEFT JOIN kb_titles k ON k.log_id = d.incident_id"""),
-        ("listed", """SELECT i.incident_id, i.pipeline_id, i.pipeline_name, i.platform, i.title,
-            i.status, i.fingerprint, i.occurrence_count, i.first_seen_at, i.last_seen_at,
+        ("named", """SELECT incident_id, arg_max(summary, (created_at, diagnosis_id)) AS cause
+            FROM diagnoses WHERE summary <> '' GROUP BY incident_id"""),
+        ("listed", f"""SELECT i.incident_id, i.pipeline_id, i.pipeline_name, i.platform,
+            {_titled('i.pipeline_name', 'c.cause')} AS title, i.status, i.fingerprint, i.occurrence_count, i.first_seen_at, i.last_seen_at,
             n.category, n.summary, n.confidence FROM incidents i JOIN newest n
-            ON n.incident_id = i.incident_id"""),
+            ON n.incident_id = i.incident_id JOIN named c ON c.incident_id = i.incident_id"""),
         ("listed_rules", """SELECT incident_id, pipeline_id, pipeline_name, platform, title,
             status, fingerprint, occurrence_count, first_seen_at, last_seen_at, category, summary,
             confidence FROM incidents"""),
@@ -393,6 +419,12 @@ def _tables() -> list[tuple[str, str]]:
             CASE WHEN event_type IN ('error', 'click') THEN 'run-' || event_id::VARCHAR END AS
               run_id FROM events"""),
         *_life("ev", "life"),
+        ("one_day", """SELECT * REPLACE ('ws' AS workspace_id, 'fp' AS fingerprint,
+            make_timestamp(epoch_us(moment) % 86400000000) AS moment) FROM life"""),
+        *_life("day", "one_day"),
+        ("aimed_life", """SELECT *, CASE kind WHEN 'status' THEN 1 + event_id::BIGINT % 9 END AS target_seq FROM life"""),
+        ("aimed_timeline", """SELECT *, CASE kind WHEN 'status' THEN 1 + substr(event_id, 3)::BIGINT % 3 END
+            AS target_seq FROM timeline"""),
     ]
     made += _payload_tables() + _text_tables()
     return made
@@ -623,6 +655,10 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
             FROM doc_ruled JOIN rule_fixes ON rule = rule_id""",
         "incident_islands": """SELECT workspace_id, fingerprint, event_id, kind, incident_seq
             FROM ev_members""",
+        "incident_islands_one_day": """SELECT event_id, kind, incident_seq, kind = 'failure' AND row_number() OVER
+            (PARTITION BY incident_seq, kind ORDER BY moment, event_id) = 1 AS opening FROM day_members""",
+        "incident_stale_status": f"""SELECT workspace_id, fingerprint, event_id, kind,
+            CASE WHEN ok THEN seq END AS incident_seq, reason FROM {_walk('aimed_life')}""",
         "incident_rollup": """SELECT incident_id, workspace_id, fingerprint, incident_seq,
             occurrence_count, epoch_us(first_seen_at) AS first_us, epoch_us(last_seen_at) AS
             last_us, opening_event_id, run_id FROM ev_incidents""",
@@ -645,11 +681,11 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
             row_number() OVER (PARTITION BY workspace_id, fingerprint, incident_seq
             ORDER BY moment, event_id) > 1 AS deduplicated FROM inc_members WHERE kind = 'failure'""",
         "incident_title": "SELECT incident_id, title FROM incidents",
+        "incident_renamed": """SELECT l.incident_id, l.title AS now, i.title AS first FROM listed l
+            JOIN incidents i ON i.incident_id = l.incident_id""",
         "join_run_pipeline": """SELECT event_id, pipeline_id, p.name AS pipeline_name, r.status
             FROM runs r JOIN pipelines p USING (workspace_id, platform, pipeline_external_id)""",
-        "join_incident_pipeline": """SELECT incident_id, pipeline_id,
-            CASE WHEN left(pipeline_id, 1) < 'c' THEN pipeline_name ELSE '' END AS pipeline_name,
-            CASE WHEN left(pipeline_id, 1) < 'c' THEN platform END AS platform FROM incidents""",
+        "join_incident_pipeline": "SELECT incident_id, pipeline_id, pipeline_name, platform FROM incidents",
         "diagnose_rules": _DIAGNOSIS + "stored_diagnoses WHERE engine = 'rules'",
         "parse_responses": _DIAGNOSIS + "stored_diagnoses WHERE engine <> 'rules'",
         "diagnosis_fixes": f"""SELECT incident_id, pos::BIGINT AS pos, rule_fixes.title, kind, steps
@@ -670,10 +706,8 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
             END AS quotes FROM documents))""",
         "latest_diagnosis": "SELECT incident_id, diagnosis_id, engine, category FROM newest",
         "incident_latest_diag": """SELECT i.incident_id, n.category, coalesce(n.summary, '') AS
-            summary, round(n.confidence, 9) AS confidence FROM incidents i LEFT JOIN
-            (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY
-            created_at DESC, diagnosis_id DESC) AS rk FROM diagnoses
-            WHERE category <> 'permissions') WHERE rk = 1) n ON n.incident_id = i.incident_id""",
+            summary, round(n.confidence, 9) AS confidence FROM incidents i LEFT JOIN newest n
+            ON n.incident_id = i.incident_id""",
         "incident_diagnoses": f"""SELECT incident_id, row_number() OVER (PARTITION BY incident_id
             ORDER BY created_at DESC, diagnosis_id DESC) AS position, diagnosis_id, engine,
             {day_time('created_at')} AS created FROM diagnoses""",
@@ -750,8 +784,7 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
     health = """SELECT pipeline_id, p.name, p.platform, p.pipeline_external_id,
         count(r.event_id) AS run_count, count(*) FILTER (r.status = 'failed') AS failed_count
         FROM pipelines p LEFT JOIN runs r ON r.workspace_id = p.workspace_id AND
-        r.platform = p.platform AND r.pipeline_external_id = p.pipeline_external_id AND
-        left(p.pipeline_id, 1) < 'c' GROUP BY ALL"""
+        r.platform = p.platform AND r.pipeline_external_id = p.pipeline_external_id GROUP BY ALL"""
     plain["pipeline_health"] = health
     plain["pipeline_failure_rate"] = f"""SELECT pipeline_id, rate AS failure_rate, CASE WHEN
         rate >= 0.25 THEN 'critical' WHEN rate >= 0.10 THEN 'warn' ELSE 'good' END AS failure_band
@@ -783,6 +816,12 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
         FROM incidents i JOIN failures f ON f.run_id = i.run_id
         JOIN done d ON d.run_external_id = f.run_external_id""",
         [task_logs, *redaction_ctes("done", "task_logs", "log")])
+    out["status_quarantine"] = (
+        """SELECT '' AS reason, status, count(*) AS n, sum(failures)::BIGINT AS failures FROM
+        (SELECT count(*) FILTER (kind = 'failure') AS failures, coalesce(arg_max(status, rn) FILTER
+        (kind = 'status'), 'open') AS status FROM walked WHERE ok AND seq > 0 GROUP BY workspace_id, fingerprint, seq)
+        GROUP BY status UNION ALL SELECT reason, status, count(*), 0 FROM walked WHERE NOT ok GROUP BY ALL""",
+        [("walked", f"SELECT * FROM {_walk('aimed_timeline')}")])
     out["truncate_log"] = (
         f"""SELECT log_id, length({_truncated(fv.LOG_BUDGET)}) AS chars,
         md5({_truncated(fv.LOG_BUDGET)}) AS digest, md5({_truncated(400)}) AS tight_digest

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultmill.operators import incidents
-from faultmill.operators.ordered import with_previous
+from faultmill.operators.ordered import in_ranges, with_previous
 from faultmill.plans import marts
 from faultmill.samples import feeds
 from faultmill.streaming import jobs
@@ -61,9 +61,25 @@ def test_documented_sequence(spark):
     assert [r.incident_seq for r in got] == [1, 1, 1, 1, 1, 2, 2, 2, 3]
 
 
-@pytest.mark.parametrize("bucket", [60, 3600, 86_400, 10**8])
+def test_one_moment_of_one_signature_spreads(spark):
+    """All rows at one time: ranges cut by rows, and the result is that of the plain window."""
+    rng = random.Random(1)
+    rows = [row("hot", 0, f"e{i:05d}", rng.choice([None] * 3 + ["resolved", "open"])) for i in range(4000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = [r["count"] for r in in_ranges(frame, incidents.KEYS, incidents.ORDER).groupBy("__range").count().collect()]
+        assert len(spread) == 8 and max(spread) < 1000
+        found = incidents.islands(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {r.event_id: r.incident_seq for r in found if r.incident_seq > 0} == {
+        e: seq for e, (seq, _) in simulate(rows).items()}
+
+
+@pytest.mark.parametrize("bucket", [None, 60, 3600, 86_400, 10**8])
 def test_islands_equal_simulation_for_any_bucket(spark, bucket):
-    rows = history(1500, bucket)
+    rows = history(1500, bucket or 5)
     want = simulate(rows)
     found = incidents.islands(spark.createDataFrame(rows, SCHEMA), bucket).collect()
     got = {r.event_id: r.incident_seq for r in found if r.incident_seq > 0}
@@ -103,7 +119,9 @@ def test_recurrence_skips_what_ended_ignored(spark):
     assert got[3].prior_incident_id == got[1].incident_id
 
 
-def test_stale_status_rows_are_set_apart(spark):
+@pytest.mark.parametrize("bucket", [None, 3600])
+@pytest.mark.parametrize("ahead", [0, 3])
+def test_stale_status_rows_are_set_apart(spark, bucket, ahead):
     rng = random.Random(3)
     rows, current = [], {}
     for i in range(900):
@@ -114,16 +132,18 @@ def test_stale_status_rows_are_set_apart(spark):
             if not active:
                 seq, active = seq + 1, True
         else:
-            target = rng.randint(max(1, seq - 2), seq)
+            target = rng.randint(max(1, seq - 2), seq + ahead)
             status = rng.choice(["resolved", "ignored", "acknowledged", "open"])
             rows.append(row(key, minutes, f"e{i:05d}", status, "", target))
             if target == seq:
                 active = status in ("open", "acknowledged")
         current[key] = (seq, active)
     want = simulate(rows)
-    kept, stale = incidents.split_stale_status(spark.createDataFrame(rows, SCHEMA), 3600)
-    assert {r.event_id for r in stale.collect()} == {r[3] for r in rows} - set(want)
-    got = {r.event_id: r.incident_seq for r in incidents.islands(kept, 3600).collect()}
+    kept, stale = incidents.split_stale_status(spark.createDataFrame(rows, SCHEMA), bucket)
+    refused = {r.event_id: r.reason for r in stale.collect()}
+    assert set(refused) == {r[3] for r in rows} - set(want)
+    assert set(refused.values()) == {incidents.SUPERSEDED, *([incidents.NOT_OPEN] if ahead else [])}
+    got = {r.event_id: r.incident_seq for r in incidents.islands(kept, bucket).collect()}
     assert got == {e: seq for e, (seq, _) in want.items()}
 
 

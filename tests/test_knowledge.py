@@ -249,12 +249,32 @@ def test_feedback_takes_the_diagnosis_of_its_time_and_teaches(spark):
     assert {r.event_id: r.diagnosis and r.diagnosis.diagnosis_id for r in judged.collect()} == {
         "f0": None, "f1": "d1", "f2": "d2", "f3": "d2"}
     incidents = spark.createDataFrame(
-        [("i1", "w", "p1", "title")],
-        "incident_id string, workspace_id string, pipeline_id string, title string")
+        [("i1", "w", "p1", "Pipe", "title")],
+        "incident_id string, workspace_id string, pipeline_id string, pipeline_name string, title string")
     pipelines = spark.createDataFrame([("px", "dbt")], "pipeline_id string, platform string")
     rows = knowledge.learn(judged, incidents, pipelines).orderBy("created_at").collect()
-    assert [(r.pattern, r.fix, r.platform, r.category) for r in rows] == [
-        ("quote d1", "fix d1", "generic", "timeout"), ("quote d2", "did so", "generic", "code_error")]
+    assert [(r.pattern, r.fix, r.platform, r.category, r.title) for r in rows] == [
+        ("quote d1", "fix d1", "generic", "timeout", "Pipe: why d1"),
+        ("quote d2", "did so", "generic", "code_error", "Pipe: why d2")]
+
+
+def test_unmatched_sides(spark):
+    """Incidents without a pipeline or a diagnosis, pipelines without a run."""
+    found = spark.createDataFrame(
+        [(i, p, "t " + i, "open", "f", 1, T0, T0) for i, p in (("i1", "p1"), ("i2", "px"))],
+        "incident_id string, pipeline_id string, title string, status string, fingerprint string, "
+        "occurrence_count long, first_seen_at timestamp, last_seen_at timestamp")
+    pipelines = spark.createDataFrame([("p1", "Pipe", "dbt"), ("p2", "Idle", "adf")],
+                                      "pipeline_id string, name string, platform string")
+    given = diagnoses(spark, [("d1", "i1", 0, "timeout")])
+    got = {r.incident_id: (r.pipeline_name, r.platform, r.title, r.category, r.summary, r.confidence)
+           for r in marts.summaries(found, pipelines, given).collect()}
+    assert got == {"i1": ("Pipe", "dbt", "Pipe: why d1", "timeout", "why d1", 0.5),
+                   "i2": ("", None, "t i2", None, "", None)}
+    runs = spark.createDataFrame([("p1", "failed"), ("p1", "success"), ("gone", "failed")], "pipeline_id string, status string")
+    health = {r.pipeline_id: (r.run_count, r.failed_count, r.failure_rate, r.failure_band)
+              for r in marts.pipeline_health(pipelines, runs).collect()}
+    assert health == {"p1": (2, 1, 0.5, "critical"), "p2": (0, 0, 0.0, "good")}
 
 
 def test_category_filter_matches_any_diagnosis(spark):
