@@ -143,6 +143,15 @@ def acknowledgements(members: DataFrame) -> DataFrame:
         (~F.col("opening")).alias("deduplicated"))
 
 
+def recurrence_note(count: Column, resolved_at: Column, notes: Column) -> Column:
+    """What is told of an earlier incident that ended resolved; empty where there is none."""
+    before, resolved, end, noted = (F.lit(piece) for piece in recurrence_text())
+    text = F.concat(
+        before, count.cast("string"), resolved, F.date_format(resolved_at, "yyyy-MM-dd"), end,
+        F.when(notes != "", F.concat(noted, notes)).otherwise(""))
+    return F.when(count.isNotNull(), text).otherwise("")
+
+
 def with_recurrence(incidents: DataFrame) -> DataFrame:
     """Adds the newest earlier incident of the signature that ended resolved, and the note.
 
@@ -153,15 +162,10 @@ def with_recurrence(incidents: DataFrame) -> DataFrame:
         F.col("incident_id").alias("id"), F.col("occurrence_count").alias("count"),
         F.col("resolved_at").alias("resolved_at"), F.col("resolution_notes").alias("notes")))
     bucket = F.floor(F.col("incident_seq") / INCIDENTS_PER_BUCKET).cast("long")
-    before, resolved, end, notes = (F.lit(piece) for piece in recurrence_text())
     found = F.col("prior")
-    note = F.concat(
-        before, found["count"].cast("string"), resolved,
-        F.date_format(found["resolved_at"], "yyyy-MM-dd"), end,
-        F.when(found["notes"] != "", F.concat(notes, found["notes"])).otherwise(""))
     return (
         with_previous(incidents, KEYS, ["incident_seq"], bucket, prior, "prior")
-        .withColumn("recurrence_note", F.when(found.isNotNull(), note).otherwise(""))
+        .withColumn("recurrence_note", recurrence_note(found["count"], found["resolved_at"], found["notes"]))
         .withColumns({
             "prior_incident_id": found["id"], "prior_count": found["count"],
             "prior_resolved_at": found["resolved_at"], "prior_notes": found["notes"]})

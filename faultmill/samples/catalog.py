@@ -15,7 +15,7 @@ from ..rules import fixed_values as fv
 from ..session import materialize, scratch_path
 from ..sources import airflow, dbt
 from ..sources import feeds as sources
-from ..streaming import jobs
+from ..streaming import jobs, lifecycle
 from ..streaming.incidents import track
 from . import feeds
 
@@ -926,3 +926,55 @@ def stream_dashboard(spark, sf_dir):
     jobs.live_totals(timeline, f"{out}/totals", f"{out}/checkpoint").awaitTermination()
     totals = spark.read.parquet(f"{out}/totals/batch=*")
     return totals.orderBy(F.desc("batch_id")).limit(1).drop("batch_id")
+
+
+@query
+def stream_jumbled(spark, sf_dir):
+    """Rows up to a day out of order over several micro-batches give the incidents of the batch."""
+    out = scratch_path(spark, "stream-jumbled")
+    rows = feeds.jumbled_stream(feeds.lifecycle(spark, sf_dir), f"{out}/in")
+    followed = lifecycle.follow(rows, "2 days")
+    jobs.run_to_files(followed, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(
+        "workspace_id", "fingerprint", "event_id", "kind", "incident_seq", "reason", "recurrence_note")
+
+
+def _followed(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
+    """The history of all failures with status changes, answers of a model and feedback, as a stream."""
+    found = plan(spark, sf_dir, answers=True, wanted=("template", "rule_id", "evidence", "curated"))
+    keyed = found.incidents.select("incident_id", "workspace_id", "fingerprint", F.col("incident_seq").alias("target_seq"))
+    answers = found.diagnoses.filter(F.col("engine") != "rules").join(keyed, "incident_id").select(
+        "workspace_id", "fingerprint", "target_seq", F.col("created_at").alias("at"),
+        F.col("diagnosis_id").alias("event_id"), "engine", "category", "confidence")
+    asked = feeds.feedback(found.incidents).join(keyed, "incident_id").select(
+        "workspace_id", "fingerprint", "target_seq", "at", "event_id")
+    rows = lifecycle.history(found.stored, feeds.status_events(found.stored), answers, asked)
+    return lifecycle.follow(feeds.jumbled_stream(rows, f"{out}/in"), "2 days")
+
+
+@query
+def stream_feedback(spark, sf_dir):
+    """The diagnosis that each feedback was given on, from the state, over several micro-batches."""
+    out = scratch_path(spark, "stream-feedback")
+    jobs.run_to_files(_followed(spark, sf_dir, out), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    given = spark.read.parquet(f"{out}/rows").filter(F.col("kind") == "feedback")
+    return given.select("event_id", "incident_id", "diagnosis_id", "reason")
+
+
+@query
+def stream_measures(spark, sf_dir):
+    """Totals, categories, platforms and confidence after the last micro-batch, from signed changes."""
+    out = scratch_path(spark, "stream-measures")
+    jobs.live_dashboard(_followed(spark, sf_dir, out), f"{out}/totals", f"{out}/checkpoint").awaitTermination()
+    return jobs.live_measures(jobs.newest(spark, f"{out}/totals"))
+
+
+@query
+def stream_health(spark, sf_dir):
+    """Runs and failures per pipeline after the last micro-batch."""
+    out = scratch_path(spark, "stream-health")
+    feeds.runs(spark, sf_dir).repartition(4, "event_id").write.parquet(f"{out}/in")
+    runs = spark.readStream.schema(feeds.runs(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    jobs.live_health(runs, f"{out}/health", f"{out}/checkpoint").awaitTermination()
+    return jobs.newest(spark, f"{out}/health").select(
+        *entities.PIPELINE_KEYS, F.col("seen.name").alias("name"), "run_count", "failed_count")

@@ -774,6 +774,20 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
         "category_label": f"""SELECT category, replace(coalesce(category, 'undiagnosed'), '_', ' ')
             AS label, count(*) AS n FROM (SELECT {case('l_partkey % 15', fv.CATEGORIES)} AS
             category FROM lineitem) GROUP BY ALL""",
+        "stream_jumbled": """SELECT m.workspace_id, m.fingerprint, m.event_id, m.kind, m.incident_seq, '' AS reason,
+            coalesce(k.recurrence_note, '') AS recurrence_note FROM ev_members m
+            LEFT JOIN ev_known k ON k.opening_event_id = m.event_id""",
+        "stream_feedback": """SELECT f.event_id, f.incident_id, g.diagnosis_id, '' AS reason FROM feedback f
+            LEFT JOIN given g ON g.event_id = f.event_id""",
+        "stream_measures": """SELECT 'total' AS measure, '' AS item, count(*)::DOUBLE AS value FROM incidents
+            UNION ALL SELECT 'status', status, count(*)::DOUBLE FROM incidents GROUP BY status
+            UNION ALL SELECT 'recurring', '', count(*)::DOUBLE FROM incidents WHERE occurrence_count > 1
+            UNION ALL SELECT 'platform', platform, count(*)::DOUBLE FROM incidents GROUP BY platform
+            UNION ALL SELECT 'category', category, count(*)::DOUBLE FROM newest GROUP BY category
+            UNION ALL SELECT 'avg_confidence', '', coalesce(round_even(avg(confidence), 3), 0.0)::DOUBLE FROM newest""",
+        "stream_health": """SELECT p.workspace_id, p.platform, p.pipeline_external_id, p.name, count(*) AS run_count,
+            count(*) FILTER (r.status = 'failed') AS failed_count FROM pipelines p JOIN runs r
+            USING (workspace_id, platform, pipeline_external_id) GROUP BY ALL""",
         "stream_incidents": """SELECT workspace_id, fingerprint, event_id, kind, incident_seq
             FROM ev_members""",
         "stream_dashboard": """SELECT count(*) AS total_incidents,

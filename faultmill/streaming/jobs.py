@@ -2,11 +2,11 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import failures
+from ..operators import entities, failures
 from ..sources import feeds
 from .incidents import track
 
@@ -55,3 +55,98 @@ def live_totals(timeline: DataFrame, totals: str, checkpoint: str) -> StreamingQ
         track(timeline).writeStream.outputMode("append").foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+# --- live dashboard ------------------------------------------------------------------------------
+
+def _carried(path: str, combine: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """After every micro-batch the table of the one before, combined with what this one changes.
+
+    A batch reads one small table and no history, and a repeated batch overwrites its own.
+    """
+    def on_batch(made: DataFrame, batch_id: int) -> None:
+        if batch_id > 0:
+            made = made.unionByName(
+                made.sparkSession.read.schema(made.schema).parquet(f"{path}/batch={batch_id - 1}"))
+        combine(made).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return on_batch
+
+
+_EXACT = "decimal(38,9)"
+
+
+def dashboard_changes(followed: DataFrame) -> DataFrame:
+    """Signed change rows (measure, item, n, amount): the old status or category of an incident goes out,
+    the new one comes in; ``amount`` sums confidences, exactly."""
+    def change(measure: str, item: Column, when: Column, sign: int = 1, amount: Column | None = None) -> Column:
+        value = F.round(amount, 9).cast(_EXACT) if amount is not None else F.lit(0).cast(_EXACT)
+        return F.when(when, F.struct(
+            F.lit(measure).alias("measure"), item.alias("item"), F.lit(sign).cast("long").alias("n"),
+            (value * F.lit(sign)).cast(_EXACT).alias("amount")))
+
+    opened, status, was = F.col("opened"), F.col("status"), F.col("was_status")
+    moved = opened | ((F.col("kind") == "status") & was.isNotNull() & (was != status))
+    found = F.col("category").isNotNull()
+    nothing = F.lit("")
+    rows = F.array_compact(F.array(
+        change("total", nothing, opened),
+        change("status", status, moved), change("status", was, moved & was.isNotNull(), -1),
+        change("recurring", nothing, (F.col("kind") == "failure") & (F.col("occurrence_count") == 2)),
+        change("platform", F.col("platform"), opened),
+        change("category", F.col("category"), found, 1, F.col("confidence")),
+        change("category", F.col("was_category"), found & F.col("was_category").isNotNull(), -1, F.col("was_confidence"))))
+    return _summed(followed.filter(F.col("reason") == "").select(F.explode(rows).alias("c")).select("c.*"))
+
+
+def _summed(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("measure", "item").agg(
+        F.sum("n").alias("n"), F.sum("amount").cast(_EXACT).alias("amount"))
+
+
+def live_dashboard(followed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """After every micro-batch the totals by status, category and platform, and the sum of confidences,
+    over all incidents so far (``lifecycle.follow``)."""
+    carry = _carried(path, _summed)
+    return (
+        followed.writeStream.outputMode("append").foreachBatch(lambda rows, number: carry(dashboard_changes(rows), number))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def live_health(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """After every micro-batch runs and failures of every pipeline seen so far, named as first seen."""
+    def counted(batch: DataFrame) -> DataFrame:
+        order = F.struct("received_at", "event_id")
+        name = F.coalesce(F.nullif(F.col("pipeline_name"), F.lit("")), F.col("pipeline_external_id"))
+        return batch.groupBy(*entities.PIPELINE_KEYS).agg(
+            F.min_by(F.struct(order.alias("first"), name.alias("name")), order).alias("seen"),
+            F.count(F.lit(1)).alias("run_count"), F.count_if(F.col("status") == "failed").alias("failed_count"))
+
+    def combine(tables: DataFrame) -> DataFrame:
+        return tables.groupBy(*entities.PIPELINE_KEYS).agg(
+            F.min("seen").alias("seen"), F.sum("run_count").alias("run_count"), F.sum("failed_count").alias("failed_count"))
+
+    carry = _carried(path, combine)
+    return (
+        events.writeStream.outputMode("append").foreachBatch(lambda rows, number: carry(counted(rows), number))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The table after the last micro-batch."""
+    tables = spark.read.parquet(f"{path}/batch=*")
+    last = spark.read.option("basePath", path).parquet(f"{path}/batch=*").select(F.max("batch")).first()[0]
+    return spark.read.schema(tables.schema).parquet(f"{path}/batch={last}")
+
+
+def live_measures(totals: DataFrame) -> DataFrame:
+    """(measure, item, value) as the dashboard shows them, from the totals of ``live_dashboard``."""
+    shown = totals.filter(F.col("n") != 0).select(
+        F.col("measure"), "item", F.col("n").cast("double").alias("value"))
+    mean = totals.filter(F.col("measure") == "category").agg(
+        F.sum("amount").alias("amount"), F.sum("n").alias("n")).select(
+        F.lit("avg_confidence").alias("measure"), F.lit("").alias("item"),
+        F.coalesce(F.bround((F.col("amount") / F.col("n")).cast("double"), 3), F.lit(0.0)).alias("value"))
+    return shown.unionByName(mean)
