@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import short_id, with_redaction
+from ..sources.merge import bucket, merge
 
 PIPELINE_KEYS = ["workspace_id", "platform", "pipeline_external_id"]
 CONNECTION_KEYS = ["workspace_id", "platform"]
@@ -15,7 +16,8 @@ def pipelines(events: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif(F.col("pipeline_name"), F.lit("")), F.col("pipeline_external_id"))
     return (
         events.groupBy(*PIPELINE_KEYS)
-        .agg(F.min_by(name, order).alias("name"), F.min("received_at").alias("created_at"))
+        .agg(F.min_by(name, order).alias("name"), F.min("received_at").alias("created_at"),
+             F.min(order)["event_id"].alias("first_event_id"))
         .withColumns({
             "pipeline_id": short_id(*[F.col(k) for k in PIPELINE_KEYS]),
             "connection_id": short_id(*[F.col(k) for k in CONNECTION_KEYS])})
@@ -31,9 +33,14 @@ def connections(events: DataFrame) -> DataFrame:
     )
 
 
-def unseen(found: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows to append to a stored dimension: first sightings keep their name."""
-    return found.join(existing.select(*keys), keys, "left_anti")
+def grow_pipelines(events: DataFrame, path: str) -> None:
+    """Add the pipelines of an increment of events to the stored dimension.
+
+    The first sighting of a key names it, also when a later increment brings it; increments without
+    news write nothing.
+    """
+    found = pipelines(events).withColumn("bucket", bucket("pipeline_id"))
+    merge(found, path, ["pipeline_id"], ["created_at", "first_event_id"], "bucket", first=True)
 
 
 def with_pipeline(events: DataFrame, dimension: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..plans import adhoc, marts
 from ..plans.incident_plan import IncidentPlan
 from ..rules import fixed_values as fv
 from ..session import materialize, scratch_path
-from ..sources import airflow, dbt
+from ..sources import airflow, dbt, merge
 from ..sources import feeds as sources
 from ..streaming import jobs, lifecycle
 from ..streaming.incidents import track
@@ -179,6 +179,38 @@ def sink_incidents(spark, sf_dir):
         F.sum("occurrence_count").alias("failures"))
 
 
+def _incident_increment(events: DataFrame, since: str) -> DataFrame:
+    """Incidents that a row from ``since`` on has changed, as they are after all ``events``."""
+    members = incidents.islands(events)
+    touched = members.groupBy(*incidents.KEYS, "incident_seq").agg(F.max("at").alias("changed_at")).filter(
+        F.col("changed_at") >= F.lit(since).cast("timestamp"))
+    return incidents.rollup(members).join(touched, [*incidents.KEYS, "incident_seq"]).withColumn(
+        "dt", merge.period("first_seen_at", "day"))
+
+
+@query
+def sink_upsert(spark, sf_dir):
+    """Incidents stored by day in three increments, the last one twice: the table of one full run."""
+    path, events = f"{scratch_path(spark, 'upsert')}/incidents", feeds.lifecycle(spark, sf_dir)
+    cuts = ("2024-01-05", "2024-01-20", "2100-01-01")
+    for since, until in (("1970-01-01", cuts[0]), (cuts[0], cuts[1]), (cuts[1], cuts[2]), (cuts[1], cuts[2])):
+        known = events.filter(F.col("at") < F.lit(until).cast("timestamp"))
+        merge.merge(_incident_increment(known, since), path, ["incident_id"], ["changed_at", "occurrence_count"], "dt")
+    return spark.read.parquet(path).select(
+        "incident_id", "status", "occurrence_count", F.unix_micros("first_seen_at").alias("first_us"),
+        F.unix_micros("last_seen_at").alias("last_us"), "resolution_notes")
+
+
+@query
+def dim_growth(spark, sf_dir):
+    """The pipeline dimension grown over three increments that see keys out of order."""
+    path, events = f"{scratch_path(spark, 'growth')}/pipelines", feeds.runs(spark, sf_dir)
+    for turn in (2, 0, 1, 0):
+        entities.grow_pipelines(events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == turn), path)
+    return spark.read.parquet(path).select(
+        *entities.PIPELINE_KEYS, "pipeline_id", "connection_id", "name", day_time(F.col("created_at")).alias("created"))
+
+
 # --- projections ---------------------------------------------------------------------------------
 
 _STATES = ("Success", "FAILED", "running", "Upstream_Failed", "skipped", "removed", "shutdown",
@@ -939,6 +971,19 @@ def stream_jumbled(spark, sf_dir):
         "workspace_id", "fingerprint", "event_id", "kind", "incident_seq", "reason", "recurrence_note")
 
 
+@query
+def stream_upsert(spark, sf_dir):
+    """The incident table kept by a stream: every micro-batch is merged into it."""
+    out = scratch_path(spark, "stream-upsert")
+    rows = lifecycle.incident_rows(lifecycle.follow(
+        feeds.jumbled_stream(feeds.lifecycle(spark, sf_dir), f"{out}/in"), "2 days"))
+    merge.merge_stream(rows, f"{out}/incidents", ["incident_id"], ["at", "event_id"], "dt",
+                       f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/incidents").select(
+        "incident_id", "status", "occurrence_count", F.unix_micros("first_seen_at").alias("first_us"),
+        F.unix_micros("last_seen_at").alias("last_us"), "resolution_notes")
+
+
 def _followed(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
     """The history of all failures with status changes, answers of a model and feedback, as a stream."""
     found = plan(spark, sf_dir, answers=True, wanted=("template", "rule_id", "evidence", "curated"))

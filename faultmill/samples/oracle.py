@@ -777,6 +777,11 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
         "stream_jumbled": """SELECT m.workspace_id, m.fingerprint, m.event_id, m.kind, m.incident_seq, '' AS reason,
             coalesce(k.recurrence_note, '') AS recurrence_note FROM ev_members m
             LEFT JOIN ev_known k ON k.opening_event_id = m.event_id""",
+        **dict.fromkeys(("sink_upsert", "stream_upsert"), """SELECT incident_id, status, occurrence_count,
+            epoch_us(first_seen_at) AS first_us, epoch_us(last_seen_at) AS last_us, resolution_notes
+            FROM ev_incidents"""),
+        "dim_growth": f"""SELECT workspace_id, platform, pipeline_external_id, pipeline_id,
+            connection_id, name, {day_time('created_at')} AS created FROM pipelines""",
         "stream_feedback": """SELECT f.event_id, f.incident_id, g.diagnosis_id, '' AS reason FROM feedback f
             LEFT JOIN given g ON g.event_id = f.event_id""",
         "stream_measures": """SELECT 'total' AS measure, '' AS item, count(*)::DOUBLE AS value FROM incidents

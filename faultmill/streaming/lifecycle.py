@@ -18,6 +18,7 @@ from ..operators import diagnosis
 from ..operators.incidents import KEYS, NOT_OPEN, SUPERSEDED, recurrence_note
 from ..rules import fixed_values as fv
 from ..session import ship
+from ..sources.merge import period
 
 LATE = "behind the watermark"
 
@@ -38,7 +39,8 @@ _OUT = (
     "workspace_id string, fingerprint string, event_id string, at_micros long, kind string, run_id string, "
     "incident_seq long, opened boolean, deduplicated boolean, reason string, was_status string, status string, "
     "occurrence_count long, platform string, was_category string, category string, was_confidence double, "
-    "confidence double, engine string, diagnosis_id string, prior_count long, prior_resolved_micros long, prior_notes string")
+    "confidence double, engine string, diagnosis_id string, prior_count long, prior_resolved_micros long, prior_notes string, first_seen_micros long, last_seen_micros long, "
+    "resolved_micros long, notes string")
 _COLUMNS = [field.split(" ")[0] for field in _OUT.split(", ")]
 
 
@@ -108,7 +110,9 @@ class Signature:
             before = [d for d in (self.diagnoses(aimed) if 0 < aimed <= self.seq else []) if d[0] <= at]
             made["diagnosis_id"] = before[-1][1] if before else None
         made |= {"incident_seq": aimed if kind in ("diagnosis", "feedback") else self.seq,
-                 "status": self.status if self.seq else None, "occurrence_count": self.count}
+                 "status": self.status if self.seq else None, "occurrence_count": self.count,
+                 "first_seen_micros": self.first if self.seq else None, "last_seen_micros": self.last if self.seq else None,
+                 "resolved_micros": self.resolved, "notes": self.notes}
         return made
 
     def _failure(self, made: dict, at: int, category: str | None, confidence: float | None) -> None:
@@ -283,4 +287,16 @@ def follow(rows: DataFrame, delay: str) -> DataFrame:
         "opened", "deduplicated", "reason", "was_status", "status", "occurrence_count", "platform", "was_category",
         "category", "was_confidence", "confidence", "engine", "diagnosis_id",
         recurrence_note(F.col("prior_count"), F.timestamp_micros("prior_resolved_micros"), F.col("prior_notes"))
-        .alias("recurrence_note"))
+        .alias("recurrence_note"),
+        F.timestamp_micros("first_seen_micros").alias("first_seen_at"),
+        F.timestamp_micros("last_seen_micros").alias("last_seen_at"),
+        F.timestamp_micros("resolved_micros").alias("resolved_at"), F.col("notes").alias("resolution_notes"))
+
+
+def incident_rows(followed: DataFrame) -> DataFrame:
+    """The state of an incident after each of its rows, for a table that is merged by incident_id and
+    ``(at, event_id)`` in partitions ``dt`` of the month in which it opened."""
+    own = F.col("kind").isin("failure", "status") & (F.col("reason") == "") & (F.col("incident_seq") > 0)
+    return followed.filter(own).select(
+        "incident_id", *KEYS, "incident_seq", "at", "event_id", "status", "occurrence_count", "first_seen_at",
+        "last_seen_at", "resolved_at", "resolution_notes", period("first_seen_at").alias("dt"))
