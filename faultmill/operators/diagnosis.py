@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.once import once
 from ..functions.text import collapse_blanks, short_id, truncate_log
 from ..rules import fixed_values as fv
+from ..rules.ruleset import BUILT_IN, RuleSet
 from ..rules.wording import (
-    KB_FIX_TITLE_PREFIX, RULE_TEXTS, UNKNOWN_CONFIDENCE, UNKNOWN_TEXT, RuleText,
+    KB_FIX_TITLE_PREFIX, UNKNOWN_CONFIDENCE, UNKNOWN_TEXT, RuleText,
 )
 from ..sources.payload import document, parsed
 
@@ -27,13 +28,14 @@ _RULE_COLUMNS = (
 _NO_RULE = 0
 
 
-def rule_table(spark: SparkSession) -> DataFrame:
-    """One row per triage rule and one (id 0) for logs no rule matched: 20 rows, fixed."""
+def rule_table(spark: SparkSession, rules: RuleSet = BUILT_IN) -> DataFrame:
+    """One row per triage rule and one (id 0) for logs no rule matched: 20 of the built-in rules, and
+    never more than expressions can hold."""
     def row(number: int, category: str, confidence: float, transient: bool, text: RuleText):
         fixes = [(f.title, f.type, list(f.steps), f.diff, f.risk) for f in text.fixes]
         return number, category, text.cause, text.explanation, fixes, confidence, transient
 
-    rows = [row(n, c, conf, t, RULE_TEXTS[n]) for n, c, conf, t, _ in fv.TRIAGE_RULES]
+    rows = [row(n, c, conf, t, rules.texts[n]) for n, c, conf, t, _ in rules.triage]
     rows.append(row(_NO_RULE, "unknown", UNKNOWN_CONFIDENCE, False, UNKNOWN_TEXT))
     return spark.createDataFrame(rows, _RULE_COLUMNS)
 
@@ -51,13 +53,13 @@ def kb_fixes(hits: Column) -> Column:
         F.lit("").alias("diff"), F.lit("low").alias("risk")))
 
 
-def by_rules(signed: DataFrame) -> DataFrame:
+def by_rules(signed: DataFrame, rule_set: RuleSet = BUILT_IN) -> DataFrame:
     """Rule diagnosis of every row of ``signed``.
 
     Needs rule_id, evidence (quotes), recurrence_note, kb_hits.  Knowledge hits add fixes only
     where a rule matched; a log without a rule is reported as unknown.
     """
-    rules = F.broadcast(rule_table(signed.sparkSession))  # 20 rows by construction
+    rules = F.broadcast(rule_table(signed.sparkSession, rule_set))  # a row per rule
     note = F.coalesce(F.col("recurrence_note"), F.lit(""))
     return (
         signed.withColumnRenamed("evidence", "__quotes")
@@ -101,13 +103,13 @@ def verify_evidence(df: DataFrame, log: str) -> DataFrame:
 
 # --- offline model -------------------------------------------------------------------------------
 
-def prompts(signed: DataFrame, budget: int = fv.LOG_BUDGET) -> DataFrame:
+def prompts(signed: DataFrame, budget: int = fv.LOG_BUDGET, rule_set: RuleSet = BUILT_IN) -> DataFrame:
     """Adds ``prompt``: the context lines that apply, then the truncated log between markers.
 
     Needs platform, pipeline_name, task_name, node_type, context, recurrence_note, rule_id,
     kb_hits, log.  Written out, the table is the input of a batch inference job elsewhere.
     """
-    rules = F.broadcast(rule_table(signed.sparkSession).select(  # 20 rows by construction
+    rules = F.broadcast(rule_table(signed.sparkSession, rule_set).select(  # a row per rule
         F.col("rule_id").alias("__rule"), F.col("category").alias("__category"),
         F.col("summary").alias("__cause")))
 

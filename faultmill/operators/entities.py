@@ -33,6 +33,11 @@ def connections(events: DataFrame) -> DataFrame:
     )
 
 
+def unseen(found: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of an increment whose keys a stored dimension lacks."""
+    return found.join(existing.select(*keys), keys, "left_anti")
+
+
 def grow_pipelines(events: DataFrame, path: str) -> None:
     """Add the pipelines of an increment of events to the stored dimension.
 

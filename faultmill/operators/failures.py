@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.once import once
 from ..rules import fixed_values as fv
+from ..rules.ruleset import BUILT_IN, RuleSet
 
 FAILING = ("failed", "upstream_failed")
 
@@ -19,12 +20,12 @@ def synthetic_log(run: Column, pipeline: Column) -> Column:
     return F.concat(before, run, middle, pipeline, after)
 
 
-def evidence(log: Column, rule_id: Column) -> Column:
+def evidence(log: Column, rule_id: Column, rules: RuleSet = BUILT_IN) -> Column:
     """The quote of the rule, or up to five error lines when no rule matched."""
     lines = F.transform(
         tx.error_lines(log, fv.ERROR_LINES_AS_EVIDENCE),
         lambda line: F.substring(line, 1, fv.QUOTE_CHARS))
-    quote = tx.triage_quote(log, rule_id)
+    quote = tx.triage_quote(log, rule_id, rules.triage)
     return F.when(rule_id.isNull(), lines).otherwise(
         F.filter(F.array(quote), lambda q: q != ""))
 
@@ -32,7 +33,7 @@ def evidence(log: Column, rule_id: Column) -> Column:
 SIGNALS = ("template", "rule_id", "curated", "evidence")
 
 
-def with_signals(df: DataFrame, log: str, wanted: tuple[str, ...] = SIGNALS) -> DataFrame:
+def with_signals(df: DataFrame, log: str, wanted: tuple[str, ...] = SIGNALS, rules: RuleSet = BUILT_IN) -> DataFrame:
     """Adds what later steps need to know of the redacted ``log``: its signature template, the
     triage rule, curated knowledge hits and evidence quotes (which need the rule).
 
@@ -40,14 +41,14 @@ def with_signals(df: DataFrame, log: str, wanted: tuple[str, ...] = SIGNALS) ->
     """
     text, fold = F.col(log), F.col("__folded")
     made = {
-        "template": lambda: tx.error_template(text),
-        "rule_id": lambda: tx.triage_rule(text, fold),
+        "template": lambda: tx.error_template(text, rules.volatile),
+        "rule_id": lambda: tx.triage_rule(text, fold, rules.triage),
         "curated": lambda: tx.curated_hits(text, fold)}
     if set(wanted) - {"template"}:
         df = once(df, {"__folded": tx.folded(text)})
     found = once(df, {name: make() for name, make in made.items() if name in wanted}).drop("__folded")
     if "evidence" in wanted:
-        found = once(found, {"evidence": evidence(text, F.col("rule_id"))})
+        found = once(found, {"evidence": evidence(text, F.col("rule_id"), rules)})
     return found
 
 
@@ -95,25 +96,25 @@ def failed_events(events: DataFrame) -> DataFrame:
     )
 
 
-def from_events(events: DataFrame) -> DataFrame:
+def from_events(events: DataFrame, rules: RuleSet = BUILT_IN) -> DataFrame:
     """Failure records straight from canonical events: no shuffle at all."""
     chosen = failed_events(events)
-    redacted = tx.with_redaction(chosen, "raw_log", "log", "redaction_count").drop("raw_log")
+    redacted = tx.with_redaction(chosen, "raw_log", "log", "redaction_count", rules.redaction).drop("raw_log")
     stand_in = synthetic_log(F.col("run_external_id"), F.col("pipeline_external_id"))
-    signed = with_signals(redacted.withColumn("log", F.coalesce("log", stand_in)), "log")
+    signed = with_signals(redacted.withColumn("log", F.coalesce("log", stand_in)), "log", rules=rules)
     return _finish(signed)
 
 
 def from_tasks(runs: DataFrame, tasks: DataFrame, run_key: str, position: Column,
-               keep_log: bool = False, wanted: tuple[str, ...] = SIGNALS) -> DataFrame:
+               keep_log: bool = False, wanted: tuple[str, ...] = SIGNALS, rules: RuleSet = BUILT_IN) -> DataFrame:
     """Failure records from run and task tables.
 
     The logs are reduced to the ``wanted`` signals (the template is always one) before tasks meet
     runs.  With ``keep_log`` the redacted log of the chosen task goes along, for readers that
     search or quote it.
     """
-    redacted = tx.with_redaction(failing_logs(tasks), "log", "__clean", "redaction_count")
-    signed = with_signals(redacted.drop("log").withColumnRenamed("__clean", "log"), "log", wanted)
+    redacted = tx.with_redaction(failing_logs(tasks), "log", "__clean", "redaction_count", rules.redaction)
+    signed = with_signals(redacted.drop("log").withColumnRenamed("__clean", "log"), "log", wanted, rules)
     carried = ["name", "node_type", *wanted]
     chosen = root_task(signed, run_key, position, *carried, *(["log"] if keep_log else []))
 
@@ -122,7 +123,7 @@ def from_tasks(runs: DataFrame, tasks: DataFrame, run_key: str, position: Column
     # null for every run that has a log, so that the text work below falls on the others only
     joined = runs.filter(F.col("status") == "failed").join(chosen, run_key, "left").withColumn(
         "__stand_in", F.when(root.isNull(), stand_in))
-    joined = with_signals(joined, "__stand_in", wanted).withColumns({
+    joined = with_signals(joined, "__stand_in", wanted, rules).withColumns({
         "task_name": root["name"],
         "node_type": F.coalesce(root["node_type"], F.lit("")),
         **{c: F.when(root.isNull(), F.col(c)).otherwise(root[c]) for c in wanted}})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import diagnosis, knowledge
 from ..operators.failures import with_signals
+from ..rules.ruleset import BUILT_IN, RuleSet
 from ..session import materialize
 from ..sources.feeds import adhoc_logs
 
@@ -13,7 +14,7 @@ from ..sources.feeds import adhoc_logs
 END_OF_TIME = "9999-12-31 00:00:00"
 
 
-def diagnose(pasted: DataFrame, kb: DataFrame | None = None) -> DataFrame:
+def diagnose(pasted: DataFrame, kb: DataFrame | None = None, rules: RuleSet = BUILT_IN) -> DataFrame:
     """Accepted pasted logs with their rule diagnosis and the prompt for an offline model.
 
     ``pasted``: log_id, platform, log, context.  The log is redacted first; only global knowledge
@@ -22,8 +23,8 @@ def diagnose(pasted: DataFrame, kb: DataFrame | None = None) -> DataFrame:
     it the curated rows apply, row by row, and nothing is shuffled.
     """
     accepted = adhoc_logs(pasted).filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    clean = tx.with_redaction(accepted.withColumnRenamed("log", "__raw"), "__raw", "log", "redaction_count")
-    signed = with_signals(clean.drop("__raw"), "log", ("rule_id", "curated", "evidence"))
+    clean = tx.with_redaction(accepted.withColumnRenamed("log", "__raw"), "__raw", "log", "redaction_count", rules.redaction)
+    signed = with_signals(clean.drop("__raw"), "log", ("rule_id", "curated", "evidence"), rules)
     if kb is None:
         signed = signed.withColumn("kb_hits", knowledge.curated_texts(F.col("curated"), F.col("platform")))
     else:
@@ -34,4 +35,4 @@ def diagnose(pasted: DataFrame, kb: DataFrame | None = None) -> DataFrame:
     known = signed.withColumns({
         "recurrence_note": F.lit(""),
         **{name: F.lit(None).cast("string") for name in ("pipeline_name", "task_name", "node_type")}})
-    return diagnosis.by_rules(diagnosis.prompts(known))
+    return diagnosis.by_rules(diagnosis.prompts(known, rule_set=rules), rules)

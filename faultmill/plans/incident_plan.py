@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diagnosis, entities, feedback, incidents, knowledge
+from ..rules.ruleset import BUILT_IN, RuleSet
 from ..session import materialize
 from ..sources.feeds import write_by_period
 from . import marts
@@ -19,8 +20,9 @@ class IncidentPlan:
     ``failures``: failure records (with ``log`` where logs are searched or quoted);
     ``status_events``: status changes; ``events``: canonical runs.  ``answers`` and ``asked`` turn
     incident openings into model answers and feedback when there are such feeds.  ``kb``: the stored
-    knowledge table, by default the curated rows; rows learned from feedback are added to it.  The
-    failure records are stored once, since every later table reads their short columns again.
+    knowledge table, by default the curated rows; rows learned from feedback are added to it.
+    ``rules``: the tables that the failure records were made with.  The failure records are stored
+    once, since every later table reads their short columns again.
     """
 
     events: DataFrame
@@ -29,6 +31,7 @@ class IncidentPlan:
     answers: object = None
     asked: object = None
     kb: DataFrame | None = None
+    rules: RuleSet = BUILT_IN
 
     @cached_property
     def stored(self) -> DataFrame:
@@ -79,7 +82,7 @@ class IncidentPlan:
             entities.short_id(*[F.col(k) for k in entities.PIPELINE_KEYS]).alias("pipeline_id"))
         names = self.pipelines.select("pipeline_id", F.col("name").alias("pipeline_name"))
         joined = found.join(first, "opening_event_id").join(names, "pipeline_id")
-        rules = F.broadcast(diagnosis.rule_table(joined.sparkSession).select(  # 20 rows
+        rules = F.broadcast(diagnosis.rule_table(joined.sparkSession, self.rules).select(  # a row per rule
             F.col("rule_id").alias("__rule"), F.col("summary").alias("__summary")))
         titled = joined.withColumn("__rule", F.coalesce("rule_id", F.lit(0))).join(
             rules, "__rule").withColumn("title", diagnosis.title(
@@ -102,7 +105,7 @@ class IncidentPlan:
         stored ``diagnoses`` differ in nothing that learning reads.
         """
         return diagnosis.by_rules(self.incidents.withColumn(
-            "kb_hits", F.lit(None).cast("array<struct<title string, fix string>>")))
+            "kb_hits", F.lit(None).cast("array<struct<title string, fix string>>")), self.rules)
 
     def _diagnoses(self, by_rules: DataFrame) -> DataFrame:
         columns = ["incident_id", F.col("first_seen_at").alias("created_at"), *diagnosis.FIELDS]
@@ -148,9 +151,9 @@ class IncidentPlan:
         """Rule diagnoses with the fixes of knowledge hits."""
         if self.asked is None and self.kb is None:  # curated rows only: found next to the log, no join
             return diagnosis.by_rules(self.incidents.withColumn("kb_hits", knowledge.curated_texts(
-                F.col("curated"), F.col("platform"))))
+                F.col("curated"), F.col("platform"))), self.rules)
         texts = knowledge.hit_texts(self.hits, self.known).withColumnRenamed("log_id", "incident_id")
-        return diagnosis.by_rules(self.incidents.join(texts, "incident_id", "left"))
+        return diagnosis.by_rules(self.incidents.join(texts, "incident_id", "left"), self.rules)
 
     @cached_property
     def diagnoses(self) -> DataFrame:

@@ -11,7 +11,9 @@ from re import _parser
 
 #: Strings that a part of a pattern may stand for before only its needs are kept.
 SPELLINGS = 64
-#: Shorter literals occur almost everywhere and tell nothing.
+#: Characters of a class that are spelled out.
+CLASS = 8
+#: Shorter literals occur almost everywhere and tell nothing of a text.
 LEAST = 2
 
 # Letters beyond ASCII that a case-blind pattern takes for i and s.
@@ -29,7 +31,7 @@ class _Part:
 
     def __init__(self, exact: frozenset[str] | None, need: frozenset[str] | None = None):
         self.exact = exact
-        self.need = need if exact is None else exact if min(map(len, exact), default=0) >= LEAST else None
+        self.need = need if exact is None else exact if exact and "" not in exact else None
 
 
 _UNKNOWN = _Part(None)
@@ -37,10 +39,10 @@ _NOTHING = _Part(frozenset([""]))
 
 
 def _better(a: frozenset[str] | None, b: frozenset[str] | None) -> frozenset[str] | None:
-    """Of two needs the one that is likely rarer."""
+    """Of two needs the one that is likely rarer; many spellings cost as many scans."""
     if a is None or b is None:
         return b if a is None else a
-    return max(a, b, key=lambda need: (min(map(len, need)), -len(need)))
+    return max(a, b, key=lambda need: (min(map(len, need)) >= LEAST, min(map(len, need)) - len(need) / 4))
 
 
 def _joined(parts: list[_Part]) -> _Part:
@@ -74,12 +76,11 @@ def _class(items: list, blind: bool) -> _Part:
     for kind, value in items:
         if kind is node.LITERAL:
             codes.append(value)
-        elif kind is node.RANGE and value[1] - value[0] < SPELLINGS:
+        elif kind is node.RANGE and value[1] - value[0] < CLASS:
             codes.extend(range(value[0], value[1] + 1))
         else:
             return _UNKNOWN
-    parts = [_letter(code, blind) for code in codes]
-    return _either(parts) if parts else _UNKNOWN
+    return _either([_letter(code, blind) for code in codes]) if 0 < len(codes) <= CLASS else _UNKNOWN
 
 
 def _part(kind, value, blind: bool) -> _Part:
@@ -112,8 +113,9 @@ def _tree(tree, blind: bool) -> _Part:
 
 
 @lru_cache(4096)
-def required(pattern: str, ignore_case: bool = True) -> frozenset[str] | None:
-    """Literals of which every match of ``pattern`` holds one; None where none are known.
+def required(pattern: str, ignore_case: bool = True, least: int = LEAST) -> frozenset[str] | None:
+    """Literals of which every match of ``pattern`` holds one; None where none of ``least`` characters
+    or more are known.
 
     With ``ignore_case`` they are folded and stand in the folded text.  A pattern that does not
     compile gives an empty set: nothing matches it.
@@ -126,6 +128,8 @@ def required(pattern: str, ignore_case: bool = True) -> frozenset[str] | None:
         return frozenset()
     if part.need is None or not ignore_case and (blind or _turns_blind(tree)):
         return None
+    if min(map(len, part.need)) < least:
+        return None
     # a literal inside another one is found with it
     return frozenset(a for a in part.need if not any(b != a and b in a for b in part.need))
 

@@ -12,12 +12,14 @@ from ..operators import diagnosis, entities, failures, feedback, incidents, know
 from ..plans import adhoc, marts
 from ..plans.incident_plan import IncidentPlan
 from ..rules import fixed_values as fv
+from ..rules.ruleset import BUILT_IN, RuleSet
 from ..session import materialize, scratch_path
 from ..sources import airflow, dbt, merge
 from ..sources import feeds as sources
 from ..streaming import jobs, lifecycle
 from ..streaming.incidents import track
 from . import feeds
+from .own_rules import RULES
 
 CATEGORY = "schema_drift"
 
@@ -39,11 +41,11 @@ def joined(texts: Column, separator: str = "\n") -> Column:
 
 
 def plan(spark: SparkSession, sf_dir: str, answers: bool = False, asked: bool = False,
-         kb: DataFrame | None = None, aimed: bool = False, **options) -> IncidentPlan:
+         kb: DataFrame | None = None, aimed: bool = False, rules: RuleSet = BUILT_IN, **options) -> IncidentPlan:
     return IncidentPlan(
-        kb=kb,
+        kb=kb, rules=rules,
         events=feeds.runs(spark, sf_dir),
-        failures=feeds.failures(spark, sf_dir, keep_log=answers or asked, **options),
+        failures=feeds.failures(spark, sf_dir, keep_log=answers or asked, rules=rules, **options),
         status_events=feeds.aimed_status_events if aimed else feeds.status_events,
         answers=feeds.model_answers if answers else None,
         asked=feeds.feedback if asked else None)
@@ -611,6 +613,15 @@ def diagnose_rules(spark, sf_dir):
     return _diagnosis_rows(plan(spark, sf_dir, answers=True, asked=True).findings)
 
 
+@query
+def own_rules(spark, sf_dir):
+    """The whole plan with a user's tables for redaction, volatile tokens and triage."""
+    found = plan(spark, sf_dir, answers=True, rules=RULES)
+    logs = found.opening_logs.select(F.col("log_id").alias("incident_id"), F.md5("log").alias("log"))
+    return _diagnosis_rows(found.findings).join(logs, "incident_id").join(
+        found.incidents.select("incident_id", "fingerprint", "occurrence_count", "title"), "incident_id")
+
+
 @query
 def diagnosis_fixes(spark, sf_dir):
     findings = plan(spark, sf_dir, answers=True, asked=True).findings

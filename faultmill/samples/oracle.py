@@ -7,6 +7,7 @@ from ..rules.wording import (
     UNKNOWN_TEXT, recurrence_text,
 )
 from . import catalog
+from .own_rules import RULES
 from .feeds import LINE_COLUMNS
 from .texts import (
     AIRFLOW_PAYLOADS, DBT_PAYLOADS, GENERIC_PAYLOADS, TASK_LOGS, sql_choice, sql_literal, sql_text,
@@ -90,25 +91,25 @@ def entropy_ctes(name: str, source: str, text: str) -> list[tuple[str, str]]:
     ]
 
 
-def redaction_ctes(name: str, source: str, text: str) -> list[tuple[str, str]]:
+def redaction_ctes(name: str, source: str, text: str, rules=fv.REDACTION_RULES) -> list[tuple[str, str]]:
     """``name`` = source plus out (null for null) and n of the whole chain."""
     ctes, before, current = [], source, text
     total = []
-    for i, rule in enumerate(fv.REDACTION_RULES):
+    for i, rule in enumerate(rules):
         ctes.append((f"{name}_{i}", f"SELECT *, {replaced(current, rule)} AS {name}_t{i}, "
                                     f"{matches(current, rule)} AS {name}_n{i} FROM {before}"))
         before, current = f"{name}_{i}", f"{name}_t{i}"
         total.append(f"{name}_n{i}")
     ctes += entropy_ctes(f"{name}_e", before, current)
-    drop = ", ".join(f"{name}_t{i}, {name}_n{i}" for i in range(len(fv.REDACTION_RULES)))
+    drop = ", ".join(f"{name}_t{i}, {name}_n{i}" for i in range(len(rules)))
     ctes.append((name, f"SELECT * EXCLUDE ({drop}, out, n), "
                        f"CASE WHEN {text} IS NULL THEN NULL ELSE out END AS out, "
                        f"coalesce(n + {' + '.join(total)}, 0)::BIGINT AS n FROM {name}_e"))
     return ctes
 
 
-def normal(text: str) -> str:
-    for _, pattern, replacement, ignore_case in fv.VOLATILE_RULES:
+def normal(text: str, rules=fv.VOLATILE_RULES) -> str:
+    for _, pattern, replacement, ignore_case in rules:
         text = (f"regexp_replace({text}, {q(dialect.re2(pattern, ignore_case))}, "
                 f"{q(replacement)}, 'g')")
     return f"lower({collapse(text)})"
@@ -132,23 +133,23 @@ def line_ctes(name: str, source: str, key: str, text: str) -> list[tuple[str, st
     ]
 
 
-def rule_id(text: str) -> str:
+def rule_id(text: str, rules=fv.TRIAGE_RULES) -> str:
     return "CASE " + " ".join(
         f"WHEN regexp_matches({text}, {q('(?i)' + pattern)}) THEN {number}"
-        for number, _, _, _, pattern in fv.TRIAGE_RULES) + " END"
+        for number, _, _, _, pattern in rules) + " END"
 
 
-def rule_line(text: str, rule: str) -> str:
+def rule_line(text: str, rule: str, rules=fv.TRIAGE_RULES) -> str:
     """First line of the log that the given rule matches."""
     cases = " ".join(
         f"WHEN {number} THEN list_filter(string_split({text}, {NL}), "
         f"lambda l: regexp_matches(l, {q('(?i)' + pattern)}))[1]"
-        for number, _, _, _, pattern in fv.TRIAGE_RULES)
+        for number, _, _, _, pattern in rules)
     return f"left({strip(f'CASE {rule} {cases} END')}, {fv.QUOTE_CHARS})"
 
 
-def _rules_values() -> str:
-    rows = [(n, c, conf, t, RULE_TEXTS[n]) for n, c, conf, t, _ in fv.TRIAGE_RULES]
+def _rules_values(rules=fv.TRIAGE_RULES, texts=RULE_TEXTS) -> str:
+    rows = [(n, c, conf, t, texts[n]) for n, c, conf, t, _ in rules]
     rows.append((0, "unknown", UNKNOWN_CONFIDENCE, False, UNKNOWN_TEXT))
     return "SELECT * FROM (VALUES " + ", ".join(
         f"({n}, {q(c)}, {q(text.cause)}, {q(text.explanation)}, {conf}::DOUBLE, "
@@ -887,6 +888,37 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
         """SELECT i.status, d.engine, count(*) AS diagnoses, count(DISTINCT i.incident_id) AS
         incidents, sum(i.occurrence_count)::BIGINT AS failures FROM incidents i
         JOIN diagnoses d ON d.incident_id = i.incident_id GROUP BY ALL""", [])
+    own = RULES
+    out["own_rules"] = (
+        f"""SELECT k.incident_id, 'rules' AS engine, r.category, r.summary, CASE WHEN k.recurrence_note <> ''
+        THEN k.recurrence_note || chr(10) || chr(10) ELSE '' END || r.why AS explanation,
+        array_to_string(f.quotes, {NL}) AS quotes, array_to_string(CASE WHEN f.rule_id IS NOT NULL THEN
+        list_concat(r.fix_titles, coalesce(h.titles, [])) ELSE r.fix_titles END, {NL}) AS fix_titles,
+        round(r.confidence, 9) AS confidence, r.is_transient, md5(f.log) AS log, k.fingerprint, k.occurrence_count,
+        {_titled('p.name', 'r.summary')} AS title
+        FROM own_known k JOIN own_failures f ON f.event_id = k.opening_event_id
+        JOIN own_rule_rows r ON r.rule = coalesce(f.rule_id, 0)
+        JOIN pipelines p ON p.workspace_id = f.workspace_id AND p.platform = f.platform
+          AND p.pipeline_external_id = f.pipeline_external_id
+        LEFT JOIN own_hits h ON h.event_id = f.event_id""",
+        [*redaction_ctes("own_clean", "chosen", "raw_log", own.redaction),
+         ("own_logged", f"""SELECT * EXCLUDE (out, n, raw_log), coalesce(out, {q(fv.SYNTHETIC_LOG[0])} ||
+          run_external_id || {q(fv.SYNTHETIC_LOG[1])} || pipeline_external_id || {q(fv.SYNTHETIC_LOG[2])}) AS log
+          FROM own_clean"""),
+         *line_ctes("own_lines", "own_logged", "event_id", "log"),
+         ("own_ruled", f"SELECT *, {rule_id('log', own.triage)} AS rule_id FROM own_logged"),
+         ("own_failures", f"""SELECT r.*, left(sha256(pipeline_external_id || '|' || node_type || '|' ||
+          {normal("coalesce(t.ten, '')", own.volatile)}), 32) AS fingerprint,
+          {short_id('workspace_id', 'r.event_id')} AS run_id, CASE WHEN rule_id IS NULL THEN coalesce(t.five, [])
+          ELSE [{rule_line('log', 'rule_id', own.triage)}] END AS quotes
+          FROM own_ruled r LEFT JOIN own_lines_top t ON t.event_id = r.event_id"""),
+         ("own_timeline", next(sql for name, sql in _tables() if name == "timeline").replace("failures", "own_failures")),
+         *_life("own", "own_timeline"),
+         ("own_rule_rows", _rules_values(own.triage, own.texts)),
+         ("own_hits", f"""SELECT event_id, list({q(KB_FIX_TITLE_PREFIX)} || title ORDER BY hit_rank) AS titles FROM
+          (SELECT f.event_id, c.title, row_number() OVER (PARTITION BY f.event_id ORDER BY
+          (c.platform = f.platform)::INT DESC, c.kb_id) AS hit_rank FROM own_failures f JOIN curated c
+          ON regexp_matches(f.log, c.pattern)) WHERE hit_rank <= {fv.KB_HITS} GROUP BY event_id""")])
     pasted = [
         ("pasted", f"""SELECT doc_id, text || {NL} || {sql_choice(list(TASK_LOGS), 'doc_id % 24',
           marks('doc_id', 'doc_id'))} AS raw FROM secrets"""),

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import entities, failures
+from ..rules.ruleset import BUILT_IN, RuleSet
 from ..sources import feeds
 from .incidents import track
 
 
-def failures_stream(raw_feed: DataFrame, normalize: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def failures_stream(raw_feed: DataFrame, normalize: Callable[[DataFrame], DataFrame],
+                    rules: RuleSet = BUILT_IN) -> DataFrame:
     """Raw payloads to failure records: the batch chain, unchanged and stateless."""
-    return failures.from_events(feeds.accepted(normalize(raw_feed)))
+    return failures.from_events(feeds.accepted(normalize(raw_feed)), rules)
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import diagnosis
 from ..operators.incidents import KEYS, NOT_OPEN, SUPERSEDED, recurrence_note
 from ..rules import fixed_values as fv
+from ..rules.ruleset import BUILT_IN, RuleSet
 from ..session import ship
 from ..sources.merge import period
 
@@ -239,14 +240,14 @@ class Lifecycle(StatefulProcessor):
 
 
 def history(failures: DataFrame, status_events: DataFrame, answers: DataFrame | None = None,
-            feedback: DataFrame | None = None) -> DataFrame:
+            feedback: DataFrame | None = None, rule_set: RuleSet = BUILT_IN) -> DataFrame:
     """The four kinds of rows as one.
 
     ``failures``: failure records with rule_id; their rule gives category and confidence.
     ``status_events``: as in batch, ``target_seq`` optional.  ``answers``: KEYS, target_seq, at, event_id,
     engine, category, confidence.  ``feedback``: KEYS, target_seq, at, event_id.
     """
-    rules = F.broadcast(diagnosis.rule_table(failures.sparkSession).select(  # 20 rows
+    rules = F.broadcast(diagnosis.rule_table(failures.sparkSession, rule_set).select(  # a row per rule
         F.col("rule_id").alias("__rule"), "category", "confidence"))
     opened = failures.withColumn("__rule", F.coalesce("rule_id", F.lit(0))).join(rules, "__rule").select(
         *KEYS, F.col("received_at").alias("at"), "event_id", F.lit("failure").alias("kind"), "run_id", "platform",
