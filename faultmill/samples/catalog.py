@@ -1034,3 +1034,18 @@ def stream_health(spark, sf_dir):
     jobs.live_health(runs, f"{out}/health", f"{out}/checkpoint").awaitTermination()
     return jobs.newest(spark, f"{out}/health").select(
         *entities.PIPELINE_KEYS, F.col("seen.name").alias("name"), "run_count", "failed_count")
+
+
+@query
+def stream_diagnoses(spark, sf_dir):
+    """Payload files in, stored incidents and diagnoses out, with the rows of the knowledge table that
+    were known at each failure; payloads up to a day out of order over several micro-batches."""
+    base = scratch_path(spark, "stream-diagnoses")
+    feeds.stored_knowledge(spark, sf_dir).write.parquet(f"{base}/kb")
+    # a failure long after all others: it waits in the state and lets the rest pass
+    end = {"event_id": F.lit("end of stream"), "payload": F.lit('{"dag_id":"end","dag_run_id":"end","state":"failed"}')}
+    raw = feeds.jumbled_stream(feeds.airflow_feed(spark, sf_dir), f"{base}/in", 4, "received_at", 3000, end)
+    jobs.store_failures(raw, airflow.normalize, base).awaitTermination()
+    jobs.diagnose_failures(spark, base, "1000 days", f"{base}/kb", files_per_batch=8).awaitTermination()
+    given, counted = (spark.read.parquet(f"{base}/{t}") for t in ("diagnoses", "incidents"))
+    return _diagnosis_rows(given).join(counted.select("incident_id", "occurrence_count"), "incident_id")

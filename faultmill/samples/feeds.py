@@ -318,21 +318,22 @@ def stored_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curated.unionByName(team_rows(spark, sf_dir))
 
 
-def jumbled_stream(rows: DataFrame, path: str, files: int = 4) -> DataFrame:
-    """Rows with ``at`` as a stream of several micro-batches, up to a day out of order, and a last row
-    a month later that lets the watermark pass all others."""
+def jumbled_stream(rows: DataFrame, path: str, files: int = 4, moment: str = "at", end_days: int = 30,
+                   end: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with a ``moment`` as a stream of several micro-batches, up to a day out of order, and a last
+    row long after them that lets the watermark pass all others."""
     spark = rows.sparkSession
-    late = F.unix_micros("at") + F.pmod(F.xxhash64("event_id"), F.lit(86_400_000_000))
+    late = F.unix_micros(moment) + F.pmod(F.xxhash64("event_id"), F.lit(86_400_000_000))
     placed = materialize(rows.withColumn("__place", late), "jumbled")
     low, high = placed.agg(F.coalesce(F.min("__place"), F.lit(0)), F.coalesce(F.max("__place"), F.lit(0))).first()
     part = F.least(F.floor((F.col("__place") - F.lit(low)) * files / F.lit(max(1, high - low))), F.lit(files - 1))
     for number in range(files):
         placed.filter(part == number).drop("__place").repartition(1).write.mode("append").parquet(path)
         time.sleep(0.05)  # files are taken in the order of their times
-    end = rows.limit(1).withColumns({
-        **{c: F.lit("end of stream") for c in ("workspace_id", "fingerprint", "event_id", "kind")},
-        "at": F.timestamp_micros(F.lit(high + 30 * 86_400_000_000))})
-    end.select(*rows.columns).write.mode("append").parquet(path)
+    if end is None:
+        end = {c: F.lit("end of stream") for c in ("workspace_id", "fingerprint", "event_id", "kind")}
+    last = rows.limit(1).withColumns({**end, moment: F.timestamp_micros(F.lit(high + end_days * 86_400_000_000))})
+    last.select(*rows.columns).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

@@ -846,12 +846,7 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
         f"""SELECT log_id, length({_truncated(fv.LOG_BUDGET)}) AS chars,
         md5({_truncated(fv.LOG_BUDGET)}) AS digest, md5({_truncated(400)}) AS tight_digest
         FROM starts""", _error_starts("doc_logs", "log_id"))
-    out["stream_ingest"] = (
-        f"""SELECT s.event_id, workspace_id, left(sha256(pipeline_external_id || '|' || node_type
-        || '|' || {normal("coalesce(t.ten, '')")}), 32) AS fingerprint, task_name, node_type,
-        {rule_id('log')}::BIGINT AS rule_id
-        FROM started s LEFT JOIN started_lines_top t ON t.event_id = s.event_id""",
-        [("first_task", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id
+    started = [("first_task", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id
           ORDER BY (task_status <> 'failed')::INT, pos) AS rk FROM airflow_tasks
           WHERE task_status IN ('failed', 'upstream_failed') AND log <> '') WHERE rk = 1"""),
          ("started", f"""SELECT e.event_id, workspace_id, pipeline_external_id, task_name,
@@ -859,7 +854,39 @@ def _selects() -> dict[str, tuple[str, list[tuple[str, str]]]]:
           run_external_id || {q(fv.SYNTHETIC_LOG[1])} || pipeline_external_id ||
           {q(fv.SYNTHETIC_LOG[2])}) AS log FROM airflow_events e LEFT JOIN first_task f
           ON f.event_id = e.event_id WHERE status = 'failed'"""),
-         *line_ctes("started_lines", "started", "event_id", "log")])
+         *line_ctes("started_lines", "started", "event_id", "log")]
+    out["stream_ingest"] = (
+        f"""SELECT s.event_id, workspace_id, left(sha256(pipeline_external_id || '|' || node_type
+        || '|' || {normal("coalesce(t.ten, '')")}), 32) AS fingerprint, task_name, node_type,
+        {rule_id('log')}::BIGINT AS rule_id
+        FROM started s LEFT JOIN started_lines_top t ON t.event_id = s.event_id""",
+        started)
+
+    out["stream_diagnoses"] = (
+        f"""SELECT o.incident_id, 'rules' AS engine, r.category, r.summary, r.why AS explanation,
+        array_to_string(CASE WHEN o.rule_id IS NULL THEN coalesce(t.five, []) ELSE
+          [{rule_line('o.log', 'o.rule_id')}] END, {NL}) AS quotes,
+        array_to_string(CASE WHEN o.rule_id IS NOT NULL THEN list_concat(r.fix_titles, coalesce(h.titles, []))
+          ELSE r.fix_titles END, {NL}) AS fix_titles,
+        round(r.confidence, 9) AS confidence, r.is_transient, o.occurrence_count
+        FROM openings o JOIN rules r ON r.rule = coalesce(o.rule_id, 0)
+        LEFT JOIN started_lines_top t ON t.event_id = o.event_id
+        LEFT JOIN opening_hits h ON h.event_id = o.event_id""",
+        [*started, ("signed", f"""SELECT s.*, o.o_orderdate::TIMESTAMP AS moment, left(sha256(pipeline_external_id ||
+          '|' || node_type || '|' || {normal("coalesce(t.ten, '')")}), 32) AS fingerprint
+          FROM started s LEFT JOIN started_lines_top t ON t.event_id = s.event_id
+          JOIN orders o ON s.event_id = 'a-' || lpad(o.o_orderkey::VARCHAR, 12, '0')"""),
+         # no status changes: the first failure of a signature opens its one incident
+         ("openings", f"""SELECT *, {rule_id('log')} AS rule_id, {short_id('workspace_id', 'fingerprint', "'1'")} AS
+          incident_id FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, fingerprint
+          ORDER BY moment, event_id) AS rk, count(*) OVER (PARTITION BY workspace_id, fingerprint) AS
+          occurrence_count FROM signed) WHERE rk = 1"""),
+         ("opening_hits", f"""SELECT event_id, list({q(KB_FIX_TITLE_PREFIX)} || title ORDER BY hit_rank) AS titles FROM
+          (SELECT o.event_id, c.title, row_number() OVER (PARTITION BY o.event_id ORDER BY
+          (CASE WHEN c.owner IS NULL THEN 0 ELSE 2 END + (c.platform = 'airflow')::INT) DESC, c.created_at, c.kb_id)
+          AS hit_rank FROM openings o JOIN stored_kb c ON coalesce(c.owner, o.workspace_id) = o.workspace_id
+          AND c.created_at <= o.moment AND regexp_matches(o.log, c.pattern)) WHERE hit_rank <= {fv.KB_HITS}
+          GROUP BY event_id""")])
     out["prompt_table"] = (
         f"""SELECT s.incident_id, 'Platform: ' || platform || chr(10) || 'Pipeline: ' ||
         pipeline_name || chr(10) || 'Failing task: ' || coalesce(task_name, 'unknown') ||

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import entities, failures
+from ..operators import diagnosis, entities, failures, knowledge
 from ..rules.ruleset import BUILT_IN, RuleSet
+from ..session import materialize
 from ..sources import feeds
+from ..sources.merge import exists, merge, period
+from . import lifecycle
 from .incidents import track
 
 
@@ -152,3 +155,72 @@ def live_measures(totals: DataFrame) -> DataFrame:
         F.lit("avg_confidence").alias("measure"), F.lit("").alias("item"),
         F.coalesce(F.bround((F.col("amount") / F.col("n")).cast("double"), 3), F.lit(0.0)).alias("value"))
     return shown.unionByName(mean)
+
+
+# --- from payloads to stored diagnoses -----------------------------------------------------------
+
+def store_failures(raw_feed: DataFrame, normalize: Callable[[DataFrame], DataFrame], base: str,
+                   rules: RuleSet = BUILT_IN) -> StreamingQuery:
+    """Payloads to failure records under ``base``: whole ones with their redacted logs by month, and a
+    journal of their short columns, which is what incidents are followed from.
+
+    A micro-batch is made once and overwrites its own folders, so a repeated one adds nothing; what a
+    reader of the journal then meets twice it counts once.
+    """
+    def on_batch(found: DataFrame, number: int) -> None:
+        made = materialize(found.withColumn("dt", period("received_at")), "failures")
+        made.write.mode("overwrite").partitionBy("dt").parquet(f"{base}/failures/batch={number}")
+        made.drop("log", "dt").write.mode("overwrite").parquet(f"{base}/journal/batch={number}")
+
+    return (
+        failures_stream(raw_feed, normalize, rules).writeStream.outputMode("append").foreachBatch(on_batch)
+        .option("checkpointLocation", f"{base}/checkpoints/failures").trigger(availableNow=True).start()
+    )
+
+
+def diagnose_failures(spark: SparkSession, base: str, delay: str, kb_path: str | None = None,
+                      rules: RuleSet = BUILT_IN, files_per_batch: int = 1000) -> StreamingQuery:
+    """The journal under ``base`` to incidents and diagnoses, stored by month of opening and kept up to
+    date by every micro-batch.
+
+    Signatures are followed in the order of events (``lifecycle.follow``).  A failure that opens an
+    incident has its log looked up in its month, searched for what the knowledge table at ``kb_path`` holds
+    at this micro-batch, rows later than the failure left out, and diagnosed by the rules.  Both tables
+    are merged by key: a repeated micro-batch changes nothing.
+    """
+    journal = spark.read.parquet(f"{base}/journal/batch=*")
+    rows = spark.readStream.schema(journal.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{base}/journal/batch=*")
+    nobody = rows.select("workspace_id", "fingerprint", "event_id", F.col("received_at").alias("at"),
+                         F.lit("").alias("status"), F.lit("").alias("notes")).filter(F.lit(False))
+    followed = lifecycle.follow(lifecycle.history(rows, nobody, rule_set=rules), delay)
+
+    def on_batch(found: DataFrame, number: int) -> None:
+        batch = materialize(found, "followed")
+        changed = lifecycle.incident_rows(batch)
+        rest = [c for c in changed.columns if c != "incident_id"]
+        newest = changed.groupBy("incident_id").agg(
+            F.max_by(F.struct(*rest), F.struct("at", "event_id")).alias("row")).select("incident_id", "row.*")
+        merge(newest, f"{base}/incidents", ["incident_id"], ["at", "event_id"], "dt")
+        opened = batch.filter("opened").select(
+            "event_id", "incident_id", F.col("at").alias("created_at"), "recurrence_note", period("at").alias("dt"))
+        months = [r[0] for r in opened.select("dt").distinct().collect()]  # months, not rows
+        if months:
+            merge(_diagnosed(opened, months), f"{base}/diagnoses", ["diagnosis_id"], ["created_at"], "dt")
+
+    def _diagnosed(opened: DataFrame, months: list[str]) -> DataFrame:
+        logs = spark.read.parquet(f"{base}/failures").drop("batch").withColumn("dt", F.col("dt").cast("string"))
+        known = materialize(logs.filter(F.col("dt").isin(months)).drop("dt").join(opened, "event_id"), "opened")
+        if kb_path is not None and exists(spark, kb_path):
+            kb = spark.read.schema(knowledge.KB_SCHEMA).parquet(kb_path)
+        else:
+            kb = knowledge.curated_rows(spark).drop("curated_id")
+        searched = known.select(F.col("incident_id").alias("log_id"), "workspace_id", "platform",
+                                F.col("created_at").alias("at"), "log", "curated")
+        texts = knowledge.hit_texts(knowledge.search(searched, kb), kb).withColumnRenamed("log_id", "incident_id")
+        ruled = diagnosis.by_rules(known.join(texts, "incident_id", "left"), rules)
+        return diagnosis.as_table(ruled).withColumn("dt", period("created_at"))
+
+    return (
+        followed.writeStream.outputMode("append").foreachBatch(on_batch)
+        .option("checkpointLocation", f"{base}/checkpoints/incidents").trigger(availableNow=True).start()
+    )

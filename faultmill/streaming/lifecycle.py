@@ -6,10 +6,12 @@ micro-batches may bring them in any order; rows behind the watermark are given o
 """
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +24,11 @@ from ..session import ship
 from ..sources.merge import period
 
 LATE = "behind the watermark"
+CLOSING = fv.CLOSING_STATUSES
+
+# Spark prepares a stateful operator in a helper process of the driver that has no files of the
+# application: what the processor is made of travels whole, and refers to nothing else of the package.
+register_pickle_by_value(sys.modules[__name__])
 
 #: Stretch of time whose rows of one signature are taken from the state together.
 SLOT_SECONDS = 3600
@@ -117,7 +124,7 @@ class Signature:
         return made
 
     def _failure(self, made: dict, at: int, category: str | None, confidence: float | None) -> None:
-        if self.seq == 0 or self.status in fv.CLOSING_STATUSES:
+        if self.seq == 0 or self.status in CLOSING:
             if self.status == "resolved":
                 self.prior = [self.seq, self.count, self.resolved, self.notes]
             self.seq, self.status, self.count, self.first = self.seq + 1, "open", 0, at
@@ -220,7 +227,8 @@ class Lifecycle(StatefulProcessor):
                 self._wake(slot)
                 break
             held = [tuple(r) for r in self.waiting.getValue((slot,))[0]]
-            ready = sorted((r for r in held if r[0] < passed), key=lambda r: r[:3])
+            ready = {r[:3]: r for r in held if r[0] < passed}  # a row that came twice counts once
+            ready = [ready[k] for k in sorted(ready)]
             rest = [r for r in held if r[0] >= passed]
             if rest:
                 self.waiting.updateValue((slot,), (rest,))
@@ -269,7 +277,7 @@ def follow(rows: DataFrame, delay: str) -> DataFrame:
     rows that come in behind it are given out at once with a reason and change nothing.  Status changes,
     diagnoses and feedback aim at ``target_seq``, else at the newest incident.
 
-    Rows wait in slots of an hour; a signature's rows of one slot are what a task holds, however many
+    A row that comes twice counts once or is late.  Rows wait in slots of an hour; a signature's rows of one slot are what a task holds, however many
     signatures or rows a micro-batch brings.  State never expires: incidents do not.
     """
     kinds = dict(status="string", notes="string", run_id="string", target_seq="long", platform="string", category="string",

@@ -50,12 +50,14 @@ def test_jumbled_batches_give_the_batch_rows(spark, tmp_path):
 
 
 def test_late_rows_are_given_out_and_change_nothing(spark, tmp_path):
-    batches = [[row("k", 0, "a"), row("k", 100, "b")], [row("k", 300, "c"), row("j", 90, "d")],
+    batches = [[row("k", 0, "a"), row("k", 100, "b"), row("k", 100, "b")], [row("k", 300, "c"), row("j", 90, "d"), row("k", 100, "b")],
                [row("k", 50, "late", "resolved"), row("k", 400, "e")], [row("k", 500, "f")]]
     stream = streamed(spark, str(tmp_path / "in"), [[failing(r, 0) for r in b] for b in batches])
     jobs.run_to_files(lifecycle.follow(stream, "60 minutes"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {r.event_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert set(got) == {"a", "b", "c", "d", "e", "f", "late"}
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = {r.event_id: r for r in found}
+    assert set(got) == {"a", "b", "c", "d", "e", "f", "late"} and len(found) == 7
+    assert got["f"].occurrence_count == 5
     assert got["late"].reason == lifecycle.LATE and got["late"].incident_seq is None
     assert {e: r.incident_seq for e, r in got.items() if e != "late"} == dict.fromkeys("abcdef", 1)
 
