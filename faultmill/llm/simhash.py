@@ -230,8 +230,12 @@ WORD_SEEDS = (42, 43, 44, 45)
 SHINGLE, SKETCH = 5, 256
 #: Sketches this far from the wanted share (five deviations) settle a pair; others go by all shingles.
 MARGIN = 0.125
-#: Texts that share a shingle of their prefixes and are paired in one task, at most.
-SHARED = 100
+#: The first part of a sketch, and how far (six deviations) it must be off to end a pair.
+COARSE, COARSE_MARGIN = 64, 0.3
+#: Texts that share a shingle of their prefixes and are paired one by one, at most.
+SHARED = 40
+#: Texts, and bytes of their shingles, that are compared as one tile of a family.
+TILE_TEXTS, TILE_BYTES = 512, 2 << 20
 
 
 def _word_hashes(text: bytes) -> np.ndarray:
@@ -263,10 +267,10 @@ def _sketch(shingles: np.ndarray) -> bytes:
     return np.unique(small)[:SKETCH].astype("<u4").tobytes()
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common shingles, from two sketches; exact for texts of at most ``SKETCH`` shingles."""
+def resemblance(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Share of common shingles, from two sketches; exact for texts of fewer than ``size`` shingles."""
     both, counts = np.unique(np.concatenate([a, b]), return_counts=True)
-    counts = counts[:SKETCH] if max(a.size, b.size) >= SKETCH else counts
+    counts = counts[:size] if max(a.size, b.size) >= size else counts
     return float((counts == 2).mean()) if both.size else 1.0
 
 
@@ -320,8 +324,19 @@ def _held(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float
 
     Sketches settle what is clear; the other pairs are decided by all shingles of both texts.
     """
-    sketches = texts.select("key", "sketch")
-    both = pairs.join(sketches.toDF("x", "p"), "x").join(sketches.toDF("y", "q"), "y").select("x", "y", "p", "q")
+    def with_sketches(pairs: DataFrame, size: int) -> DataFrame:
+        sketches = texts.select("key", F.substring("sketch", 1, 4 * size))
+        return pairs.join(sketches.toDF("x", "p"), "x").join(sketches.toDF("y", "q"), "y").select("x", "y", "p", "q")
+
+    def drop_far(batches: Batches) -> Batches:
+        for batch in batches:
+            close = [resemblance(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), COARSE) >= similarity - COARSE_MARGIN
+                     for p, q in zip(column(batch, "p").to_pylist(), column(batch, "q").to_pylist(), strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(close, pa.bool_()))
+
+    # most pairs are far apart, which the first part of the sketches shows already
+    close = materialize(in_batches(with_sketches(pairs, COARSE), drop_far, "x long, y long"), "close")
+    both = with_sketches(close, SKETCH)
 
     def sort_out(batches: Batches) -> Batches:
         for batch in batches:
@@ -336,6 +351,7 @@ def _held(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float
             yield add_columns(batch.select(["x", "y"]), {"open": pa.array(open_)}).filter(kept)
 
     sorted_out = materialize(in_batches(both, sort_out, "x long, y long, open boolean"), "sorted_out")
+    discard(close)
     unclear = sorted_out.where("open").select("x", "y")
     clear = sorted_out.where("NOT open").select("x", "y")
     if unclear.isEmpty():
@@ -467,7 +483,8 @@ def _all_at(texts: DataFrame, near: DataFrame, docs: DataFrame, similarity: floa
 
     An exact join over prefixes of shingles in the order of their hashes.  Pairs are compared unless
     they hang together by ``near``.  Texts that share a hot shingle are joined again among themselves
-    with the hot shingles last in order; shingles that are hot again are dealt in blocks of texts.
+    with the hot shingles last in order; texts that share hot ones even so make families, which are
+    compared in tiles.
     """
     rows = materialize(_parted(texts, near), "parted")
     found = materialize(_sharing(_entries(rows), similarity), "sharing")
@@ -504,23 +521,115 @@ def _all_at(texts: DataFrame, near: DataFrame, docs: DataFrame, similarity: floa
     rows = materialize(_parted(some.drop("prefix").join(anew, "key"), near), "parted")
     entries = _entries(rows)
     found = materialize(_sharing(entries, similarity), "sharing")
-    pairs = found.where("y IS NOT NULL").distinct()
-    still = found.where("y IS NULL").select(F.col("x").alias("h")).distinct()
-    if not still.isEmpty():
-        pairs = pairs.union(_sharing(_cells(entries, materialize(still, "hot")), similarity, None)).distinct()
-    pairs = materialize(pairs, "prefix_pairs")
+    pairs = materialize(found.where("y IS NOT NULL").distinct(), "prefix_pairs")
+    still = materialize(found.where("y IS NULL").select(F.col("x").alias("h")).distinct(), "hot")
     discard(found)
+    if not still.isEmpty():
+        near = near.union(_families(entries.join(still, "h", "left_semi"), rows, docs, similarity, doc_id, text))
     return near if pairs.isEmpty() else near.union(_held(pairs, texts, docs, similarity, doc_id, text))
 
 
-def _cells(entries: DataFrame, hot: DataFrame) -> DataFrame:
-    """The ``entries`` of ``hot`` shingles (h), each pair of blocks of texts under an ``h`` of its own."""
-    mine = materialize(entries.join(hot, "h", "left_semi"), "hot_entries")
-    blocks = mine.groupBy("h").agg(F.ceil(F.count("*") / (5 * SHARED)).cast("long").alias("blocks"))
-    dealt = mine.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return dealt.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("h"),
-                        "key", "n", "place", "part")
+def _families(hot: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, doc_id: str,
+              text: str) -> DataFrame:
+    """Links (x, y) so that texts at ``similarity`` among those with ``hot`` entries hang together.
+
+    Texts that share hot shingles, directly or through others, are a family.  Its texts lie in tiles by
+    their number of shingles; each pair of tiles whose numbers allow for ``similarity`` is one task's
+    count of common shingles, by all of them, and gives a spanning forest of its links, not the links.
+    """
+    edges = materialize(hot.select("key", "h").distinct(), "hot_entries")
+    groups = components(edges, "key", "h")
+    members = edges.select("key").distinct().join(groups, F.col("key") == F.col("node")).select(
+        "key", F.col("component").alias("family"))
+    members = materialize(members.join(rows.select("key", "low"), "key"), "members")
+    raw = _first_rows(docs, members, doc_id, text).select(F.col("__key").alias("key"), F.col(text).alias("t"))
+
+    def all_shingles(batches: Batches) -> Batches:
+        for batch in batches:
+            sets = []
+            for t in column(batch, "t").cast(pa.binary()).to_pylist():
+                hashes = _word_hashes(t or b"")
+                sets.append(np.unique(_shingles(hashes)) if hashes.size else hashes)
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "key"), pa.array([s.size for s in sets], pa.int32()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "n", "shingles"])
+
+    sets = in_batches(raw, all_shingles, "key long, n int, shingles binary").dropDuplicates(["key"])
+    laid = sets.join(members.select("key", "family"), "key").repartitionByRange("family", "n", "key").sortWithinPartitions(
+        "family", "n", "key").select("family", "n", "key", "shingles")
+
+    def packed(batches: Batches) -> Batches:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array([held[0][0]], pa.int64()), pa.array([held[0][1]], pa.int32()), pa.array([held[-1][1]], pa.int32()),
+                pa.array([np.array([r[1] for r in held], "<i4").tobytes()], pa.binary()),
+                pa.array([np.array([r[2] for r in held], "<i8").tobytes()], pa.binary()),
+                pa.array([b"".join(r[3] for r in held)], pa.binary())], ["family", "low", "high", "sizes", "keys", "shingles"])
+
+        for batch in batches:
+            for row in zip(*[column(batch, c).to_pylist() for c in ("family", "n", "key", "shingles")], strict=True):
+                if held and (row[0] != held[0][0] or len(held) == TILE_TEXTS or size + len(row[3]) > TILE_BYTES):
+                    yield out()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield out()
+
+    tiles = in_batches(laid, packed, "family long, low int, high int, sizes binary, keys binary, shingles binary")
+    tiles = materialize(tiles.withColumn("tile", F.monotonically_increasing_id()), "family_tiles")
+    listed = tiles.select("family", "tile", "low", "high")
+    pairs = listed.toDF("family", "a", "a_low", "a_high").join(listed.toDF("family", "b", "b_low", "b_high"), "family").where(
+        (F.col("a") <= F.col("b")) & (F.col("b_high") >= similarity * F.col("a_low"))
+        & (F.col("a_high") >= similarity * F.col("b_low"))).select("a", "b")
+    pairs = materialize(pairs, "family_pairs")
+
+    def side(name: str) -> DataFrame:
+        return tiles.select(F.col("tile").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("sizes", "keys", "shingles")])
+
+    def linked_tiles(batches: Batches) -> Batches:
+        for batch in batches:
+            for r in batch.to_pylist():
+                sides = ("a",) if r["a"] == r["b"] else ("a", "b")
+                sizes = [np.frombuffer(r[f"{s}_sizes"], "<i4").astype(np.int64) for s in sides]
+                keys = np.concatenate([np.frombuffer(r[f"{s}_keys"], "<i8") for s in sides])
+                common = common_counts([np.frombuffer(r[f"{s}_shingles"], np.uint64) for s in sides], sizes)
+                whole = sizes[0][:, None] + sizes[-1]
+                i, j = np.nonzero(common * (1 + similarity) >= similarity * whole - 1e-9)
+                j = j if len(sides) == 1 else j + sizes[0].size
+                i, j = i[i < j], j[i < j]
+                used = unite(np.arange(keys.size), i, j)
+                x, y = keys[i[used]], keys[j[used]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+    dealt = pairs.join(side("a"), "a").join(side("b"), "b")
+    return materialize(in_batches(dealt, linked_tiles, "x long, y long"), "family_links")
+
+
+def common_counts(shingles: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each text of the first tile has in common with each of the last.
+
+    Sets lie one after another; only shingles of at least two texts count, some columns at a time.
+    """
+    values, at, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    owner = np.concatenate([np.repeat(np.arange(s.size), s) for s in sizes])
+    first = np.arange(at.size) < shingles[0].size
+    keep = times[at] > 1
+    column_of = shared[at]
+    total = np.zeros((sizes[0].size, sizes[-1].size), np.int64)
+    one = len(shingles) == 1
+    for lo in range(0, int(shared[-1]) + 1 if values.size else 0, 2048):
+        here = keep & (column_of >= lo) & (column_of < lo + 2048)
+        parts = []
+        for mine, s in ((here if one else here & first, sizes[0]), *(() if one else ((here & ~first, sizes[-1]),))):
+            dense = np.zeros((s.size, 2048), np.float32)
+            dense[owner[mine], column_of[mine] - lo] = 1
+            parts.append(dense)
+        total += (parts[0] @ parts[-1].T).astype(np.int64)
+    return total
 
 
 def share_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -560,13 +669,18 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, budget: int = 3, doc_i
     equal = laid.join(fps, ["space", "fp"]).select(F.col("key").alias("x"), F.col("rep").alias("y"))
     pairs = apart.union(equal).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = materialize(pairs.distinct(), "candidates")
+    discard(fps)
+    discard(links)
     led = materialize(components(pairs, "x", "y"), "candidate_groups")
     led = materialize(led.join(texts.select("key", "low"), F.col("node") == F.col("key"))
                       .select("key", "low", "component"), "candidate_nodes")
     leaders = materialize(led.groupBy("component").agg(F.min_by("key", order).alias("leader")), "leaders")
     stars = led.join(leaders, "component").where("key <> leader").select(
         F.least("key", "leader").alias("x"), F.greatest("key", "leader").alias("y"))
-    pairs = materialize(pairs.union(stars).distinct(), "compared")
+    compared = materialize(pairs.union(stars).distinct(), "compared")
+    for used in (pairs, led, leaders):
+        discard(used)
+    pairs = compared
     near = _held(pairs, texts, docs, similarity, doc_id, text)
     near = materialize(_all_at(texts, near, docs, similarity, doc_id, text), "near")
     groups = components(near, "x", "y")

@@ -159,6 +159,7 @@ def test_near_copies_in_a_hot_family(spark, monkeypatch):
     """Variants below 0.8 of each other that share most shingles, each with a twin."""
     monkeypatch.setattr(simhash, "SHARED", 10)
     monkeypatch.setattr(simhash._sharing, "__defaults__", (10,))
+    monkeypatch.setattr(simhash, "TILE_TEXTS", 32)
     rng = random.Random(14)
     base, rows = [f"w{k}" for k in range(220)], []
     for g in range(150):
@@ -224,3 +225,15 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     got = embeddings.near_duplicates(table).collect()
     assert sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in got) == want
     assert embeddings.near_duplicates(table.limit(0)).collect() == []
+
+
+def test_common_counts():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 6000, rng.integers(0, 900)).astype(np.uint64)) for _ in range(25)]
+    sizes = [np.array([s.size for s in part], np.int64) for part in (sets[:10], sets[10:])]
+    packed = [np.concatenate(part) for part in (sets[:10], sets[10:])]
+    want = [[np.intersect1d(a, b).size for b in sets[10:]] for a in sets[:10]]
+    assert simhash.common_counts(packed, sizes).tolist() == want
+    want = [[np.intersect1d(a, b).size for b in sets[:10]] for a in sets[:10]]
+    got = simhash.common_counts(packed[:1], sizes[:1])
+    assert all(got[i][j] == want[i][j] for i in range(10) for j in range(10) if i != j)
