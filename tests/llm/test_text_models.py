@@ -196,6 +196,43 @@ def test_leaks_of_a_dominant_item_and_of_short_ones(spark):
     assert all(got[n] <= {1} | want[n] and (n % 3 == 0 or 1 not in got[n]) for n in want)
 
 
+def test_cosines_find_paraphrases_and_counts_drop_nothing(spark):
+    """Every item in every document by exhaustive search; of paraphrases the cosines alone find most."""
+    rng = random.Random(21)
+    names = [f"{a}{b}{c}{d}" for a in "bdfgklm" for b in "aeiou" for c in "lmnrst" for d in "aeiou"]
+    items = {i: rng.sample(names, rng.randrange(12, 40)) for i in range(30)} | {90: ["quo", "vadis"], 91: rng.sample(names, 5)}
+    rows = []
+    for n in range(400):
+        words, item = rng.choices(names, k=rng.randrange(30, 300)), items[n % 30]
+        if n % 4 == 0:  # a paraphrase: a sixth of the words changed, some words put in, halves moved apart
+            told = [w if rng.random() > 1 / 6 else rng.choice(names) for w in item]
+            told = [x for w in told for x in ([w, rng.choice(names)] if rng.random() < .15 else [w])]
+            at = rng.randrange(len(words))
+            words[at:at] = told
+        if n % 50 == 7:
+            words[5:5] = items[90 + n % 2]
+        rows.append((n, " ".join(words)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: {x.item: x.cosine for x in r.leaks} for r in decontaminate.leaks(docs, bench).collect()}
+    index = decontaminate.fit(docs, [(i, " ".join(w), None) for i, w in items.items()])
+    want = {}
+    for n, text in rows:
+        own = decontaminate.word_hashes([text])[0].tolist()
+        found = set()
+        for i, words, answer in zip(index.item_ids, index.words, index.answers, strict=True):
+            if len(words) < decontaminate.LEAST_WORDS:
+                held = any(own[p:p + len(words)] == words for p in range(len(own)))
+            else:
+                held = any(decontaminate._verified(words, answer, own[max(0, p - len(words)):p + 2 * decontaminate.BLOCK + len(words)])
+                           for p in range(0, len(own), decontaminate.BLOCK))
+            found |= {i} if held else set()
+        want[n] = found
+    assert {n: set(g) for n, g in got.items()} == want and sum(map(len, want.values())) > 80
+    long = [c for n, g in got.items() for i, c in g.items() if i < 90]
+    assert np.mean(long) >= 0.9
+
+
 def test_answer_column(spark):
     item = "which small river crosses the old stone town before it meets the northern sea"
     docs = spark.createDataFrame([(1, item + " the answer is Wharfe"), (2, item), (3, "unrelated words only here")],
