@@ -1,26 +1,26 @@
 """Language by cross-parsing: how few phrases of a language's sample a text needs."""
 
 import pickle
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, add_columns, column, in_batches, sliced, texts_of, widened
 from .words import KEPT_WORDS
 
-#: Sample a language's automaton is built of: about so many documents, cut to so many characters
-#: each, so many in all.  Scoring always reads whole texts.
+#: Sample a language's automaton is built of: drawn from about so many documents of at most so many
+#: characters, whole ones until there are so many characters in all.  Scoring always reads whole texts.
 SAMPLE_DOCS = 400
-SAMPLE_CUT = 2_000
+SAMPLE_LENGTH = 10_000
 SAMPLE_CHARS = 120_000
 #: Longer words are parsed in parts.
 PART = 64
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 class Automaton:
@@ -160,30 +160,34 @@ class Models:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Models:
     """Build an automaton per language from a bounded sample, drawn by hash of the key.
 
-    First the rows per language are counted; then about ``2 * SAMPLE_DOCS`` rows of each are drawn
-    where they lie, and only these move.  Rows without a language, or whose language is ``und``,
-    are left out; without rows no language is known.
+    First the rows per language are counted; then about ``2 * SAMPLE_DOCS`` rows of each, of at most
+    ``SAMPLE_LENGTH`` characters, are drawn where they lie, and only these move.  A language that has
+    longer texts only is learned from a few of them.  Texts are taken whole.  Rows without a text or a
+    language, or whose language is ``und``, are left out; without rows no language is known.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN))
-    counts = rows.groupBy(lang).count().collect()  # one row per language
+    rows = labelled.where(F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN) & F.col(text).isNotNull())
+    short = F.length(text) <= SAMPLE_LENGTH
+    counts = rows.groupBy(lang).agg(F.count("*").alias("all"), F.count_if(short).alias("short")).collect()  # a row per language
     if not counts:
         return Models({})
     chance = F.create_map(*[x for row in counts for x in (
-        F.lit(row[lang]), F.lit(min(1.0, 2 * SAMPLE_DOCS / row["count"])))])
+        F.lit(row[lang]), F.lit(min(1.0, 2 * SAMPLE_DOCS / row["short"] if row["short"] else 4 / row["all"])))])
+    only_long = F.col(lang).isin([row[lang] for row in counts if not row["short"]])
     draw = F.xxhash64(F.col(key).cast("string"), F.lit(11))
-    drawn = rows.where(F.pmod(draw, F.lit(1 << 30)) < chance[F.col(lang)] * (1 << 30)).select(
-        F.col(lang).alias("lang"), draw.alias("draw"), F.substring(text, 1, SAMPLE_CUT).alias("text"))
+    drawn = rows.where((short | only_long) & (F.pmod(draw, F.lit(1 << 30)) < chance[F.col(lang)] * (1 << 30))).select(
+        F.col(lang).alias("lang"), draw.alias("draw"), F.col(text).alias("text"))
 
     def build(group):
         group = group.sort_values(["draw", "text"], kind="stable")
         laid, total = [], 0
-        for whole in group["text"].dropna():
+        for whole in group["text"]:
             words = " ".join(LETTERS.findall(whole.lower()))
             laid.append(words)
             total += len(words) + 1
             if total >= SAMPLE_CHARS:
                 break
-        made = Automaton((" " + " ".join(laid) + " ")[:SAMPLE_CHARS])
+        made = Automaton(" " + " ".join(laid) + " ")
+        made.chars = min(made.chars, SAMPLE_CHARS)  # a phrase costs the same in all full samples
         return type(group)({"lang": [group["lang"].iloc[0]], "model": [pickle.dumps(made)]})
 
     built = drawn.groupBy("lang").applyInPandas(build, "lang string, model binary").collect()

@@ -55,6 +55,16 @@ def test_language_without_training_rows(spark):
     assert (got.lang_pred, got.score) == ("und", 0)
 
 
+def test_only_letters_are_letters(spark):
+    """Numbers that are no digits are no letters; a language with long texts only is learned, from whole ones."""
+    rows = [(i, "gleich und noch ein wort", "de") for i in range(40)] + [(100 + i, "tante belle " * 1200, "fr") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.fit(docs)
+    odd = spark.createDataFrame([(1, "½ ²"), (2, "①"), (3, "¼ a"), (4, "_ 12 ४"), (5, "tante"), (6, "ª")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(odd, models).collect()}
+    assert got[1] == got[2] == got[4] == ("und", 0) and got[3][0] in ("de", "fr") and got[5][0] == "fr" and got[6][0] != "und"
+
+
 def labelled(spark, n, seed):
     rng = random.Random(seed)
     syllables = ["ta", "lo", "mi", "ren", "so", "ka", "du", "vel"]
