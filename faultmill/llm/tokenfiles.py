@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,37 +28,43 @@ NO_ID = np.iinfo(np.int64).min  #: stands for a null document id
 BLOCK_IDS = 65_536
 #: Blocks per file, at most.
 FILE_BLOCKS = 256
-#: Words of one directory entry.
-STRIDE = 128
+#: Values of a lane: a block's directory holds the offset of each lane's first word.
+LANE = 2048
 
 COUNTS = np.array([1, *[n for n, _ in SHAPES]], np.int64)
 BITS = np.array([0, *[b for _, b in SHAPES]], np.int64)
 
 
-def pack(values: np.ndarray) -> np.ndarray:
-    """Simple-8b words of unsigned values, each word taking as many of the next as fit."""
+def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Simple-8b words of unsigned values, and the offset of the first word of each lane.
+
+    A lane is ``LANE`` values; no word reaches over its end.  Each word takes as many of the next values
+    as fit; all lanes are walked together, a step being one word of each.
+    """
     values = values.astype(np.uint64)
     n = values.size
     if not n:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     at = np.arange(n, dtype=np.int32)
+    end = np.minimum((at // LANE + 1) * LANE, n).astype(np.int32)
     take, selector = np.zeros(n, np.int64), np.full(n, ESCAPE, np.int64)
     for code in range(len(SHAPES), 0, -1):  # few wide values first, more narrow ones win
         count, bits = SHAPES[code - 1]
         wide = np.where(values >> np.uint64(bits) > 0, at, np.int32(n))
         wide = np.minimum.accumulate(wide[::-1])[::-1]  # first value from here that is too wide
-        fits = wide - at >= count
+        fits = np.minimum(wide, end) - at >= count
         if not fits.any():
-            if count < n:
+            if count < min(n, LANE):
                 break
             continue
         take[fits], selector[fits] = count, code
     take = np.maximum(take, 1)
-    starts, i, steps = [], 0, take.tolist()
-    while i < n:  # where each word begins
-        starts.append(i)
-        i += steps[i]
-    starts = np.array(starts)
+    begins, where = np.zeros(n, bool), np.arange(0, n, LANE)
+    while where.size:  # where the next word of each lane begins
+        begins[where] = True
+        after = where + take[where]
+        where = after[after < end[where]]
+    starts = np.flatnonzero(begins)
     codes = selector[starts]
     words = codes.astype(np.uint64) << np.uint64(60)
     for code in np.unique(codes).tolist():
@@ -67,8 +74,10 @@ def pack(values: np.ndarray) -> np.ndarray:
         mine = np.flatnonzero(codes == code)
         for k in range(count):
             words[mine] |= values[starts[mine] + k] << np.uint64(k * bits)
-    escaped = np.flatnonzero(codes == ESCAPE)
-    return np.insert(words, escaped + 1, values[starts[escaped]])
+    escaped = codes == ESCAPE
+    place = np.arange(starts.size) + np.cumsum(escaped) - escaped  # an escape is followed by its value
+    lanes = place[np.searchsorted(starts, np.arange(0, n, LANE))]
+    return np.insert(words, np.flatnonzero(escaped) + 1, values[starts[escaped]]), lanes
 
 
 def unpack(words: np.ndarray, count: int) -> np.ndarray:
@@ -96,34 +105,54 @@ def unpack(words: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def unpack_range(words: np.ndarray, lanes: np.ndarray, count: int, lo: int, hi: int) -> np.ndarray:
+    """Values ``lo`` to ``hi`` of ``count``: only the lanes that hold them are decoded."""
+    if hi <= lo:
+        return np.empty(0, np.uint64)
+    first, last = lo // LANE, (hi - 1) // LANE
+    stop = int(lanes[last + 1]) if last + 1 < lanes.size else words.size
+    begin = first * LANE
+    part = unpack(words[int(lanes[first]):stop], min(count, (last + 1) * LANE) - begin)
+    return part[lo - begin:hi - begin]
+
+
 def write_block(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, part: int, block: int) -> bytes:
-    """A block: header, documents and their sizes, directory, words; all 64 bits, little-endian."""
-    words = pack(ids)
+    """A block: header, documents and their sizes, offsets of the lanes, words; all 64 bits, little-endian."""
+    words, lanes = pack(ids)
     head = np.array([MAGIC, part, block, doc_ids.size, ids.size, words.size], np.int64)
-    directory = np.arange(0, words.size, STRIDE)
-    packed_sizes = pack(sizes)
+    packed_sizes = pack(sizes)[0]
     return b"".join(x.astype("<u8").tobytes() for x in (
-        head, np.array([packed_sizes.size, directory.size]), doc_ids, packed_sizes, directory, words))
+        head, np.array([packed_sizes.size, lanes.size]), doc_ids, packed_sizes, lanes, words))
+
 
+def read_blocks(content: bytes, wanted: np.ndarray | None = None):
+    """(part, block, place, document ids, sizes, values) of each block of a file.
 
-def read_blocks(content: bytes):
-    """(part, block, document ids, sizes, values) of each block of a file."""
+    With ``wanted`` only documents of these ids (sorted): their lanes alone are decoded, and blocks
+    without any are jumped over.
+    """
     data, at, mark = np.frombuffer(content, "<u8"), 0, int.from_bytes(MARK.encode(), "little")
     while at < data.size:
-        magic, part, block, docs, count, words, packed, entries = data[at:at + 8].astype(np.int64).tolist()
+        magic, part, block, docs, count, size, packed, entries = data[at:at + 8].astype(np.int64).tolist()
         if magic != MAGIC:
             raise ValueError("no block begins here")
         at += 8
-        doc_ids = data[at:at + docs].astype(np.int64)
-        at += docs
-        sizes = unpack(data[at:at + packed], docs).astype(np.int64)
-        at += packed + entries
-        ids = unpack(data[at:at + words], count)
-        at += words
+        doc_ids, at = data[at:at + docs].astype(np.int64), at + docs
+        packed_sizes, at = data[at:at + packed], at + packed
+        lanes, at = data[at:at + entries].astype(np.int64), at + entries
+        words, at = data[at:at + size], at + size
         if int(data[at]) != mark:
             raise ValueError("a block has no end mark")
         at += 1
-        yield part, block, doc_ids, sizes, ids
+        if wanted is None:
+            yield part, block, np.arange(docs), doc_ids, unpack(packed_sizes, docs).astype(np.int64), unpack(words, count)
+            continue
+        place = np.flatnonzero(np.isin(doc_ids, wanted))
+        if place.size:
+            sizes = unpack(packed_sizes, docs).astype(np.int64)
+            ends = np.cumsum(sizes)
+            ids = [unpack_range(words, lanes, count, int(ends[p] - sizes[p]), int(ends[p])) for p in place.tolist()]
+            yield part, block, place, doc_ids[place], sizes[place], np.concatenate(ids)
 
 
 class LibraryEncoder(WordStore):
@@ -149,8 +178,18 @@ class LibraryEncoder(WordStore):
         model["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"}, spell]
         self.merging = Tokenizer.from_str(json.dumps(model))
 
-    def words(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and how many each text has; Arrow cuts the words and
+        finds the different ones of the batch, so that each is looked up once."""
+        if len(self.known) > self.kept:
+            self._forget()
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn([word for word in words if word not in self.known])
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        ids, sizes = gather(self.ids, self.bounds, place[np.array(coded.indices, np.int64)])
+        return ids, summed(sizes, np.array(cut.value_lengths(), np.int64))
 
     def _odd(self, word: str) -> bool:
         """Whether the word holds a special token or a letter whose case depends on its place."""
@@ -158,7 +197,8 @@ class LibraryEncoder(WordStore):
 
     def learn(self, words: list[str]) -> None:
         odd = list(filter(self._odd, words))
-        plain = list(set(words).difference(odd)) if odd else words
+        taken = set(odd)
+        plain = [word for word in words if word not in taken] if odd else words
         if plain:
             laid = unicodedata.normalize("NFC", "\0".join(plain)).lower()
             found = self.pieces.findall(laid)
@@ -249,19 +289,21 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int, doc_id: str
      .option("lineSep", MARK).option("maxRecordsPerFile", FILE_BLOCKS).text(path))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(part, block, place, doc_id, ids): the documents of block files."""
+def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """(part, block, place, doc_id, ids): the documents of block files, or of them those with the given
+    ids, for which only the lanes that hold them are decoded."""
+    wanted = None if doc_ids is None else np.array(sorted(doc_ids), np.int64)
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for i in range(batch.num_rows):
-                for part, block, doc_ids, sizes, ids in read_blocks(batch.column(0)[i].as_py()):
+                for part, block, place, doc_ids, sizes, ids in read_blocks(batch.column(0)[i].as_py(), wanted):
                     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(sizes.size, part, np.int32)), pa.array(np.full(sizes.size, block, np.int32)),
-                        pa.array(np.arange(sizes.size, dtype=np.int32)),
+                        pa.array(place.astype(np.int32)),
                         pa.array(doc_ids, mask=doc_ids == NO_ID),
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int64))),
                     ], ["part", "block", "place", "doc_id", "ids"])
@@ -282,7 +324,7 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for i in range(batch.num_rows):
-                for part, block, doc_ids, sizes, ids in read_blocks(batch.column(0)[i].as_py()):
+                for part, block, _, doc_ids, sizes, ids in read_blocks(batch.column(0)[i].as_py()):
                     ends, raw = np.cumsum(sizes), memoryview(ids.astype("<u4").tobytes())
                     sums = [zlib.crc32(raw[4 * (e - n):4 * e])
                             for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]

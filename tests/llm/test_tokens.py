@@ -19,8 +19,28 @@ ODD = ["", "  a   B ", "日本語 ñandú 🙂👩‍👩", "é ́ x", "ΑΣ Σ
 @pytest.mark.parametrize("values", [
     [], [0], [1] * 61, [2**63, 5, 2**60 - 1, 2**60, 0, 1] * 9, list(range(50_000)), [2**64 - 1] * 3, [0] * 200 + [49407]])
 def test_simple8b_round_trip(values):
-    words = tokenfiles.pack(np.array(values, np.uint64))
+    words, lanes = tokenfiles.pack(np.array(values, np.uint64))
     assert tokenfiles.unpack(words, len(values)).tolist() == values
+    assert lanes.size == -(-len(values) // tokenfiles.LANE)
+    for lo in range(0, len(values), 997):
+        for hi in (lo, lo + 1, lo + 700, lo + 5000):
+            hi = min(hi, len(values))
+            assert tokenfiles.unpack_range(words, lanes, len(values), lo, hi).tolist() == values[lo:hi]
+
+
+def test_one_document_through_the_directory(monkeypatch):
+    """Blocks without it are jumped over, and of its own block only its lanes are decoded."""
+    sizes = np.array([3000, 0, 70_000, 5, 9000], np.int64)
+    ids = np.arange(sizes.sum()) * 7 % 49_000
+    content = b"".join(tokenfiles.write_block(np.arange(5) + 10 * b, sizes, (ids + b) % 49_000, 0, b)
+                       + tokenfiles.MARK.encode() for b in range(3))
+    decoded = []
+    whole = tokenfiles.unpack
+    monkeypatch.setattr(tokenfiles, "unpack", lambda w, n: decoded.append(n) or whole(w, n))
+    (_, block, place, doc_ids, own, got), = tokenfiles.read_blocks(content, np.array([13]))
+    assert (block, place.tolist(), doc_ids.tolist(), own.tolist()) == (1, [3], [13], [5])
+    assert got.tolist() == ((ids + 1) % 49_000)[73_000:73_005].tolist()
+    assert max(decoded) <= 2 * tokenfiles.LANE
 
 
 def test_library_encoder(spark, sf_dir):
@@ -52,6 +72,8 @@ def test_files_and_digests(spark, monkeypatch, tmp_path):
     tokenfiles.write(docs, WORDS, path, 2)
     back = tokenfiles.read(spark, path)
     assert sorted((r.doc_id or -1, r.ids) for r in back.collect()) == sorted((d or -1, x) for d, x in ids)
+    some = tokenfiles.read(spark, path, [3, 99, 1000])
+    assert sorted((r.doc_id, r.ids) for r in some.collect()) == sorted((d, x) for d, x in ids if d in (3, 99))
     assert tokenfiles.digests(docs.limit(0), WORDS, 2).count() == 0
 
 
