@@ -227,6 +227,6 @@ LEARNED_DEFAULT_FIX = "See the earlier incident"
 
 def recurrence_text() -> tuple[str, str, str, str]:
     """The constant pieces around count, date and notes of the recurrence note."""
-    return ("This failure signature was seen before (", " occurrence(s)) and was resolved on ",
-            ".", " Notes from then: ")
+    return ("Earlier incident with the same signature: failures ", ", closed as resolved ",
+            "", "; what helped: ")
 

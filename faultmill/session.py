@@ -80,9 +80,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table of ``materialize`` early, once what was made of it is stored itself."""
+    """Delete a table of ``materialize`` early, once what was made of it is stored itself.
+
+    Files of any other table stay.
+    """
     spark = df.sparkSession
+    own = f"{shared_dir(spark).rstrip('/')}/faultmill/".split(":")[-1].lstrip("/")
     for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if own not in folder:
+            continue
         target = spark._jvm.org.apache.hadoop.fs.Path(folder)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

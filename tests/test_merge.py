@@ -54,3 +54,17 @@ def test_first_sighting_names_a_pipeline_in_any_order(spark, tmp_path):
     whole = entities.pipelines(spark.createDataFrame(rows, schema))
     assert {r.pipeline_id: r.name for r in whole.collect()} == {
         r.pipeline_id: r.name for r in spark.read.parquet(path).collect()}
+
+
+def test_discard_leaves_other_tables(spark, tmp_path):
+    from faultmill.session import discard, materialize
+
+    path = str(tmp_path / "mine")
+    spark.range(5).write.parquet(path)
+    discard(spark.read.parquet(path))
+    assert spark.read.parquet(path).count() == 5
+    made = materialize(spark.range(5), "own")
+    assert made.count() == 5 and files(made.inputFiles()[0].split(":", 1)[1].rsplit("/", 1)[0])
+    folder = made.inputFiles()[0].split(":", 1)[1].rsplit("/", 1)[0]
+    discard(made)
+    assert not files(folder)
