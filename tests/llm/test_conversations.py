@@ -6,7 +6,6 @@ import re
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from faultmill.llm import conversations as cv
 from faultmill.llm.queries import QUERIES

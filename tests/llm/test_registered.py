@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -108,6 +109,18 @@ def test_pipeline(spark, sf_dir, documents):
     assert len({r.text for r in left.values()}) == len(left) > 0.7 * len(documents)
 
 
+def test_pipeline_keeps_columns_with_clashing_names(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").limit(60)
+    for name in ("leaks", "__score", "__lang", "__key", "__ids", "score", "lang_pred", "key", "t", "a b.c"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, kept, sf_dir)
+        assert kept.columns == docs.columns + (["ids", "decoded"] if name == "bpe" else [])
+    rows = kept.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in docs.columns[5:])
+
+
 def test_pipeline_of_nothing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
