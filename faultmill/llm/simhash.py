@@ -234,6 +234,8 @@ MARGIN = 0.125
 COARSE, COARSE_MARGIN = 64, 0.3
 #: Texts that share a shingle of their prefixes and are paired one by one, at most.
 SHARED = 40
+#: Texts that are looked up among all documents without a shuffle of these, at most (4 MB).
+FEW = 250_000
 #: Texts, and bytes of their shingles, that are compared as one tile of a family.
 TILE_TEXTS, TILE_BYTES = 512, 2 << 20
 
@@ -310,11 +312,15 @@ def _texts(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8) ->
 
 
 def _first_rows(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of ``docs`` that stand for the texts ``wanted`` (key, low), with ``__key``."""
+    """The rows of ``docs`` that stand for the texts ``wanted`` (key, low), a stored table, with ``__key``.
+
+    Up to ``FEW`` of them, by count, go to every task, and no text moves; beyond that texts are shuffled once.
+    """
     rows = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     named = wanted.select(F.col("key").alias("__k"), F.col("low").alias("__low"))
-    # the hash side holds two numbers a row; texts are shuffled once
-    return rows.join(named.hint("shuffle_hash"), (rows["__key"] == named["__k"]) & rows[doc_id].eqNullSafe(
+    # two numbers a row
+    named = F.broadcast(named) if wanted.limit(FEW + 1).count() <= FEW else named.hint("shuffle_hash")
+    return rows.join(named, (rows["__key"] == named["__k"]) & rows[doc_id].eqNullSafe(
         named["__low"]), "left_semi")
 
 
@@ -357,7 +363,7 @@ def _held(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float
     if unclear.isEmpty():
         return clear
     ends = unclear.select(F.col("x").alias("key")).union(unclear.select("y")).distinct()
-    wanted = texts.join(ends, "key", "left_semi").select("key", "low")
+    wanted = materialize(texts.join(ends, "key", "left_semi").select("key", "low"), "wanted")
     rows = _first_rows(docs, wanted, doc_id, text).select(F.col("__key").alias("key"), F.col(text).alias("t"))
 
     def all_shingles(batches: Batches) -> Batches:
