@@ -153,6 +153,24 @@ def test_top_five_in_insertion_order(spark):
     assert got == ["k9", "k7", "k8", "k6", "k5"]
 
 
+def test_alike_rows_of_a_built_in_pattern_meet_a_log_five_times(spark):
+    """However often teams enter a built-in pattern, a log meets the first five of each platform."""
+    pattern = fv.CURATED_KB[7][2]
+    kb = spark.createDataFrame(
+        [(f"k{i:02d}", "w" if i % 2 else None, "dbt", pattern, False, "t", "c", "f", "transient", "team",
+          T0 + timedelta(hours=i)) for i in range(40)], knowledge.KB_SCHEMA)
+    number = fv.CURATED_KB[7][0]
+    logs = spark.createDataFrame(
+        [("a", "w", "dbt", T0 + timedelta(hours=99), "", [number]), ("b", None, "spark", T0 + timedelta(hours=3), "", [number])],
+        LOGS + ", curated array<int>")
+    every, some = knowledge.match_curated(logs, kb), knowledge.match_curated(logs, kb, best=fv.KB_HITS)
+    assert every.count() == 40 + 2 and some.count() == 10 + 2
+    hits = sorted(map(tuple, knowledge.best_hits(some).collect()))
+    assert hits == sorted(map(tuple, knowledge.best_hits(every).collect()))
+    assert [h[2] for h in hits if h[0] == "a"] == ["k01", "k03", "k05", "k07", "k09"]
+    assert sorted(map(tuple, knowledge.search(logs, kb).collect())) == hits
+
+
 def test_seed_only_once(spark):
     empty = spark.createDataFrame([], knowledge.KB_SCHEMA)
     seeded = empty.unionByName(knowledge.seed(empty))
