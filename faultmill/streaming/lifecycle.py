@@ -32,6 +32,8 @@ register_pickle_by_value(sys.modules[__name__])
 
 #: Stretch of time whose rows of one signature are taken from the state together.
 SLOT_SECONDS = 3600
+#: Waiting rows of a signature that are kept as one value; further ones are kept by slots.
+TOGETHER = 10_000
 #: Rows given out at once.
 CHUNK = 10_000
 
@@ -128,6 +130,7 @@ class Signature:
             if self.status == "resolved":
                 self.prior = [self.seq, self.count, self.resolved, self.notes]
             self.seq, self.status, self.count, self.first = self.seq + 1, "open", 0, at
+            self.known[self.seq] = []
             self.resolved, self.notes = None, ""
             made["opened"] = True
             if category is not None:
@@ -151,12 +154,12 @@ def _frames(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
         yield _frame(held)
 
 
-_KINDS = {field.split(" ")[0]: {"long": "Int64", "double": "Float64", "boolean": "boolean"}.get(field.split(" ")[1], object)
-          for field in _OUT.split(", ")}
-
-
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLUMNS).astype(_KINDS)
+    # plain objects: most frames hold a row or two, and Arrow takes them as typed columns anyway
+    cells = np.empty((len(rows), len(_COLUMNS)), dtype=object)
+    for place, row in enumerate(rows):
+        cells[place] = [row[name] for name in _COLUMNS]
+    return pd.DataFrame(cells, columns=_COLUMNS)
 
 
 def _plain(value):
@@ -175,44 +178,69 @@ def _typed(row: tuple) -> tuple:
     return (*row[:7], None if row[7] is None else int(row[7]), *row[8:])
 
 
+def _slot(at: int) -> int:
+    return at // (SLOT_SECONDS * 1_000_000)
+
+
 class Lifecycle(StatefulProcessor):
     """Keyed state: the newest incident, the diagnoses of every incident, and rows not yet passed by the
-    watermark in slots of time."""
+    watermark: the first ``TOGETHER`` of them in one value, which is one call for all, others in slots of
+    time, so that no more than both is in hand."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        rows = f"rows array<struct<{_ROW.replace(' ', ':')}>>".replace(",:", ",")
         self.now = handle.getValueState("now", _NOW)
         self.given = handle.getMapState(
             "given", "seq long", "created array<long>, ids array<string>, categories array<string>, confidences array<double>")
-        self.waiting = handle.getMapState("waiting", "slot long", f"rows array<struct<{_ROW.replace(' ', ':')}>>".replace(",:", ","))
-        self.due = handle.getValueState("due", "slot long")
+        self.few = handle.getValueState("few", f"due long, slotted boolean, {rows}")
+        self.waiting = handle.getMapState("waiting", "slot long", rows)
+
+    def _held(self) -> tuple[int | None, bool, list[tuple]]:
+        """The slot of the next call, whether rows wait in slots, and the rows kept together."""
+        due, slotted, rows = self.few.get() or (None, False, [])
+        return due, slotted, [tuple(r) for r in rows]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, slotted, few = self._held()
+        came = False
         for frame in rows:
-            slots: dict[int, list[tuple]] = {}
-            late = []
+            fresh, late = [], []
             for row in map(_typed, _rows(frame)):
                 if passed > 0 and row[0] < passed:
                     late.append({**dict.fromkeys(_COLUMNS), **dict(zip(_FIELDS, row, strict=True)), "reason": LATE,
                                  "workspace_id": key[0], "fingerprint": key[1], "opened": False, "deduplicated": False})
                 else:
-                    slots.setdefault(row[0] // (SLOT_SECONDS * 1_000_000), []).append(row)
-            for slot, some in slots.items():
-                held = [tuple(r) for r in self.waiting.getValue((slot,))[0]] if self.waiting.containsKey((slot,)) else []
-                self.waiting.updateValue((slot,), (held + some,))
-            if slots:
-                self._wake(min(slots))
+                    fresh.append(row)
+            if fresh:
+                came = True
+                due = self._wake(due, min(_slot(r[0]) for r in fresh))
+                if len(few) + len(fresh) <= TOGETHER:
+                    few += fresh
+                else:
+                    slotted = True
+                    self._keep(fresh)
             yield from _frames(iter(late))
-
-    def _wake(self, slot: int) -> None:
+        if came:
+            self.few.update((due, slotted, few))
+
+    def _keep(self, rows: list[tuple]) -> None:
+        slots: dict[int, list[tuple]] = {}
+        for row in rows:
+            slots.setdefault(_slot(row[0]), []).append(row)
+        for slot, some in slots.items():
+            held = [tuple(r) for r in self.waiting.getValue((slot,))[0]] if self.waiting.containsKey((slot,)) else []
+            self.waiting.updateValue((slot,), (held + some,))
+
+    def _wake(self, due: int | None, slot: int) -> int:
         """Ask to be called when the watermark reaches the slot, unless an earlier call is due."""
-        due = self.due.get()[0] if self.due.exists() else None
-        if due is None or slot < due:
-            if due is not None:
-                self.handle.deleteTimer(self._moment(due))
-            self.handle.registerTimer(self._moment(slot))
-            self.due.update((slot,))
+        if due is not None and due <= slot:
+            return due
+        if due is not None:
+            self.handle.deleteTimer(self._moment(due))
+        self.handle.registerTimer(self._moment(slot))
+        return slot
 
     @staticmethod
     def _moment(slot: int) -> int:
@@ -220,28 +248,40 @@ class Lifecycle(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        signature = Signature(tuple(key), self.now.get() if self.now.exists() else _NOTHING, self.given)
-        self.due.clear()
-        for slot in sorted(int(k[0]) for k in self.waiting.keys()):  # one slot's rows are in hand
+        signature = Signature(tuple(key), self.now.get() or _NOTHING, self.given)
+        _, slotted, few = self._held()
+        together: dict[int, list[tuple]] = {}
+        for row in few:
+            together.setdefault(_slot(row[0]), []).append(row)
+        stored = {int(k[0]) for k in self.waiting.keys()} if slotted else set()
+        due = None
+        for slot in sorted(stored | set(together)):  # rows kept together and one slot's rows are in hand
             if slot * SLOT_SECONDS * 1_000_000 >= passed:
-                self._wake(slot)
+                due = self._wake(None, slot)
                 break
-            held = [tuple(r) for r in self.waiting.getValue((slot,))[0]]
+            held = together.pop(slot, [])
+            if slot in stored:
+                held += [tuple(r) for r in self.waiting.getValue((slot,))[0]]
             ready = {r[:3]: r for r in held if r[0] < passed}  # a row that came twice counts once
             ready = [ready[k] for k in sorted(ready)]
             rest = [r for r in held if r[0] >= passed]
-            if rest:
+            if slot not in stored:
+                if rest:
+                    together[slot] = rest
+            elif rest:
                 self.waiting.updateValue((slot,), (rest,))
             else:
                 self.waiting.removeKey((slot,))
+                stored.discard(slot)
             yield from _frames(map(signature.fold, ready))
             if rest:
                 # called again a slot later at the latest; the rest of this one is taken then
                 self.handle.registerTimer(max(r[0] for r in rest) // 1000 + 1)
-                self.due.update((slot,))
+                due = slot
                 break
         signature.store()
         self.now.update(signature.now())
+        self.few.update((due, bool(stored), [row for some in together.values() for row in some]))
 
     def close(self) -> None:
         pass
@@ -277,8 +317,9 @@ def follow(rows: DataFrame, delay: str) -> DataFrame:
     rows that come in behind it are given out at once with a reason and change nothing.  Status changes,
     diagnoses and feedback aim at ``target_seq``, else at the newest incident.
 
-    A row that comes twice counts once or is late.  Rows wait in slots of an hour; a signature's rows of one slot are what a task holds, however many
-    signatures or rows a micro-batch brings.  State never expires: incidents do not.
+    A row that comes twice counts once or is late.  Up to ``TOGETHER`` rows of a signature wait as one value,
+    others in slots of an hour; these and one slot are what a task holds, however many signatures or
+    rows a micro-batch brings.  State never expires: incidents do not.
     """
     kinds = dict(status="string", notes="string", run_id="string", target_seq="long", platform="string", category="string",
                  confidence="double", engine="string")
