@@ -1,10 +1,12 @@
 """Work that must not be repeated as inputs grow."""
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from faultmill.operators import knowledge
+from faultmill.operators import failures, incidents, knowledge
+from faultmill.samples import feeds
 
 
 def test_logs_are_made_once_for_all_blocks(spark, monkeypatch):
@@ -25,3 +27,50 @@ def test_logs_are_made_once_for_all_blocks(spark, monkeypatch):
     found = sorted((r.log_id, r.kb_id, r.score) for r in knowledge.match_table(logs, kb).collect())
     assert found == [(str(i), f"k{i}", 3) for i in range(10)]
     assert made.value == 20
+
+
+def test_a_log_is_made_once_where_the_root_is_chosen(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(number):
+        made.add(1)
+        return f"ERROR {number}" if number % 5 else ""
+
+    runs = spark.createDataFrame(
+        [(f"r{i}", f"e{i}", "w", "dbt", "p", "failed") for i in range(6)],
+        "run_external_id string, event_id string, workspace_id string, platform string, pipeline_external_id string, status string")
+    tasks = spark.range(30).withColumns({
+        "run_external_id": F.concat(F.lit("r"), (F.col("id") % 5).cast("string")), "name": F.col("id").cast("string"),
+        "node_type": F.lit("sql"), "status": F.when(F.col("id") < 20, "failed").otherwise("success")}).repartition(
+        3, "run_external_id").withColumn("log", text("id"))
+    found = failures.from_tasks(runs, tasks, "run_external_id", F.col("id"), keep_log=True)
+    got = {r.event_id: (r.task_name, "ERROR" in r.log) for r in found.collect()}
+    # r0 has tasks without a log only, r5 none at all
+    assert got == {"e0": (None, False), "e1": ("1", True), "e2": ("2", True), "e3": ("3", True), "e4": ("4", True), "e5": (None, False)}
+    assert made.value == 20
+
+
+def test_tasks_dealt_by_run_are_grouped_without_another_shuffle(spark, sf_dir, capsys):
+    rows = feeds.dealt(spark.range(100).withColumn("k", F.col("id") % 7), "k")
+    assert rows.rdd.getNumPartitions() == feeds.DEALT
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert feeds.dealt(spark.range(100), "id").rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    failures.root_task(feeds.tasks(spark, sf_dir), "run_external_id", feeds.position(), "name").explain()
+    assert capsys.readouterr().out.count("Exchange ") == 1
+
+
+def test_rows_of_a_history_are_scanned_once(spark, capsys):
+    events = feeds.lifecycle_from(spark.createDataFrame(
+        [(i, i % 3, ("error", "purchase")[i % 2], datetime(2026, 1, 1 + i)) for i in range(20)],
+        "event_id long, user_id long, event_type string, ts timestamp"))
+    found = incidents.islands(events)
+    assert found.count() == 20
+    capsys.readouterr()
+    found.explain()
+    # only the scan along the summaries is left to do: the one over the rows is stored
+    assert re.findall(r"lag\((\w+)#", capsys.readouterr().out) == ["__closed"]
