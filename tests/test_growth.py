@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from faultmill.operators import failures, incidents, knowledge
+from faultmill.operators import entities, failures, incidents, knowledge
 from faultmill.samples import feeds
 
 
@@ -74,3 +74,19 @@ def test_rows_of_a_history_are_scanned_once(spark, capsys):
     found.explain()
     # only the scan along the summaries is left to do: the one over the rows is stored
     assert re.findall(r"lag\((\w+)#", capsys.readouterr().out) == ["__closed"]
+
+
+def test_only_first_sightings_of_a_pipeline_are_compared(spark, capsys):
+    rows = [("w", "dbt", "p", "", datetime(2026, 1, 1), "b"), ("w", "dbt", "p", "late", datetime(2026, 1, 2), "a"),
+            ("w", "dbt", "p", "tied", datetime(2026, 1, 1), "c"), (None, "dbt", "p", "other", datetime(2026, 1, 3), "d"),
+            ("w", "dbt", "q", "dated", datetime(2026, 1, 1), "e"), ("w", "dbt", "q", "undated", None, "f"),
+            ("w", "dbt", None, None, None, "g")]
+    found = entities.pipelines(spark.createDataFrame(
+        rows, "workspace_id string, platform string, pipeline_external_id string, pipeline_name string, "
+              "received_at timestamp, event_id string"))
+    got = {(r.workspace_id, r.pipeline_external_id): (r.name, r.created_at, r.first_event_id) for r in found.collect()}
+    assert got == {("w", "p"): ("p", datetime(2026, 1, 1), "b"), (None, "p"): ("other", datetime(2026, 1, 3), "d"),
+                   ("w", "q"): ("undated", datetime(2026, 1, 1), "f"), ("w", None): (None, None, "g")}
+    capsys.readouterr()
+    found.explain()
+    assert "BroadcastHashJoin" in capsys.readouterr().out
