@@ -4,10 +4,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .common import Batches, add_columns, column, in_batches, sliced, texts_of, widened
 
 ORDER = 6  #: bytes of an expression: five of context and the one they predict
@@ -136,33 +138,40 @@ def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
             context.select("context", F.log(spare("toxic") / spare("other")).alias("ratio")))
 
 
+_TOP = np.uint64(1 << 63)
+
+
 class Table:
-    """The ratio of every key it was made of; others have none.
+    """The ratio of every key of ``_collected``; others have none.
 
     Keys are kept whole, in the order of their product with an odd number, which no two share.  The
-    leading bits of the product tell where a key's few neighbours begin; bits grow with the keys.
+    leading bits of the product tell where a key's few neighbours begin; bits grow with the keys.  The
+    table itself stays in files that Spark hands to the executors: only their names travel with a task,
+    and who looks a key up first reads them, in the order of the products.
     """
 
-    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
-        mixed = keys * _MIX
-        order = np.argsort(mixed)
-        self.mixed, self.ratios = mixed[order], ratios[order].astype(np.float32)
-        self.shift = np.uint64(64 - max(8, int(keys.size).bit_length()))
-        self._lay_starts()
-
-    def _lay_starts(self) -> None:
-        counts = np.bincount((self.mixed >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
-        self.starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32 if self.mixed.size < 1 << 31 else np.int64)
+    def __init__(self, files: list[str]):
+        self.files, self.mixed = files, None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "starts"}
+        return self.files
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._lay_starts()
+    def __setstate__(self, files):
+        self.__init__(files)
+
+    def _read(self) -> None:
+        parts = [pq.ParquetFile(SparkFiles.get(name)).read(use_threads=False) for name in self.files]
+        rows = pa.concat_tables([*parts, pa.table({"mixed": pa.array([], pa.int64()), "ratio": pa.array([], pa.float32())})])
+        self.mixed = rows["mixed"].to_numpy().view(np.uint64) ^ _TOP
+        self.ratios = rows["ratio"].to_numpy()
+        self.shift = np.uint64(64 - max(8, int(self.mixed.size).bit_length()))
+        counts = np.bincount((self.mixed >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32 if self.mixed.size < 1 << 31 else np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The ratio of each key, nan if it has none."""
+        if self.mixed is None:
+            self._read()
         made = np.full(keys.size, np.nan, np.float32)
         mixed = keys * _MIX
         slot = (mixed >> self.shift).astype(np.int64)
@@ -179,9 +188,27 @@ class Table:
 
 
 def _collected(table: DataFrame, key: str) -> Table:
-    """All rows of ``table`` as a ``Table``: twelve bytes a row, it grows with what the corpus holds."""
-    rows = table.select(F.col(key).alias("key"), F.col("ratio").cast("float").alias("ratio")).toArrow()
-    return Table(rows["key"].to_numpy().view(np.uint64), rows["ratio"].to_numpy())
+    """All rows of ``table`` as a ``Table``: twelve bytes a row, it grows with what the corpus holds.
+
+    Tasks write it, sorted, and executors fetch its files; no row passes through the driver.
+    """
+    def mix(batches: Batches) -> Batches:
+        for batch in batches:
+            mixed = column(batch, "key").to_numpy().view(np.uint64) * _MIX ^ _TOP  # signed order is that of the products
+            yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), column(batch, "ratio")], ["mixed", "ratio"])
+
+    rows = table.select(F.col(key).alias("key"), F.col("ratio").cast("float").alias("ratio"))
+    rows = materialize(in_batches(rows, mix, "mixed long, ratio float"), f"{key}-mixed")
+    stored = materialize(rows.repartitionByRange("mixed").sortWithinPartitions("mixed"), f"{key}-ratios")
+    files = sorted(stored.inputFiles(), key=_file_name)  # numbered in the order of the ranges
+    discard(rows)
+    for file in files:
+        table.sparkSession.sparkContext.addFile(file)
+    return Table([_file_name(file) for file in files])
+
+
+def _file_name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
 
 
 @dataclass

@@ -1,10 +1,12 @@
 """Language, toxicity, decontamination, main text, shards."""
 
+import pickle
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,22 @@ def test_toxic_ratios_are_kept_apart(spark):
     assert model.ratios(strangers).tolist() == [-3.0 if int(k) >> 8 == context else 0.0 for k in strangers]
 
 
+def test_toxic_ratios_do_not_travel_through_the_driver(spark):
+    """Only file names go with a task, however many rows there are; tasks find every ratio."""
+    rows = spark.range(0, 50_000, 1, 7).selectExpr("id * 5000000009 % 281474976710656 AS gram", "id / 8 AS ratio")
+    model = toxicity.Model(toxicity._collected(rows, "gram"), toxicity._collected(rows.limit(0), "gram"), *[np.zeros(5)] * 3)
+    assert len(pickle.dumps(model)) < 10_000
+
+    def look(batches):
+        for batch in batches:
+            found = model.grams.find(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found.astype(float))], ["wanted", "found"])
+
+    found = rows.mapInArrow(look, "wanted double, found double")
+    assert found.where("wanted = found").count() == 50_000
+    assert np.isnan(model.grams.find(np.array([3], np.uint64)))
+
+
 def test_toxicity_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string, toxic int")
     model = toxicity.fit(none)
