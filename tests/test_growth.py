@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from faultmill.operators import entities, failures, incidents, knowledge
 from faultmill.samples import feeds
+from faultmill.sources import airflow
+from faultmill.streaming import jobs
 
 
 def test_logs_are_made_once_for_all_blocks(spark, monkeypatch):
@@ -90,3 +92,12 @@ def test_only_first_sightings_of_a_pipeline_are_compared(spark, capsys):
     capsys.readouterr()
     found.explain()
     assert "BroadcastHashJoin" in capsys.readouterr().out
+
+
+def test_a_micro_batch_of_small_payloads_keeps_all_cores_busy(spark):
+    raw = spark.createDataFrame(
+        [(f"e{i}", datetime(2026, 1, 1), "w", f'{{"dag_id":"d{i}","state":"failed"}}') for i in range(200)],
+        "event_id string, received_at timestamp, workspace_id string, payload string").coalesce(1)
+    found = jobs.failures_stream(raw, airflow.normalize)
+    assert found.rdd.getNumPartitions() == jobs.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert found.count() == 200
