@@ -261,6 +261,31 @@ def test_cosines_find_paraphrases_and_counts_drop_nothing(spark):
     assert np.mean(long) >= 0.9
 
 
+def test_index_is_fitted_on_all_passages(spark):
+    """With as many dimensions as terms the latent rows give back the inverse of A'A, A being every passage."""
+    rng = random.Random(31)
+    names = [f"{a}{b}{c}" for a in "bdfg" for b in "aei" for c in "lmn"]
+    items = [(i, " ".join(rng.sample(names, 20)), None) for i in range(5)]
+    texts = [" ".join(rng.choices(names, range(1, len(names) + 1), k=rng.randrange(4, 70))) for _ in range(5_000)]
+    index = decontaminate.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), items)
+    place = {decontaminate.word_hashes([name])[0][0]: name for name in names}
+    place = {place[t]: k for k, t in enumerate(index.terms)}
+    size = decontaminate.BLOCK
+    rows = []
+    for text in texts:
+        words = text.split()
+        rows += [words[p:p + 2 * size] for p in range(0, len(words), size)]
+    own = [text.split() for _, text, _ in items]
+    matrix = np.zeros((len(rows) + len(own), len(place)))
+    for k, words in enumerate(rows + own):
+        for word in words:
+            if word in place:
+                matrix[k, place[word]] += index.weights[place[word]]
+    whole = matrix.T @ matrix
+    np.fill_diagonal(whole, whole.diagonal() + np.trace(whole) / len(place))
+    assert np.allclose(index.latent @ index.latent.T @ whole, np.eye(len(place)), atol=1e-2)
+
+
 def test_answer_column(spark):
     item = "which small river crosses the old stone town before it meets the northern sea"
     docs = spark.createDataFrame([(1, item + " the answer is Wharfe"), (2, item), (3, "unrelated words only here")],
