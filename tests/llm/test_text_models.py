@@ -286,6 +286,18 @@ def test_index_is_fitted_on_all_passages(spark):
     assert np.allclose(index.latent @ index.latent.T @ whole, np.eye(len(place)), atol=1e-2)
 
 
+def test_variants_of_short_items(spark):
+    """Items of few words are found where words were changed, left out or put in, as long ones are."""
+    items = [(1, "quando carthago delenda semper esse videtur romanis"), (2, "quo vadis domine hodie")]
+    docs = [(1, "ante quando carthago delenda nunc esse videtur romanis post"), (2, "quo domine mane hodie"),
+            (3, "ante quando carthago fuit nunc esse post"), (4, "hodie domine vadis quo"),
+            (5, "quando carthago delenda semper esse videtur romanis"), (6, "vadis verba hodie"), (7, "vadis hodie")]
+    made = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                               spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: [(x.item, round(x.share, 3)) for x in r.leaks] for r in made.collect()}
+    assert got == {1: [(1, 0.857)], 2: [(2, 0.75)], 3: [], 4: [], 5: [(1, 1.0)], 6: [], 7: []}
+
+
 def test_answer_column(spark):
     item = "which small river crosses the old stone town before it meets the northern sea"
     docs = spark.createDataFrame([(1, item + " the answer is Wharfe"), (2, item), (3, "unrelated words only here")],
