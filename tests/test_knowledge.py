@@ -63,6 +63,22 @@ def test_literals_in_several_blocks(spark, monkeypatch):
     assert sorted(r.kb_id for r in got.collect()) == ["k0", "k1", "k2", "k3", "k5", "k6", "k8"]
 
 
+def test_pasted_logs_are_searched_once(spark, monkeypatch):
+    """Rows of workspaces and patterns that do not compile take no part in the passes over pasted logs."""
+    from faultmill.plans import adhoc
+    passes, found = [], knowledge._found
+    monkeypatch.setattr(knowledge, "LITERALS_AT_ONCE", 4)
+    monkeypatch.setattr(knowledge, "_found", lambda logs, rows, best: passes.append(len(rows)) or found(logs, rows, best))
+    rows = [("all", None, r"disk \d+"), ("other", None, "full"), *[(f"bad{i}", None, f"(open {i}") for i in range(9)],
+            *[(f"own{i}", "w1", f"disk 1{i % 3}.") for i in range(9)]]
+    kb = spark.createDataFrame([(i, w, "dbt", pattern, False, i, "c", "f", "transient", "team", T0) for i, w, pattern in rows],
+                               knowledge.KB_SCHEMA)
+    pasted = spark.createDataFrame([("a", "dbt", "disk 12 is full", ""), ("b", "dbt", "disk x", "")],
+                                   "log_id string, platform string, log string, context string")
+    got = {r.log_id: [h.title for h in r.kb_hits or ()] for r in adhoc.diagnose(pasted, kb).collect()}
+    assert got == {"a": ["all", "other"], "b": []} and passes == [2]
+
+
 def test_pattern_rows_of_the_table(spark):
     logs = spark.createDataFrame([("a", "w1", "dbt", T0, "Disk 12 is full"), ("b", "w2", "dbt", T0, "disk x"),
                                   ("c", None, "dbt", T0, "DISK 7")], LOGS)
