@@ -6,15 +6,16 @@ micro-batches may bring them in any order; rows behind the watermark are given o
 """
 
 import hashlib
-import sys
+import json
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import diagnosis
 from ..operators.incidents import KEYS, NOT_OPEN, SUPERSEDED, recurrence_note
@@ -26,18 +27,19 @@ from ..sources.merge import period
 LATE = "behind the watermark"
 CLOSING = fv.CLOSING_STATUSES
 
-# Spark prepares a stateful operator in a helper process of the driver that has no files of the
-# application: what the processor is made of travels whole, and refers to nothing else of the package.
-register_pickle_by_value(sys.modules[__name__])
-
-#: Stretch of time whose rows of one signature are taken from the state together.
+#: Stretch of time whose rows of one signature are unpacked together.
 SLOT_SECONDS = 3600
+_SLOT = SLOT_SECONDS * 1_000_000
+#: Incidents of a signature whose diagnoses are unpacked together.
+INCIDENTS_TOGETHER = 64
 #: Rows given out at once.
 CHUNK = 10_000
 
-_NOW = (
-    "seq long, status string, count long, first_seen long, last_seen long, resolved_at long, notes string, "
-    "prior_seq long, prior_count long, prior_resolved_at long, prior_notes string")
+#: Groups that signatures are dealt to.  A call of the state costs milliseconds whatever it brings, so one
+#: call serves all signatures of a group; a checkpoint keeps the number it was begun with.
+GROUPS = 4096
+#: Packed signatures by name, and when each that has rows waiting is due.
+_STATE = "signatures map<string,binary>, due map<string,long>"
 _NOTHING = (0, "", 0, 0, 0, None, "", 0, 0, None, "")
 _ROW = (
     "at_micros long, turn int, event_id string, kind string, status string, notes string, run_id string, "
@@ -57,23 +59,72 @@ def short_key(*parts) -> str:
     return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:32]
 
 
+class Packed:
+    """Lists by number, packed until one is asked for; an empty list is none."""
+
+    def __init__(self, packed: dict[int, bytes]):
+        self._packed, self._open = packed, {}
+
+    def of(self, number: int) -> list:
+        """The list of a number, to be changed in place."""
+        if number not in self._open:
+            packed = self._packed.get(number)
+            self._open[number] = [tuple(row) for row in json.loads(zlib.decompress(packed))] if packed else []
+        return self._open[number]
+
+    def close(self, number: int) -> None:
+        """Pack a list again."""
+        made = self._open.pop(number, None)
+        if made:
+            self._packed[number] = zlib.compress(json.dumps(made, separators=(",", ":")).encode(), 1)
+        elif made is not None:
+            self._packed.pop(number, None)
+
+    def numbers(self) -> list[int]:
+        return sorted(self._packed.keys() | self._open.keys())
+
+    def packed(self) -> dict[int, bytes]:
+        for number in [*self._open]:
+            self.close(number)
+        return self._packed
+
+
 class Signature:
-    """The state of one signature while rows are folded into it."""
+    """The state of one signature while rows are folded into it: the newest incident, rows not yet passed by
+    the watermark in slots of time, and the diagnoses of every incident."""
 
-    def __init__(self, key: tuple, now: tuple, given):
-        self.key = key
+    def __init__(self, name: str, stored: bytes | None):
+        self.key = tuple(json.loads(name).values())
+        now, waiting, given = pickle.loads(stored) if stored else (_NOTHING, {}, {})
         (self.seq, self.status, self.count, self.first, self.last, self.resolved, self.notes, *self.prior) = now
-        self._stored, self.known, self.touched = given, {}, set()
+        self.waiting, self.given = Packed(waiting), Packed(given)
 
-    def now(self) -> tuple:
-        return (self.seq, self.status, self.count, self.first, self.last, self.resolved, self.notes, *self.prior)
+    def stored(self) -> bytes:
+        now = (self.seq, self.status, self.count, self.first, self.last, self.resolved, self.notes, *self.prior)
+        return pickle.dumps((now, self.waiting.packed(), self.given.packed()), 5)
+
+    def wait(self, row: tuple) -> None:
+        self.waiting.of(row[0] // _SLOT).append(row)
+
+    def take(self, passed: int) -> Iterator[dict]:
+        """Fold the rows that the watermark has passed."""
+        for slot in self.waiting.numbers():  # one slot's rows are unpacked
+            if slot * _SLOT >= passed:
+                break
+            rows = self.waiting.of(slot)
+            ready = {r[:3]: r for r in rows if r[0] < passed}  # a row that came twice counts once
+            rows[:] = [r for r in rows if r[0] >= passed]
+            self.waiting.close(slot)
+            yield from map(self.fold, [ready[k] for k in sorted(ready)])
+
+    def due(self, passed: int) -> int | None:
+        """When the watermark may pass a row again."""
+        slots = self.waiting.numbers()
+        return max(passed, slots[0] * _SLOT) if slots else None
 
     def diagnoses(self, seq: int) -> list[tuple]:
         """(created, id, category, confidence) of an incident's diagnoses in order: what was known when."""
-        if seq not in self.known:
-            held = self._stored.getValue((seq,)) if self._stored.containsKey((seq,)) else None
-            self.known[seq] = list(zip(*held, strict=True)) if held else []
-        return self.known[seq]
+        return [made[1:] for made in self.given.of(seq // INCIDENTS_TOGETHER) if made[0] == seq]
 
     def diagnose(self, seq: int, at: int, engine: str, category: str, confidence: float) -> tuple:
         """Enter a diagnosis; gives its id and the newest one before and after."""
@@ -82,13 +133,10 @@ class Signature:
         before = known[-1] if known else None
         known.append(made)
         known.sort(key=lambda d: d[:2])
-        self.touched.add(seq)
+        block = self.given.of(seq // INCIDENTS_TOGETHER)
+        block[:] = [d for d in block if d[0] != seq] + [(seq, *d) for d in known]
         return made[1], before, known[-1]
 
-    def store(self) -> None:
-        for seq in self.touched:
-            self._stored.updateValue((seq,), tuple(map(list, zip(*self.known[seq], strict=True))))
-
     def fold(self, row: tuple) -> dict:
         """Take one row; gives what changed."""
         at, _, event_id, kind, status, notes, run_id, target, platform, category, confidence, engine = row
@@ -151,100 +199,59 @@ def _frames(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
         yield _frame(held)
 
 
-_KINDS = {field.split(" ")[0]: {"long": "Int64", "double": "Float64", "boolean": "boolean"}.get(field.split(" ")[1], object)
-          for field in _OUT.split(", ")}
-
-
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLUMNS).astype(_KINDS)
-
-
-def _plain(value):
-    """A cell of a frame as a plain value, missing ones as None."""
-    if value is None or value is pd.NA or isinstance(value, float) and np.isnan(value):
-        return None
-    return value.item() if isinstance(value, np.generic) else value
-
-
-def _rows(frame: pd.DataFrame) -> list[tuple]:
-    return [tuple(map(_plain, row)) for row in frame[_FIELDS].itertuples(index=False, name=None)]
-
-
-def _typed(row: tuple) -> tuple:
-    """Whole numbers that a frame with gaps made floats."""
-    return (*row[:7], None if row[7] is None else int(row[7]), *row[8:])
-
-
-class Lifecycle(StatefulProcessor):
-    """Keyed state: the newest incident, the diagnoses of every incident, and rows not yet passed by the
-    watermark in slots of time."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.now = handle.getValueState("now", _NOW)
-        self.given = handle.getMapState(
-            "given", "seq long", "created array<long>, ids array<string>, categories array<string>, confidences array<double>")
-        self.waiting = handle.getMapState("waiting", "slot long", f"rows array<struct<{_ROW.replace(' ', ':')}>>".replace(",:", ","))
-        self.due = handle.getValueState("due", "slot long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        for frame in rows:
-            slots: dict[int, list[tuple]] = {}
-            late = []
-            for row in map(_typed, _rows(frame)):
-                if passed > 0 and row[0] < passed:
-                    late.append({**dict.fromkeys(_COLUMNS), **dict(zip(_FIELDS, row, strict=True)), "reason": LATE,
-                                 "workspace_id": key[0], "fingerprint": key[1], "opened": False, "deduplicated": False})
-                else:
-                    slots.setdefault(row[0] // (SLOT_SECONDS * 1_000_000), []).append(row)
-            for slot, some in slots.items():
-                held = [tuple(r) for r in self.waiting.getValue((slot,))[0]] if self.waiting.containsKey((slot,)) else []
-                self.waiting.updateValue((slot,), (held + some,))
-            if slots:
-                self._wake(min(slots))
-            yield from _frames(iter(late))
-
-    def _wake(self, slot: int) -> None:
-        """Ask to be called when the watermark reaches the slot, unless an earlier call is due."""
-        due = self.due.get()[0] if self.due.exists() else None
-        if due is None or slot < due:
-            if due is not None:
-                self.handle.deleteTimer(self._moment(due))
-            self.handle.registerTimer(self._moment(slot))
-            self.due.update((slot,))
-
-    @staticmethod
-    def _moment(slot: int) -> int:
-        return max(1, slot * SLOT_SECONDS * 1000 + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        signature = Signature(tuple(key), self.now.get() if self.now.exists() else _NOTHING, self.given)
-        self.due.clear()
-        for slot in sorted(int(k[0]) for k in self.waiting.keys()):  # one slot's rows are in hand
-            if slot * SLOT_SECONDS * 1_000_000 >= passed:
-                self._wake(slot)
-                break
-            held = [tuple(r) for r in self.waiting.getValue((slot,))[0]]
-            ready = {r[:3]: r for r in held if r[0] < passed}  # a row that came twice counts once
-            ready = [ready[k] for k in sorted(ready)]
-            rest = [r for r in held if r[0] >= passed]
-            if rest:
-                self.waiting.updateValue((slot,), (rest,))
-            else:
-                self.waiting.removeKey((slot,))
-            yield from _frames(map(signature.fold, ready))
-            if rest:
-                # called again a slot later at the latest; the rest of this one is taken then
-                self.handle.registerTimer(max(r[0] for r in rest) // 1000 + 1)
-                self.due.update((slot,))
-                break
-        signature.store()
-        self.now.update(signature.now())
-
-    def close(self) -> None:
-        pass
+    # plain objects: most frames hold a row or two, and Arrow takes them as typed columns anyway
+    cells = np.empty((len(rows), len(_COLUMNS)), dtype=object)
+    for place, row in enumerate(rows):
+        cells[place] = [row[name] for name in _COLUMNS]
+    return pd.DataFrame(cells, columns=_COLUMNS)
+
+
+def _rows(frame: pd.DataFrame) -> Iterator[tuple[str, tuple]]:
+    """Names of signatures and their rows."""
+    for name, text in zip(frame["name"], frame["row"], strict=True):
+        row = json.loads(text)
+        confidence = row["confidence"]  # numbers beyond all are texts in JSON
+        yield name, tuple({**row, "confidence": None if confidence is None else float(confidence)}.values())
+
+
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Take the rows that a micro-batch brings for a group of signatures, and fold those that the watermark
+    has passed; signatures that neither get rows nor are due stay packed."""
+    passed = max(0, state.getCurrentWatermarkMs()) * 1000
+    stored, due = map(dict, state.get if state.exists else ({}, {}))
+    known: dict[str, Signature] = {}
+    unpacked = 0
+    for frame in frames:
+        late = []
+        for name, row in _rows(frame):
+            if passed > 0 and row[0] < passed:
+                late.append({**dict.fromkeys(_COLUMNS), **dict(zip(_FIELDS, row, strict=True)), "reason": LATE,
+                             **json.loads(name), "opened": False, "deduplicated": False})
+                continue
+            if name not in known:
+                known[name] = Signature(name, stored.get(name))
+            known[name].wait(row)
+            unpacked += 1
+        if unpacked > CHUNK:
+            for signature in known.values():
+                signature.waiting.packed()
+            unpacked = 0
+        yield from _frames(iter(late))
+
+    def folded() -> Iterator[dict]:
+        for name in sorted(known.keys() | {name for name, at in due.items() if at < passed}):
+            signature = known.pop(name, None) or Signature(name, stored.get(name))
+            yield from signature.take(passed)
+            stored[name], at = signature.stored(), signature.due(passed)
+            due.pop(name, None)
+            if at is not None:
+                due[name] = at
+
+    yield from _frames(folded())
+    state.update((stored, due))
+    if due:  # called again when the watermark moves on beyond
+        state.setTimeoutTimestamp(max(1, passed // 1000, min(due.values()) // 1000))
 
 
 def history(failures: DataFrame, status_events: DataFrame, answers: DataFrame | None = None,
@@ -277,19 +284,24 @@ def follow(rows: DataFrame, delay: str) -> DataFrame:
     rows that come in behind it are given out at once with a reason and change nothing.  Status changes,
     diagnoses and feedback aim at ``target_seq``, else at the newest incident.
 
-    A row that comes twice counts once or is late.  Rows wait in slots of an hour; a signature's rows of one slot are what a task holds, however many
-    signatures or rows a micro-batch brings.  State never expires: incidents do not.
+    A row that comes twice counts once or is late.  Rows wait packed, in slots of an hour; a task holds the
+    packed rows of one of ``GROUPS`` groups of signatures and unpacks a slot of one signature at a time.
+    State never expires: incidents do not.
     """
     kinds = dict(status="string", notes="string", run_id="string", target_seq="long", platform="string", category="string",
                  confidence="double", engine="string")
     known = rows.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in rows.columns})
     ship(rows.sparkSession)
-    # without the watermarked column itself: the state sees late rows, which Spark would drop unseen
-    slim = known.withWatermark("at", delay).select(
+    row = known.withWatermark("at", delay).select(
         *KEYS, F.unix_micros("at").alias("at_micros"), (F.col("kind") == "feedback").cast("int").alias("turn"), "event_id",
         "kind", "status", F.coalesce("notes", F.lit("")).alias("notes"), "run_id", "target_seq", "platform", "category",
-        "confidence", "engine")
-    found = slim.groupBy(*KEYS).transformWithStateInPandas(Lifecycle(), _OUT, "Append", "EventTime")
+        F.nanvl("confidence", F.lit(None)).alias("confidence"), "engine")
+    # in place of the watermarked column one that is never late: the state sees late rows, which Spark would drop unseen
+    never = F.lit(None).cast("long").alias("never", metadata={"spark.watermarkDelayMs": 0})
+    group = F.pmod(F.xxhash64(*KEYS), F.lit(GROUPS)).alias("group")
+    whole = {"ignoreNullFields": "false"}
+    slim = row.select(group, F.to_json(F.struct(*KEYS), whole).alias("name"), F.to_json(F.struct(*_FIELDS), whole).alias("row"), never)
+    found = slim.groupBy("group").applyInPandasWithState(_advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return found.select(
         *KEYS, "event_id", F.timestamp_micros("at_micros").alias("at"), "kind", "run_id", "incident_seq",
         diagnosis.short_id(*[F.col(k) for k in KEYS], F.col("incident_seq").cast("string")).alias("incident_id"),

@@ -90,6 +90,19 @@ def test_feedback_takes_the_diagnosis_of_its_time(spark, tmp_path):
     assert (got["m2"].was_category, got["m2"].category) == ("timeout", "code_error")
 
 
+def test_one_call_of_the_state_serves_many_signatures(spark, tmp_path, monkeypatch):
+    """Signatures share the groups of the state, and waiting rows are packed in between, with the same rows out."""
+    monkeypatch.setattr(lifecycle, "GROUPS", 4, raising=False)
+    monkeypatch.setattr(lifecycle, "CHUNK", 7)
+    rows = [failing(row(f"k{n % 100}", n, f"e{n}", "resolved" if n % 300 >= 200 else None), n) for n in range(600)]
+    stream = streamed(spark, str(tmp_path / "in"), jumbled(rows, 100, 3, 4))
+    query = jobs.run_to_files(lifecycle.follow(stream, "100 minutes"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4
+    got = {r.event_id: (r.incident_seq, r.occurrence_count, r.reason) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {f"e{n}": (1 + n // 300, min(2, 1 + n % 300 // 100), "") for n in range(600)}
+
+
 def test_totals_after_every_micro_batch(spark, tmp_path):
     rows = [failing(r, i) for i, r in enumerate(history(500, 8))]
     followed = lifecycle.follow(streamed(spark, str(tmp_path / "in"), jumbled(rows, 500, 4, 1)), "500 minutes")
